@@ -325,3 +325,10 @@ def _linked(spark: SparkSession, d: DataFrame, pairs: DataFrame, k: int, percent
     sets = kept(spark, d.filter("doc_id is not null").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a")
     return kept(spark, both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long").distinct())
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each class keeps its smallest doc_id; rows of one doc_id stay together, those of a null doc_id stay."""
+    found = similar_documents(spark, docs, **parameters)
+    gone = found.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
