@@ -10,9 +10,9 @@ are searched for each of the query's others, until T cannot be reached.
 
 How it is laid out on a cluster:
 
-1. One pass finds shingles that are frequent within a task's documents. They
-   only order the shingles (rare first, then by hash): any order gives right
-   results, this one keeps the short lists short.
+1. One pass counts shingles that several documents of a batch share. The
+   counts only order the shingles (by the logarithm of the count, then by
+   hash): any order gives right results, this one keeps the short lists short.
 2. A second pass gives each document a digest of its set and its short part,
    the |x| - ceil(p * |x| / 100) + 1 first shingles. Equal sets become one class.
 3. The short parts are dealt by shingle and sorted: the merged short lists.
@@ -20,8 +20,9 @@ How it is laid out on a cluster:
    with its leader, the member with the fewest rare shingles (a member of
    many near copies is close to that one). Sizes and places that rule out T
    drop a pair.
-4. Sets of paired documents are read again and the pairs are decided by
-   probing. Linked documents make components.
+4. Short parts of paired documents rule out most pairs that do not link: up
+   to the earlier of their ends all that the two share is known. The sets of
+   the others are read again and decided by probing. Linked documents make components.
 5. Lists whose members are in several components then emit the pairs across
    components that were not yet tried, in the same way; so no link between
    components is lost. Members in the same component need no more pairs.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, kept, only
+from .common import dropped, in_pieces, kept, only
 from .components import components
 from .words import U, Words, mix, runs
 
@@ -94,22 +95,43 @@ def probe(x: np.ndarray, y: np.ndarray, need: int) -> bool:
     return True
 
 
-def _frequent(k: int, per_mille: int):
-    """Shingles in at least ``per_mille`` thousandths, and 8, of the documents of a batch, once for each task."""
+def _repeated(k: int, hold: int = 1_000_000):
+    """Shingles that several documents of a batch have, with their numbers of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[int] = set()
-        for b in in_pieces(batches, chars=12_000_000):
+        words, counts, size = [], [], 0
+        for b in in_pieces(batches, chars=6_000_000):
             sets = list(shingle_sets(b.column("text"), k))
             every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             at, n = runs(every)
-            found.update(every[at[n >= max(8, len(sets) * per_mille // 1000)]].view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["s"])
+            words.append(every[at[n > 1]])
+            counts.append(n[n > 1])
+            size += len(words[-1])
+            if size > hold:
+                yield _summed(words, counts)
+                words, counts, size = [], [], 0
+        if words:
+            yield _summed(words, counts)
 
     return run
 
 
-def _short_parts(k: int, percent: int, frequent: np.ndarray):
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    known, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], names=["s", "n"])
+
+
+def ordered(sets: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Keys of a set's shingles in the order of all lists: the level of frequency in the 5 leading bits, then 59 bits of the hash."""
+    key = sets >> U(5)
+    if len(frequent) and len(sets):
+        at = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
+        key |= np.where(frequent[at] == sets, level[at], U(0)) << U(59)
+    return np.sort(key)
+
+
+def _short_parts(k: int, percent: int, frequent: np.ndarray, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches):
             sizes, high, low, rare, parts = [], [], [], [], []
@@ -118,16 +140,10 @@ def _short_parts(k: int, percent: int, frequent: np.ndarray):
                 # two sums of differently mixed shingles: 128 bits for the set
                 high.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 low.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                if len(frequent) and n:
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    first = np.r_[s[~often], s[often]]
-                    rare.append(int(n - often.sum()))
-                else:
-                    first = s
-                    rare.append(n)
+                keys = ordered(s, frequent, level)
+                rare.append(int(np.searchsorted(keys, U(1 << 59))))
                 sizes.append(n)
-                parts.append(first[: short_part(n, percent)].view(np.int64))
+                parts.append(keys[: short_part(n, percent)].view(np.int64))
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))],
@@ -175,21 +191,28 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
             yield whole
 
 
-def _with_leader(percent: int):
-    """Pairs of a list's members with its leader."""
+def _led(percent: int, rows: int = 100_000):
+    """Members of the lists of two members or more; ``lead`` is the list's leader where the two can share enough."""
+    names = ["s", "doc", "n", "rare", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
-        for _, doc, n, rare, place in _lists(batches, ("s", "doc", "n", "rare", "place")):
+        out: list[list[np.ndarray]] = []
+        size = 0
+        for cols in _lists(batches, tuple(names)):
+            _, doc, n, rare, place = cols
             lead = int(np.lexsort((doc, rare))[0])
             ok = _possible(n, n[lead], place, place[lead], percent) & (doc != doc[lead])
-            d = doc[ok]
-            if len(d):
-                out.append(np.stack([np.minimum(d, doc[lead]), np.maximum(d, doc[lead])]))
-            if len(out) > 20_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+            out.append([*cols, np.full(len(doc), doc[lead]), ok])
+            size += len(doc)
+            if size >= rows:
+                yield table(out)
+                out, size = [], 0
+        if out:
+            yield table(out)
+
+    def table(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        *cols, lead, ok = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(lead, mask=~ok)], names=[*names, "lead"])
 
     return run
 
@@ -247,6 +270,29 @@ def _sets(k: int):
     return run
 
 
+def _hopeful(percent: int):
+    """Pairs that can share enough by their short parts: up to the earlier of the two ends all that they share is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            need = required(n, m, percent)
+            xs, ys = b.column("x"), b.column("y")
+            xo, yo = xs.offsets.to_numpy(), ys.offsets.to_numpy()
+            xv, yv = xs.values.to_numpy().view(np.uint64), ys.values.to_numpy().view(np.uint64)
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
+                at = np.searchsorted(y, x)
+                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                end = min(x[-1], y[-1])
+                left = min(n[i] - np.searchsorted(x, end, "right"), m[i] - np.searchsorted(y, end, "right"))
+                keep[i] = shared + left >= need[i]
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _decide(percent: int):
     """Pairs that link, of rows a, b, x, y with the sets of a and b."""
 
@@ -267,31 +313,34 @@ def _decide(percent: int):
     return run
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, per_mille: int = 2) -> DataFrame:
+def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, levelled: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    ``per_mille``: a shingle in so many thousandths of the documents of some
-    batch of a task counts as frequent; it bounds their number to 1000 /
-    per_mille times a batch's mean set size for each batch.
+    ``levelled``: so many of the most frequent shingles have their frequency
+    known to the order (12 MB); the others count as rare. Results do not
+    depend on it.
     """
     d = only(docs, doc_id="long", text="string")
-    often = d.mapInArrow(_frequent(k, per_mille), "s long").groupBy("s").count()
-    # frequent in the largest number of batches first; the bound is a parameter of the order, not of the result
-    frequent = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("count"), "s").limit(1_000_000).collect()], np.int64).view(np.uint64))
-    every = kept(spark, d.mapInArrow(_short_parts(k, percent, frequent), "doc_id long, n long, d1 long, d2 long, rare long, part array<long>"))
+    often = d.mapInArrow(_repeated(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= 8)
+    often = sorted((r["s"] % (1 << 64), r["n"]) for r in often.orderBy(F.desc("n"), "s").limit(levelled).collect())
+    frequent = np.array([s for s, _ in often], np.uint64)
+    level = np.minimum(np.log2(np.maximum([n for _, n in often], 1)), 31).astype(np.uint64)
+    every = kept(spark, d.mapInArrow(_short_parts(k, percent, frequent, level), "doc_id long, n long, d1 long, d2 long, rare long, part array<long>"))
 
     classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("rare").alias("rare"), F.first("part").alias("part"))
-    postings = kept(spark, classes.select("doc", "n", "rare", F.posexplode("part").alias("place", "s")).select("s", "doc", "n", "rare", F.col("place").cast("long").alias("place")))
-    first = kept(spark, _lists_of(postings).mapInArrow(_with_leader(percent), "a long, b long").distinct())
-    links = _linked(spark, d, first, k, percent)
+    classes = kept(spark, classes)
+    postings = classes.select("doc", "n", "rare", F.posexplode("part").alias("place", "s")).select("s", "doc", "n", "rare", F.col("place").cast("long").alias("place"))
+    lists = kept(spark, postings.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_led(percent), "s long, doc long, n long, rare long, place long, lead long"))
+    first = kept(spark, lists.filter("lead is not null").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct())
+    links = _linked(spark, d, classes, first, k, percent)
     links = _with_shared_ids(spark, links, every, classes)
     found = kept(spark, components(spark, links))
 
     known = found.select(F.col("node").alias("doc"), "component")
-    shared = postings.join(known, "doc", "left").select("s", "doc", "n", "rare", "place", F.coalesce("component", "doc").alias("comp"))
-    second = _lists_of(shared).mapInArrow(_across(percent), "a long, b long").distinct()
+    shared = lists.join(known, "doc", "left").select("s", "doc", "n", "rare", "place", F.coalesce("component", "doc").alias("comp"))
+    second = shared.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_across(percent), "a long, b long").distinct()
     second = kept(spark, second.join(first, ["a", "b"], "left_anti"))
-    more = _linked(spark, d, second, k, percent)
+    more = _linked(spark, d, classes, second, k, percent)
     if more.limit(1).count():
         found = kept(spark, components(spark, links.unionByName(more)))
 
@@ -313,18 +362,19 @@ def _with_shared_ids(spark: SparkSession, links: DataFrame, every: DataFrame, cl
     return links.unionByName(several.join(least, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b"))
 
 
-def _lists_of(postings: DataFrame) -> DataFrame:
-    return postings.repartition("s").sortWithinPartitions("s", "doc")
-
-
-def _linked(spark: SparkSession, d: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets share enough."""
+def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets share enough: first by the short parts, then by the sets of the rest."""
+    parts = classes.select("doc", "n", "rare", "part")
+    both = pairs.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("part").alias("y")), "b")
+    both = both.join(parts.select(F.col("doc").alias("a"), "n", F.col("part").alias("x")), "a")
+    pairs = kept(spark, both.select("a", "b", "n", "m", "x", "y").mapInArrow(_hopeful(percent), "a long, b long").distinct())
     ids = kept(spark, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = kept(spark, d.filter("doc_id is not null").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = kept(spark, d.filter("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a")
-    return kept(spark, both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long").distinct())
+    links = kept(spark, both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long").distinct())
+    dropped(spark, pairs, ids, sets)
+    return links
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
