@@ -1,4 +1,474 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""Registered queries of the engine over the driver's tables, and their SQL oracles.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A document is a virtual file source/lang/doc_id.txt. Every query runs over
+whole tables; limits stand only where a page or a top-k is the feature.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import paths as P
+from ..functions import patterns as D
+from ..functions import text as X
+from ..operators import budget, graph, index, lines, quality, relate
+from ..sources import trees
+from ..streaming import status
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+QUERY, PATTERN = "that", r"(tion|ment)[a-z]*\."
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.documents_as_files(_t(spark, sf, "documents"))
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+# parts of the oracles
+_FILES = "files AS (SELECT *, concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents)"
+_LINES = (
+    _FILES
+    + """, raw AS (SELECT path, doc_id, regexp_split_to_array(text, '\\r?\\n') AS a FROM files),
+arrays AS (SELECT path, doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ls FROM raw),
+ls AS (SELECT path, doc_id, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line, unnest(ls) AS content FROM arrays)"""
+)
+_CUT = "CASE WHEN strlen({0}) <= 1000 THEN {0} ELSE left({0}, 1000) || '... [TRUNCATED]' END"
+_HITS = _LINES + f", hits AS (SELECT path, line, content, instr(content, '{QUERY}') AS \"column\" FROM ls WHERE contains(content, '{QUERY}'))"
+
+
+@_query(f"WITH {_HITS} SELECT path, line, \"column\", content, CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS rank FROM (SELECT path, line, CAST(\"column\" AS BIGINT) AS \"column\", CASE WHEN strlen(content) <= 1000 THEN content ELSE NULL END AS content FROM hits)")
+def search_literal(spark, sf):
+    """Literal search with columns, in order (F-01, E-05, O-01); content of lines over 1000 bytes is compared in search_long_lines."""
+    m = lines.find(_docs(spark, sf), QUERY, context=0)
+    # the rank of every match: ranges are sorted apart, so no single task orders all rows
+    return _ranked(m.select("path", "line", "column", F.when(~F.endswith("content", F.lit(X.TRUNCATED)), F.col("content")).alias("content")), "path", "line")
+
+
+def _ranked(d: DataFrame, *order: str) -> DataFrame:
+    """Rows with their rank in an order: partitions by range, their sizes summed, and each ranks its own rows."""
+    parts = d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    sizes = parts.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b")
+    r = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_r", r).join(F.broadcast(sizes), "_p").withColumn("rank", (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_b", "_r")
+
+
+@_query(f"WITH {_LINES} SELECT path, line, CAST(length(content) - length(regexp_replace(content, '^.*?(tion|ment)[a-z]*\\.', '')) AS BIGINT) AS rest FROM ls WHERE regexp_matches(content, '(tion|ment)[a-z]*\\.')")
+def search_regex(spark, sf):
+    """Regular-expression search (F-02): lines with a match, and the length up to the first match's end."""
+    files = _docs(spark, sf)
+    m = lines.lines(files.select("path", "text")).filter(F.col("content").rlike(PATTERN))
+    return m.select("path", "line", (F.length("content") - F.length(F.regexp_replace("content", "^.*?" + PATTERN, ""))).cast("long").alias("rest"))
+
+
+@_query(
+    "WITH "
+    + _HITS
+    + """, near AS (SELECT h.path, h.line, coalesce(lag(h.line) OVER w, 0) AS prev, lead(h.line) OVER w AS next FROM hits h WINDOW w AS (PARTITION BY h.path ORDER BY h.line)),
+ b AS (SELECT n.*, a.ls, greatest(n.line - 2, n.prev, 1) AS first, least(n.line + 2, coalesce(n.next - 1, len(a.ls)), len(a.ls)) AS last FROM near n JOIN arrays a USING (path))
+SELECT path, line, CAST(line - first AS BIGINT) AS n_before, CAST(greatest(last - line, 0) AS BIGINT) AS n_after, sha256(array_to_string(ls[first:line - 1], chr(10)) || chr(1) || array_to_string(ls[line + 1:last], chr(10))) AS context_sha256 FROM b WHERE list_max(list_transform(ls, lambda x: strlen(x))) <= 1000"""
+)
+def search_context(spark, sf):
+    """Context lines that stop at neighbouring matches (W-03, W-04), of files without lines over 1000 bytes."""
+    files = _docs(spark, sf).filter(F.coalesce(F.array_max(F.transform(X.lines_of(F.col("text")), F.octet_length)), F.lit(0)) <= 1000)
+    m = lines.find(files, QUERY, context=2)
+    both = F.concat(F.array_join("context_before", "\n"), F.lit("\x01"), F.array_join("context_after", "\n"))
+    return m.select("path", "line", F.size("context_before").cast("long").alias("n_before"), F.size("context_after").cast("long").alias("n_after"), F.sha2(both, 256).alias("context_sha256"))
+
+
+@_query(f"WITH {_HITS} SELECT path, line, rank FROM (SELECT path, line, CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS rank FROM hits) WHERE rank BETWEEN 51 AND 100")
+def search_page2(spark, sf):
+    """The second page of fifty (W-05, O-02)."""
+    return lines.page(lines.find(_docs(spark, sf), QUERY, context=0), 50, 50).select("path", "line", "rank")
+
+
+@_query(
+    "WITH "
+    + _HITS
+    + """, known AS (SELECT DISTINCT path FROM files JOIN labels USING (doc_id))
+SELECT h.path, left(sha256(f.text), 7) AS version_hash, CAST(count(*) AS BIGINT) AS total_matches, bool_or(k.path IS NOT NULL) AS known, CAST(min(line) AS BIGINT) AS first_line, string_agg(line, ',' ORDER BY line) AS lines
+FROM hits h JOIN files f USING (path) LEFT JOIN known k USING (path) GROUP BY h.path, f.text"""
+)
+def search_grouped(spark, sf):
+    """Matches grouped by file, files the caller knows told apart (A-01, F-14, J-05); labelled documents are the known ones."""
+    files = _docs(spark, sf)
+    known = files.join(_t(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("path")
+    g = lines.grouped(lines.with_known(lines.find(files, QUERY, context=0), known))
+    every = F.array_sort(F.concat(F.transform("matches", lambda m: m["line"]), F.transform("known_matches", lambda m: m["line"])))
+    return g.select("path", X.short_hash(F.col("version_hash")).alias("version_hash"), "total_matches", (F.size("known_matches") > 0).alias("known"), F.col("first_rank").alias("first_line"), F.array_join(F.transform(every, lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@_query(
+    """SELECT CAST(count(*) FILTER (NOT bin) AS BIGINT) AS files_in_scope, CAST(count(*) FILTER (NOT bin AND html IS NOT NULL) AS BIGINT) AS files_searched, CAST(count(*) FILTER (bin) AS BIGINT) AS binary_skipped, CAST(0 AS BIGINT) AS gitignored_skipped, CAST(count(*) FILTER (NOT bin AND html IS NULL) AS BIGINT) AS other_skipped,
+CASE WHEN count(*) FILTER (NOT bin) > 0 THEN CAST(floor(count(*) FILTER (NOT bin AND html IS NOT NULL) * 100 / count(*) FILTER (NOT bin)) AS BIGINT) ELSE 100 END AS coverage_percent
+FROM (SELECT html, coalesce(lower(nullif(regexp_extract(url, '[^/]\\.([^./]*)$', 1), '')) IN ('png','jpg','jpeg','gif','bmp','ico','webp','svg','pdf','zip','db','bin','dat','a','o','so'), false) AS bin FROM pages)"""
+)
+def search_stats(spark, sf):
+    """Counters of a scan (A-02 to A-04), over pages."""
+    return lines.counters(_t(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("text")))
+
+
+@_query(f"WITH {_FILES} SELECT path FROM files WHERE regexp_matches(path, '^src1.*/(en|fr)/[^/]*\\.txt$') AND NOT regexp_matches(path, '^src1[0-4]/')")
+def glob_include_exclude(spark, sf):
+    """Include and exclude globs with braces and classes (F-03, F-04)."""
+    return _docs(spark, sf).filter(P.matches_glob(F.col("path"), "src1*/{en,fr}/*.txt") & P.matches_none(F.col("path"), ["src1[0-4]/**"])).select("path")
+
+
+@_query("SELECT url, nullif(regexp_extract(url, '[^/]\\.([^./]*)$', 1), '') AS ext, regexp_extract(url, '([^/]*)$', 1) AS name, CAST(len(string_split(url, '/')) - 1 AS BIGINT) AS depth FROM pages")
+def path_parts(spark, sf):
+    """Extension, base name and depth of paths (E-09, F-09)."""
+    u = F.col("url")
+    return _t(spark, sf, "pages").select("url", P.extension(u).alias("ext"), P.basename(u).alias("name"), P.depth(u).cast("long").alias("depth"))
+
+
+_VIRTUAL = "CASE page_id % 12 WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' WHEN 2 THEN 'secrets/a.txt' WHEN 3 THEN 'src/secrets/a.txt' WHEN 4 THEN 'cert.PEM' WHEN 5 THEN '.git/config' WHEN 6 THEN '.gitignore' WHEN 7 THEN '../x.py' WHEN 8 THEN 'build/out.js' WHEN 9 THEN 'src/build.rs' WHEN 10 THEN 'tmp/cache/x' ELSE 'src/main.rs' END"
+
+
+@_query(
+    f"""SELECT page_id, path, CASE WHEN regexp_matches(path, '(^|/)\\.\\.(/|$)') OR lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('pem','key','pfx','p12') OR starts_with(path, '.git/config') THEN 'hardcoded_deny'
+WHEN path IN ('.env', 'secrets', 'build') OR starts_with(path, '.env.') OR starts_with(path, 'secrets/') OR starts_with(path, 'build/') THEN 'default_deny' WHEN starts_with(path, 'tmp/') THEN 'user_defined' END AS tier FROM (SELECT page_id, {_VIRTUAL} AS path FROM pages)"""
+)
+def sandbox_tiers(spark, sf):
+    """The tier that denies a path (F-11), over virtual paths."""
+    d = _t(spark, sf, "pages").select("page_id", F.expr(_VIRTUAL).alias("path"))
+    return d.select("page_id", "path", P.denied_tier(F.col("path"), ignore=["tmp/"]).alias("tier"))
+
+
+@_query("SELECT doc_id, 'sha256:' || sha256(text) AS version_hash, left(sha256(text), 7) AS short_hash FROM documents")
+def version_hash(spark, sf):
+    """Content hashes (E-17)."""
+    return _docs(spark, sf).select("doc_id", "version_hash", X.short_hash(F.col("version_hash")).alias("short_hash"))
+
+
+@_query("SELECT sha256(text) AS h, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY text")
+def first_by_hash(spark, sf):
+    """Distinct by content, the first stays (A-06, A-07): aggregated before the shuffle, so a group of copies is no hot key."""
+    return _t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@_query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def known_passage_hits(spark, sf):
+    """Documents that hold a benchmark passage as it is (J-06 with an exact test): an equi-join on a passage's first words bounds the pairs that are compared."""
+    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    n = 6
+    width = b.agg(F.min(F.size(F.split("passage", r"\s+")))).first()[0] or 1
+    n = min(n, max(1, width - 1))
+    start = F.array_join(F.slice(F.split("passage", r"\s+"), 2, n), " ")
+    d = _t(spark, sf, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
+    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")))).alias("g"))
+    key = b.select("item_id", "passage", start.alias("g"))
+    pairs = grams.join(F.broadcast(key) if key.count() <= 100_000 else key, "g").select("doc_id", "item_id", "passage").distinct()
+    return d.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+
+
+@_query("WITH " + _LINES + " SELECT doc_id, line, left(trim(content), 512) AS snippet FROM ls WHERE line BETWEEN 2 AND 4")
+def read_slice(spark, sf):
+    """Lines 2 to 4 of every file, as snippets (F-13, E-27)."""
+    part = F.slice(X.lines_of(F.col("text")), 2, 3)
+    return _docs(spark, sf).select("doc_id", F.posexplode(part).alias("i", "c")).select("doc_id", (F.col("i") + 2).cast("long").alias("line"), F.substring(F.trim("c"), 1, 512).alias("snippet"))
+
+
+@_query(f"WITH {_LINES} SELECT f.path, f.lang AS language, CAST(strlen(f.text) AS BIGINT) AS size, CAST(len(a.ls) AS BIGINT) AS n_lines, CAST(ceil(length(f.text) / 4) AS BIGINT) AS tokens FROM files f JOIN arrays a USING (path)")
+def file_metadata(spark, sf):
+    """Sizes, lines and estimated tokens of files (SC-08, E-18)."""
+    return _docs(spark, sf).select("path", "language", "size", F.size(X.lines_of(F.col("text"))).cast("long").alias("n_lines"), X.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def changed_semi(spark, sf):
+    """Files in a change set (J-03)."""
+    return _t(spark, sf, "documents").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def known_anti(spark, sf):
+    """Rows less those of another list (J-04)."""
+    return relate.without(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels"), ("doc_id",))
+
+
+@_query("SELECT page_id, CAST(position('<script' IN html) AS BIGINT) AS script_at, CAST(position('<style' IN html) AS BIGINT) AS style_at, CAST(length(html) AS BIGINT) AS n FROM pages")
+def zone_scan(spark, sf):
+    """Where zones of a page begin (X-08), in code points."""
+    at = lambda tag: F.locate(tag, F.col("html")).cast("long")
+    return _t(spark, sf, "pages").select("page_id", at("<script").alias("script_at"), at("<style").alias("style_at"), F.length("html").cast("long").alias("n"))
+
+
+@_query(
+    """WITH a AS (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages),
+tags AS (SELECT page_id, tag, CAST(list_position(list_transform(ls, lambda x: contains(x, '<' || tag)), true) AS BIGINT) AS s, CAST(len(ls) AS BIGINT) AS e FROM a, (VALUES ('html'), ('head'), ('body'), ('script')) AS t(tag)),
+spans AS (SELECT page_id, tag, s, e FROM tags WHERE s > 0),
+rows AS (SELECT page_id, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line FROM a)
+SELECT page_id, line, tag FROM (SELECT r.page_id, r.line, p.tag, row_number() OVER (PARTITION BY r.page_id, r.line ORDER BY p.e - p.s, p.tag) AS k FROM rows r LEFT JOIN spans p ON p.page_id = r.page_id AND r.line BETWEEN p.s AND p.e) WHERE k = 1"""
+)
+def zone_enclosing(spark, sf):
+    """The innermost zone around every line (J-02): spans from a tag's first line to the page's end."""
+    p = _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.split("html", "\n").alias("ls"))
+    tags = ("body", "head", "html", "script")
+    first = lambda tag: F.array_position(F.transform("ls", lambda x: F.contains(x, F.lit("<" + tag))), True)
+    found = p.select("path", F.size("ls").alias("n"), F.posexplode(F.array(*map(first, tags))).alias("symbol_id", "s")).filter("s > 0")
+    spans = found.select("path", (-F.col("symbol_id")).alias("symbol_id"), F.element_at(F.array(*map(F.lit, tags)), F.col("symbol_id") + 1).alias("semantic_path"), F.lit("Zone").alias("kind"), (F.col("s") - 1).cast("int").alias("start_line"), (F.col("n") - 1).alias("end_line"))
+    rows = p.select("path", F.explode(F.sequence(F.lit(1).cast("long"), F.size("ls").cast("long"))).alias("line"))
+    return relate.enclosing(rows, spans).select(F.col("path").cast("long").alias("page_id"), "line", F.col("enclosing_semantic_path").alias("tag"))
+
+
+_LINKS = "links AS (SELECT DISTINCT page_id AS src, CAST(h AS BIGINT) AS dst FROM (SELECT page_id, (page_id * 7 + 3) % (SELECT max(page_id) + 1 FROM pages) AS h FROM pages UNION ALL SELECT page_id, (page_id * page_id + 1) % (SELECT max(page_id) + 1 FROM pages) AS h FROM pages))"
+
+
+def _links(spark, sf):
+    p = _t(spark, sf, "pages").select("page_id")
+    n = p.agg(F.max("page_id") + 1).first()[0] or 1
+    i = F.col("page_id")
+    return p.select(i.alias("src"), F.explode(F.array(F.pmod(i * 7 + 3, F.lit(n)), F.pmod(i * i + 1, F.lit(n)))).alias("dst")).distinct()
+
+
+@_query(f"WITH {_LINKS} SELECT src, dst FROM links")
+def link_edges(spark, sf):
+    """A graph over the pages, two edges from each."""
+    return _links(spark, sf)
+
+
+@_query(f"WITH RECURSIVE {_LINKS}, r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT l.dst, r.depth + 1 FROM r JOIN links l ON l.src = r.node WHERE r.depth < 4) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node HAVING min(depth) > 0")
+def link_bfs(spark, sf):
+    """What page 0 reaches in four steps, with its depth (G-01, W-06, J-10)."""
+    start = spark.createDataFrame([(0,)], "node long")
+    return graph.reach(_links(spark, sf), start, max_depth=4)
+
+
+@_query("SELECT conv_id, turn, role || CASE WHEN n = 1 THEN '' ELSE '#' || n END AS unique_name, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations)")
+def nth_duplicate(spark, sf):
+    """Numbering of repeated names in a scope (W-01)."""
+    return relate.nth_duplicate(_t(spark, sf, "conversations"), ["conv_id"], "role", "turn", "text").select("conv_id", "turn", "unique_name", "n")
+
+
+@_query("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf):
+    """Estimated tokens (O-10's measure)."""
+    return _t(spark, sf, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@_query(
+    """WITH RECURSIVE items AS (SELECT source, printf('%012d', doc_id) AS path, CAST(ceil(length(text) / 4) AS BIGINT) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+fold AS (SELECT source, k, path, cost <= 16000 AS admitted, cost > 16000 AS marked, CASE WHEN cost <= 16000 THEN cost ELSE 50 END AS used FROM items WHERE k = 1
+UNION ALL SELECT i.source, i.k, i.path, f.used + i.cost <= 16000, f.used + i.cost > 16000 AND f.used + 50 <= 16000, f.used + CASE WHEN f.used + i.cost <= 16000 THEN i.cost WHEN f.used + 50 <= 16000 THEN 50 ELSE 0 END FROM fold f JOIN items i ON i.source = f.source AND i.k = f.k + 1)
+SELECT source, path, admitted, marked FROM fold"""
+)
+def budget_greedy(spark, sf):
+    """The greedy fold of a token budget (O-09) in each source: smaller files are still tried after one that does not fit."""
+    d = _t(spark, sf, "documents").select("source", F.format_string("%012d", "doc_id").alias("path"), X.estimate_tokens(F.col("text")).alias("cost"))
+    return budget.greedy(d, 16_000, keys=["source"])
+
+
+@_query("SELECT p_partkey, p_name, CAST(CASE WHEN p_name = 'part' THEN 3 WHEN starts_with(p_name, 'part') THEN 2 WHEN contains(p_name, 'part') THEN 1 ELSE 0 END AS BIGINT) AS score FROM part")
+def relevance_rank(spark, sf):
+    """Relevance of names to a query (O-03)."""
+    return _t(spark, sf, "part").select("p_partkey", "p_name", D.relevance("part", F.col("p_name")).cast("long").alias("score"))
+
+
+@_query(
+    """WITH d AS (SELECT n_name, n_nationkey, CASE WHEN contains(n_name, 'NATION_1') OR contains('NATION_1', n_name) THEN abs(strlen(n_name) - 8) WHEN abs(strlen(n_name) - 8) <= 5 THEN levenshtein(n_name, 'NATION_1') END AS distance, n_name = 'NATION_1' AS same FROM nation),
+k AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN same THEN -1 ELSE distance END, n_nationkey) AS BIGINT) AS rank FROM d WHERE same OR distance <= 5 OR contains(n_name, 'NATION_1'))
+SELECT n_name, rank FROM k WHERE rank <= 3 AND (NOT EXISTS (SELECT 1 FROM d WHERE same) OR same)"""
+)
+def fuzzy_topk(spark, sf):
+    """Nearest names to a wrong one (O-04)."""
+    return budget.did_you_mean(_t(spark, sf, "nation").select("n_name", "n_nationkey"), "NATION_1", 3, "n_name", "n_nationkey").select("n_name", "rank")
+
+
+@_query("SELECT id, name, list_rank, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY list_rank, id) AS BIGINT) AS rank FROM (SELECT s_suppkey AS id, s_name AS name, CAST(0 AS BIGINT) AS list_rank FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer)) WHERE rank BETWEEN 6 AND 45")
+def paged_union(spark, sf):
+    """A page over two lists one after another (U-02, O-08)."""
+    s = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return budget.paged_union([s, c], 5, 40, "id")
+
+
+@_query("SELECT l_orderkey, l_linenumber, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS BIGINT) AS rank FROM lineitem) WHERE rank <= 2")
+def per_key_topk(spark, sf):
+    """At most k rows of each key (O-06)."""
+    d = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    return relate.most_of_each(d, ["l_orderkey"], 2, F.desc("l_extendedprice"), "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "rank")
+
+
+@_query(
+    """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+w AS (SELECT 'r1' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY node HAVING min(depth) > 0"""
+)
+def containment_bfs(spark, sf):
+    """Traversal from a region to its nations, customers and orders (G-01, J-10)."""
+    pair = lambda t, a, x, b, y: _t(spark, sf, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    e = pair("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(pair("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(pair("orders", "c", "o_custkey", "o", "o_orderkey"))
+    return graph.reach(e, spark.createDataFrame([("r1",)], "node string"), max_depth=3)
+
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'warming_up' WHEN 'click' THEN 'starting' WHEN 'view' THEN 'unavailable' ELSE 'degraded' END"
+
+
+@_query(
+    f"""WITH e AS (SELECT user_id, {_STATUS} AS status, CASE WHEN event_type = 'error' THEN 'in_progress' ELSE 'complete' END AS indexing_status FROM events)
+SELECT user_id, CASE max(CASE status WHEN 'ready' THEN 4 WHEN 'warming_up' THEN 3 WHEN 'starting' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 4 THEN 'ready' WHEN 3 THEN 'warming_up' WHEN 2 THEN 'starting' WHEN 1 THEN 'degraded' ELSE 'unavailable' END AS overall_status, bool_and(indexing_status <> 'in_progress') AS indexing_complete FROM e GROUP BY user_id"""
+)
+def status_rollup(spark, sf):
+    """The best status by rank, and whether all is indexed (A-11, A-12)."""
+    e = _t(spark, sf, "events").select("user_id", F.expr(_STATUS).alias("status"), F.when(F.col("event_type") == "error", "in_progress").otherwise("complete").alias("indexing_status"))
+    return quality.overall_status(e, "user_id")
+
+
+_REASON = "CASE event_type WHEN 'purchase' THEN 'no_lsp' WHEN 'signup' THEN 'lsp_warmup_empty_unverified' WHEN 'click' THEN 'git_error' WHEN 'view' THEN 'unsupported_language' END"
+
+
+@_query(
+    f"""WITH r(degraded_reason, retry_recommended, retry_after_seconds, fallback_tool, trust_level, permanent) AS (VALUES ('no_lsp', false, NULL, 'search', 'partial', true), ('lsp_warmup_empty_unverified', true, 15, NULL, 'unreliable', false), ('git_error', true, 5, NULL, 'partial', false), ('unsupported_language', false, NULL, 'read', 'none', true))
+SELECT event_id, degraded_reason, retry_recommended, CAST(retry_after_seconds AS BIGINT) AS retry_after_seconds, fallback_tool, trust_level, permanent FROM (SELECT event_id, {_REASON} AS degraded_reason FROM events) LEFT JOIN r USING (degraded_reason)"""
+)
+def status_dim_join(spark, sf):
+    """Guidance of degraded reasons (Q-01)."""
+    e = _t(spark, sf, "events").select("event_id", F.expr(_REASON).alias("degraded_reason"))
+    return quality.with_guidance(e).withColumn("retry_after_seconds", F.col("retry_after_seconds").cast("long"))
+
+
+@_query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 15 MINUTE AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k"""
+)
+def idle_sessions(spark, sf):
+    """Sessions that end after fifteen idle minutes (R-04)."""
+    return status.idle_sessions(_t(spark, sf, "events"), "user_id")
+
+
+@_query("SELECT event_id, CAST(value * 100 AS BIGINT) % 200 < least(30, CASE WHEN event_id % 400 <= 60 THEN 10 WHEN event_id % 400 <= 300 THEN 30 ELSE 120 END) AS valid FROM (SELECT event_id, floor(value) AS value FROM events)")
+def ttl_valid(spark, sf):
+    """Whether a probe is still valid by its own and the process' age (E-21, R-08)."""
+    e = _t(spark, sf, "events").select("event_id", F.pmod(F.floor("value") * 100, F.lit(200)).alias("age"), F.pmod("event_id", F.lit(400)).alias("up"))
+    return e.select("event_id", X.probe_valid(F.col("age"), F.col("up")).alias("valid"))
+
+
+@_query(
+    """SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN (s % 60) || 's' ELSE '' END ELSE (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' ELSE '' END END AS uptime,
+CAST(CASE WHEN s < 3600 THEN s ELSE s // 60 * 60 END AS BIGINT) AS seconds FROM (SELECT event_id, event_id * 37 % 20000 AS s FROM events)"""
+)
+def uptime_format(spark, sf):
+    """Durations as text and back (E-20)."""
+    e = _t(spark, sf, "events").select("event_id", X.uptime(F.pmod(F.col("event_id") * 37, F.lit(20000))).alias("uptime"))
+    return e.withColumn("seconds", X.uptime_seconds(F.col("uptime")))
+
+
+@_query("SELECT user_id, min(ts) AS completed_at, CAST(count(*) AS BIGINT) AS n_end FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def first_completion(spark, sf):
+    """When each key first completed (R-02)."""
+    return status.first_completion(_t(spark, sf, "events"), "user_id", end="purchase")
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(TRY_CAST(json_extract_string(props, '$.page') AS BIGINT), -1) AS page FROM events")
+def json_path(spark, sf):
+    """Values at JSON pointers, with a default (E-24)."""
+    p = F.col("props")
+    return _t(spark, sf, "events").select("event_id", X.json_at(p, "/k").alias("k"), X.json_at(p, "/page", "long", -1).alias("page"))
+
+
+@_query(
+    """WITH c AS (SELECT p_brand AS brand, p_partkey AS id, 0 AS priority FROM part WHERE p_size > 48 UNION ALL SELECT p_brand, p_partkey, 1 FROM part WHERE p_size BETWEEN 40 AND 48 UNION ALL SELECT p_brand, p_partkey, 2 FROM part)
+SELECT brand, id, CAST(priority AS BIGINT) AS priority FROM (SELECT *, min(priority) OVER (PARTITION BY brand) AS least FROM c) WHERE priority = least"""
+)
+def definition_cascade(spark, sf):
+    """The first list of a cascade that has rows, for each key (J-07)."""
+    p = _t(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), "p_size")
+    steps = [p.filter("p_size > 48"), p.filter("p_size between 40 and 48"), p]
+    return relate.cascade(*[s.select("brand", "id") for s in steps], keys=["brand"]).withColumn("priority", F.col("priority").cast("long"))
+
+
+@_query(
+    """SELECT event_id, CAST(least(pow(2, least(event_id % 12, 30)), 60) AS BIGINT) AS seconds, CASE WHEN event_type = 'error' THEN NULL ELSE event_id % 3 END AS found,
+CASE WHEN event_type = 'error' THEN 'Unknown: nothing could be checked. This is not zero.' WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 'None found by heuristics; not verified.' WHEN event_id % 3 = 0 THEN 'Verified: none.' END AS hint FROM events"""
+)
+def unknown_not_zero(spark, sf):
+    """Unknown stays apart from zero (G-06, Q-04), and restart backoff (E-19, R-07)."""
+    e = _t(spark, sf, "events").select("event_id", X.backoff(F.pmod("event_id", F.lit(12))).alias("seconds"), F.when(F.col("event_type") != "error", F.pmod("event_id", F.lit(3))).alias("found"))
+    return e.withColumn("hint", quality.trace_hint(F.col("found"), F.pmod("event_id", F.lit(2)) == 0))
+
+
+@_query("SELECT user_id, CAST(least(count(*), 64) AS BIGINT) AS kept, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped FROM events GROUP BY user_id")
+def channel_lag(spark, sf):
+    """What a bounded channel keeps and drops (R-01)."""
+    return status.lagged(_t(spark, sf, "events"), "user_id")
+
+
+@_query("SELECT page_id, 'file:///' || CASE page_id % 3 WHEN 0 THEN 'a%20b/c.rs' WHEN 1 THEN 'src/x%2By.py' ELSE 'd/%C3%A9.ts' END AS uri, '/' || CASE page_id % 3 WHEN 0 THEN 'a b/c.rs' WHEN 1 THEN 'src/x+y.py' ELSE 'd/é.ts' END AS path FROM pages")
+def uri_path(spark, sf):
+    """File URIs and paths (E-26)."""
+    p = _t(spark, sf, "pages").select("page_id", F.expr("CASE page_id % 3 WHEN 0 THEN '/a b/c.rs' WHEN 1 THEN '/src/x+y.py' ELSE '/d/é.ts' END").alias("p"))
+    uri = P.file_uri(F.col("p"))
+    return p.select("page_id", uri.alias("uri"), P.path_of_uri(uri).alias("path"))
+
+
+@_query(
+    """WITH s AS (SELECT event_id, 'src/a' || event_id % 7 || '.rs::A.b' || CASE WHEN event_id % 3 = 1 THEN '#2' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '::c' ELSE '' END AS sp FROM events)
+SELECT event_id, sp, split_part(sp, '::', 1) AS file, replace(sp[strpos(sp, '::') + 2:], '::', '.') AS chain, CAST(CASE WHEN event_id % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n FROM s"""
+)
+def semantic_paths(spark, sf):
+    """Parsing and correcting semantic paths (E-06, E-07)."""
+    sp = F.expr("concat('src/a', event_id % 7, '.rs::A.b', CASE WHEN event_id % 3 = 1 THEN '#2' ELSE '' END, CASE WHEN event_id % 5 = 0 THEN '::c' ELSE '' END)")
+    d = _t(spark, sf, "events").select("event_id", sp.alias("sp"))
+    right = P.separators_corrected(F.col("sp"))
+    return d.select("event_id", "sp", P.semantic_file(F.col("sp")).alias("file"), P.semantic_chain(right).alias("chain"), F.size(P.semantic_segments(right)).cast("long").alias("n"))
+
+
+@_query("WITH " + _LINES + " SELECT path, line, regexp_extract(trim(content), '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS word FROM ls WHERE regexp_matches(trim(content), '^[A-Za-z_]') AND line = 1")
+def line_names(spark, sf):
+    """The identifier that a line begins with (E-08), of every first line without a definition keyword before it."""
+    d = lines.lines(_docs(spark, sf).select("path", "text")).filter((F.col("line") == 1) & F.trim("content").rlike("^[A-Za-z_]"))
+    return d.select("path", "line", F.regexp_extract(F.trim("content"), r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("word"))
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files made of the table of pages: each page's address as a Python module that calls the next one."""
+    p = _t(spark, sf, "pages").select("page_id")
+    code = F.concat(F.lit("import os\n\nclass Page"), F.col("page_id"), F.lit(":\n    def render(self):\n        return open_"), F.col("page_id") + 1, F.lit("()\n\ndef open_"), F.col("page_id"), F.lit("():\n    # opens\n    return \"that\"\n"))
+    d = p.select(F.concat(F.lit("src/p"), F.col("page_id"), F.lit(".py")).alias("path"), code.alias("text"))
+    return d.select("path", F.lit("py").alias("ext"), F.lit("python").alias("language"), F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.encode("text", "UTF-8").alias("content"), "text", X.version_hash(F.col("text")).alias("version_hash"))
+
+
+@_query(
+    """WITH n AS (SELECT page_id, 'src/p' || page_id || '.py' AS path FROM pages)
+SELECT path, 'Page' || page_id AS semantic_path, 'Class' AS kind, CAST(3 AS BIGINT) AS line FROM n UNION ALL SELECT path, 'Page' || page_id || '.render', 'Function', 4 FROM n UNION ALL SELECT path, 'open_' || page_id, 'Function', 7 FROM n"""
+)
+def symbols_python(spark, sf):
+    """Symbols of Python sources (X-01 to X-05)."""
+    return index.symbols(_sources(spark, sf)).select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
+
+
+@_query(
+    """WITH n AS (SELECT page_id FROM pages)
+SELECT 'src/p' || a.page_id || '.py' AS src_path, 'Page' || a.page_id || '.render' AS src_symbol, 'src/p' || b.page_id || '.py' AS dst_path, 'open_' || b.page_id AS dst_symbol FROM n a JOIN n b ON b.page_id = a.page_id + 1"""
+)
+def call_edges(spark, sf):
+    """Called names joined with definitions (G-04, J-06)."""
+    f = _sources(spark, sf)
+    return index.edges(f, index.symbols(f)).select("src_path", "src_symbol", "dst_path", "dst_symbol")
+
+
+@_query("SELECT 'src/p' || page_id || '.py' AS path, CAST(9 AS BIGINT) AS line, 'string' AS node_type, 'open_' || page_id AS enclosing FROM pages")
+def search_in_strings(spark, sf):
+    """Matches in comments and strings only, with their enclosing symbols (F-06, J-01, J-08)."""
+    f = _sources(spark, sf)
+    m = relate.node_types(lines.find(f, QUERY, context=0), index.tokens(f))
+    return relate.enclosing(relate.filtered_by_mode(m, "comments_only"), index.symbols(f)).select("path", "line", "node_type", F.col("enclosing_semantic_path").alias("enclosing"))
