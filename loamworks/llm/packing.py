@@ -129,10 +129,11 @@ def _pieces(path: str, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in in_pieces(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            every, bounds = encoder.encode(b.column("text"))
+            data, at_doc = every.astype("<u4").tobytes(), bounds.tolist()
             out: list[tuple[int, int, int, int, int]] = []
-            for row, ids in enumerate(encoder.encode(texts)):
-                ids += end
+            for row in range(b.num_rows):
+                ids = data[4 * at_doc[row] : 4 * at_doc[row + 1]] + end
                 n = len(ids) // 4
                 for p, at in enumerate(range(0, n, capacity)):
                     size = min(capacity, n - at)

@@ -1,73 +1,239 @@
-"""Token ids of whole texts by the tokenizers library, with the ids of recurring stretches remembered.
+"""Token ids of whole texts by the tokenizers library, with the ids of recurring words remembered.
 
 A text is cut at white space where the tokenizer cuts in any case, so that the
-ids of the stretches, each encoded by the library, joined are the ids of the
+ids of the pieces, each encoded by the library, joined are the ids of the
 text. Texts for which that does not hold are encoded whole. Strings of special
-tokens in a text are ordinary text. The memory of stretches is bounded.
+tokens in a text are ordinary text.
+
+Words are looked up by a 64-bit hash in a table of bounded size and their ids
+gathered from a pool, for millions of bytes at once; only words that are not
+in the table become Python strings.
 """
 
 from __future__ import annotations
 
-import re
+import os
+import sys
+import types
 
 import numpy as np
+import pyarrow as pa
+
+from .words import U, Words, mix
+
+_BLANK, _LINE, _FIRST = 0, 1, 2  # what stands before a word
+
+
+def _lasting() -> dict:
+    """A dictionary that lives as long as the Python process, so that later tasks of a worker find what earlier ones learned."""
+    return sys.modules.setdefault("_loamworks_lasting", types.ModuleType("_loamworks_lasting")).__dict__
 
-#: White space other than the common four; beside it the cuts are not certain.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_DOUBLE = re.compile("[ \t\r\n][ \n]|^[ \n]")
-_STRETCH = re.compile("[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+
+class _Table:
+    """Ids of words by hash: open addressing, half full at most, and a pool of ids."""
+
+    def __init__(self, bits: int):
+        self.mask = U((1 << bits) - 1)
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.at, self.n = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.entries = np.zeros(1 << bits, np.uint32), 0, 0
+
+    @property
+    def full(self) -> bool:
+        return 2 * self.entries > len(self.key)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it is not in the table."""
+        slot = h & self.mask
+        got = self.key[slot]
+        out = np.where(got == h, slot.astype(np.int64), -1)
+        todo = np.flatnonzero((got != h) & (got != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + U(1)) & self.mask
+            got = self.key[slot[todo]]
+            hit = got == h[todo]
+            out[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit & (got != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Distinct new hashes with their ids, laid end to end. One batch may need a larger table."""
+        if 2 * (self.entries + len(h)) > len(self.key):
+            have = np.flatnonzero(self.key)
+            key, at_, n_ = self.key[have], self.at[have], self.n[have]
+            size = 1 << (2 * (self.entries + len(h))).bit_length()
+            self.mask = U(size - 1)
+            self.key, self.at, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int32)
+            self._put(key, at_, n_)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.entries += len(h)
+        self._put(h, at, n)
+
+    def _put(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        slot, todo = h & self.mask, np.arange(len(h))
+        while len(todo):
+            free = self.key[slot[todo]] == 0
+            some, first = np.unique(slot[todo[free]], return_index=True)
+            put = todo[free][first]
+            self.key[some], self.at[some], self.n[some] = h[put], at[put], n[put]
+            left = np.ones(len(todo), bool)
+            left[np.flatnonzero(free)[first]] = False
+            todo = todo[left]
+            slot[todo] = (slot[todo] + U(1)) & self.mask
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots, end to end, and how many each has."""
+        n = self.n[slot].astype(np.int64)
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        return self.pool[np.repeat(self.at[slot] - (end - n), n) + np.arange(total)], n
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``words``: the tokenizer drops white space (else it is kept with the word after it)."""
+    """Ids of texts. ``words``: the tokenizer drops white space (else it is kept with the word after it).
 
-    def __init__(self, path: str, words: bool, remember: int = 1_500_000):
+    Two tables of at most 2^(bits - 1) words are kept; when the newer is full
+    it becomes the older, and words met again move to the newer.
+    """
+
+    def __init__(self, path: str, words: bool, bits: int = 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words, self.remember = words, remember
-        self.known: dict[str, bytes] = {}
+        lasting = _lasting()
+        if (path, bits) not in lasting:
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            # ids that end a word, or that begin one with its blank: they part the ids of words encoded side by side
+            mark = (lambda x: x.endswith("</w>")) if words else (lambda x: x.startswith("\u0120"))
+            edge = np.zeros(tokenizer.get_vocab_size(), bool)
+            edge[[i for x, i in tokenizer.get_vocab().items() if mark(x)]] = True
+            lasting[path, bits] = (tokenizer, [_Table(bits), _Table(bits)], edge)
+        self.tokenizer, self.tables, self.edge = lasting[path, bits]
+        self.words, self.bits = words, bits
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.known) > self.remember:
-            self.known = {}
-        known = self.known
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if _ODD.search(t):
-                cut.append(None)
-                continue
-            if self.words:
-                p = t.replace("\n", " ").split(" ")
-            elif _DOUBLE.search(t) or "\0" in t or "\1" in t:
-                p = ["\1" + x for x in _STRETCH.findall(t)]
-            else:  # a stretch without its blank stands for one with it; the first has none, which \1 marks
-                p = t.replace("\n", " \n").split(" ")
-                p[0] = "\1" + p[0]
-            cut.append(p)
-            new.update(x for x in p if x not in known)
-        if new:
-            new_list = list(new)
-            for x, ids in zip(new_list, self._encode([self._text(x) for x in new_list]), strict=True):
-                known[x] = ids
-        whole = [t for t, p in zip(texts, cut, strict=True) if p is None]
-        encoded = iter(self._encode(whole)) if whole else iter(())
-        get = known.__getitem__
-        return [next(encoded) if p is None else b"".join(map(get, p)) for p in cut]
-
-    def _text(self, key: str) -> str:
-        """The text that a key of the memory stands for."""
+    def _encode_words(self, words: list[str]) -> list[np.ndarray] | None:
+        """The ids of words of letters, each with its blank if it keeps one, encoded side by side; None if they can't be parted."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            text = " ".join(some) if self.words else " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(some) or (edge[-1] + 1 != len(ids) if self.words else edge[0]):
+                return None
+            out += np.split(ids, (edge[:-1] + 1) if self.words else edge[1:])
+        return out
+
+    def _learn(self, words: list[str], before: list[int]) -> list[np.ndarray]:
+        """The ids of words with what stands before them. Words of letters after a blank go side by side, also those that a full stop or comma ends; others one by one."""
+        plain = {x: None for x, b in zip(words, before, strict=True) if b == _BLANK and x.isalpha()}
+        marked = {x for x, b in zip(words, before, strict=True) if b == _BLANK and x[-1:] in (".", ",") and x[:-1].isalpha()}
+        plain.update((x[:-1], None) for x in marked)
+        ids = self._encode_words(list(plain)) if plain else []
+        known = dict(zip(plain, ids, strict=True)) if ids is not None else {}
+        sign = dict(zip(".,", self._encode([".", ","]), strict=True)) if marked else {}
+        out: list[np.ndarray | None] = []
+        rest: list[str] = []
+        for x, b in zip(words, before, strict=True):
+            y = known.get(x) if b == _BLANK else None
+            if y is None and b == _BLANK and x in marked and x[:-1] in known:
+                y = np.concatenate([known[x[:-1]], sign[x[-1]]])
+            if y is None:
+                rest.append(x if self.words or b == _FIRST else ("\n" if b == _LINE else " ") + x)
+            out.append(y)
+        others = iter(self._encode(rest)) if rest else iter(())
+        return [next(others) if y is None else y for y in out]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and where each text's begin (and their number); null is empty."""
+        w = Words(texts, lower=self.words)  # A-Z, which that tokenizer lowers itself; for the other case matters
+        n = len(texts)
+        h = w.hash
         if self.words:
-            return key
-        if key[:1] == "\1":
-            return key[1:]
-        return key if key[:1] == "\n" else " " + key
+            before = None
+            whole = np.zeros(n, bool)
+        else:
+            before, whole = self._before(w)
+            h = mix(h + before.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+            h = np.where(whole[w.doc], U(1), h)  # looked up once, in vain
+        h = np.maximum(h, U(1))
+        slot = self._slots(h, w, before, whole)
+        fine = slot >= 0
+        ids, sizes = self.tables[0].gather(slot[fine])
+        per_word = np.zeros(len(h), np.int64)
+        per_word[fine] = sizes
+        total = np.concatenate([[0], np.cumsum(per_word)])
+        ends = total[w.first]
+        if not whole.any():
+            return ids, ends
+        at = np.flatnonzero(whole)
+        extra = dict(zip(at.tolist(), self._encode(texts.take(pa.array(at)).to_pylist()), strict=True))
+        parts = [extra.get(i) if i in extra else ids[ends[i] : ends[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _before(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """What stands before each word, and which texts must be encoded whole: with white space other than single blanks and line ends between words."""
+        buf, n = w.raw, len(w.text_at) - 1
+        doc_start = np.zeros(len(w.start), bool)
+        some = w.first[:-1] < w.first[1:]
+        doc_start[w.first[:-1][some]] = True
+        prev = buf[np.maximum(w.start - 1, 0)]
+        before = np.where(doc_start, _FIRST, np.where(prev == 10, _LINE, _BLANK))
+        gap = np.diff(w.start, prepend=0)
+        gap[1:] = w.start[1:] - w.end[:-1]
+        bad = np.zeros(n, bool)
+        odd_gap = ~doc_start & ((gap != 1) | ((prev != 32) & (prev != 10)))
+        bad[w.doc[odd_gap]] = True
+        # white space at either end, or no word but white space
+        text_end = w.text_at[1:] - 1
+        bad[some] |= w.start[w.first[:-1][some]] != w.text_at[:-1][some]
+        bad[some] |= w.end[w.first[1:][some] - 1] != text_end[some]
+        bad[~some] |= text_end[~some] > w.text_at[:-1][~some]
+        # white space of other kinds
+        at = np.flatnonzero(((buf >= 28) & (buf <= 31)) | (buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
+        if len(at):
+            b = np.concatenate([buf, np.zeros(3, np.uint8)])
+            x, y, z = b[at], b[at + 1], b[at + 2]
+            two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+            e2 = (x == 0xE2) & (((y == 0x80) & (((z >= 0x80) & (z <= 0x8A)) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+            other = ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+            at = at[(x < 32) | two | e2 | other]
+            bad[np.searchsorted(w.text_at, at, "right") - 1] = True
+        return before, bad
+
+    def _slots(self, h: np.ndarray, w: Words, before: np.ndarray | None, whole: np.ndarray) -> np.ndarray:
+        """Slots in the newer table; words that are not there are learned first. Words of texts that are encoded whole have none."""
+        if self.tables[0].full:
+            self.tables[:] = [_Table(self.bits), self.tables[0]]
+        new, old = self.tables
+        slot, size = new.find(h), len(new.key)
+        skip = whole[w.doc]
+        miss = np.flatnonzero((slot < 0) & ~skip)
+        if len(miss):
+            keys, first = np.unique(h[miss], return_index=True)
+            at = miss[first]
+            there = old.find(keys)
+            have = there >= 0
+            if have.any():
+                new.add(keys[have], *old.gather(there[have]))
+            at, keys = at[~have], keys[~have]
+            if len(keys):
+                ids = self._learn([w.text(i) for i in at.tolist()], [_BLANK] * len(at) if before is None else before[at].tolist())
+                new.add(keys, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+            if len(new.key) != size:
+                slot = new.find(h)
+            else:
+                slot[miss] = new.find(h[miss])
+        slot[skip] = -1
+        return slot
