@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once by a Python worker. One longer text is a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
+#: Rows of an Arrow batch between Spark and Python; Spark's 10,000 documents would be too much memory for a worker.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +47,15 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; batches that go to Python from now on have at most BATCH_ROWS rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns, cast; whatever else the input carries is left behind. A missing column is null."""
+    bounded(df)
     have = set(df.columns)
     return df.select(*[(df[f"`{c}`"] if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
@@ -63,7 +73,13 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", chars: in
                 at, total = i, 0
             total += n
         yield b.slice(at)
+    _give_back()
 
 
-def null_safe_text(df: DataFrame) -> Column:
-    return F.coalesce(df["text"].cast("string"), F.lit(""))
+def _give_back() -> None:
+    """Freed memory of a worker that waits for its next task goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

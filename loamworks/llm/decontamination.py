@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, only
+from .common import bounded, in_pieces, only
 from .words import U, Words, mix
 
 
@@ -184,7 +184,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 4, threshold: float = 0.6, slice_words: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
-    out = docs.withColumn("text", docs["text"].cast("string"))
+    out = bounded(docs).withColumn("text", docs["text"].cast("string"))
     for seeds in _slices(benchmark, k, slice_words):
         out = out.mapInArrow(_without(seeds, threshold), out.schema)
     return out

@@ -150,8 +150,8 @@ def marginals(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
 def label_words(model: Model, texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of texts, which of them have a letter, and their label probabilities."""
     w = Words(pa.compute.utf8_lower(texts))
-    if not len(w.hash):
-        return w, np.zeros(0, bool), np.zeros((0, len(model.labels)), np.float32)
+    if not len(w.hash) or not model.labels:
+        return w, np.zeros(len(w.hash), bool), np.zeros((len(w.hash), len(model.labels)), np.float32)
     _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
     letters = np.concatenate([[0], np.cumsum(_LETTER[w.buf])])
     s = scores(model, w, w.start[at], w.end[at], w.hash[at])
@@ -245,7 +245,7 @@ def _predict(model: Model):
                 none[i] = not any(c.isalpha() for c in texts[i].as_py() or "")
             if not n:
                 none[:] = True
-            words = p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)
+            words = p.argmax(axis=1) if p.size else np.zeros(len(p), np.int64)
             keep = np.flatnonzero(has)
             change = (words[keep[1:]] != words[keep[:-1]]) & (w.doc[keep[1:]] == w.doc[keep[:-1]])
             switches = np.bincount(w.doc[keep[1:]][change], minlength=b.num_rows)
