@@ -55,7 +55,7 @@ def did_you_mean(names: DataFrame, target: str, k: int = 3, column: str = "seman
     most = max(5, len(target.encode()) // 4)
     inside = F.contains(c, t) | F.contains(t, c)
     delta = F.abs(F.octet_length(c) - len(target.encode()))
-    near = F.when(inside, delta).when(delta <= most, F.levenshtein(c, t, most))
+    near = F.when(inside, delta).when(delta <= most, F.nullif(F.levenshtein(c, t, most), F.lit(-1)))  # -1: farther
     d = names.withColumn("distance", F.when(c == t, -1).otherwise(near).cast("long"))
     d = d.filter((F.col("distance") == -1) | F.contains(c, t) | F.col("distance").between(0, most))
     first = Window.orderBy("distance", order)

@@ -252,7 +252,7 @@ class Corpus:
         found = [self._symbol(sp) for sp in asked]
         want = self.spark.createDataFrame([(i, r["path"], r["semantic_path"]) for i, r in enumerate(found)], "ordinal int, path string, semantic_path string")
         b = index.bodies(self.allowed.join(F.broadcast(want.select("path").distinct()), "path", "left_semi"), self.symbols)
-        rows = b.join(F.broadcast(want), ["path", "semantic_path"]).select("ordinal", "path", "semantic_path", "kind", "access_level", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"), "language", "content", "parent_kind", "parent_name")
+        rows = b.drop("ordinal").join(F.broadcast(want), ["path", "semantic_path"]).select("ordinal", "path", "semantic_path", "kind", "access_level", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"), "language", "content", "parent_kind", "parent_name")
         stats: dict = {"succeeded": len(found), "failed": 0}
         if include_dependencies:
             e = self.edges.withColumnsRenamed({"src_path": "path", "src_symbol": "semantic_path"}).join(F.broadcast(want), ["path", "semantic_path"])

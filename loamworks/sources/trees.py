@@ -3,32 +3,86 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import tomllib
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..functions.text import strip_jsonc
 from ..model import BinaryFile, Config, FileNotFound, InvalidParams
 
 
+class TreeSource(DataSource):
+    """Files under a folder that all executors see, with names that Spark's own scan skips (``.x``, ``_x``); excluded folders are not walked into."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_tree"
+
+    def schema(self) -> str:
+        return "path string, length long, modificationTime timestamp, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options["path"], self.options.get("contents", "true") == "true", set(self.options.get("excluded", "").split("|")))
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, root: str, contents: bool, excluded: set[str], bytes_per_part: int = 32_000_000):
+        self.root, self.contents, self.excluded, self.bytes_per_part = root, contents, excluded, bytes_per_part
+
+    def partitions(self) -> list[InputPartition]:
+        parts, now, size = [], [], 0
+        for folder, dirs, files in os.walk(self.root):
+            dirs[:] = sorted(d for d in dirs if d not in self.excluded)
+            for f in sorted(files):
+                path = os.path.join(folder, f)
+                if not os.path.isfile(path):
+                    continue
+                now.append(os.path.relpath(path, self.root))
+                size += os.path.getsize(path) + 4096
+                if size >= self.bytes_per_part:
+                    parts.append(InputPartition(tuple(now)))
+                    now, size = [], 0
+        return [*parts, InputPartition(tuple(now))]
+
+    def read(self, partition: InputPartition):
+        for path in partition.value:
+            full = os.path.join(self.root, path)
+            content = None
+            if self.contents:
+                with open(full, "rb") as f:
+                    content = f.read()
+            yield path, os.path.getsize(full), datetime.fromtimestamp(os.path.getmtime(full), UTC), content
+
+
+def _scan(spark: SparkSession, root: str, contents: bool) -> DataFrame:
+    """path (relative), length, modificationTime, content. Remote folders go through Spark's scan of binary files, which skips names with a leading dot or underscore."""
+    base = root.rstrip("/")
+    if base.startswith("file:") or "://" not in base:
+        spark.dataSource.register(TreeSource)
+        local = "/" + base.split(":", 1)[-1].lstrip("/") if base.startswith("file:") else os.path.abspath(base)
+        return spark.read.format("file_tree").option("contents", str(contents).lower()).option("excluded", "|".join(P.EXCLUDED_DIRS)).load(local)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    top = F.regexp_replace(F.lit(base), "^([a-z0-9]+):/+", "$1:/")
+    return raw.withColumn("path", F.substr(F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"), F.length(top) + 2))
+
+
 def read_tree(spark: SparkSession, root: str, *, hidden: bool = True, ignore: list[str] | None = None, contents: bool = True, config: Config | None = None) -> DataFrame:
-    """The files under a folder as FILES, with ``ignored`` (by ignore rules) besides; always-excluded folders, binaries and denied paths are left out.
+    """The files under a folder as FILES, with ``ignored`` (by ignore rules) besides; always-excluded folders and denied paths are left out, binaries have no text.
 
-    ``contents`` False reads names, sizes and times only: the scan's column
-    pruning then opens no file.
+    ``contents`` False reads names, sizes and times only and opens no file.
     """
     settings = config or Config()
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    bare = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    top = "/" + base.split("://")[-1].lstrip("/")
-    d = raw.withColumn("path", P.relative_to(bare, top))
+    d = _scan(spark, root, contents)
     d = d.filter(~P.in_excluded_dir(F.col("path")) & P.denied_tier(F.col("path"), settings.additional_deny, settings.allow_override, settings.ignore).isNull())
     if not hidden:
         d = d.filter(~F.col("path").rlike(r"(^|/)\."))
@@ -186,7 +240,7 @@ def _json_fault(texts: pd.Series) -> pd.Series:
             json.loads(text or "")
         except ValueError:
             try:
-                json.loads(X.strip_jsonc(text or ""))
+                json.loads(strip_jsonc(text or ""))
             except ValueError as e:
                 return f"not valid JSON: {e}"
         return None
