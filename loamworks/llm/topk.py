@@ -3,8 +3,7 @@
 Rows are gathered in blocks. For each attribute a block keeps the slices of
 its quantised values, biased to be non-negative, one bitmap for each bit,
 besides the exact values. A query adds the slices, shifted by the bits of its
-own components (in non-adjacent form, so few are set), with bitmap full
-adders: the result are the slices of all rows' approximate scores. The top rows
+own components (in non-adjacent form, so few are set), with full adders on bitmaps: the result are the slices of all rows' approximate scores. The top rows
 are then selected from the most significant slice downward. Quantisation
 floors the values to multiples of ``step``, so an exact score lies within
 known bounds of the approximate one; rows whose bounds reach the k-th row's
@@ -23,6 +22,7 @@ id. Empty tables give an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ def _pack(rows: int):
 
 
 class SlicedIndex:
-    """Bit slices of a block's attributes: ``slices[d][b]`` is the bitmap of bit b of attribute d."""
+    """Bit slices of a block's quantised attributes."""
 
     def __init__(self, values: np.ndarray, shift: int):
         self.exact = values
@@ -102,47 +102,48 @@ class SlicedIndex:
         self.words = words
         padded = np.zeros((words * 64, values.shape[1]), np.uint64)
         padded[: self.rows] = q
-        self.slices = [[np.packbits(((padded[:, d] >> np.uint64(b)) & np.uint64(1)).astype(bool), bitorder="little").view(np.uint64) for b in range(int(q[:, d].max(initial=0)).bit_length())] for d in range(values.shape[1])]
+        # planes[d * bits + b] is the bitmap of bit b of attribute d
+        self.planes = np.zeros((values.shape[1] * self.bits, words), np.uint64)
+        for b in range(self.bits):
+            on = ((padded >> np.uint64(b)) & np.uint64(1)).astype(bool)
+            self.planes[b :: self.bits] = np.ascontiguousarray(np.packbits(on.T, axis=1, bitorder="little")).view(np.uint64)
         every = np.zeros(words * 64, bool)
         every[: self.rows] = True
         self.every = np.packbits(every, bitorder="little").view(np.uint64)
 
-    def _add(self, total: list[np.ndarray], slices: list[np.ndarray], at: int) -> None:
-        """total += number << at, by full adders on bitmaps."""
-        while len(total) < at:
-            total.append(np.zeros(self.words, np.uint64))
-        carry = None
-        i = at
-        for x in slices:
-            if i == len(total):
-                total.append(np.zeros(self.words, np.uint64))
-            t = total[i]
-            if carry is None:
-                carry = t & x
-                total[i] = t ^ x
-            else:
-                y = t ^ x
-                total[i] = y ^ carry
-                carry = (t & x) | (y & carry)
-            i += 1
-        while carry is not None and carry.any():
-            if i == len(total):
-                total.append(carry)
-                return
-            t = total[i]
-            total[i] = t ^ carry
-            carry = t & carry
-            i += 1
-
-    def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
-        """Slices of the approximate scores less a constant, and bits of the largest: plus and minus parts are added apart, then subtracted."""
-        plus: list[np.ndarray] = []
-        minus: list[np.ndarray] = []
-        for d, c in enumerate(query.tolist()):
-            if not c or not self.slices[d]:
-                continue
-            for at, sign in non_adjacent(abs(c)):
-                self._add(plus if (sign > 0) == (c > 0) else minus, self.slices[d], at)
+    def _sum(self, rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        """Slices of the sum of planes << weights. At each weight bitmaps are added three at a time, many such full adders at once; their carries go to the next weight."""
+        order = np.argsort(weights, kind="stable")
+        rows, weights = rows[order], weights[order]
+        out: list[np.ndarray] = []
+        carries: list[np.ndarray] = []
+        w = 0
+        while carries or (len(weights) and w <= weights[-1]):
+            at = np.searchsorted(weights, [w, w + 1])
+            stack = np.concatenate([self.planes[rows[at[0] : at[1]]], *carries])
+            carries = []
+            while len(stack) > 2:
+                k = len(stack) // 3
+                x, y, z = stack[:k], stack[k : 2 * k], stack[2 * k : 3 * k]
+                half = x ^ y
+                carries.append((x & y) | (half & z))
+                stack = np.concatenate([half ^ z, stack[3 * k :]])
+            if len(stack) == 2:
+                carries.append((stack[0] & stack[1])[None])
+                stack = (stack[0] ^ stack[1])[None]
+            out.append(stack[0] if len(stack) else np.zeros(self.words, np.uint64))
+            w += 1
+        while out and not out[-1].any():
+            out.pop()
+        return out
+
+    def scores(self, query: np.ndarray) -> list[np.ndarray]:
+        """Slices of the approximate scores less a constant: plus and minus parts are added apart, then subtracted."""
+        digits = [(d, at, sign if c > 0 else -sign) for d, c in enumerate(query.tolist()) if c for at, sign in non_adjacent(abs(c))]
+        d, at, sign = (np.array(x, np.int64) for x in zip(*digits, strict=True)) if digits else (np.zeros(0, np.int64),) * 3
+        bit = np.arange(self.bits)
+        rows, weights = (d[:, None] * self.bits + bit), (at[:, None] + bit)
+        plus, minus = (self._sum(rows[some].ravel(), weights[some].ravel()) for some in (sign > 0, sign < 0))
         # plus - minus + 2^n in two's complement never is negative
         n = max(len(plus), len(minus)) + 1
         zero = np.zeros(self.words, np.uint64)
@@ -155,11 +156,11 @@ class SlicedIndex:
             out.append(y ^ carry)
             carry = (a & b) | (y & carry)
         out.append(carry)  # 1 where plus >= minus
-        return out, n
+        return out
 
     def top(self, query: np.ndarray, k: int, allowed: np.ndarray) -> np.ndarray:
         """Rows, in no order, among which are all of the k best allowed ones by exact score."""
-        total, _ = self.scores(query)
+        total = self.scores(query)
         n = len(total)
         sure, maybe = np.zeros(self.words, np.uint64), allowed.copy()
         count = int(np.bitwise_count(allowed).sum())
@@ -200,6 +201,7 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+@lru_cache(maxsize=4096)
 def non_adjacent(n: int) -> list[tuple[int, int]]:
     """n as a sum of signed powers of two of which no two are neighbours: (power, sign)."""
     out, at = [], 0
@@ -252,7 +254,7 @@ def _meet(k: int, shift: int):
     return run
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, step_bits: int = 2, block_rows: int = 8192, query_rows: int = 512) -> DataFrame:
+def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, step_bits: int = 2, block_rows: int = 16_384, query_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each row whose vec_id is divisible by ``every``."""
     v = only(vectors, vec_id="long", embedding="array<double>")
     fit = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
