@@ -22,7 +22,6 @@ id. Empty tables give an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +138,8 @@ class SlicedIndex:
 
     def scores(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of the approximate scores less a constant: plus and minus parts are added apart, then subtracted."""
-        digits = [(d, at, sign if c > 0 else -sign) for d, c in enumerate(query.tolist()) if c for at, sign in non_adjacent(abs(c))]
+        forms = {c: non_adjacent(abs(c)) for c in set(query.tolist())}
+        digits = [(d, at, sign if c > 0 else -sign) for d, c in enumerate(query.tolist()) for at, sign in forms[c]]
         d, at, sign = (np.array(x, np.int64) for x in zip(*digits, strict=True)) if digits else (np.zeros(0, np.int64),) * 3
         bit = np.arange(self.bits)
         rows, weights = (d[:, None] * self.bits + bit), (at[:, None] + bit)
@@ -201,7 +201,6 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-@lru_cache(maxsize=4096)
 def non_adjacent(n: int) -> list[tuple[int, int]]:
     """n as a sum of signed powers of two of which no two are neighbours: (power, sign)."""
     out, at = [], 0
