@@ -33,7 +33,8 @@ def greedy(rows: DataFrame, budget: int, keys: list[str] | None = None, omission
 
 
 def until_full(rows: DataFrame, budget: int, key: str = "path", cost: str = "cost") -> DataFrame:
-    """Rows in order of ``key`` up to the first that does not fit: a running sum."""
+    """Rows in order of ``key`` up to the first that does not fit: a running sum over the first rows, as every row costs a token at least."""
+    rows = rows.orderBy(key).limit(max(budget, 0))
     total = F.sum(cost).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_t", total).filter(F.col("_t") <= budget).drop("_t")
 

@@ -113,7 +113,7 @@ class Corpus:
     # --- explore
 
     def explore(self, path: str = ".", detail: str = "symbols", max_tokens: int | None = None, depth: int = 3, visibility: str = "public", max_tokens_per_file: int = 2000, changed: DataFrame | None = None, since=None, include_extensions: list[str] | None = None, exclude_extensions: list[str] | None = None, include_tests: bool = False) -> Answer:
-        """A skeleton of the corpus within a budget of tokens."""
+        """A skeleton of the corpus within a budget of tokens. The rows tell of every file whether it was admitted or truncated."""
         if detail not in DETAILS or visibility not in ("public", "all"):
             raise InvalidParams(f"detail is one of {DETAILS}, visibility public or all")
         top = "" if path in (".", "", "./") else self._path(path.rstrip("/"))
@@ -133,9 +133,11 @@ class Corpus:
             cost = X.estimate_tokens(F.concat("path", F.lit("/\n")))
             shown = budget.until_full(dirs.select(F.col("dir").alias("path")).withColumn("cost", cost), most)
             names = [r["path"] + "/" for r in shown.orderBy("path").collect()]
-            notable = [r["path"] for r in manifests.orderBy("path").collect()]
+            used = shown.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+            listed = manifests.withColumn("cost", X.estimate_tokens(F.concat("path", F.lit("\n"))))
+            notable = [r["path"] for r in budget.until_full(listed, most - used - 6).orderBy("path").collect()]
             text = "\n".join(names) + ("\n\nNotable files:\n" + "\n".join(notable) if notable else "")
-            return Answer(shown.select("path"), {"tech_stack": stack, "dirs_scanned": dirs.count(), "files_in_scope": len(notable), "coverage_percent": 100, "max_tokens_used": most}, text.strip())
+            return Answer(shown.select("path"), {"tech_stack": stack, "dirs_scanned": dirs.count(), "files_in_scope": manifests.count(), "coverage_percent": 100, "max_tokens_used": most}, text.strip())
         if detail == "files":
             listed = f.filter(P.is_source(F.col("path"))).select("path", X.short_hash(F.col("version_hash")).alias("version_hash")).withColumn("cost", X.estimate_tokens(F.concat("path", F.lit("\n"))))
             kept = listed.join(budget.greedy(listed, most, omission=0), "path")
@@ -147,15 +149,14 @@ class Corpus:
         header = F.concat(F.lit("\nFile: "), F.col("path"), F.lit("\n"), F.repeat(F.lit("="), F.length("path") + 6), F.lit("\n"))
         d = sk.withColumn("header", header).withColumn("cost", F.col("tokens") + X.estimate_tokens(header))
         d = d.join(budget.greedy(d, most), "path").join(source.select("path", X.short_hash(F.col("version_hash")).alias("version_hash")), "path")
-        rows = d.orderBy("path").collect()  # held to the budget of tokens, but for names of omitted files
-        text = "".join(r["header"] + r["skeleton"] + "\n" if r["admitted"] else f"\n// [... Omitted {r['path']} due to token budget]\n" if r["marked"] else "" for r in rows)
-        n_scope, shown = source.count(), sum(r["admitted"] for r in rows)
-        cover = 100 if not n_scope else len(rows) * 100 // n_scope
-        need = sum(r["cost"] for r in rows)
-        cut = sorted({r["path"] for r in rows if not r["admitted"] or r["truncated"]})
-        stats = {"tech_stack": stack, "files_scanned": shown, "files_truncated": len(rows) - shown, "truncated_paths": cut, "files_in_scope": n_scope, "coverage_percent": cover, "rendered_percent": 100 if not rows else shown * 100 // len(rows), "max_tokens_used": most}
-        if need > most:
-            stats |= {"suggested_max_tokens": budget.suggested_budget(need), "hint": "Raise max_tokens to see the omitted files."}
+        # what is shown is held to the budget: admitted files cost their tokens, marked ones 50 each
+        shown = d.filter("admitted or marked").select("path", "admitted", "header", F.when(F.col("admitted"), F.col("skeleton")).alias("skeleton")).orderBy("path").collect()
+        text = "".join(r["header"] + r["skeleton"] + "\n" if r["admitted"] else f"\n// [... Omitted {r['path']} due to token budget]\n" for r in shown)
+        n = d.agg(F.count("*").alias("all"), F.count_if("admitted").alias("shown"), F.coalesce(F.sum("cost"), F.lit(0)).alias("need")).first()
+        n_scope = source.count()
+        stats = {"tech_stack": stack, "files_scanned": n["shown"], "files_truncated": n["all"] - n["shown"], "files_in_scope": n_scope, "coverage_percent": 100 if not n_scope else n["all"] * 100 // n_scope, "rendered_percent": 100 if not n["all"] else n["shown"] * 100 // n["all"], "max_tokens_used": most}
+        if n["need"] > most:
+            stats |= {"suggested_max_tokens": budget.suggested_budget(n["need"]), "hint": "Raise max_tokens to see the omitted files."}
         return Answer(d.drop("header"), stats, text.strip())
 
     # --- search
