@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once by a Python worker. One longer text is a batch of its own.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Rows of an Arrow batch between Spark and Python; Spark's 10,000 documents would be too much memory for a worker.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,16 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Ids up to which they are sent to all tasks (8 MB); beyond it the documents are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the doc_ids of ``ids``, which has one column and no nulls; texts are shuffled only for very many ids."""
+    some = kept(spark, ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "doc_id", how).select(docs.columns)
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns, cast; whatever else the input carries is left behind. A missing column is null."""
     bounded(df)

@@ -144,7 +144,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage"
 
 def _find(seeds: Seeds, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, chars=2_000_000):
+        for b in in_pieces(batches, chars=1_000_000):
             ids = b.column("doc_id")
             rows = [(ids[r].as_py(), seeds.ids[i], c, len(t), ",".join(f"{x}:{y}:{n}" for x, y, n in t)) for r, i, c, t in held(b.column("text"), seeds, threshold)]
             if rows:
@@ -155,7 +155,7 @@ def _find(seeds: Seeds, threshold: float):
 
 def _without(seeds: Seeds, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, chars=2_000_000):
+        for b in in_pieces(batches, chars=1_000_000):
             bad = {r for r, *_ in held(b.column("text"), seeds, threshold)}
             yield b if not bad else b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
 

@@ -41,13 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, in_pieces, kept, only
+from .common import by_ids, dropped, in_pieces, kept, only
 from .components import components
 from .words import U, Words, mix, runs
 
-#: Ids of paired documents up to which they are sent to all tasks (16 MB); beyond it texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles (64-bit hashes) of each text; of a text with fewer words, all of it as one."""
@@ -100,7 +97,7 @@ def _repeated(k: int, hold: int = 1_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, size = [], [], 0
-        for b in in_pieces(batches, chars=6_000_000):
+        for b in in_pieces(batches, chars=3_000_000):
             sets = list(shingle_sets(b.column("text"), k))
             every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             at, n = runs(every)
@@ -368,17 +365,15 @@ def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFr
     both = pairs.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("part").alias("y")), "b")
     both = both.join(parts.select(F.col("doc").alias("a"), "n", F.col("part").alias("x")), "a")
     pairs = kept(spark, both.select("a", "b", "n", "m", "x", "y").mapInArrow(_hopeful(percent), "a long, b long").distinct())
-    ids = kept(spark, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = kept(spark, d.filter("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
+    sets = kept(spark, by_ids(spark, d.filter("doc_id is not null"), ids, "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
     both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a")
     links = kept(spark, both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long").distinct())
-    dropped(spark, pairs, ids, sets)
+    dropped(spark, pairs, sets)
     return links
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay when each class keeps its smallest doc_id; rows of one doc_id stay together, those of a null doc_id stay."""
     found = similar_documents(spark, docs, **parameters)
-    gone = found.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return by_ids(spark, docs, found.filter("component_id is not null and doc_id <> component_id"), "left_anti")

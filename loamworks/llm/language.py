@@ -231,7 +231,7 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.labels)
         names = np.array([*model.labels, "und"], dtype=object)
-        for b in in_pieces(batches, chars=2_000_000):
+        for b in in_pieces(batches, chars=1_000_000):
             texts = b.column("text")
             w, has, p = label_words(model, texts)
             count = np.bincount(w.doc[has], minlength=b.num_rows) if len(has) else np.zeros(b.num_rows, np.int64)

@@ -125,7 +125,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = Encoder(path, words=True)
+        encoder = Encoder(path, words=True, bits=19)
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in in_pieces(batches):

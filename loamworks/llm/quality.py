@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, kept, only
+from .common import by_ids, in_pieces, kept, only
 from .words import U, Words, mix
 
 # Kinds of bytes: 0 letters of other scripts, 1 lower case, 2 upper case, 3 digits, 4.. signs by themselves
@@ -89,7 +89,7 @@ def _count(buckets: int, good: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in in_pieces(batches, chars=2_000_000):
+        for b in in_pieces(batches, chars=1_000_000):
             f, of = features(b.column("text"), buckets)
             raw += np.bincount(f, minlength=buckets)
             ids = b.column("doc_id").fill_null(-1).to_numpy()
@@ -104,7 +104,7 @@ def _count(buckets: int, good: np.ndarray):
 
 def _weigh(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, chars=2_000_000):
+        for b in in_pieces(batches, chars=1_000_000):
             f, of = features(b.column("text"), len(ratio))
             n = np.bincount(of, minlength=b.num_rows)
             weight = np.bincount(of, weights=ratio[f], minlength=b.num_rows)
@@ -194,8 +194,6 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, buckets: i
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, with all their columns, that resampling draws; rows of one doc_id stay or go together."""
-    kept_ids = resample(spark, docs, labels, **parameters)
-    some = kept_ids.filter("doc_id is not null").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(some, "doc_id", "left_semi")
-    without = docs.filter("doc_id is null")
-    return known.unionByName(without) if kept_ids.filter("doc_id is null").limit(1).count() else known
+    drawn = kept(spark, resample(spark, docs, labels, **parameters).select("doc_id"))
+    known = by_ids(spark, docs, drawn.filter("doc_id is not null"), "left_semi")
+    return known.unionByName(docs.filter("doc_id is null")) if drawn.filter("doc_id is null").limit(1).count() else known

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,34 +98,35 @@ class Encoder:
     """Ids of texts. ``words``: the tokenizer drops white space (else it is kept with the word after it).
 
     Two tables of at most 2^(bits - 1) words are kept; when the newer is full
-    it becomes the older, and words met again move to the newer.
+    it becomes the older, and words met again move to the newer. ``lasting``:
+    they stay in the worker for its later tasks, at about 150 MB.
     """
 
-    def __init__(self, path: str, words: bool, bits: int = 20):
+    def __init__(self, path: str, words: bool, bits: int = 20, lasting: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        lasting = _lasting()
-        if (path, bits) not in lasting:
+        memory = _lasting() if lasting else {}
+        if (path, bits) not in memory:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
             # ids that end a word, or that begin one with its blank: they part the ids of words encoded side by side
             mark = (lambda x: x.endswith("</w>")) if words else (lambda x: x.startswith("\u0120"))
             edge = np.zeros(tokenizer.get_vocab_size(), bool)
             edge[[i for x, i in tokenizer.get_vocab().items() if mark(x)]] = True
-            lasting[path, bits] = (tokenizer, [_Table(bits), _Table(bits)], edge)
-        self.tokenizer, self.tables, self.edge = lasting[path, bits]
+            memory[path, bits] = (tokenizer, [_Table(bits), _Table(bits)], edge)
+        self.tokenizer, self.tables, self.edge = memory[path, bits]
         self.words, self.bits = words, bits
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for i in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        for i in range(0, len(texts), 2000):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray] | None:
-        """The ids of words of letters, each with its blank if it keeps one, encoded side by side; None if they can't be parted."""
-        out: list[np.ndarray] = []
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words of letters, each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
+        parts, sizes = [], []
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
             text = " ".join(some) if self.words else " " + " ".join(some)
@@ -132,28 +134,40 @@ class Encoder:
             edge = np.flatnonzero(self.edge[ids])
             if len(edge) != len(some) or (edge[-1] + 1 != len(ids) if self.words else edge[0]):
                 return None
-            out += np.split(ids, (edge[:-1] + 1) if self.words else edge[1:])
-        return out
-
-    def _learn(self, words: list[str], before: list[int]) -> list[np.ndarray]:
-        """The ids of words with what stands before them. Words of letters after a blank go side by side, also those that a full stop or comma ends; others one by one."""
-        plain = {x: None for x, b in zip(words, before, strict=True) if b == _BLANK and x.isalpha()}
-        marked = {x for x, b in zip(words, before, strict=True) if b == _BLANK and x[-1:] in (".", ",") and x[:-1].isalpha()}
-        plain.update((x[:-1], None) for x in marked)
-        ids = self._encode_words(list(plain)) if plain else []
-        known = dict(zip(plain, ids, strict=True)) if ids is not None else {}
-        sign = dict(zip(".,", self._encode([".", ","]), strict=True)) if marked else {}
-        out: list[np.ndarray | None] = []
-        rest: list[str] = []
-        for x, b in zip(words, before, strict=True):
-            y = known.get(x) if b == _BLANK else None
-            if y is None and b == _BLANK and x in marked and x[:-1] in known:
-                y = np.concatenate([known[x[:-1]], sign[x[-1]]])
-            if y is None:
-                rest.append(x if self.words or b == _FIRST else ("\n" if b == _LINE else " ") + x)
-            out.append(y)
-        others = iter(self._encode(rest)) if rest else iter(())
-        return [next(others) if y is None else y for y in out]
+            parts.append(ids)
+            sizes.append(np.diff(edge, prepend=-1) if self.words else np.diff(edge, append=len(ids)))
+        return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, words: list[str], before: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with what stands before them, end to end, and how many each has.
+
+        Words of letters after a blank go side by side, also those that a full
+        stop or comma ends, whose ids are those of the word and of the sign;
+        others are encoded one by one.
+        """
+        stem = [x if x.isalpha() else x[:-1] if x[-1:] in (".", ",") and x[:-1].isalpha() else "" for x in words]
+        if not self.words:
+            stem = [x if b == _BLANK else "" for x, b in zip(stem, before, strict=True)]
+        number = {x: i for i, x in enumerate(dict.fromkeys(filter(None, stem)))}
+        found = self._encode_words(list(number))
+        if found is None:
+            stem, number, found = [""] * len(words), {}, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        rest = [x if self.words or b == _FIRST else ("\n" if b == _LINE else " ") + x for x, b, y in zip(words, before, stem, strict=True) if not y]
+        others = [".", ",", *rest]
+        encoded = [e.ids for i in range(0, len(others), 2000) for e in self.tokenizer.encode_batch_fast(others[i : i + 2000], add_special_tokens=False)]
+        pool = np.concatenate([found[0], np.fromiter(chain.from_iterable(encoded), np.uint32)])
+        n = np.concatenate([found[1], np.fromiter(map(len, encoded), np.int64, len(encoded))])
+        at = np.cumsum(n) - n
+        # of each word two parts of the pool: its stem or itself, and its sign or nothing
+        signs = len(number)
+        first = np.fromiter((number.get(y, -1) for y in stem), np.int64, len(words))
+        first[first < 0] = signs + 2 + np.arange(len(rest))
+        marked = np.fromiter((0 if not y or len(y) == len(x) else 1 if x[-1] == "." else 2 for x, y in zip(words, stem, strict=True)), np.int64, len(words))
+        start = np.stack([at[first], at[signs + np.maximum(marked - 1, 0)]], axis=1).ravel()
+        size = np.stack([n[first], np.where(marked > 0, n[signs + np.maximum(marked - 1, 0)], 0)], axis=1)
+        flat = size.ravel()
+        ids = pool[np.repeat(start - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))]
+        return ids, size.sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and where each text's begin (and their number); null is empty."""
@@ -229,8 +243,7 @@ class Encoder:
                 new.add(keys[have], *old.gather(there[have]))
             at, keys = at[~have], keys[~have]
             if len(keys):
-                ids = self._learn([w.text(i) for i in at.tolist()], [_BLANK] * len(at) if before is None else before[at].tolist())
-                new.add(keys, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+                new.add(keys, *self._learn(w.texts(at), [_BLANK] * len(at) if before is None else before[at].tolist()))
             if len(new.key) != size:
                 slot = new.find(h)
             else:

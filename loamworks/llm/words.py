@@ -114,6 +114,17 @@ class Words:
         ok = self.doc[:n] == self.doc[k - 1 :]
         return h[ok], self.doc[:n][ok]
 
+    def texts(self, at: np.ndarray) -> list[str]:
+        """Several words as strings, decoded together; no word holds a line end."""
+        if not len(at):
+            return []
+        n = self.end[at] - self.start[at]
+        end = np.cumsum(n + 1)
+        out = np.full(int(end[-1]), 10, np.uint8)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(end - n - 1, n) + step] = self.buf[np.repeat(self.start[at], n) + step]
+        return out[:-1].tobytes().decode("utf-8", "replace").split("\n")
+
     def text(self, i: int) -> str:
         return self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
