@@ -15,10 +15,10 @@ order 0  how often each id occurred in the block, with an escape for new ids
 For each pair of confidences the block counts how often order 2 or else order
 1 was right. These shares are the weights of the mixture: parts of the coder's
 range that go to the two predicted ids; the rest is divided by order 0, whose
-table is renewed after steps 1, 2, 4, ... and then every 32. An escaped id
+table is renewed after steps 1, 2, 4, ... and then every 128. An escaped id
 follows in plain bits.
 
-The coder is carry-less: 48 bits of low end, words of 16 bits go out when the
+Ids are below 2^30. The coder is carry-less: 48 bits of low end, words of 16 bits go out when the
 leading word is settled or the range would get too small.
 """
 
@@ -35,7 +35,8 @@ _BITS = 24
 _WHOLE = 1 << _BITS
 _TOP, _BOTTOM, _MASK = np.uint64(1 << 32), np.uint64(1 << 28), np.uint64((1 << 48) - 1)
 _U16, _U24, _U32 = np.uint64(16), np.uint64(_BITS), np.uint64(32)
-_HEADER = struct.Struct("<4sIIIHH")  # magic, ids, crc of the ids, crc of what follows, streams, words of an id
+_HEADER = "<4sIIIHH"  # magic, ids, crc of the ids, crc of what follows, streams, words of an id
+_HEAD = struct.calcsize(_HEADER)
 _MAGIC = b"LWT1"
 
 
@@ -55,16 +56,16 @@ class _Model:
         self.block = np.repeat(np.arange(blocks), streams)
         self.base = self.block << 16
         n = blocks << 16
-        self.id1, self.id2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.sure1, self.sure2 = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # id * 4 + confidence
         self.count = np.zeros((blocks, DIRECT), np.int64)
-        self.cum, self.freq = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.range0 = np.zeros(n, np.uint32)  # order 0: where an id's part begins * 2^16 + its size; 0 for new ids
         self.escape = np.zeros(blocks, np.int64)  # where the escape begins; it goes to 2^16
         self.slot = np.full(n, -1, np.int32) if decode else None
         self.hits = np.tile(np.array([2.0, 1.0, 4.0]), (blocks * 32, 1))
         self.prev1 = np.zeros(blocks * streams, np.int64)
         self.prev2 = np.zeros(blocks * streams, np.int64)
         self.fresh: list[np.ndarray] = []
+        self.steps = 0
         self._weights()
 
     def _weights(self) -> None:
@@ -77,27 +78,31 @@ class _Model:
         p1, p2, base = self.prev1[:n], self.prev2[:n], self.base[:n]
         at1 = base + ((p1 * 40503 + (p1 >> 16)) & 0xFFFF)
         at2 = base + (((p1 * 2654435761 + p2 * 40503 + (p2 << 7)) >> 8) & 0xFFFF)
-        c1, c2 = self.sure1[at1].astype(np.int64), self.sure2[at2].astype(np.int64)
-        x1, x2 = self.id1[at1].astype(np.int64), self.id2[at2].astype(np.int64)
+        e1, e2 = self.last1[at1].astype(np.int64), self.last2[at2].astype(np.int64)
+        c1, c2, x1, x2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
         same = (x1 == x2) & (c2 > 0)
         ctx = (self.block[:n] << 5) + (c2 << 3) + (c1 << 1) + same
         w2 = np.where(c2 > 0, self.w2[ctx], 0)
         w1 = np.where((c1 > 0) & ~same, self.w1[ctx], 0)
-        return at1, at2, c1, c2, x1, x2, ctx, w2, w1
+        return at1, at2, e1, e2, x1, x2, ctx, w2, w1
 
-    def learn(self, n: int, x: np.ndarray, outcome: np.ndarray, seen) -> None:
-        at1, at2, c1, c2, x1, x2, ctx, _, _ = seen
+    def learn(self, n: int, x: np.ndarray, seen) -> None:
+        at1, at2, e1, e2, x1, x2, ctx, _, _ = seen
+        c1, c2 = e1 & 3, e2 & 3
+        right1, right2 = (x1 == x) & (c1 > 0), (x2 == x) & (c2 > 0)
+        outcome = 2 - 2 * right2 - (right1 & ~right2)  # order 2 was right, or else order 1, or none
         k = np.bincount(ctx * 3 + outcome, minlength=self.hits.size).reshape(-1, 3)
         self.hits += k
         over = self.hits.sum(axis=1) > 4000
         if over.any():
             self.hits[over] *= 0.5
-        self._weights()
-        for at, c, p, ids, sure in ((at1, c1, x1, self.id1, self.sure1), (at2, c2, x2, self.id2, self.sure2)):
-            hit = (p == x) & (c > 0)
-            keep = hit | (c > 1)
-            ids[at] = np.where(keep, p, x)
-            sure[at] = np.where(hit, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
+        self.steps += 1
+        if self.steps < 16 or not self.steps % 4:
+            self._weights()
+        fresh = x * 4 + 1
+        for at, c, e, right, last in ((at1, c1, e1, right1, self.last1), (at2, c2, e2, right2, self.last2)):
+            # right: one surer, up to 3; wrong: one less sure, or at 1 the new id with 1
+            last[at] = np.where(right, e + (c < 3), np.where(c > 1, e - 1, fresh))
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = x
         self.fresh.append(x)
@@ -109,7 +114,7 @@ class _Model:
             new = np.concatenate([x[b * self.streams : (b + 1) * self.streams] for x in self.fresh])
             count = self.count[b]
             count += np.bincount(new[new < DIRECT], minlength=DIRECT)
-            ids = np.flatnonzero(count)
+            ids = np.flatnonzero(count > 0)
             if len(ids) > 12_000:  # the most frequent; the others are escaped
                 ids = np.sort(ids[np.argsort(-count[ids], kind="stable")[:12_000]])
             c = count[ids]
@@ -119,9 +124,8 @@ class _Model:
             f = 2 + c * room // max(total, 1)
             end = np.cumsum(f)
             lo = b << 16
-            self.freq[lo : lo + DIRECT] = 0
-            self.freq[lo + ids] = f
-            self.cum[lo + ids] = end - f
+            self.range0[lo : lo + DIRECT] = 0
+            self.range0[lo + ids] = (end - f) << 16 | f
             self.escape[b] = int(end[-1]) if len(ids) else 0
             if self.decode:
                 self.slot[lo : lo + self.escape[b]] = np.repeat(ids, f)
@@ -130,7 +134,7 @@ class _Model:
 
 
 def _renewals(steps: int) -> set[int]:
-    return {1, 2, 4, 8, 16} | set(range(32, steps, 32))
+    return {1, 2, 4, 8, 16, 32, 64} | set(range(128, steps, 128))
 
 
 def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
@@ -148,35 +152,38 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     def code(rows, lo: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         r = span[rows] >> bits
         new_low = low[rows] + r * lo.astype(np.uint64)
-        low[rows], span[rows] = new_low, r * size.astype(np.uint64)
-        todo = np.arange(rows.stop) if isinstance(rows, slice) else rows
-        while len(todo):
-            a, s = low[todo], span[todo]
+        new_span = r * size.astype(np.uint64)
+        low[rows], span[rows] = new_low, new_span
+        a, s = new_low, new_span
+        todo = None  # all of rows
+        while True:
             settled = (a ^ (a + s)) < _TOP
             small = ~settled & (s < _BOTTOM)
-            go = settled | small
-            todo, a, s, small = todo[go], a[go], s[go], small[go]
-            if not len(todo):
+            go = np.flatnonzero(settled | small)
+            if not len(go):
                 break
+            a, s, small = a[go], s[go], small[go]
+            todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
             s = np.where(small, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)), s)
             out[todo, at[todo]] = (a >> _U32).astype(np.uint16)
             at[todo] += 1
-            low[todo], span[todo] = (a << _U16) & _MASK, s << _U16
+            a, s = (a << _U16) & _MASK, s << _U16
+            low[todo], span[todo] = a, s
 
     model, renewals = _Model(len(blocks), streams, False), _renewals(len(grid))
     for t in range(len(grid)):
         n = sum(s > t for s in steps) * streams
         x = grid[t, :n]
         seen = model.predict(n)
-        _, _, c1, c2, x1, x2, _, w2, w1 = seen
+        _, _, _, _, x1, x2, _, w2, w1 = seen
         hit2 = (w2 > 0) & (x == x2)
         hit1 = ~hit2 & (w1 > 0) & (x == x1)
         rest = _WHOLE - w2 - w1
         place = model.base[:n] + np.minimum(x, DIRECT - 1)
-        f = np.where(x < DIRECT, model.freq[place], 0)
-        new = f == 0
-        first = np.where(new, model.escape[model.block[:n]], model.cum[place])
-        last = np.where(new, 65536, first + f)
+        e = model.range0[place].astype(np.int64)
+        new = (e == 0) | (x >= DIRECT)
+        first = np.where(new, model.escape[model.block[:n]], e >> 16)
+        last = np.where(new, 65536, first + (e & 0xFFFF))
         first, last = first * rest >> 16, last * rest >> 16
         lo = np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + first))
         size = np.where(hit2, w2, np.where(hit1, w1, last - first))
@@ -187,9 +194,7 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
                 some = raw[wide_lane[raw]]
                 code(some, x[some] >> 16, np.ones(len(some), np.int64), _U16)
             code(raw, x[raw] & 0xFFFF, np.ones(len(raw), np.int64), _U16)
-        outcome = np.where(x == x2, np.where(c2 > 0, 0, 2), 2)
-        outcome = np.where((outcome == 2) & (x == x1) & (c1 > 0), 1, outcome)
-        model.learn(n, x, outcome, seen)
+        model.learn(n, x, seen)
         if t + 1 in renewals:
             model.renew()
     # the shortest number within the range: one word, or two
@@ -205,7 +210,7 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     for b, x in enumerate(blocks):
         rows = range(b * streams, (b + 1) * streams)
         body = at[rows.start : rows.stop].astype("<u4").tobytes() + b"".join(out[r, : at[r]].astype("<u2").tobytes() for r in rows)
-        done.append(_HEADER.pack(_MAGIC, len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body), streams, 2 if wide[b] else 1) + body)
+        done.append(struct.pack(_HEADER, _MAGIC, len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body), streams, 2 if wide[b] else 1) + body)
     return done
 
 
@@ -236,24 +241,28 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
     wide_lane = np.repeat([w > 1 for _, _, w in blocks], streams)
 
     def target(rows, bits: np.uint64) -> np.ndarray:
-        return ((value[rows] - low[rows]) // (span[rows] >> bits)).astype(np.int64)
+        # doubles give the whole part exactly: 48 bits by at most 32, and a fraction differs from a whole number by 2^-32 or more
+        return ((value[rows] - low[rows]).astype(np.float64) / (span[rows] >> bits).astype(np.float64)).astype(np.int64)
 
     def take(rows, lo: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         r = span[rows] >> bits
         new_low = low[rows] + r * lo.astype(np.uint64)
-        low[rows], span[rows] = new_low, r * size.astype(np.uint64)
-        todo = np.arange(rows.stop) if isinstance(rows, slice) else rows
-        while len(todo):
-            a, s = low[todo], span[todo]
+        new_span = r * size.astype(np.uint64)
+        low[rows], span[rows] = new_low, new_span
+        a, s = new_low, new_span
+        todo = None  # all of rows
+        while True:
             settled = (a ^ (a + s)) < _TOP
             small = ~settled & (s < _BOTTOM)
-            go = settled | small
-            todo, a, s, small = todo[go], a[go], s[go], small[go]
-            if not len(todo):
+            go = np.flatnonzero(settled | small)
+            if not len(go):
                 break
+            a, s, small = a[go], s[go], small[go]
+            todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
             s = np.where(small, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)), s)
             value[todo] = ((value[todo] << _U16) & _MASK) | read(todo)
-            low[todo], span[todo] = (a << _U16) & _MASK, s << _U16
+            a, s = (a << _U16) & _MASK, s << _U16
+            low[todo], span[todo] = a, s
 
     grid = np.zeros((max(steps, default=0), lanes), np.int64)
     model, renewals = _Model(len(blocks), streams, True), _renewals(len(grid))
@@ -261,17 +270,18 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         n = sum(s > t for s in steps) * streams
         rows = slice(0, n)
         seen = model.predict(n)
-        _, _, c1, c2, x1, x2, _, w2, w1 = seen
+        _, _, _, _, x1, x2, _, w2, w1 = seen
         rest = _WHOLE - w2 - w1
         v = target(rows, _U24)
         hit2 = v < w2
         hit1 = ~hit2 & (v < w2 + w1)
-        c = np.maximum(((v - w2 - w1 + 1) << 16) - 1, 0) // rest
+        c = (np.maximum(((v - w2 - w1 + 1) << 16) - 1, 0) / rest).astype(np.int64)  # 40 bits by 24: exact as above
         x = model.slot[model.base[:n] + np.minimum(c, DIRECT - 1)].astype(np.int64)
         new = x < 0
         place = model.base[:n] + np.maximum(x, 0)
-        first = np.where(new, model.escape[model.block[:n]], model.cum[place])
-        last = np.where(new, 65536, first + model.freq[place])
+        e = model.range0[place].astype(np.int64)
+        first = np.where(new, model.escape[model.block[:n]], e >> 16)
+        last = np.where(new, 65536, first + (e & 0xFFFF))
         first, last = first * rest >> 16, last * rest >> 16
         take(rows, np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + first)), np.where(hit2, w2, np.where(hit1, w1, last - first)), _U24)
         x = np.where(hit2, x2, np.where(hit1, x1, x))
@@ -288,9 +298,7 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
             take(raw, v, one, _U16)
             x[raw] |= v
         grid[t, :n] = x
-        outcome = np.where(x == x2, np.where(c2 > 0, 0, 2), 2)
-        outcome = np.where((outcome == 2) & (x == x1) & (c1 > 0), 1, outcome)
-        model.learn(n, x, outcome, seen)
+        model.learn(n, x, seen)
         if t + 1 in renewals:
             model.renew()
     return [grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n].astype(np.uint32) for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
@@ -298,6 +306,8 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids as bytes that decode on their own."""
+    if any(len(x) and int(x.max()) >> 30 for x in blocks):
+        raise ValueError("token ids must be below 2^30")
     out: list[bytes] = [b""] * len(blocks)
     shapes = [_shape(len(x)) for x in blocks]
     for s in sorted({s for s, _ in shapes}):
@@ -311,16 +321,16 @@ def decode(data: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; ValueError where a checksum does not fit."""
     heads = []
     for x in data:
-        if len(x) < _HEADER.size or x[:4] != _MAGIC:
+        if len(x) < _HEAD or x[:4] != _MAGIC:
             raise ValueError("not a block of token ids")
-        _, n, ids_crc, body_crc, streams, words = _HEADER.unpack_from(x)
-        if zlib.crc32(x[_HEADER.size :]) != body_crc:
+        _, n, ids_crc, body_crc, streams, words = struct.unpack_from(_HEADER, x)
+        if zlib.crc32(x[_HEAD :]) != body_crc:
             raise ValueError("a block of token ids is damaged")
         heads.append((n, ids_crc, streams, words))
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
     for s in sorted({h[2] for h in heads}):
         of = sorted((i for i in range(len(data)) if heads[i][2] == s), key=lambda i: (-(-(-heads[i][0] // s)), i))
-        for i, ids in zip(of, _decode_alike([(heads[i][0], data[i][_HEADER.size :], heads[i][3]) for i in of], s), strict=True):
+        for i, ids in zip(of, _decode_alike([(heads[i][0], data[i][_HEAD :], heads[i][3]) for i in of], s), strict=True):
             if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][1]:
                 raise ValueError("a block of token ids decodes to others than were written")
             out[i] = ids

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import rangecoder
 from .common import in_pieces, kept, only
@@ -38,7 +37,7 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
         from pyspark import TaskContext
 
         file = TaskContext.get().partitionId()
-        encoder, end = Encoder(path, words=False), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(path, words=False, lasting=True), np.array([end_id], "<u4").tobytes()
         docs: list[int | None] = []
         ids: list[bytes] = []
         size = block = start = 0
@@ -59,10 +58,12 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
         for b in in_pieces(batches):
-            for d, x in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            every, bounds = encoder.encode(b.column("text"))
+            data, at = every.astype("<u4").tobytes(), bounds.tolist()
+            for i, d in enumerate(b.column("doc_id").to_pylist()):
                 docs.append(d)
-                ids.append(x + end)
-                size += len(x) // 4 + 1
+                ids.append(data[4 * at[i] : 4 * at[i + 1]] + end)
+                size += at[i + 1] - at[i] + 1
                 if size >= block_ids:
                     close()
             while len(ready) >= together:
@@ -77,21 +78,26 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch], together: int = 16) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, together):
-            part = b.slice(i, together).to_pydict()
-            for k, ids in enumerate(rangecoder.decode(part["payload"])):
-                n = np.frombuffer(part["lengths"][k], "<u4").astype(np.int64)
-                at = np.cumsum(n) - n
-                data = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(data[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                doc = pa.array(np.frombuffer(part["doc_ids"][k], "<i8"), mask=np.frombuffer(part["no_id"][k], "u1").astype(bool))
-                file = pa.array(np.full(len(n), part["file"][k], np.int32))
-                yield pa.RecordBatch.from_arrays([file, doc, pa.array(at + part["file_start"][k]), pa.array(n), pa.array(crc, pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+def _read(before: dict[int, int], together: int = 32):
+    """Documents of decoded blocks; ``before``: ids in the files before each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, together):
+                part = b.slice(i, together).to_pydict()
+                for k, ids in enumerate(rangecoder.decode(part["payload"])):
+                    n = np.frombuffer(part["lengths"][k], "<u4").astype(np.int64)
+                    at = np.cumsum(n) - n
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(data[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
+                    doc = pa.array(np.frombuffer(part["doc_ids"][k], "<i8"), mask=np.frombuffer(part["no_id"][k], "u1").astype(bool))
+                    start = at + (part["file_start"][k] + before[part["file"][k]])
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return run
 
 
-def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 16) -> DataFrame:
+def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 32) -> DataFrame:
     """The table of blocks, written to the shared folder."""
     d = only(docs, doc_id="long", text="string")
     parts = max(d.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -101,10 +107,13 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the decoded blocks."""
-    sizes = files.groupBy("file").agg(F.sum("n_ids").alias("n"))  # a row for each file
-    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    found = files.mapInArrow(_read, "file int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return found.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # a row for each file, of which there are as many as tasks that wrote: some bytes each
+    sizes = sorted((r["file"], r["n"]) for r in files.groupBy("file").agg(F.sum("n_ids").alias("n")).collect())
+    before, total = {}, 0
+    for file, n in sizes:
+        before[file] = total
+        total += n
+    return files.mapInArrow(_read(before), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def decoded(files: DataFrame) -> DataFrame:
