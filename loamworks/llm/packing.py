@@ -120,12 +120,12 @@ def look_up(rows: np.ndarray, length: int, rank: np.ndarray) -> tuple[np.ndarray
     return r[:, 1] + k // r[:, 3], r[:, 2] + k % r[:, 3] * length
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, lasting: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = Encoder(path, words=True, bits=19)
+        encoder = Encoder(path, words=True, bits=21 if lasting else 19, lasting=lasting)
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in in_pieces(batches):
@@ -170,11 +170,11 @@ def _places(by_length: dict[int, np.ndarray]):
     return run
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document: its place in the document (piece, start, length), the checksum of its ids and its place in a sequence."""
+def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, lasting: bool = False) -> DataFrame:
+    """A row for each piece of each document: its place in the document (piece, start, length), the checksum of its ids and its place in a sequence. ``lasting``: workers keep the ids of words for their later tasks, at about 150 MB each."""
     d = only(docs, doc_id="long", text="string")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
-    pieces = kept(spark, d.mapInArrow(_pieces(path, capacity, end_id), schema))
+    pieces = kept(spark, d.mapInArrow(_pieces(path, capacity, end_id, lasting), schema))
     counts = pieces.groupBy("length", "task").count()
     made = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)  # at most ``capacity`` rows
     before = counts.select("length", "task", (F.sum("count").over(Window.partitionBy("length").orderBy("task")) - F.col("count")).alias("before"))

@@ -29,7 +29,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), lasting=True)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,14 +34,14 @@ class _Table:
     """Ids of words by hash: open addressing, half full at most, and a pool of ids."""
 
     def __init__(self, bits: int):
-        self.mask = U((1 << bits) - 1)
+        self.mask, self.limit = U((1 << bits) - 1), 1 << (bits - 1)
         self.key = np.zeros(1 << bits, np.uint64)
         self.at, self.n = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
         self.pool, self.used, self.entries = np.zeros(1 << bits, np.uint32), 0, 0
 
     @property
     def full(self) -> bool:
-        return 2 * self.entries > len(self.key)
+        return self.entries >= self.limit
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, -1 where it is not in the table."""
@@ -97,7 +97,7 @@ class _Table:
 class Encoder:
     """Ids of texts. ``words``: the tokenizer drops white space (else it is kept with the word after it).
 
-    Two tables of at most 2^(bits - 1) words are kept; when the newer is full
+    Two tables of about 2^(bits - 1) words are kept; when the newer is full
     it becomes the older, and words met again move to the newer. ``lasting``:
     they stay in the worker for its later tasks, at about 150 MB.
     """
