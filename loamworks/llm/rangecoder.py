@@ -30,6 +30,8 @@ import zlib
 import numpy as np
 
 STREAMS = 256
+CONTEXT_BITS = 14  # of the tables of orders 1 and 2 in each block; small ones stay in a core's cache
+_CONTEXTS = (1 << CONTEXT_BITS) - 1
 DIRECT = 1 << 16  # ids below it can be in the order-0 table
 _BITS = 24
 _WHOLE = 1 << _BITS
@@ -55,9 +57,10 @@ class _Model:
         self.blocks, self.streams, self.decode = blocks, streams, decode
         self.block = np.repeat(np.arange(blocks), streams)
         self.base = self.block << 16
+        self.context_base = self.block << CONTEXT_BITS
         n = blocks << 16
-        self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # id * 4 + confidence
-        self.count = np.zeros((blocks, DIRECT), np.int64)
+        self.last1, self.last2 = np.zeros(blocks << CONTEXT_BITS, np.uint32), np.zeros(blocks << CONTEXT_BITS, np.uint32)  # id * 4 + confidence
+        self.count = np.zeros((blocks, DIRECT), np.int32)
         self.range0 = np.zeros(n, np.uint32)  # order 0: where an id's part begins * 2^16 + its size; 0 for new ids
         self.escape = np.zeros(blocks, np.int64)  # where the escape begins; it goes to 2^16
         self.slot = np.full(n, -1, np.int32) if decode else None
@@ -75,9 +78,10 @@ class _Model:
 
     def predict(self, n: int):
         """For the first n lanes: places in the tables, predicted ids, and the parts of the range that they have."""
-        p1, p2, base = self.prev1[:n], self.prev2[:n], self.base[:n]
-        at1 = base + ((p1 * 40503 + (p1 >> 16)) & 0xFFFF)
-        at2 = base + (((p1 * 2654435761 + p2 * 40503 + (p2 << 7)) >> 8) & 0xFFFF)
+        p1, p2, base = self.prev1[:n], self.prev2[:n], self.context_base[:n]
+        mixed = p1 * 2654435761
+        at1 = base + ((mixed >> 9) & _CONTEXTS)
+        at2 = base + (((mixed + p2 * 40503) >> 8) & _CONTEXTS)
         e1, e2 = self.last1[at1].astype(np.int64), self.last2[at2].astype(np.int64)
         c1, c2, x1, x2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
         same = (x1 == x2) & (c2 > 0)
@@ -113,7 +117,7 @@ class _Model:
         for b in range(live):
             new = np.concatenate([x[b * self.streams : (b + 1) * self.streams] for x in self.fresh])
             count = self.count[b]
-            count += np.bincount(new[new < DIRECT], minlength=DIRECT)
+            count += np.bincount(new[new < DIRECT], minlength=DIRECT).astype(np.int32)
             ids = np.flatnonzero(count > 0)
             if len(ids) > 12_000:  # the most frequent; the others are escaped
                 ids = np.sort(ids[np.argsort(-count[ids], kind="stable")[:12_000]])
@@ -121,7 +125,7 @@ class _Model:
             total = int(c.sum())
             rest = min(max(int((c == 1).sum()) * 65536 // (total + 1), 256), 32768)
             room = 65536 - rest - 2 * len(ids)
-            f = 2 + c * room // max(total, 1)
+            f = 2 + c.astype(np.int64) * room // max(total, 1)
             end = np.cumsum(f)
             lo = b << 16
             self.range0[lo : lo + DIRECT] = 0

@@ -37,7 +37,7 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
         from pyspark import TaskContext
 
         file = TaskContext.get().partitionId()
-        encoder, end = Encoder(path, words=False, lasting=True), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(path, words=False, bits=21, lasting=True), np.array([end_id], "<u4").tobytes()
         docs: list[int | None] = []
         ids: list[bytes] = []
         size = block = start = 0
