@@ -22,10 +22,10 @@ How it is laid out on a cluster:
    drop a pair.
 4. Short parts of paired documents rule out most pairs that do not link: up
    to the earlier of their ends all that the two share is known. The sets of
-   the others are read again and decided by probing. Linked documents make components.
-5. Lists whose members are in several components then emit the pairs across
-   components that were not yet tried, in the same way; so no link between
-   components is lost. Members in the same component need no more pairs.
+   the others are read again and decided by probing.
+5. Members linked to one leader share a label. Lists with several labels then
+   emit the pairs across labels that were not yet tried, in the same way; so
+   no link between components is lost. All links make the components.
 
 Null or empty text has an empty set and links with nothing. Rows of a null
 doc_id link with nothing and have a null component. Rows that share a doc_id
@@ -215,7 +215,7 @@ def _led(percent: int, rows: int = 100_000):
 
 
 def _across(percent: int):
-    """Pairs of a list's members in different components, less those with the leader, which were tried."""
+    """Pairs of a list's members with different labels, less those with the leader, which were tried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -331,15 +331,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent:
     first = kept(spark, lists.filter("lead is not null").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct())
     links = _linked(spark, d, classes, first, k, percent)
     links = _with_shared_ids(spark, links, every, classes)
-    found = kept(spark, components(spark, links))
-
-    known = found.select(F.col("node").alias("doc"), "component")
-    shared = lists.join(known, "doc", "left").select("s", "doc", "n", "rare", "place", F.coalesce("component", "doc").alias("comp"))
+    # members linked to one leader get one label; only pairs across labels are still open
+    known = kept(spark, _labels(links))
+    shared = lists.join(known, "doc", "left").select("s", "doc", "n", "rare", "place", F.coalesce("label", "doc").alias("comp"))
     second = shared.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_across(percent), "a long, b long").distinct()
     second = kept(spark, second.join(first, ["a", "b"], "left_anti"))
     more = _linked(spark, d, classes, second, k, percent)
-    if more.limit(1).count():
-        found = kept(spark, components(spark, links.unionByName(more)))
+    found = components(spark, links.unionByName(more))
 
     reps = classes.select("n", "d1", "d2", F.col("doc")).join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("c"))
     rows = every.select("doc_id", "n", "d1", "d2")
@@ -348,6 +346,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent:
     return full.unionByName(rest)
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """doc and label, the smallest document within two links: equal labels are in one component, for certain."""
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.join(least.withColumnRenamed("a", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("m").alias("label"))
+
+
 def _with_shared_ids(spark: SparkSession, links: DataFrame, every: DataFrame, classes: DataFrame) -> DataFrame:
     """``links`` and those of classes that meet in a doc_id: rows of one doc_id with different sets are one document."""
     rows = every.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
