@@ -1,18 +1,22 @@
 """Documents scored by masked pseudo-likelihood: a network predicts every word from both sides.
 
-The vocabulary are the most frequent words of the corpus, counted over all
-documents, and classes of rarer words by their endings. The network adds up an
+The words are counted over all documents. The network knows the most frequent
+ones by themselves and the others by classes of endings. It adds up an
 embedding of each of two words to the left and two to the right (one table for
 each place), squashes the sum and predicts the masked word in two steps: its
-group, then the word within the group. A document's score is the sum of the
-log probabilities of its words.
+group, then the word or class within the group. Within a class the word is
+predicted from the corpus counts of all its words, which are smoothed by a
+spelling model, a chain of bytes, in the manner of Witten and Bell; so every
+word, seen or not, has a probability of its own. A document's score is the sum
+of the log probabilities of its words.
 
 Training is by data-parallel stochastic gradient (Adagrad) in numpy: in each
 round every task starts from the same weights and learns from a fixed share of
 the positions of all its documents, other positions in each round; the
 tasks' weights, weighted by the positions they learned from, are averaged.
 What is gathered grows with the corpus: word counts and one set of weights for
-each task.
+each task. Workers hold the counts of up to 250,000 words; those of the rest
+are joined.
 
 Null, empty and blank text has no words, score 0 and a null mean. Words beside
 the ends of a text are a blank. Repeated rows stay, a null doc_id stays null,
@@ -22,14 +26,15 @@ other columns are ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, only
-from .words import U, Words, mix
+from .common import in_pieces, kept, only
+from .words import _SPACE, U, Words, mix
 
 GROUPS = 32
 SIZE = GROUPS * GROUPS
@@ -59,12 +64,21 @@ def shaped(x: np.ndarray, width: int) -> dict[str, np.ndarray]:
     return out
 
 
+def _class(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (mix(last.astype(np.uint64) * U(256) + before.astype(np.uint64)) % U(ENDINGS)).astype(np.int64)
+
+
+def endings(w: Words) -> np.ndarray:
+    """The class of each word by its last two bytes."""
+    if not len(w.end):
+        return np.zeros(0, np.int64)
+    return _class(np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0), w.buf[w.end - 1])
+
+
 def word_ids(w: Words, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids of words: their rank if frequent, else a class by the last two bytes."""
     known, rank = vocabulary
-    last = w.buf[w.end - 1].astype(np.uint64) if len(w.end) else np.zeros(0, np.uint64)
-    before = np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0).astype(np.uint64) if len(w.end) else last
-    ids = (mix(last * U(256) + before) % U(ENDINGS)).astype(np.int64) + (SIZE - ENDINGS)
+    ids = endings(w) + (SIZE - ENDINGS)
     if len(known):
         at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
         ids = np.where(known[at] == w.hash, rank[at], ids)
@@ -170,16 +184,68 @@ class Trainer:
         return loss / n
 
 
+def spelling(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the next byte in a word, 32 being its start and end, and the log share of words in each class.
+
+    ``pairs``: how often a byte follows a byte, of shape (256, 256).
+    """
+    p = pairs + 1 / 256
+    p[32, 32] = 0
+    p /= p.sum(axis=1, keepdims=True)
+    go = p.copy()
+    go[32], go[:, 32] = 0, 0
+    start, end = p[32], p[:, 32]
+    visits = np.linalg.solve(np.eye(256) - go.T, start)  # of each byte in a word, on average
+    byte = np.arange(256)
+    share = np.bincount(_class(byte[:, None], byte[None]).ravel(), weights=(visits[:, None] * go * end).ravel(), minlength=ENDINGS)
+    share += np.bincount(_class(np.zeros(256, np.int64), byte), weights=start * end, minlength=ENDINGS)
+    with np.errstate(divide="ignore"):
+        return np.log(p).ravel(), np.log(share)
+
+
+def spelled(w: Words, follow: np.ndarray) -> np.ndarray:
+    """The log probability of each word's bytes."""
+    if not len(w.end):
+        return np.zeros(0)
+    x = np.concatenate([[32], np.where(_SPACE[w.buf], 32, w.buf)]).astype(np.int64)
+    steps = follow[x[:-1] * 256 + x[1:]]
+    steps[(x[:-1] == 32) & (x[1:] == 32)] = 0
+    total = np.concatenate([[0.0], np.cumsum(steps)])
+    return total[w.end + 1] - total[w.start]
+
+
+def _byte_pairs(w: Words, at: np.ndarray) -> np.ndarray:
+    """How often byte follows byte in the words ``at``; 32 stands before and after a word."""
+    inside = np.zeros(len(w.buf) + 1, np.int8)
+    inside[w.start[at]] = 1
+    inside[w.end[at]] -= 1
+    x = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, w.buf, 32).astype(np.int64)
+    pairs = np.bincount(np.concatenate([[32], x[:-1]]) * 256 + x, minlength=65_536)
+    pairs[32 * 257] = 0
+    return pairs
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """Words with their class and count; with class -1, pairs of bytes in the distinct words of each piece."""
+    known, kind, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.zeros(65_536, np.int64)
+
+    def counted(word: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], names=["word", "ending", "n"])
+
     for b in in_pieces(batches, chars=3_000_000):
-        h, n = np.unique(Words(b.column("text")).hash, return_counts=True)
-        known, inverse = np.unique(np.concatenate([known, h]), return_inverse=True)
+        w = Words(b.column("text"))
+        h, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+        pairs += _byte_pairs(w, at)
+        known, first, inverse = np.unique(np.concatenate([known, h]), return_index=True, return_inverse=True)
+        kind = np.concatenate([kind, endings(w)[at]])[first]
         total = np.bincount(inverse, weights=np.concatenate([total, n]), minlength=len(known)).astype(np.int64)
         if len(known) > 500_000:  # bounded memory; the sums go on after the shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], names=["word", "n"])
-            known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], names=["word", "n"])
+            yield counted(known, kind, total)
+            known, kind, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yield counted(known, kind, total)
+    at = np.flatnonzero(pairs)
+    yield counted(at, np.full(len(at), -1), pairs[at])
 
 
 def _learn(vocabulary: tuple[np.ndarray, np.ndarray], start: np.ndarray, width: int, share: int, part: int, batch: int, rate: float):
@@ -214,24 +280,89 @@ def _learn(vocabulary: tuple[np.ndarray, np.ndarray], start: np.ndarray, width:
     return run
 
 
-def _score(vocabulary: tuple[np.ndarray, np.ndarray], weights: np.ndarray, width: int):
+class Lexicon(NamedTuple):
+    """What predicts a word within its class: words of known count, sizes of classes, spelling."""
+
+    word: np.ndarray
+    n: np.ndarray
+    escape: np.ndarray  # by class: the log weight of the spelling model, which counts as that many words
+    total: np.ndarray  # by class: the log of all counts and that weight
+    follow: np.ndarray
+
+
+def within(w: Words, rare: np.ndarray, x: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words ``rare``: their log probabilities within their classes, less those of no known count, which are told; and the log weights of their spellings."""
+    c = endings(w)[rare]
+    spell = spelled(w, x.follow)[rare] + x.escape[c]
+    n = np.zeros(len(rare))
+    if len(x.word):
+        h = w.hash[rare]
+        at = np.minimum(np.searchsorted(x.word, h), len(x.word) - 1)
+        n = np.where(x.word[at] == h, x.n[at], 0)
+    with np.errstate(divide="ignore"):
+        lp = np.where(n > 0, np.logaddexp(np.log(n), spell), 0) - x.total[c]
+    return lp, n == 0, spell
+
+
+def _score(vocabulary: tuple[np.ndarray, np.ndarray], weights: np.ndarray, width: int, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shaped(weights, width)
         for b in in_pieces(batches, chars=1_000_000):
             words = Words(b.column("text"))
             ids = word_ids(words, vocabulary)
             lp = log_probabilities(w, ids, contexts(ids, words.first, words.doc)).astype(np.float64)
+            rare = np.flatnonzero(ids >= SIZE - ENDINGS)
+            more, open_, spell = within(words, rare, lexicon)
+            lp[rare] += more
             total = np.bincount(words.doc, weights=lp, minlength=b.num_rows)
-            n = np.diff(words.first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
+            rare, spell = rare[open_], spell[open_]
+            ends = pa.array(np.searchsorted(rare, words.first).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (words.hash[rare].view(np.int64), spell)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(words.first)), pa.array(total), *lists], names=["doc_id", "n_tokens", "total", "word", "spell"])
 
     return run
 
 
-def fit(spark: SparkSession, d: DataFrame, width: int = 24, share: int = 16, rounds: int = 2, batch: int = 2048, rate: float = 0.1) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The vocabulary and the weights; ``share``: one position of so many is learned from in a round."""
-    counts = d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(SIZE - ENDINGS).collect()
+def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int) -> Lexicon:
+    """``frequent``: class and count of each word that the network knows; its class goes without it."""
+    words = counts.filter("ending >= 0")
+    sums = words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    n, k = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in sums:
+        n[r["ending"]], k[r["ending"]] = r["n"], r["k"]
+    for ending, m in frequent.values():
+        n[ending] -= m
+        k[ending] -= 1
+    pairs = np.zeros(65_536)
+    for r in counts.filter("ending < 0").collect():
+        pairs[r["word"]] = r["n"]
+    follow, share = spelling(pairs.reshape(256, 256))
+    # the least count of which workers can hold all words
+    least, many = 1 << 62, 0
+    for r in words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
+        many += r["k"]
+        if many > held:
+            break
+        least = r["n"]
+    table = words.filter(F.col("n") >= least).select("word", "n").toArrow()
+    word, m = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
+    order = np.argsort(word)
+    k = np.maximum(k, 1)
+    return Lexicon(word[order], m[order], np.log(k) - share, np.log(n + k), follow)
+
+
+def fit(
+    spark: SparkSession, d: DataFrame, width: int = 24, share: int = 16, rounds: int = 2, batch: int = 2048, rate: float = 0.1, held: int = 250_000
+) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, Lexicon, DataFrame]:
+    """The vocabulary, the weights, the lexicon and the counts of all words.
+
+    ``share``: one position of so many is learned from in a round. ``held``: so
+    many words at most have their counts in the lexicon; results do not depend
+    on it.
+    """
+    counts = kept(spark, d.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
+    top = counts.filter("ending >= 0").orderBy(F.desc("n"), "word").limit(SIZE - ENDINGS).collect()
+    lexicon = _lexicon(counts, {r["word"]: (r["ending"], r["n"]) for r in top}, held)
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     vocabulary = (hashes[order], order.astype(np.int64))
@@ -242,11 +373,18 @@ def fit(spark: SparkSession, d: DataFrame, width: int = 24, share: int = 16, rou
         if len(mean):
             weights = weights.copy()
             weights[mean["at"].to_numpy()] = mean["x"].to_numpy()
-    return vocabulary, weights
+    return vocabulary, weights, lexicon, counts
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, width: int = 24, **parameters) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood and mean_log_probability of every row."""
     d = only(docs, doc_id="long", text="string")
-    vocabulary, weights = fit(spark, d, width, **parameters)
-    return d.mapInArrow(_score(vocabulary, weights, width), "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")
+    vocabulary, weights, lexicon, counts = fit(spark, d, width, **parameters)
+    rows = d.mapInArrow(_score(vocabulary, weights, width, lexicon), "doc_id long, n_tokens long, total double, word array<long>, spell array<double>")
+    rows = kept(spark, rows.withColumn("row", F.monotonically_increasing_id()))
+    rest = rows.select("row", F.explode(F.arrays_zip("word", "spell")).alias("x")).select("row", "x.word", "x.spell")
+    rest = rest.join(counts.filter("ending >= 0").select("word", "n"), "word", "left")
+    lp = F.when(F.col("n").isNull(), F.col("spell")).otherwise(F.log(F.col("n") + F.exp("spell")))
+    parts = rows.select("row", "doc_id", "n_tokens", "total").unionAll(rest.select("row", F.lit(None).cast("long"), F.lit(None).cast("long"), lp))
+    found = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("total").alias("pseudo_log_likelihood"))
+    return found.select("doc_id", "n_tokens", "pseudo_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))

@@ -1,11 +1,13 @@
 """The operators against brute force on small tables, and their defined results for nulls, ties, repeats, empty tables and clashing names."""
 
+import itertools
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,3 +405,28 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert got[201]["n_tokens"] == 0 and got[201]["pseudo_log_likelihood"] == 0 and got[202]["mean_log_probability"] is None
     assert got[0]["pseudo_log_likelihood"] == pytest.approx(got[0]["mean_log_probability"] * got[0]["n_tokens"])
     assert pseudolikelihood.score_documents(spark, d.limit(0)).count() == 0
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    common = [f"w{i}" for i in range(1000)]
+    line = " ".join(common[:4]) + " {} " + " ".join(common[4:8])
+    rare = ["zoaing", "xuaing", "qqaing"]
+    d = frame(spark, [" ".join(common)] * 5 + [line.format(x) for x in (*rare, "zoaing")])
+    got, joined = ({r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudolikelihood.score_documents(spark, d, share=2, batch=256, held=h).collect()} for h in (250_000, 0))
+    assert got[5] == pytest.approx(got[8]) and got[5] > got[6] + 0.1  # two occurrences against one
+    assert abs(got[6] - got[7]) > 1e-6  # of one count and ending, told apart by spelling
+    assert joined == pytest.approx(got)
+
+
+def test_spelling_shares_add_up():
+    rng = np.random.default_rng(3)
+    pairs = np.zeros((256, 256))
+    pairs[np.ix_([32, 97, 98], [97, 98])] = rng.integers(1, 9, (3, 2))
+    pairs[[97, 98], 32] = 5
+    follow, share = pseudolikelihood.spelling(pairs * 1e6)
+    assert np.exp(share).sum() == pytest.approx(1)
+    words = ["".join(x) for n in range(1, 13) for x in itertools.product("ab", repeat=n)]
+    w = pseudolikelihood.Words(pa.array([" ".join(words)]))
+    lp, c = pseudolikelihood.spelled(w, follow), pseudolikelihood.endings(w)
+    of = np.bincount(c, weights=np.exp(lp), minlength=64)
+    assert (of <= np.exp(share) + 1e-9).all() and of.sum() > 0.9
