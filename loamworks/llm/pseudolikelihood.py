@@ -12,8 +12,9 @@ of the log probabilities of its words.
 
 Training is by data-parallel stochastic gradient (Adagrad) in numpy: in each
 round every task starts from the same weights and learns from a fixed share of
-the positions of all its documents, other positions in each round; the
-tasks' weights, weighted by the positions they learned from, are averaged.
+the positions of all its documents, other positions in each round, until every
+position was learned from once; the tasks' weights, weighted by the positions
+they learned from, are averaged.
 What is gathered grows with the corpus: word counts and one set of weights for
 each task. Workers hold the counts of up to 250,000 words; those of the rest
 are joined.
@@ -352,13 +353,13 @@ def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int)
 
 
 def fit(
-    spark: SparkSession, d: DataFrame, width: int = 24, share: int = 16, rounds: int = 2, batch: int = 2048, rate: float = 0.1, held: int = 250_000
+    spark: SparkSession, d: DataFrame, width: int = 24, share: int = 2, batch: int = 2048, rate: float = 0.1, held: int = 250_000
 ) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, Lexicon, DataFrame]:
     """The vocabulary, the weights, the lexicon and the counts of all words.
 
-    ``share``: one position of so many is learned from in a round. ``held``: so
-    many words at most have their counts in the lexicon; results do not depend
-    on it.
+    ``share``: the number of rounds; one position of so many is learned from in
+    each, so every position once. ``held``: so many words at most have their
+    counts in the lexicon; results do not depend on it.
     """
     counts = kept(spark, d.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
     top = counts.filter("ending >= 0").orderBy(F.desc("n"), "word").limit(SIZE - ENDINGS).collect()
@@ -367,7 +368,7 @@ def fit(
     order = np.argsort(hashes)
     vocabulary = (hashes[order], order.astype(np.int64))
     weights = flat(blank_weights(width))
-    for r in range(rounds):
+    for r in range(share):
         learned = d.mapInArrow(_learn(vocabulary, weights, width, share, r, batch, rate), "at int, value double, weight long")
         mean = learned.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("x")).toPandas()  # a row for each weight
         if len(mean):

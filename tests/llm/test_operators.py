@@ -418,6 +418,15 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert joined == pytest.approx(got)
 
 
+def test_every_position_is_learned_from_once(spark, monkeypatch):
+    rounds, learn = [], pseudolikelihood._learn
+    monkeypatch.setattr(pseudolikelihood, "_learn", lambda *a: rounds.append(a) or learn(*a))
+    texts = [words(random.Random(i), 50) for i in range(9)]
+    pseudolikelihood.fit(spark, frame(spark, texts).select("doc_id", "text"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(9), "text": texts})
+    assert sum(b.column("weight")[0].as_py() for a in rounds for b in learn(*a)(iter([batch]))) == 9 * 50
+
+
 def test_spelling_shares_add_up():
     rng = np.random.default_rng(3)
     pairs = np.zeros((256, 256))
