@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest doc_id stays; documents without words or doc_id stay."""
-    return jaccard.one_of_each(spark, docs)
+    """Of each group of linked documents the one of smallest doc_id stays; documents without words or doc_id stay. Linked are those that share 0.8 of their shingles of five words."""
+    return jaccard.one_of_each(spark, docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loamworks.llm import queries
+from loamworks.llm import jaccard, queries
 
 
 def _tables(spark, folder):
@@ -42,5 +42,15 @@ def test_stages_and_run(spark, tmp_path):
     assert {r["doc_id"] for r in whole.collect()} == ids
 
 
+def test_near_copies_by_five_words(spark):
+    base = [f"w{i}" for i in range(50)]
+    near, apart = [*base[:25], "x", *base[26:]], [*base[:20], "x", *base[21:30], "y", *base[31:]]  # of five words 41 of 51 and 36 of 56 are shared
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate([base, near, apart])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()} == {0, 2}
+    own = jaccard.similar_documents(spark, docs).collect()  # op3's rule: 45 of 51 of three words
+    assert {r["component_id"] for r in own} == {0, 1, 2}
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
