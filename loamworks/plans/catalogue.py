@@ -94,6 +94,25 @@ def search_context(spark, sf):
     return m.select("path", "line", F.size("context_before").cast("long").alias("n_before"), F.size("context_after").cast("long").alias("n_after"), F.sha2(both, 256).alias("context_sha256"))
 
 
+#: A line of at most 1000 bytes, or the longest run of whole characters within them and the mark.
+_WHOLE_CUT = "CASE WHEN strlen({0}) <= 1000 THEN {0} ELSE left({0}, list_max(list_filter(range(250, 1001), lambda n: strlen(left({0}, n)) <= 1000))) || '... [TRUNCATED]' END"
+
+
+@_query(
+    "WITH "
+    + _HITS
+    + f""", near AS (SELECT h.path, h.line, coalesce(lag(h.line) OVER w, 0) AS prev, lead(h.line) OVER w AS next FROM hits h WINDOW w AS (PARTITION BY h.path ORDER BY h.line)),
+ cut AS (SELECT path, list_transform(ls, lambda x: {_WHOLE_CUT.format("x")}) AS ls FROM arrays SEMI JOIN hits USING (path)),
+ b AS (SELECT n.*, c.ls, greatest(n.line - 2, n.prev, 1) AS first, least(n.line + 2, coalesce(n.next - 1, len(c.ls)), len(c.ls)) AS last FROM near n JOIN cut c USING (path))
+SELECT path, line, ls[line] AS content, CAST(line - first AS BIGINT) AS n_before, CAST(greatest(last - line, 0) AS BIGINT) AS n_after, sha256(array_to_string(ls[first:line - 1], chr(10)) || chr(1) || array_to_string(ls[line + 1:last], chr(10))) AS context_sha256 FROM b"""
+)
+def search_long_lines(spark, sf):
+    """Content and context of every match in every file, lines over 1000 bytes cut (W-03, W-04)."""
+    m = lines.find(_docs(spark, sf), QUERY, context=2)
+    both = F.concat(F.array_join("context_before", "\n"), F.lit("\x01"), F.array_join("context_after", "\n"))
+    return m.select("path", "line", "content", F.size("context_before").cast("long").alias("n_before"), F.size("context_after").cast("long").alias("n_after"), F.sha2(both, 256).alias("context_sha256"))
+
+
 @_query(f"WITH {_HITS} SELECT path, line, rank FROM (SELECT path, line, CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS rank FROM hits) WHERE rank BETWEEN 51 AND 100")
 def search_page2(spark, sf):
     """The second page of fifty (W-05, O-02)."""

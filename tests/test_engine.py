@@ -1,5 +1,6 @@
 """Extraction, line search, relations, budgets, graphs and the query API over a small corpus."""
 
+import hashlib
 import random
 import subprocess
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamworks.model import AccessDenied, BinaryFile, FileNotFound, InvalidParams, InvalidSemanticPath, PathTraversal, SymbolNotFound
 from loamworks.operators import budget, extract, graph, index, lines, quality, relate
+from loamworks.plans import catalogue
 from loamworks.plans.tools import Corpus
 from loamworks.sources import trees
 
@@ -327,3 +329,13 @@ def test_saved_index(spark, corpus, tmp_path):
     corpus.save(str(tmp_path))
     c = Corpus.open_saved(spark, str(tmp_path))
     assert c.search("login", mode="symbol").stats["total_found"] == 2
+
+
+def test_registered_search_holds_files_with_long_lines(spark, tmp_path):
+    text = "é" * 600 + "\nsee that\n" + "x" * 1001 + "\ny\nz\n" + "that " * 300
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["line"]: r for r in catalogue.QUERIES["search_long_lines"](spark, str(tmp_path)).collect()}
+    digest = lambda before, after: hashlib.sha256(f"{before}\x01{after}".encode()).hexdigest()
+    mark = "... [TRUNCATED]"
+    assert got[2]["content"] == "see that" and got[2]["context_sha256"] == digest("é" * 500 + mark, "x" * 1000 + mark + "\ny")
+    assert got[6]["content"] == "that " * 200 + mark and got[6]["context_sha256"] == digest("y\nz", "")
