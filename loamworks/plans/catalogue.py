@@ -458,6 +458,20 @@ def line_names(spark, sf):
     return d.select("path", "line", F.regexp_extract(F.trim("content"), r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("word"))
 
 
+@_query(
+    "WITH "
+    + _LINES
+    + """, t AS (SELECT path, line, lower(content) AS low, trim(content, ' ') AS t FROM ls)
+SELECT path, line, CASE WHEN regexp_matches(low, '(fn|func|function|def) ') THEN 'function' WHEN regexp_matches(low, 'struct ') THEN 'struct' WHEN regexp_matches(low, '(class|type) ') THEN 'class' WHEN regexp_matches(low, 'enum ') THEN 'enum' WHEN regexp_matches(low, '(trait|interface) ') THEN 'interface' WHEN regexp_matches(low, '(const|static|var|let) ') THEN 'constant' WHEN regexp_matches(low, '(mod|module) ') THEN 'module' WHEN regexp_matches(low, 'impl ') THEN 'impl' ELSE 'unknown' END AS kind,
+CASE WHEN regexp_matches(t, '(^|[ \\t\\n\\x0B\\f\\r])(fn|function|def|struct|class|interface|type|enum|trait|const|static|var|let|mod|impl)[ \\t\\n\\x0B\\f\\r]+[A-Za-z_]') THEN regexp_extract(t, '(^|[ \\t\\n\\x0B\\f\\r])(fn|function|def|struct|class|interface|type|enum|trait|const|static|var|let|mod|impl)[ \\t\\n\\x0B\\f\\r]+([A-Za-z_][A-Za-z0-9_]*)', 3)
+WHEN regexp_matches(t, '^[A-Za-z_]') THEN regexp_extract(t, '^([A-Za-z_][A-Za-z0-9_]*)', 1) ELSE regexp_extract(t, '^([^ \\t\\n\\x0B\\f\\r]*)', 1) END AS name FROM t"""
+)
+def line_names_and_kinds(spark, sf):
+    """The kind and name that every line of every document seems to define (E-08)."""
+    d = lines.lines(_docs(spark, sf).select("path", "text"))
+    return d.select("path", "line", D.kind_of_line(F.col("content")).alias("kind"), D.name_of_line(F.col("content")).alias("name"))
+
+
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
     """Source files made of the table of pages: each page's address as a Python module that calls the next one."""
     p = _t(spark, sf, "pages").select("page_id")

@@ -339,3 +339,10 @@ def test_registered_search_holds_files_with_long_lines(spark, tmp_path):
     mark = "... [TRUNCATED]"
     assert got[2]["content"] == "see that" and got[2]["context_sha256"] == digest("é" * 500 + mark, "x" * 1000 + mark + "\ny")
     assert got[6]["content"] == "that " * 200 + mark and got[6]["context_sha256"] == digest("y\nz", "")
+
+
+def test_registered_line_names_hold_every_line(spark, tmp_path):
+    text = "  pub fn go(x)\nclass Box:\nplain words\n(1) first\n\nModule m\na let b"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["line"], r["kind"], r["name"]) for r in catalogue.QUERIES["line_names_and_kinds"](spark, str(tmp_path)).collect())
+    assert got == [(1, "function", "go"), (2, "class", "Box"), (3, "unknown", "plain"), (4, "unknown", "(1)"), (5, "unknown", ""), (6, "module", "Module"), (7, "constant", "b")]
