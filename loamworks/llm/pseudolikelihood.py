@@ -10,11 +10,13 @@ spelling model, a chain of bytes, in the manner of Witten and Bell; so every
 word, seen or not, has a probability of its own. A document's score is the sum
 of the log probabilities of its words.
 
-Training is by data-parallel stochastic gradient (Adagrad) in numpy: in each
-round every task starts from the same weights and learns from a fixed share of
-the positions of all its documents, other positions in each round, until every
-position was learned from once; the tasks' weights, weighted by the positions
-they learned from, are averaged.
+Training is by data-parallel stochastic gradient (Adagrad) in numpy. The
+documents are dealt to rounds by a hash of their id and text, a small part to
+the first one. In each round every task starts from the same weights and learns
+from all positions of its documents of that round; then the tasks' weights,
+weighted by the positions they learned from, are averaged, chunk by chunk. So
+every position is learned from once. As with any such training, which documents
+share a task moves the weights a little.
 What is gathered grows with the corpus: word counts and one set of weights for
 each task. Workers hold the counts of up to 250,000 words; those of the rest
 are joined.
@@ -65,6 +67,18 @@ def shaped(x: np.ndarray, width: int) -> dict[str, np.ndarray]:
     return out
 
 
+def dealt_evenly(share: np.ndarray) -> np.ndarray:
+    """A place (member * GROUPS + group) for each word or class, so that groups of GROUPS members have like shares of all positions: the largest go first, each to the group of least sum that has room."""
+    total, size = np.zeros(GROUPS), np.zeros(GROUPS, np.int64)
+    out = np.empty(SIZE, np.int64)
+    for i in np.argsort(-share, kind="stable").tolist():
+        g = int(np.where(size < GROUPS, total, np.inf).argmin())
+        out[i] = size[g] * GROUPS + g
+        total[g] += share[i]
+        size[g] += 1
+    return out
+
+
 def _class(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mix(last.astype(np.uint64) * U(256) + before.astype(np.uint64)) % U(ENDINGS)).astype(np.int64)
 
@@ -103,45 +117,67 @@ def contexts(ids: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _hidden(w: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z = w["embed"][0][ctx[0]]
+    z = np.take(w["embed"][0], ctx[0], axis=0)
     for k in range(1, len(PLACES)):
-        z += w["embed"][k][ctx[k]]
+        z += np.take(w["embed"][k], ctx[k], axis=0)
     z += w["bias"]
-    scale = 1 / (1 + np.abs(z))
+    scale = np.abs(z)
+    scale += 1
+    np.reciprocal(scale, out=scale)
     return z * scale, scale
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) in the place of x, up to a factor for each row that only large values need, and its sums over the last axis."""
+    if x.size and max(x.max(), -x.min()) > 60:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[-1], x.dtype)
+
+
+def _dealt(group: np.ndarray) -> tuple[np.ndarray, int]:
+    """A place for each row in a table of GROUPS equally long stretches, and their length: so all groups are multiplied at once."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    count = np.bincount(group, minlength=GROUPS)
+    cap = int(count.max())
+    place = np.empty(len(group), np.int64)
+    place[order] = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.arange(GROUPS) * cap, count)
+    return place, cap
+
+
+def _in_groups(w: dict[str, np.ndarray], h: np.ndarray, place: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden rows at their places, and their scores of the members of their groups."""
+    dealt = np.zeros((GROUPS * cap, h.shape[1]), h.dtype)
+    dealt[place] = h
+    dealt = dealt.reshape(GROUPS, cap, -1)
+    x = dealt @ w["word"].transpose(0, 2, 1)
+    x += w["word_bias"][:, None, :]
+    return dealt, x
 
 
-def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray, block: int = 32_768) -> np.ndarray:
-    """The log probability of each word given both its sides."""
+def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray, deal: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The log probability of each word given both its sides; ``deal`` has each one's place in the groups."""
     out = np.empty(len(ids), np.float32)
     for i in range(0, len(ids), block):
-        y = ids[i : i + block]
+        y = deal[ids[i : i + block]]
+        g, rest = y % GROUPS, y // GROUPS
+        every = np.arange(len(g))
         h, _ = _hidden(w, ctx[:, i : i + block])
-        g = y // GROUPS
-        lp = _log_softmax(h @ w["group"].T + w["group_bias"])[np.arange(len(y)), g]
-        order = np.argsort(g, kind="stable")
-        ends = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        hs, ys = h[order], y[order] % GROUPS
-        within = np.empty(len(y), np.float32)
-        for c in range(GROUPS):
-            s, e = ends[c], ends[c + 1]
-            if e > s:
-                within[s:e] = _log_softmax(hs[s:e] @ w["word"][c].T + w["word_bias"][c])[np.arange(e - s), ys[s:e]]
-        lp[order] += within
-        out[i : i + block] = lp
+        e, total = _exp(h @ w["group"].T + w["group_bias"])
+        lp = e[every, g] / total
+        place, cap = _dealt(g)
+        _, x = _in_groups(w, h, place, cap)
+        e, total = _exp(x)
+        lp *= e.reshape(GROUPS * cap, -1)[place, rest] / total.ravel()[place]
+        out[i : i + block] = np.log(np.maximum(lp, 1e-30))
     return out
 
 
 class Trainer:
     """Adagrad on batches of masked positions."""
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float = 0.1):
+    def __init__(self, weights: dict[str, np.ndarray], deal: np.ndarray, rate: float = 0.1):
+        self.deal = deal
         self.w = {k: v.copy() for k, v in weights.items()}
         self.g = {k: np.full(v.shape, 1e-3, np.float32) for k, v in weights.items()}
         self.rate = rate
@@ -150,39 +186,43 @@ class Trainer:
     def step(self, y: np.ndarray, ctx: np.ndarray) -> float:
         """One update; returns the mean loss before it."""
         w, n = self.w, len(y)
+        every = np.arange(n)
         h, scale = _hidden(w, ctx)
-        g, rest = y // GROUPS, y % GROUPS
-        lp = _log_softmax(h @ w["group"].T + w["group_bias"])
-        loss = -float(lp[np.arange(n), g].sum())
-        d = np.exp(lp)
-        d[np.arange(n), g] -= 1
-        grad = {"group": d.T @ h, "group_bias": d.sum(axis=0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        y = self.deal[y]
+        g, rest = y % GROUPS, y // GROUPS
+        d, total = _exp(h @ w["group"].T + w["group_bias"])
+        d /= total[:, None]
+        loss = np.log(d[every, g])
+        d[every, g] -= 1
+        grad = {"group": d.T @ h, "group_bias": d.sum(axis=0)}
         dh = d @ w["group"]
-        order = np.argsort(g, kind="stable")
-        ends = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        for c in range(GROUPS):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                lp = _log_softmax(h[rows] @ w["word"][c].T + w["word_bias"][c])
-                loss -= float(lp[np.arange(len(rows)), rest[rows]].sum())
-                d = np.exp(lp)
-                d[np.arange(len(rows)), rest[rows]] -= 1
-                grad["word"][c], grad["word_bias"][c] = d.T @ h[rows], d.sum(axis=0)
-                dh[rows] += d @ w["word"][c]
-        dz = dh * scale * scale
+        place, cap = _dealt(g)
+        dealt, x = _in_groups(w, h, place, cap)
+        e, total = _exp(x)
+        weight = np.zeros(GROUPS * cap, total.dtype)  # places without a row count for nothing
+        weight[place] = 1 / total.ravel()[place]
+        e *= weight.reshape(GROUPS, cap, 1)
+        flat_e = e.reshape(GROUPS * cap, -1)
+        loss += np.log(flat_e[place, rest])
+        flat_e[place, rest] -= 1
+        grad["word"], grad["word_bias"] = e.transpose(0, 2, 1) @ dealt, e.sum(axis=1)
+        dh += (e @ w["word"]).reshape(GROUPS * cap, -1)[place]
+        dz = dh * scale
+        dz *= scale
         grad["bias"] = dz.sum(axis=0)
-        embed = np.zeros_like(w["embed"])
-        for k in range(len(PLACES)):
-            order = np.argsort(ctx[k], kind="stable")
-            at = np.flatnonzero(np.diff(ctx[k][order], prepend=-1))
-            embed[k][ctx[k][order][at]] = np.add.reduceat(dz[order], at, axis=0)
-        grad["embed"] = embed
+        keys = (ctx + (np.arange(len(PLACES)) * (SIZE + 1))[:, None]).ravel().astype(np.int16)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        embed = np.zeros((len(PLACES) * (SIZE + 1), h.shape[1]), dz.dtype)
+        embed[keys[at]] = np.add.reduceat(np.take(dz, order % n, axis=0), at, axis=0)
+        grad["embed"] = embed.reshape(w["embed"].shape)
         for k, x in grad.items():
             x /= n
             self.g[k] += x * x
-            w[k] -= self.rate * x / np.sqrt(self.g[k])
+            w[k] -= self.rate * x / np.sqrt(self.g[k] + 1e-12)
         self.seen += n
-        return loss / n
+        return -float(loss.mean())
 
 
 def spelling(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,23 +289,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted(at, np.full(len(at), -1), pairs[at])
 
 
-def _learn(vocabulary: tuple[np.ndarray, np.ndarray], start: np.ndarray, width: int, share: int, part: int, batch: int, rate: float):
+class Network(NamedTuple):
+    """The frequent words' hashes, sorted, and their ranks; the places of words and classes in the groups; the weights."""
+
+    vocabulary: tuple[np.ndarray, np.ndarray]
+    deal: np.ndarray
+    weights: np.ndarray
+    width: int
+
+
+def _learn(net: Network, batch: int, rate: float, chunk: int):
+    """The weights that a task's documents lead to, in chunks: sums over the positions learned from, and their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(shaped(start, width), rate)
+        trainer = Trainer(shaped(net.weights, net.width), net.deal, rate)
         rng = np.random.Generator(np.random.PCG64(17))
         held_y, held_c, have = [], [], 0
         for b in in_pieces(batches, chars=1_000_000):
             w = Words(b.column("text"))
-            ids = word_ids(w, vocabulary)
-            if not len(ids):
-                continue
-            # positions of every document in turn, by the words' hashes: other ones in each round
-            chosen = np.flatnonzero(mix(w.hash + np.arange(len(ids), dtype=np.uint64)) % U(share) == U(part))
-            chosen = chosen[rng.permutation(len(chosen))]
-            ctx = contexts(ids, w.first, w.doc)
-            held_y.append(ids[chosen])
-            held_c.append(ctx[:, chosen])
-            have += len(chosen)
+            ids = word_ids(w, net.vocabulary)
+            order = rng.permutation(len(ids))
+            held_y.append(ids[order])
+            held_c.append(contexts(ids, w.first, w.doc)[:, order])
+            have += len(ids)
             if have >= batch:
                 y, c = np.concatenate(held_y), np.concatenate(held_c, axis=1)
                 whole = have // batch * batch
@@ -275,12 +321,44 @@ def _learn(vocabulary: tuple[np.ndarray, np.ndarray], start: np.ndarray, width:
         if have:
             trainer.step(np.concatenate(held_y), np.concatenate(held_c, axis=1))
         if trainer.seen:
-            x = flat(trainer.w).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * trainer.seen), pa.array(np.full(len(x), trainer.seen))], names=["at", "value", "weight"])
+            x = flat(trainer.w)
+            at = range(0, len(x), chunk)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(at)), pa.int32()), pa.array([trainer.seen] * len(at)), pa.array([(x[i : i + chunk].astype(np.float64) * trainer.seen).astype(np.float32).tobytes() for i in at])], names=["chunk", "weight", "values"]
+            )
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of one number added up, of rows in order of their numbers."""
+    now, weight, total = None, 0, np.zeros(0)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()])], names=["chunk", "values"])
+
+    for b in batches:
+        for k, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != now:
+                if now is not None:
+                    yield row()
+                now, weight, total = k, 0, 0.0
+            weight += n
+            total = total + np.frombuffer(x, np.float32).astype(np.float64)
+    if now is not None:
+        yield row()
+
+
+def averaged(spark: SparkSession, learned: DataFrame, weights: np.ndarray, chunk: int) -> np.ndarray:
+    """The mean of the tasks' weights, or ``weights`` where none learned. It is made chunk by chunk; the driver gets one set."""
+    rows = learned.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, values binary").collect()
+    out = weights.copy()
+    for r in rows:
+        x = np.frombuffer(r["values"], np.float32)
+        out[r["chunk"] * chunk : r["chunk"] * chunk + len(x)] = x
+    return out
+
+
 class Lexicon(NamedTuple):
     """What predicts a word within its class: words of known count, sizes of classes, spelling."""
 
@@ -305,13 +383,13 @@ def within(w: Words, rare: np.ndarray, x: Lexicon) -> tuple[np.ndarray, np.ndarr
     return lp, n == 0, spell
 
 
-def _score(vocabulary: tuple[np.ndarray, np.ndarray], weights: np.ndarray, width: int, lexicon: Lexicon):
+def _score(net: Network, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shaped(weights, width)
+        w = shaped(net.weights, net.width)
         for b in in_pieces(batches, chars=1_000_000):
             words = Words(b.column("text"))
-            ids = word_ids(words, vocabulary)
-            lp = log_probabilities(w, ids, contexts(ids, words.first, words.doc)).astype(np.float64)
+            ids = word_ids(words, net.vocabulary)
+            lp = log_probabilities(w, ids, contexts(ids, words.first, words.doc), net.deal).astype(np.float64)
             rare = np.flatnonzero(ids >= SIZE - ENDINGS)
             more, open_, spell = within(words, rare, lexicon)
             lp[rare] += more
@@ -324,8 +402,8 @@ def _score(vocabulary: tuple[np.ndarray, np.ndarray], weights: np.ndarray, width
     return run
 
 
-def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int) -> Lexicon:
-    """``frequent``: class and count of each word that the network knows; its class goes without it."""
+def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon, and how often each class occurs. ``frequent``: class and count of each word that the network knows; its class goes without it."""
     words = counts.filter("ending >= 0")
     sums = words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
     n, k = np.zeros(ENDINGS), np.zeros(ENDINGS)
@@ -349,39 +427,39 @@ def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int)
     word, m = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
     order = np.argsort(word)
     k = np.maximum(k, 1)
-    return Lexicon(word[order], m[order], np.log(k) - share, np.log(n + k), follow)
+    return Lexicon(word[order], m[order], np.log(k) - share, np.log(n + k), follow), n
 
 
-def fit(
-    spark: SparkSession, d: DataFrame, width: int = 24, share: int = 2, batch: int = 2048, rate: float = 0.1, held: int = 250_000
-) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, Lexicon, DataFrame]:
-    """The vocabulary, the weights, the lexicon and the counts of all words.
+def fit(spark: SparkSession, d: DataFrame, width: int = 24, rounds: tuple[int, ...] = (1, 7), batch: int = 4096, rate: float = 0.2, held: int = 250_000, chunk: int = 8192) -> tuple[Network, Lexicon, DataFrame]:
+    """The network, the lexicon and the counts of all words.
 
-    ``share``: the number of rounds; one position of so many is learned from in
-    each, so every position once. ``held``: so many words at most have their
-    counts in the lexicon; results do not depend on it.
+    ``rounds``: the shares of the documents that each round learns from.
+    ``held``: so many words at most have their counts in the lexicon; results do
+    not depend on it.
     """
     counts = kept(spark, d.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
     top = counts.filter("ending >= 0").orderBy(F.desc("n"), "word").limit(SIZE - ENDINGS).collect()
-    lexicon = _lexicon(counts, {r["word"]: (r["ending"], r["n"]) for r in top}, held)
+    lexicon, of_class = _lexicon(counts, {r["word"]: (r["ending"], r["n"]) for r in top}, held)
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    vocabulary = (hashes[order], order.astype(np.int64))
-    weights = flat(blank_weights(width))
-    for r in range(share):
-        learned = d.mapInArrow(_learn(vocabulary, weights, width, share, r, batch, rate), "at int, value double, weight long")
-        mean = learned.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("x")).toPandas()  # a row for each weight
-        if len(mean):
-            weights = weights.copy()
-            weights[mean["at"].to_numpy()] = mean["x"].to_numpy()
-    return vocabulary, weights, lexicon, counts
+    share = np.zeros(SIZE)
+    share[: len(top)] = [r["n"] for r in top]
+    share[SIZE - ENDINGS :] = of_class
+    net = Network((hashes[order], order.astype(np.int64)), dealt_evenly(share), flat(blank_weights(width)), width)
+    part, begin = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(rounds))), 0
+    for n in rounds:
+        some = d.filter((part >= begin) & (part < begin + n))
+        learned = some.mapInArrow(_learn(net, batch, rate, chunk), "chunk int, weight long, values binary")
+        net = net._replace(weights=averaged(spark, learned, net.weights, chunk))
+        begin += n
+    return net, lexicon, counts
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, width: int = 24, **parameters) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood and mean_log_probability of every row."""
     d = only(docs, doc_id="long", text="string")
-    vocabulary, weights, lexicon, counts = fit(spark, d, width, **parameters)
-    rows = d.mapInArrow(_score(vocabulary, weights, width, lexicon), "doc_id long, n_tokens long, total double, word array<long>, spell array<double>")
+    net, lexicon, counts = fit(spark, d, width, **parameters)
+    rows = d.mapInArrow(_score(net, lexicon), "doc_id long, n_tokens long, total double, word array<long>, spell array<double>")
     rows = kept(spark, rows.withColumn("row", F.monotonically_increasing_id()))
     rest = rows.select("row", F.explode(F.arrays_zip("word", "spell")).alias("x")).select("row", "x.word", "x.spell")
     rest = rest.join(counts.filter("ending >= 0").select("word", "n"), "word", "left")

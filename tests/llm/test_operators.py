@@ -379,18 +379,20 @@ def test_network_gradients_and_learning():
     rng = np.random.default_rng(4)
     w = pseudolikelihood.blank_weights(5)
     y, ctx = rng.integers(0, 1024, 40), rng.integers(0, 1025, (4, 40))
-    t = pseudolikelihood.Trainer({k: v.astype(np.float64) for k, v in w.items()})
+    deal = pseudolikelihood.dealt_evenly(rng.random(1024))
+    assert sorted(deal) == list(range(1024))
+    t = pseudolikelihood.Trainer({k: v.astype(np.float64) for k, v in w.items()}, deal)
     before = {k: v.copy() for k, v in t.w.items()}
     t.g = {k: np.zeros_like(v) for k, v in t.w.items()}
     t.rate = 1e-9
     loss = t.step(y, ctx)
-    assert abs(loss + float(pseudolikelihood.log_probabilities(before, y, ctx).mean())) < 1e-4
+    assert abs(loss + float(pseudolikelihood.log_probabilities(before, y, ctx, deal).mean())) < 1e-4
     for name in ("embed", "group", "word", "bias", "word_bias"):
         g = np.sqrt(t.g[name]).ravel()
         at = int(g.argmax())
         moved = {k: v.copy() for k, v in before.items()}
         moved[name].ravel()[at] += 1e-5
-        slope = -(pseudolikelihood.log_probabilities(moved, y, ctx).astype(np.float64).mean() - pseudolikelihood.log_probabilities(before, y, ctx).astype(np.float64).mean()) / 1e-5
+        slope = -(pseudolikelihood.log_probabilities(moved, y, ctx, deal).astype(np.float64).mean() - pseudolikelihood.log_probabilities(before, y, ctx, deal).astype(np.float64).mean()) / 1e-5
         assert abs(abs(slope) - g[at]) < 0.05 * g[at] + 2e-2
 
 
@@ -400,7 +402,7 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     texts = [" ".join(rng.choice(pattern) for _ in range(20)) for _ in range(200)]
     shuffled = " ".join(rng.sample(" ".join(pattern * 5).split(), 60))
     d = frame(spark, [*texts, shuffled, None, "", "cat"], clash=True)
-    got = {r["doc_id"]: r for r in pseudolikelihood.score_documents(spark, d, share=2, batch=256).collect()}
+    got = {r["doc_id"]: r for r in pseudolikelihood.score_documents(spark, d, rounds=(1, 1), batch=256).collect()}
     assert np.mean([got[i]["mean_log_probability"] for i in range(200)]) > got[200]["mean_log_probability"] + 0.5
     assert got[201]["n_tokens"] == 0 and got[201]["pseudo_log_likelihood"] == 0 and got[202]["mean_log_probability"] is None
     assert got[0]["pseudo_log_likelihood"] == pytest.approx(got[0]["mean_log_probability"] * got[0]["n_tokens"])
@@ -412,19 +414,49 @@ def test_every_word_has_a_probability_of_its_own(spark):
     line = " ".join(common[:4]) + " {} " + " ".join(common[4:8])
     rare = ["zoaing", "xuaing", "qqaing"]
     d = frame(spark, [" ".join(common)] * 5 + [line.format(x) for x in (*rare, "zoaing")])
-    got, joined = ({r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudolikelihood.score_documents(spark, d, share=2, batch=256, held=h).collect()} for h in (250_000, 0))
+    got, joined = ({r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudolikelihood.score_documents(spark, d, rounds=(1, 1), batch=256, held=h).collect()} for h in (250_000, 0))
     assert got[5] == pytest.approx(got[8]) and got[5] > got[6] + 0.1  # two occurrences against one
     assert abs(got[6] - got[7]) > 1e-6  # of one count and ending, told apart by spelling
     assert joined == pytest.approx(got)
 
 
 def test_every_position_is_learned_from_once(spark, monkeypatch):
-    rounds, learn = [], pseudolikelihood._learn
-    monkeypatch.setattr(pseudolikelihood, "_learn", lambda *a: rounds.append(a) or learn(*a))
-    texts = [words(random.Random(i), 50) for i in range(9)]
-    pseudolikelihood.fit(spark, frame(spark, texts).select("doc_id", "text"))
-    batch = pa.RecordBatch.from_pydict({"doc_id": range(9), "text": texts})
-    assert sum(b.column("weight")[0].as_py() for a in rounds for b in learn(*a)(iter([batch]))) == 9 * 50
+    """Over all rounds each document is learned from once, whole; the mean of the tasks' weights is by positions."""
+    seen, averaged = [], pseudolikelihood.averaged
+    monkeypatch.setattr(pseudolikelihood, "averaged", lambda s, learned, w, c: seen.append([tuple(r) for r in learned.collect()]) or averaged(s, learned, w, c))
+    texts = [words(random.Random(i), 50) for i in range(40)]
+    net, _, _ = pseudolikelihood.fit(spark, frame(spark, texts).select("doc_id", "text").repartition(3), chunk=50_000)
+    assert len(seen) == 2 and all(seen)
+    assert sum(n for rows in seen for k, n, _ in rows if k == 0) == 40 * 50
+    by_hand = [sum(np.frombuffer(x, np.float32).astype(float) for k, _, x in seen[1] if k == c) / sum(n for k, n, _ in seen[1] if k == c) for c in range(3)]
+    assert np.allclose(np.concatenate(by_hand), net.weights, atol=1e-6)
+
+
+def test_score_of_a_document_by_hand(spark):
+    """The sum over its words of the log of both softmaxes and of the share within the class, by plain loops."""
+    rng = random.Random(21)
+    texts = [words(rng, 60, 1500) for _ in range(40)]
+    d = frame(spark, [*texts, "unseen w1 w2 \u00e9t\u00e9 w3"], clash=True)
+    net, lexicon, counts = pseudolikelihood.fit(spark, d.select("doc_id", "text"), width=6)
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudolikelihood.score_documents(spark, d, width=6).collect()}
+    w, G = {k: v.astype(float) for k, v in pseudolikelihood.shaped(net.weights, 6).items()}, pseudolikelihood.GROUPS
+    n_of = {r["word"]: r["n"] for r in counts.filter("ending >= 0").collect()}
+    for i in (0, 7, 40):
+        x = pseudolikelihood.Words(pa.array([[*texts, "unseen w1 w2 \u00e9t\u00e9 w3"][i]]))
+        ids, ends, spell = pseudolikelihood.word_ids(x, net.vocabulary), pseudolikelihood.endings(x), pseudolikelihood.spelled(x, lexicon.follow)
+        total = 0.0
+        for j, y in enumerate(ids.tolist()):
+            z = w["bias"].copy()
+            for k, p in enumerate(pseudolikelihood.PLACES):
+                z += w["embed"][k][ids[j + p] if 0 <= j + p < len(ids) else pseudolikelihood.BLANK]
+            h = z / (1 + abs(z))
+            g, rest = net.deal[y] % G, net.deal[y] // G
+            a, b = w["group"] @ h + w["group_bias"], w["word"][g] @ h + w["word_bias"][g]
+            total += a[g] - np.log(np.exp(a).sum()) + b[rest] - np.log(np.exp(b).sum())
+            if y >= pseudolikelihood.SIZE - pseudolikelihood.ENDINGS:
+                c = ends[j]
+                total += np.log(n_of.get(int(x.hash[j : j + 1].view(np.int64)[0]), 0) + np.exp(spell[j] + lexicon.escape[c])) - lexicon.total[c]
+        assert got[i] == pytest.approx(total, abs=0.05, rel=1e-3)
 
 
 def test_spelling_shares_add_up():
