@@ -12,17 +12,16 @@ word's start, inside and at its end, its length and whether it repeats the
 word before; signs that stand alone or cling to words, capitals and repetition
 show there even if each word is new.
 
-k, the size of the sample, is the number of documents whose weight for each
-n-gram is at or above the boundary that best separates the labelled documents
-(balanced accuracy; the target's share of raw text, not a fixed portion). Then
-Gumbel top-k draws k documents without replacement, in proportion to the
-weights sharpened by ``temperature``: each gets its log weight above the
-boundary, divided by the temperature, plus Gumbel noise from a hash of its id,
-and the k largest stay. The k-th key is found by counting keys in ever finer
-intervals; ties go to the smaller doc_id.
-
-Null and empty text has no n-grams and weight 0: it is kept or not by the
-boundary alone. With no labels of both kinds the boundary is 0. Repeated rows
+Gumbel top-k draws k documents without replacement, in proportion to their
+importance weights: each one's key is its log importance weight plus Gumbel
+noise from a hash of its id and the seed, and the k largest keys stay. The k-th
+key is found by counting keys in ever finer intervals; ties go to the smaller
+doc_id. k is a parameter; by default it is the number of documents whose log
+weight reaches the boundary that best separates the labelled documents
+(balanced accuracy), so the target's own share of the raw text.
+
+Null and empty text has no n-grams and log weight 0, and takes part in the draw
+like others. With no labels of both kinds the boundary is 0. Repeated rows
 have the same key. A null doc_id is hashed as such. Columns beside doc_id and
 text do not matter.
 """
@@ -113,12 +112,12 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def boundary(mean: np.ndarray, good: np.ndarray) -> float:
+def boundary(value: np.ndarray, good: np.ndarray) -> float:
     """The value that best separates good from bad: the highest mean of the two shares on the right side, midway between neighbours."""
     if not good.any() or good.all():
         return 0.0
-    order = np.argsort(mean, kind="stable")
-    m, g = mean[order], good[order]
+    order = np.argsort(value, kind="stable")
+    m, g = value[order], good[order]
     bad_below = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
     good_above = 1 - np.concatenate([[0], np.cumsum(g)]) / g.sum()
     cuts = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
@@ -161,7 +160,16 @@ def top_k(keys: DataFrame, k: int, bins: int = 1024, few: int = 20_000) -> DataF
     return keys.filter((F.col("key") > edge["key"]) | ((F.col("key") == edge["key"]) & (F.col("doc_id").isNull() | same)))
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, sample: int = 20_000, smoothing: float = 0.5, temperature: float = 0.05) -> DataFrame:
+def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarray:
+    """By bucket, the log of the target model's probability over the raw model's."""
+    buckets = len(raw)
+    # both are smoothed towards the raw model, so that n-grams the target sample lacks by chance weigh little
+    p = (raw + smoothing) / (raw.sum() + smoothing * buckets)
+    strength = max(2.0, target.sum() / buckets)
+    return np.log((target + strength * p * buckets) / (target.sum() + strength * buckets)) - np.log(p)
+
+
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = 1 << 18, sample: int = 20_000, smoothing: float = 0.5, seed: int = 20240501) -> DataFrame:
     """doc_id, n_ngrams, log_weight and key of the sampled rows, one for each row of the input that stays."""
     d = only(docs, doc_id="long", text="string")
     marks = only(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -172,24 +180,14 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, buckets: i
     counts = d.mapInArrow(_count(buckets, good), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most ``buckets`` rows
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    # both are smoothed towards the raw model, so that n-grams the target sample lacks by chance weigh little
-    p = (raw + smoothing) / (raw.sum() + smoothing * buckets)
-    scale = max(target.sum(), 1.0)
-    strength = max(2.0, 0.02 * scale / buckets * 50)
-    q = (target + strength * p * buckets) / (target.sum() + strength * buckets)
-    ratio = np.log(q) - np.log(p)
-
-    weights = kept(spark, d.mapInArrow(_weigh(ratio), "doc_id long, n_ngrams long, log_weight double"))
-    ids = spark.createDataFrame([(int(i),) for i in quality], "doc_id long")
-    seen = weights.join(F.broadcast(ids), "doc_id", "left_semi").filter("n_ngrams > 0").groupBy("doc_id").agg(F.first("log_weight").alias("w"), F.first("n_ngrams").alias("n")).collect()
-    mean = np.array([r["w"] / r["n"] for r in seen])
-    cut = boundary(mean, np.array([quality[r["doc_id"]] for r in seen], bool)) if seen else 0.0
-
-    over = F.col("log_weight") - F.lit(cut) * F.col("n_ngrams")
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(20240501)), 11).cast("double") + 0.5) / float(1 << 53)
-    keys = weights.withColumn("over", over).withColumn("key", F.col("over") / temperature - F.log(-F.log(uniform)))
-    k = keys.filter("over >= 0").count()
-    return top_k(keys, k).drop("over")
+    weights = kept(spark, d.mapInArrow(_weigh(log_ratio(raw, target, smoothing)), "doc_id long, n_ngrams long, log_weight double"))
+    if k is None:
+        ids = spark.createDataFrame([(int(i),) for i in quality], "doc_id long")
+        seen = weights.join(F.broadcast(ids), "doc_id", "left_semi").filter("n_ngrams > 0").groupBy("doc_id").agg(F.min("log_weight").alias("w")).collect()
+        cut = boundary(np.array([r["w"] for r in seen]), np.array([quality[r["doc_id"]] for r in seen], bool)) if seen else 0.0
+        k = weights.filter(F.col("log_weight") >= cut).count()
+    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    return top_k(weights.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), k)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

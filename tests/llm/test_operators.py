@@ -290,6 +290,42 @@ def test_quality_keeps_clean_documents(spark):
     assert quality.resample(spark, d, labels.limit(0)).count() >= 0
 
 
+def test_weights_by_hand_and_a_real_draw(spark):
+    """Log weights from counts in plain dictionaries; over seeds, rows are drawn as often as their weights say."""
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(1, 12), 40) for _ in range(60)] + [None, ""]
+    d = frame(spark, [*texts, texts[3]], ids=[*range(len(texts)), None], clash=True)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
+    n, buckets = 20, 1 << 14
+    grams = [quality.features(pa.array([t], pa.string()), buckets)[0].tolist() for t in [*texts, texts[3]]]
+    raw, target = {}, {}
+    for i, g in enumerate(grams):
+        for x in g:
+            raw[x] = raw.get(x, 0) + 1
+            if i < 40 and i % 3:
+                target[x] = target.get(x, 0) + 1
+    total, good = sum(raw.values()), sum(target.values())
+    weight = []
+    for g in grams:
+        w = 0.0
+        for x in g:
+            p = (raw[x] + 0.5) / (total + 0.5 * buckets)
+            w += math.log((target.get(x, 0) + 2 * p * buckets) / (good + 2 * buckets) / p)
+        weight.append(w)
+    got = quality.resample(spark, d, labels, k=10**6, buckets=buckets).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_ngrams"]) for r in got if r["doc_id"] is not None) == [(False, i, len(g)) for i, g in enumerate(grams[:-1])]
+    for r in got:
+        assert r["log_weight"] == pytest.approx(weight[len(texts) if r["doc_id"] is None else r["doc_id"]], abs=1e-9)
+    # the draw itself, on known weights: first places over many seeds
+    w = np.array([0.0, 1.0, 2.0, -1.0, 0.5])
+    uniform = np.random.default_rng(3).random((4000, 5))
+    first = np.bincount((w - np.log(-np.log(uniform))).argmax(axis=1), minlength=5) / 4000
+    assert np.allclose(first, np.exp(w) / np.exp(w).sum(), atol=0.03)
+    by_weight = set(np.argsort([-x for x in weight[:-1]], kind="stable")[:n].tolist())
+    draws = [{r["doc_id"] for r in quality.resample(spark, d.filter("doc_id is not null"), labels, k=n, buckets=buckets, seed=s).collect()} for s in (1, 2, 3)]
+    assert all(len(x) == n for x in draws) and len({frozenset(x) for x in draws}) == 3 and any(x != by_weight for x in draws)
+
+
 def test_gumbel_top_k_is_exact(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([rng.gauss(0, 1), 0.5, 0.5])) for i in range(3000)] + [(7, 9.0), (None, 0.5)]
