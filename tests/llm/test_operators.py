@@ -217,6 +217,35 @@ def test_automata_generalise():
     ordinary = [x for x in secrets.labelled_ordinary(seed=322, n=1500) if len(x) >= 16]
     assert sum(bool(scorer.accepts(x)) for x in ordinary) <= len(ordinary) // 200
     assert len(scorer.formats["code_host"].table) < 40 < 400 * 36
+    for name, strings in secrets.labelled_credentials(seed=323, each=40).items():  # glued to something, with a full stop after it
+        if name in ("code_host", "chat", "payment", "map", "web_token"):
+            for before in ("x=", "id=", "a.b.c=", "t.txt/"):
+                got = [scorer.within(before + x + ".") for x in strings]
+                assert sum(g is not None and g[:3] == (len(before), len(before + x), name) for g, x in zip(got, strings, strict=True)) >= 36, (name, before)
+
+
+def test_only_compatible_states_merge(monkeypatch):
+    merge, bad = secrets.Automaton._merge, []
+    monkeypatch.setattr(secrets.Automaton, "_merge", lambda self, p, x, r: bad.append((p, r)) if not self._compatible(r, self.next[p][x]) else merge(self, p, x, r))
+    some = secrets.labelled_credentials(each=60)
+    made = {k: secrets.Automaton(v, 1e-4) for k, v in some.items()}
+    assert not bad and all(a.merged for a in made.values())
+    # two formats of different shares are told apart, equal ones are one state
+    two = secrets.Automaton(["ab"] * 300 + ["bb"] * 300, 1e-4, head=9)
+    assert len(two.table) == 3
+    skewed = secrets.Automaton((["aax"] * 90 + ["aay"] * 10 + ["bax"] * 10 + ["bay"] * 90) * 5, 1e-4, head=9)
+    assert len(skewed.table) > len(secrets.Automaton((["aax"] * 50 + ["aay"] * 50 + ["bax"] * 50 + ["bay"] * 50) * 5, 1e-4, head=9).table)
+
+
+def test_secrets_edges(spark):
+    long = "x " * 300_000 + "token=abcdef123"
+    d = frame(spark, [long, "token=abcdef123", "token=abcdef123", None], ids=[1, 2, 2, None])
+    got = [(r["doc_id"], r["n_assign"], r["base_spans"]) for r in secrets.find_secrets(d).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, "assign:600000:600015"), (2, 1, "assign:0:15"), (2, 1, "assign:0:15"), (None, 0, "")], key=str)
+    assert secrets.find_secrets(d.limit(0)).count() == 0 and secrets.mask_secrets(d.limit(0)).count() == 0
+    assert secrets.mask_secrets(d).count() == 4
+    # a run of many signs takes time in proportion to its length
+    assert secrets.find_secrets(frame(spark, ["/a" * 20_000])).collect()[0]["n_format"] == 0
 
 
 def test_masking(spark):
@@ -253,6 +282,47 @@ def test_language_of_mixed_text(spark):
     assert language.identify(spark, d.limit(0)).count() == 0
 
 
+def test_gradients_equal_finite_differences_and_all_labellings():
+    rng = np.random.default_rng(6)
+    s, move = rng.normal(size=(3, 4, 3)), rng.normal(size=(3, 3))
+    truth = np.eye(3)[rng.integers(0, 3, (3, 4))]
+    value, ds, dm = language.gradients(s, truth, move)
+
+    def plain(s, move):
+        total = 0.0
+        for c in range(3):
+            score = lambda y: np.log(np.exp(move[:, y[0]]).mean()) + sum(s[c, t, y[t]] for t in range(4)) + sum(move[y[t], y[t + 1]] for t in range(3))  # noqa: B023, E731
+            total += score(truth[c].argmax(axis=1)) - np.log(sum(np.exp(score(y)) for y in itertools.product(range(3), repeat=4)))
+        return total
+
+    assert value == pytest.approx(plain(s, move))
+    for x, d in ((s, ds), (move, dm)):
+        for at in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            slope = (plain(up, move) - plain(down, move)) if x is s else (plain(s, up) - plain(s, down))
+            assert d[at] == pytest.approx(slope / 2e-5, abs=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    d = frame(spark, ["hot row"] * 500 + [f"text {i}" for i in range(300)] + ["y" * 200], ids=[0] * 500 + list(range(1, 301)) + [999], langs=["aa"] * 650 + ["bb"] * 151)
+    got = language.training_rows(d.repartition(7), 40, 100).collect()
+    assert sorted(r["lang"] for r in got) == ["aa"] * 40 + ["bb"] * 40 and len(set(got)) == 80
+    assert all(len(r["text"]) <= 100 for r in got)
+
+
+def test_language_edges(spark):
+    rng = random.Random(18)
+    langs = ["aa", "bb"] * 60
+    texts = [text_in(rng, x) for x in langs]
+    long = text_in(rng, "bb", 40_000)
+    d = frame(spark, [*texts, texts[0], texts[0], long, texts[1]], ids=[*range(120), 0, 0, 500, None], langs=[*langs, "aa", "aa", None, "bb"])
+    rows = language.identify(spark, d).collect()
+    assert len(rows) == 124 and [r["lang_pred"] for r in rows if r["doc_id"] == 0] == ["aa"] * 3
+    assert [(r["lang_pred"], r["held_out"]) for r in rows if r["doc_id"] in (500, None)] in ([("bb", zlib.crc32(b"500") % 4 == 2), ("bb", False)],)
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(3)
     sizes = [0, 1, 5, 64, 65, 200]
@@ -405,6 +475,22 @@ def test_top_k_equals_all_scores(spark, scale):
     assert topk.top_k(spark, d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3e7, 1e9, 1e16, 1e30])
+def test_top_k_of_scores_beyond_a_long(spark, size):
+    rng = np.random.default_rng(15)
+    rows = [(i, (rng.normal(size=4) * size).tolist()) for i in range(120)] + [(200, [1e307] * 4), (201, [0.5] * 4)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(spark, d, block_rows=50, query_rows=2).collect())
+    fit = {i: [math.floor(256.0 * y) for y in x] for i, x in rows if i != 200}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(fit[q], y, strict=True)), i) for i, y in fit.items() if i != q)[:5]
+        want += [(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(scored, 1)]
+    assert got == want
+    scores = [0, 5, -5, 2**63 - 1, 2**63, 2**64, 2**200, -(2**63), -(2**63) - 1, -(2**64), -(2**200)]
+    assert sorted(scores) == sorted(scores, key=lambda x: (max(min(x, 2**63 - 1), -(2**63)), topk.beyond(x)))
+
+
 def test_non_adjacent_form():
     for n in range(1, 2000):
         f = topk.non_adjacent(n)
