@@ -15,12 +15,15 @@ the stretches. That is exact, cuts included.
 
 Training maximises the conditional likelihood by stochastic gradient on chains
 that are spliced from stretches of several training texts, so that transitions
-see switches. At most ``per_language`` texts of each language are used, those
-of smallest hash of their id.
+see switches; the expected transitions are the exact probabilities of pairs of
+neighbouring labels. At most ``per_language`` texts of each language are used, of
+``longest`` bytes at most, those of smallest hash of their id; they are what the
+driver gets. There is a set of weights for each language.
 
 Null text and text without a letter gives ``und`` with score 0. Without any
 training text all is ``und``. Rows of a null doc_id are predicted, not learned
-from; repeated rows stay; other columns are not looked at.
+from; repeated rows stay and count once in learning; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,9 +151,39 @@ def marginals(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
     return _norm(alpha[step, lane])
 
 
+def gradients(s: np.ndarray, truth: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of chains of equal length with emission scores ``s`` and true labels ``truth`` (chains, steps, labels): the sum of the log-likelihoods, and its derivatives by s and by move.
+
+    As in ``marginals`` a chain comes from an even mixture of labels before its
+    first word.
+    """
+    chains, steps, n = s.shape
+    a = np.exp(move)
+    e = np.exp(s)
+    forward, backward = np.empty_like(e), np.ones_like(e)
+    x = np.full((chains, n), 1 / n, e.dtype)
+    total = 0.0
+    for t in range(steps):
+        x = (x @ a) * e[:, t]
+        z = x.sum(axis=1, keepdims=True)
+        total += float(np.log(z).sum())
+        x /= z
+        forward[:, t] = x
+    for t in range(steps - 2, -1, -1):
+        backward[:, t] = _norm((e[:, t + 1] * backward[:, t + 1]) @ a.T)
+    p = _norm(forward * backward)
+    # P(label i at t, label j at t + 1) is in proportion to what led to i, the move, and all that follows j
+    pair = forward[:, :-1, :, None] * a * (e * backward)[:, 1:, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    before = a / a.sum(axis=0)  # where a chain's first label comes from
+    right = np.einsum("cti,ctj->ij", truth[:, :-1], truth[:, 1:]) + before * truth[:, 0].sum(axis=0)
+    likelihood = float((s * truth).sum() + (move * np.einsum("cti,ctj->ij", truth[:, :-1], truth[:, 1:])).sum() + (truth[:, 0] @ np.log(a.mean(axis=0))).sum())
+    return likelihood - total, truth - p, right - pair.sum(axis=(0, 1)) - before * p[:, 0].sum(axis=0)
+
+
 def label_words(model: Model, texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of texts, which of them have a letter, and their label probabilities."""
-    w = Words(pa.compute.utf8_lower(texts))
+    w = Words(pc.utf8_lower(texts))
     if not len(w.hash) or not model.labels:
         return w, np.zeros(len(w.hash), bool), np.zeros((len(w.hash), len(model.labels)), np.float32)
     _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -168,7 +202,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 40, c
     n = len(labels)
     if n < 2:
         return model
-    w = Words(pa.compute.utf8_lower(pa.array(texts, pa.string())))
+    w = Words(pc.utf8_lower(pa.array(texts, pa.string())))
     label = np.array([labels.index(x) for x in langs])[w.doc]
     letters = np.concatenate([[0], np.cumsum(_LETTER[w.buf])])
     use = np.flatnonzero(letters[w.end] > letters[w.start])
@@ -191,7 +225,6 @@ def train(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 40, c
     by_label = [use[label[use] == k] for k in range(n)]
     by_label = [x for x in by_label if len(x)]
     g_emit, g_lex, g_move = np.full(model.emit.shape, 1e-2, np.float32), np.full((n, n), 1e-2), np.full((n, n), 1e-2)
-    first = np.arange(chains + 1) * STRETCH
     for _ in range(rounds):
         index = np.empty((chains, STRETCH), np.int64)
         for c in range(chains):  # half of the chains are of one text, half switch a few times
@@ -205,16 +238,10 @@ def train(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 40, c
         lex = np.minimum(np.searchsorted(model.words, w.hash[i]), max(len(model.words) - 1, 0))
         inside = np.where((model.words[lex] == w.hash[i])[:, None], model.lists[lex], 0) if len(model.words) else np.zeros((len(i), n), np.float32)
         s = np.add.reduceat(model.emit[f], at[:-1], axis=0) + inside @ model.lexicon
-        e = np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -30)).astype(np.float32)
-        p = marginals(e, first, model.move)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -30)
         truth = np.eye(n, dtype=np.float32)[label[i]]
-        d = truth - p
-        # expected and true pairs of neighbours; pairs by the product of marginals of the two ends' conditional chain
-        q, t = p.reshape(chains, STRETCH, n), truth.reshape(chains, STRETCH, n)
-        a = np.exp(model.move)
-        pair = q[:, :-1, :, None] * a[None, None] * q[:, 1:, None, :]
-        pair /= np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-30)
-        dm = (np.einsum("cti,ctj->ij", t[:, :-1], t[:, 1:]) - pair.sum(axis=(0, 1))) / chains
+        _, d, dm = gradients(s.reshape(chains, STRETCH, n).astype(np.float64), truth.reshape(chains, STRETCH, n), model.move.astype(np.float64))
+        d, dm = d.reshape(-1, n), dm / chains
         of = np.repeat(np.arange(len(i)), np.diff(at))
         de = np.stack([np.bincount(f, weights=d[of, k], minlength=BUCKETS) for k in range(n)], axis=1).astype(np.float32) / chains
         dl = inside.T @ d / chains
@@ -254,16 +281,29 @@ def _predict(model: Model):
     return run
 
 
-def identify(spark: SparkSession, docs: DataFrame, per_language: int = 400, folds: int = 4, held_out: int = 2) -> DataFrame:
+def training_rows(known: DataFrame, per_language: int, longest: int, salts: int = 64) -> DataFrame:
+    """doc_id, lang and text of at most ``per_language`` different rows of each language.
+
+    Each partition keeps the smallest hashes of each language and salt, then each
+    salt, then each language; so no task sees all rows of one language.
+    """
+    fit = known.filter(F.octet_length("text") <= longest)
+    rows = fit.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("o"))
+    order = ("o", "doc_id", "h")
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts))).orderBy(*order)
+    some = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r").distinct()
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= per_language).select("doc_id", "lang", "h")
+    found = fit.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), ["doc_id", "lang", "h"], "left_semi")
+    return found.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text")).drop("h")
+
+
+def identify(spark: SparkSession, docs: DataFrame, per_language: int = 400, longest: int = 100_000, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score and switches (changes of language between words) of every row; learned from the rows that are not held out."""
     d = only(docs, doc_id="long", text="string", lang="string")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     known = d.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != held_out))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct()
-    sample = known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text").collect()  # per_language texts of each language
-    sample = sorted(sample, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    model = train([r["text"] for r in sample], [r["lang"] for r in sample])
+    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in training_rows(known, per_language, longest).collect())
+    model = train([text for _, _, text in sample], [lang for _, lang, _ in sample])
     if len(set(model.labels)) == 1:
         model.emit = np.zeros((BUCKETS, 1), np.float32)
     out = d.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, switches long")
