@@ -13,8 +13,13 @@ Queries and rows meet block by block: each pair of a block of queries and one
 of rows gives at most k rows for each query, and those are reduced to the k
 best, ties to the smaller vec_id.
 
+All sums are exact at any size of components: slices have no width, and where
+products could leave 64 bits they are of whole numbers without bounds. A score
+beyond a long is ranked by its true value and shown as the nearest long.
+
 Vectors that are null or empty or hold null or non-finite components take no part, nor
-do rows of a null id. A query whose width differs from a row's does not meet
+do those with a component whose ``scale`` fold is not finite as a double, nor
+rows of a null id. A query whose width differs from a row's does not meet
 it. Repeated rows are rows; a query is not compared with any row of its own
 id. Empty tables give an empty result. Other columns are ignored.
 """
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,19 +39,14 @@ from .common import kept, only
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def quantised(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component x as a double, exact for all that a long holds."""
-    return F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-
-
 def _narrowest(values: np.ndarray) -> str:
-    """The smallest integer type that holds the values."""
-    low, high = int(values.min(initial=0)), int(values.max(initial=0))
-    return next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    """The smallest type that holds the whole numbers, given as doubles; those beyond 62 bits stay doubles, which hold them exactly."""
+    low, high = float(values.min(initial=0)), float(values.max(initial=0))
+    return next((t for t in ("<i1", "<i2", "<i4") if np.iinfo(t).min <= low and high <= np.iinfo(t).max), "<i8" if max(-low, high) < 2.0**62 else "<f8")
 
 
-def _pack(rows: int):
-    """Blocks of up to ``rows`` vectors of one width: ids and values as bytes, and the type of the values."""
+def _pack(rows: int, scale: float):
+    """Blocks of up to ``rows`` vectors of one width: ids and values, floor(scale * x), as bytes, and the type of the values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,11 +65,11 @@ def _pack(rows: int):
         for b in batches:
             ids = b.column("vec_id").to_numpy()
             lists = b.column("v")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            offsets, values = lists.offsets.to_numpy(), np.floor(scale * lists.values.to_numpy(zero_copy_only=False))
             sizes = np.diff(offsets)
             for w in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == w)
-                x = values[(offsets[of][:, None] + np.arange(w)[None, :]).ravel()].reshape(len(of), w) if w else np.zeros((len(of), 0), np.int64)
+                x = values[(offsets[of][:, None] + np.arange(w)[None, :]).ravel()].reshape(len(of), w) if w else np.zeros((len(of), 0))
                 for i in range(0, len(of), rows):
                     have = held.setdefault(w, [])
                     have.append((ids[of[i : i + rows]], x[i : i + rows]))
@@ -95,16 +95,18 @@ class SlicedIndex:
         self.shift = shift
         q = values >> shift  # floor
         self.low = q.min(axis=0)
-        q = (q - self.low).astype(np.uint64)
+        q = q - self.low
+        if values.dtype != object:
+            q = q.astype(np.uint64)
         self.bits = int(q.max(initial=0)).bit_length()
         words = -(-self.rows // 64)
         self.words = words
-        padded = np.zeros((words * 64, values.shape[1]), np.uint64)
+        padded = np.zeros((words * 64, values.shape[1]), q.dtype)
         padded[: self.rows] = q
         # planes[d * bits + b] is the bitmap of bit b of attribute d
         self.planes = np.zeros((values.shape[1] * self.bits, words), np.uint64)
         for b in range(self.bits):
-            on = ((padded >> np.uint64(b)) & np.uint64(1)).astype(bool)
+            on = ((padded >> b) & 1).astype(bool) if q.dtype == object else ((padded >> np.uint64(b)) & np.uint64(1)).astype(bool)
             self.planes[b :: self.bits] = np.ascontiguousarray(np.packbits(on.T, axis=1, bitorder="little")).view(np.uint64)
         every = np.zeros(words * 64, bool)
         every[: self.rows] = True
@@ -179,7 +181,7 @@ class SlicedIndex:
                 sure |= both
                 maybe = maybe & ~total[i]
         # exact = step * approximate + error, error between sums of the query's negative and positive parts times (step - 1)
-        lost = ((1 << self.shift) - 1) * int(np.abs(query).sum())
+        lost = ((1 << self.shift) - 1) * sum(abs(x) for x in query.tolist())
         bound = threshold - -(-lost // (1 << self.shift))
         return _places(self._at_least(total, bound, allowed))
 
@@ -215,7 +217,30 @@ def non_adjacent(n: int) -> list[tuple[int, int]]:
 
 
 def _values(data: bytes, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(data, kind).reshape(-1, max(width, 1))[:, :width].astype(np.int64)
+    x = np.frombuffer(data, kind).reshape(-1, max(width, 1))[:, :width]
+    if kind != "<f8":
+        return x.astype(np.int64)
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products, as 64-bit numbers if none can be beyond them, else as Python's."""
+    most = max((abs(v) for v in query.tolist()), default=0) * int(max(rows.max(initial=0), -rows.min(initial=0))) * len(query)
+    if rows.dtype != object and most < 1 << 63:
+        return rows @ query.astype(np.int64)
+    return np.array([sum(a * b for a, b in zip(r, query.tolist(), strict=True)) for r in rows.tolist()], object)
+
+
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def beyond(score: int) -> bytes:
+    """Bytes that order scores which one long stands for."""
+    if _LONG[0] <= score <= _LONG[1]:
+        return b"\x80"
+    size = (abs(score).bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\xff" + data if score > 0 else b"\x00" + bytes(255 - x for x in data)
 
 
 def _meet(k: int, shift: int):
@@ -244,28 +269,38 @@ def _meet(k: int, shift: int):
                     rows = index.top(v, k, allowed)
                     if not len(rows):
                         continue
-                    score = index.exact[rows] @ v
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    out.append((np.full(len(best), q), ids[rows][best], score[best]))
+                    score = products(index.exact[rows], v)
+                    if score.dtype == object:
+                        best = np.array(sorted(range(len(rows)), key=lambda i: (-score[i], ids[rows[i]]))[:k])
+                        more = [beyond(x) for x in score[best]]
+                        shown = np.array([min(max(x, _LONG[0]), _LONG[1]) for x in score[best]], np.int64)
+                    else:
+                        best = np.lexsort((ids[rows], -score))[:k]
+                        more, shown = [b"\x80"] * len(best), score[best]
+                    out.append((np.full(len(best), q), ids[rows][best], shown, np.array(more, object)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "more"])
 
     return run
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, step_bits: int = 2, block_rows: int = 16_384, query_rows: int = 512) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows for each row whose vec_id is divisible by ``every``."""
+def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, step_bits: int = 2, block_rows: int = 16_384, query_rows: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best rows for each row whose vec_id is divisible by ``every``; a component x counts as floor(scale * x)."""
     v = only(vectors, vec_id="long", embedding="array<double>")
-    fit = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    fit = fit.filter(F.size("embedding") > 0).select("vec_id", quantised(F.col("embedding")).alias("v"))
+    fit = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * float(scale)) < float("inf"))))
+    fit = fit.filter(F.size("embedding") > 0).select("vec_id", F.col("embedding").alias("v"))
     schema = "block long, width int, kind string, ids binary, vectors binary"
-    rows = kept(spark, fit.mapInArrow(_pack(block_rows), schema))
-    queries = kept(spark, fit.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_pack(query_rows), schema))
-    # every block of queries meets every block of rows of its width: a stated query set against all rows, in blocks
-    names = rows.select(F.col("block").alias("row_block"), "width").join(queries.select(F.col("block").alias("query_block"), "width"), "width")
+    rows = kept(spark, fit.mapInArrow(_pack(block_rows, float(scale)), schema))
+    queries = kept(spark, fit.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_pack(query_rows, float(scale)), schema))
+    # every block of queries meets every block of rows of its width: a stated query set against all rows, in blocks;
+    # the pairs of numbers are dealt by the row block, as most blocks have one width
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_rows = rows.select(F.col("block").alias("row_block"), "width", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    of_queries = queries.select(F.col("block").alias("query_block"), "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    names = of_rows.join(of_queries, ["width", "salt"]).select("row_block", "query_block", "width")
     met = names.join(queries.select(F.col("block").alias("query_block"), F.col("kind").alias("query_kind"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "query_block")
     met = met.join(rows.select(F.col("block").alias("row_block"), "kind", "ids", "vectors"), "row_block")
     met = met.select(F.col("row_block").alias("block"), "width", "kind", "ids", "vectors", "query_kind", "query_ids", "queries").sortWithinPartitions("block")
-    best = met.mapInArrow(_meet(k, step_bits), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = met.mapInArrow(_meet(k, step_bits), "query_id long, vec_id long, score long, more binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("more"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
