@@ -446,6 +446,8 @@ def test_decontamination(spark):
     found = decontamination.contaminated(spark, d, bench).collect()
     got = {(r["doc_id"], r["item_id"]): (round(r["coverage"], 3), r["n_tiles"]) for r in found}
     assert got == {(50, 1): (1.0, 1), (51, 4): (1.0, 2), (52, 5): (1.0, 1), (53, None): (1.0, 1), (54, 6): (1.0, 1), (54, 7): (1.0, 1)}
+    again = decontamination.contaminated(spark, frame(spark, ["say two words now", "two", "words two"]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["tiles"]) for r in again] == [(0, 31, "1:0:2")]  # a short item as a whole
     sliced = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark, d, bench, slice_words=300).collect()}
     assert sliced == set(got)
     kept = decontamination.decontaminated(spark, d, bench)
@@ -453,6 +455,47 @@ def test_decontamination(spark):
     assert decontamination.contaminated(spark, d.limit(0), bench).count() == 0 and decontamination.contaminated(spark, d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_all_pairs(spark):
+    """Every pair of a document and an item by a plain greedy tiling over all seeds, hot phrases and short items included."""
+    rng = random.Random(31)
+    phrase = "one phrase that many items share"
+    items = [f"{phrase} {words(rng, rng.randint(2, 9), 30)}" for _ in range(40)] + [words(rng, rng.randint(1, 12), 12) for _ in range(40)]
+    items += [items[0], "\u4f60\u597d\u4e16\u754c\u548c\u5e73", "Quoted \u2014 words, \u201cwith signs\u201d, in between them"]
+    docs = [words(rng, rng.randint(0, 60), 12) for _ in range(60)] + [f"{words(rng, 5, 30)} {rng.choice(items[:40])} {rng.choice(items[:40])}" for _ in range(30)]
+    docs += [phrase, "a \u4f60\u597d\u4e16\u754c\u548c\u5e73 b", 'quoted - words "with signs" in\u00a0between \u00abthem\u00bb', "x " * 50_000 + items[3]]
+    plain = lambda t: re.sub(r"([\u4e00-\u9fff])", r" \1 ", re.sub(r"[^\w]+", " ", t)).lower().split()
+    want = set()
+    for i, doc in enumerate(map(plain, docs)):
+        for j, item in enumerate(map(plain, items)):
+            k = min(4, len(item))
+            at: dict = {}
+            for p in range(len(item) - k + 1):
+                at.setdefault(tuple(item[p : p + k]), []).append(p)
+            pairs = [(x, p) for x in range(len(doc) - k + 1) for p in at.get(tuple(doc[x : x + k]), ())]
+            if not pairs:
+                continue
+            number = {x: n for n, x in enumerate(sorted({*doc, *item}))}
+            tiles = decontamination.tile(np.array([number[x] for x in doc]), np.array([number[x] for x in item]), decontamination.longest_matches(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), k), k)
+            if sum(t[2] for t in tiles) / len(item) >= 0.6:
+                want.add((i, j, ",".join(f"{x}:{y}:{n}" for x, y, n in tiles)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["tiles"]) for r in decontamination.contaminated(spark, frame(spark, docs, clash=True), bench).collect()]
+    assert sorted(got) == sorted(want) and len({j for _, j, _ in want}) > 40
+    left = {r["doc_id"] for r in decontamination.decontaminated(spark, frame(spark, docs), bench, slice_words=100).collect()}
+    assert left == set(range(len(docs))) - {i for i, _, _ in want}
+
+
+def test_a_phrase_of_very_many_items_makes_no_pairs():
+    rng = random.Random(32)
+    items = [(i, f"one phrase that many items share {words(rng, 8, 10**6)}") for i in range(20_000)]
+    seeds = decontamination.Seeds(items, 4, 0.6)
+    texts = pa.array([f"{words(rng, 200)} one phrase that many items share {words(rng, 200)} {items[77][1]}"])
+    w = decontamination.split_words(texts)
+    h = decontamination._rolled(w.hash, 4)
+    assert decontamination._met(h, np.ones(len(h), bool), w.doc, seeds.tables[4])[1].tolist() == [77]
+    assert [(r, i, c) for r, i, c, _ in decontamination.held(texts, seeds)] == [(0, 77, 1.0)]
+
+
 @pytest.mark.parametrize("scale", [0.1, 30.0])
 def test_top_k_equals_all_scores(spark, scale):
     rng = np.random.default_rng(13)
