@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,10 @@ def bounded(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` with (left_semi) or without (left_anti) the doc_ids of ``ids``, which has one column and no nulls; texts are shuffled only for very many ids."""
-    some = kept(spark, ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "doc_id", how).select(docs.columns)
+def by_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the values of ``column`` in ``ids``, none of them null; texts are shuffled only for very many ids."""
+    some = kept(spark, ids.select(column).distinct())
+    return docs.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, column, how).select(docs.columns)
 
 
 def only(df: DataFrame, **kinds: str) -> DataFrame:
@@ -75,7 +77,7 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", chars: in
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         at = total = 0
         for i, n in enumerate(sizes.tolist()):
             if i > at and total + n > chars:
@@ -93,3 +95,28 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not this C library
         pass
+
+
+def sums(values: np.ndarray, chunk: int, kind: str) -> pa.RecordBatch:
+    """An array in chunks of whole numbers or doubles, as rows for summed()."""
+    at = range(0, len(values), chunk)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([values[i : i + chunk].astype(kind).tobytes() for i in at])], names=["chunk", "values"])
+
+
+def summed(spark: SparkSession, rows: DataFrame, size: int, chunk: int, kind: str) -> np.ndarray:
+    """The sum of arrays that tasks sent in chunks (chunk, values): each chunk is added up by one task, the driver gets one array of ``size``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # a task has few chunks, of bounded size each
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, kind).astype(np.float64 if kind[1] == "f" else np.int64)
+                held[k] = held[k] + x if k in held else x
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()])], names=["chunk", "values"])
+
+    out = np.zeros(size, np.float64 if kind[1] == "f" else np.int64)
+    for r in rows.repartition("chunk").mapInArrow(add, "chunk int, values binary").collect():
+        x = np.frombuffer(r["values"], out.dtype)
+        out[r["chunk"] * chunk : r["chunk"] * chunk + len(x)] = x
+    return out

@@ -2,30 +2,35 @@
 
 A document's set are its distinct shingles of k words. Two sets x and y link
 when 100 * |x & y| >= p * |x | y|, that is when they share at least
-T = ceil(p * (|x| + |y|) / (100 + p)) shingles. DivideSkip divides the
-inverted lists that a query meets into its T - 1 longest and the rest. An
-answer must appear on one of the rest, so only those short lists are merged;
-the long lists are not read, they are probed: a candidate's sorted shingles
-are searched for each of the query's others, until T cannot be reached.
+T = ceil(p * (|x| + |y|) / (100 + p)) shingles: y must occur T times or more on
+the inverted lists of x's shingles.
 
 How it is laid out on a cluster:
 
-1. One pass counts shingles that several documents of a batch share. The
-   counts only order the shingles (by the logarithm of the count, then by
-   hash): any order gives right results, this one keeps the short lists short.
+1. One pass counts all shingles of all documents in a sketch of fixed size. The
+   counts only order the shingles (by the logarithm of what a shingle's cell
+   has above the mean cell, then by hash): any order gives right results, this
+   one puts long lists last.
 2. A second pass gives each document a digest of its set and its short part,
-   the |x| - ceil(p * |x| / 100) + 1 first shingles. Equal sets become one class.
-3. The short parts are dealt by shingle and sorted: the merged short lists.
-   Links are wanted for classes, not pairs, so a list first emits only pairs
-   with its leader, the member with the fewest rare shingles (a member of
-   many near copies is close to that one). Sizes and places that rule out T
-   drop a pair.
+   the |x| - ceil(p * |x| / 100) + 1 first shingles: partners meet on one of
+   these lists at least. Equal sets become one class.
+3. The short parts are dealt by shingle. Links are wanted for classes, not
+   pairs, so a list first emits only pairs with its leader, the member with the
+   fewest rare shingles (a member of many near copies is close to that one).
+   Sizes and places that rule out T drop a pair. A list that the sketch calls
+   very long is split over several tasks, whose leaders meet once more.
 4. Short parts of paired documents rule out most pairs that do not link: up
-   to the earlier of their ends all that the two share is known. The sets of
-   the others are read again and decided by probing.
-5. Members linked to one leader share a label. Lists with several labels then
-   emit the pairs across labels that were not yet tried, in the same way; so
-   no link between components is lost. All links make the components.
+   to the earlier of their ends all that the two share is known.
+5. Pairs that are left go to their leader as a query, whose set is sent once.
+   Its candidates' sets make inverted lists of the query's shingles, and
+   DivideSkip decides: the L longest lists are put aside, the others are merged
+   on a heap, counting each candidate's occurrences; who has T - L or more is
+   probed for in the long lists by binary search, until T is reached or out of
+   reach. A query with many candidates is split.
+6. Members linked to one leader share a label. Lists with several labels then
+   emit the pairs across labels that were not yet tried, in the same way (split
+   lists block by block); so no link between components is lost. All links make
+   the components.
 
 Null or empty text has an empty set and links with nothing. Rows of a null
 doc_id link with nothing and have a null component. Rows that share a doc_id
@@ -34,14 +39,17 @@ count as one document in links. Repeated rows stay. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, dropped, in_pieces, kept, only
+from .common import by_ids, dropped, in_pieces, kept, only, summed, sums
 from .components import components
 from .words import U, Words, mix, runs
 
@@ -74,61 +82,71 @@ def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def probe(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    """Whether the sorted sets share ``need`` values: the smaller one's values are searched in the other, in four parts, until too many are missing."""
-    if len(x) > len(y):
-        x, y = y, x
-    slack = len(x) - need
-    if slack < 0:
-        return False
-    missing = 0
-    step = max(64, -(-len(x) // 4))
-    for i in range(0, len(x), step):
-        part = x[i : i + step]
-        at = np.searchsorted(y, part)
-        missing += int((y[np.minimum(at, len(y) - 1)] != part).sum())
-        if missing > slack:
-            return False
-    return True
-
-
-def _repeated(k: int, hold: int = 1_000_000):
-    """Shingles that several documents of a batch have, with their numbers of documents."""
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: np.ndarray, weight: float = 0.1) -> list[int]:
+    """Which of the sorted ``sets`` share ``need`` values or more with the sorted query. ``weight`` sets how many lists count as long; results do not depend on it."""
+    members = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.minimum(np.searchsorted(query, members), len(query) - 1)
+    hit = query[at] == members
+    at, owner = at[hit], owner[hit]  # in order of owners, so every list is sorted
+    order = np.argsort(at, kind="stable")
+    first, size = runs(at[order])
+    owners = owner[order].tolist()
+    lists = [owners[i : i + n] for i, n in sorted(zip(first.tolist(), size.tolist(), strict=True), key=lambda p: p[1])]
+    if not lists:
+        return []
+    least = int(need.min())
+    long = max(0, min(least - 1, int(least / (weight * np.log2(len(lists[-1])) + 1)), len(lists)))
+    short, skipped = lists[: len(lists) - long], lists[len(lists) - long :]
+    out, required = [], need.tolist()
+    for doc, times in groupby(heapq.merge(*short)):
+        count = sum(1 for _ in times)
+        left = len(skipped)
+        for x in skipped:
+            if count >= required[doc] or count + left < required[doc]:
+                break
+            left -= 1
+            i = bisect_left(x, doc)
+            count += i < len(x) and x[i] == doc
+        if count >= required[doc]:
+            out.append(doc)
+    return out
+
+
+SKETCH_BITS = 20
+_CHUNK = 1 << 16
+
+
+def _cells(sets: np.ndarray) -> np.ndarray:
+    return (mix(sets) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(k: int):
+    """How many shingles of the task's sets fall into each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, size = [], [], 0
+        count = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in in_pieces(batches, chars=3_000_000):
             sets = list(shingle_sets(b.column("text"), k))
-            every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            at, n = runs(every)
-            words.append(every[at[n > 1]])
-            counts.append(n[n > 1])
-            size += len(words[-1])
-            if size > hold:
-                yield _summed(words, counts)
-                words, counts, size = [], [], 0
-        if words:
-            yield _summed(words, counts)
+            if sets:
+                count += np.bincount(_cells(np.concatenate(sets)), minlength=len(count))
+        if count.any():
+            yield sums(count, _CHUNK, "<i8")
 
     return run
 
 
-def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    known, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], names=["s", "n"])
+def levels(count: np.ndarray) -> np.ndarray:
+    """By cell, the logarithm of its count above the mean; 0 for up to 8 above it."""
+    return np.clip(np.log2(np.maximum((count - count.mean()) / 4, 1)), 0, 31).astype(np.uint64)
 
 
-def ordered(sets: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+def ordered(sets: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Keys of a set's shingles in the order of all lists: the level of frequency in the 5 leading bits, then 59 bits of the hash."""
-    key = sets >> U(5)
-    if len(frequent) and len(sets):
-        at = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
-        key |= np.where(frequent[at] == sets, level[at], U(0)) << U(59)
-    return np.sort(key)
+    return np.sort((sets >> U(5)) | level[_cells(sets)] << U(59))
 
 
-def _short_parts(k: int, percent: int, frequent: np.ndarray, level: np.ndarray):
+def _short_parts(k: int, percent: int, level: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches):
             sizes, high, low, rare, parts = [], [], [], [], []
@@ -137,7 +155,7 @@ def _short_parts(k: int, percent: int, frequent: np.ndarray, level: np.ndarray):
                 # two sums of differently mixed shingles: 128 bits for the set
                 high.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 low.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-                keys = ordered(s, frequent, level)
+                keys = ordered(s, level)
                 rare.append(int(np.searchsorted(keys, U(1 << 59))))
                 sizes.append(n)
                 parts.append(keys[: short_part(n, percent)].view(np.int64))
@@ -189,7 +207,7 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
 
 
 def _led(percent: int, rows: int = 100_000):
-    """Members of the lists of two members or more; ``lead`` is the list's leader where the two can share enough."""
+    """Members of the lists of two members or more, with the list's leader, and whether the two can share enough."""
     names = ["s", "doc", "n", "rare", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +226,23 @@ def _led(percent: int, rows: int = 100_000):
             yield table(out)
 
     def table(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-        *cols, lead, ok = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(lead, mask=~ok)], names=[*names, "lead"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[*names, "lead", "fits"])
 
     return run
 
 
 def _across(percent: int):
-    """Pairs of a list's members with different labels, less those with the leader, which were tried."""
+    """Pairs of a list's members with different labels. Of a block of two parts of a list, only pairs of both parts; else less those with the leader, which were tried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         size = 0
-        for _, doc, n, rare, place, comp in _lists(batches, ("s", "doc", "n", "rare", "place", "comp")):
+        for _, doc, n, rare, place, comp, side in _lists(batches, ("s", "doc", "n", "rare", "place", "comp", "side")):
             ids, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
             if len(ids) < 2:
                 continue
-            lead = int(np.lexsort((doc, rare))[0])
+            two = bool((side != side[0]).any())
+            lead = -1 if two else int(np.lexsort((doc, rare))[0])
             # every pair across components has a member outside the largest one
             outside = np.flatnonzero(inverse != int(count.argmax()))
             order = np.argsort(n, kind="stable")
@@ -235,7 +253,7 @@ def _across(percent: int):
                 lo = np.searchsorted(sizes, -(-percent * n[i] // 100))
                 hi = np.searchsorted(sizes, 100 * n[i] // percent, "right")
                 j = order[lo:hi]
-                j = j[(comp[j] != comp[i]) & (j != lead) & (doc[j] != doc[i])]
+                j = j[(comp[j] != comp[i]) & (j != lead) & (doc[j] != doc[i]) & ((not two) | (side[j] != side[i]))]
                 j = j[_possible(n[i], n[j], place[i], place[j], percent)]
                 if len(j):
                     out.append(np.stack([np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])]))
@@ -290,60 +308,97 @@ def _hopeful(percent: int):
     return run
 
 
-def _decide(percent: int):
-    """Pairs that link, of rows a, b, x, y with the sets of a and b."""
+def _search(percent: int, together: int = 256):
+    """Pairs that link, of rows query, part, doc, members in order: a query's own set first (several where rows share its id), then its candidates'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, docs, sets = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            size = np.array([len(x) for x in sets], np.int64)
+            hits = sorted({docs[i] for q in queries for i in divide_skip(q, sets, required(size, len(q), percent))}) if docs else []
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(hits) if now else [], pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
+
         for b in batches:
-            keep = []
-            xs, ys = b.column("x"), b.column("y")
-            xo, yo = xs.offsets.to_numpy(), ys.offsets.to_numpy()
-            xv, yv = xs.values.to_numpy().view(np.uint64), ys.values.to_numpy().view(np.uint64)
-            for i in range(b.num_rows):
-                x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                if len(x) and len(y):
-                    keep.append(probe(x, y, int(required(len(x), len(y), percent))))
+            members = b.column("members")
+            offset, value = members.offsets.to_numpy(), members.values.to_numpy().view(np.uint64)
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("query", "part", "doc")), strict=True)):
+                if key[:2] != now or len(docs) == together:
+                    yield found()
+                    docs, sets = [], []
+                    if key[:2] != now:
+                        now, queries = key[:2], []
+                x = value[offset[i] : offset[i + 1]]
+                if not len(x):
+                    continue
+                if key[2] == key[0]:
+                    queries.append(x)
                 else:
-                    keep.append(False)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    docs.append(key[2])
+                    sets.append(x)
+        yield found()
 
     return run
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, levelled: int = 1_000_000) -> DataFrame:
+def similar_documents(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, hot_bits: int = 17) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    ``levelled``: so many of the most frequent shingles have their frequency
-    known to the order (12 MB); the others count as rare. Results do not
-    depend on it.
+    ``hot_bits``: a list of which the sketch has more than 2 to this power members
+    is split into parts of about that size. Results do not depend on it.
     """
     d = only(docs, doc_id="long", text="string")
-    often = d.mapInArrow(_repeated(k), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= 8)
-    often = sorted((r["s"] % (1 << 64), r["n"]) for r in often.orderBy(F.desc("n"), "s").limit(levelled).collect())
-    frequent = np.array([s for s, _ in often], np.uint64)
-    level = np.minimum(np.log2(np.maximum([n for _, n in often], 1)), 31).astype(np.uint64)
-    every = kept(spark, d.mapInArrow(_short_parts(k, percent, frequent, level), "doc_id long, n long, d1 long, d2 long, rare long, part array<long>"))
-
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("rare").alias("rare"), F.first("part").alias("part"))
-    classes = kept(spark, classes)
-    postings = classes.select("doc", "n", "rare", F.posexplode("part").alias("place", "s")).select("s", "doc", "n", "rare", F.col("place").cast("long").alias("place"))
-    lists = kept(spark, postings.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_led(percent), "s long, doc long, n long, rare long, place long, lead long"))
-    first = kept(spark, lists.filter("lead is not null").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct())
-    links = _linked(spark, d, classes, first, k, percent)
+    level = levels(summed(spark, d.mapInArrow(_sketch(k), "chunk int, values binary"), 1 << SKETCH_BITS, _CHUNK, "<i8"))
+    every = d.mapInArrow(_short_parts(k, percent, level), "doc_id long, n long, d1 long, d2 long, rare long, part array<long>")
+    wide = kept(spark, every.withColumn("row", F.monotonically_increasing_id()))
+    keys = ["n", "d1", "d2"]
+    every = kept(spark, wide.select("doc_id", *keys, "row"))
+    full = every.filter("n > 0 and doc_id is not null")
+    reps = kept(spark, full.groupBy(*keys).agg(F.min(F.struct("doc_id", "row")).alias("m")).select(*keys, F.col("m.doc_id").alias("doc"), "m.row"))
+    copies = full.select(*keys, "row").join(reps.select(*keys, F.col("row").alias("kept")), keys).filter("row <> kept").select("row")
+    classes = kept(spark, by_ids(spark, wide.filter("n > 0 and doc_id is not null"), copies, "left_anti", "row").select(*keys, F.col("doc_id").alias("doc"), "rare", "part"))
+    dropped(spark, wide)
+
+    # the lists; a part's number stands in the last 20 bits of a split list's key
+    members = classes.select("doc", "n", "rare", F.posexplode("part").alias("place", "s"))
+    split = F.shiftrightunsigned("s", 59) + 2 - hot_bits
+    whole = F.shiftleft(F.shiftrightunsigned("s", 20), 20)
+    parts = F.pow(F.lit(2.0), F.least(split, F.lit(20))).cast("long")
+    part = F.pmod(F.xxhash64("doc"), parts)
+    members = members.select(F.when(split > 0, whole + part).otherwise(F.col("s")).alias("s"), "doc", "n", "rare", F.col("place").cast("long").alias("place"))
+    schema = "s long, doc long, n long, rare long, place long, lead long, fits boolean"
+    lists = kept(spark, members.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_led(percent), schema))
+    hot = split > 0
+    paired = lambda x: x.filter("fits").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"))
+    heads = lists.filter(hot & (F.col("doc") == F.col("lead"))).select(whole.alias("s"), "doc", "n", "rare", "place")
+    first = kept(spark, paired(lists).unionAll(paired(heads.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_led(percent), schema))).distinct())
+    twice = full.groupBy("doc_id", *keys).count().filter("count > 1").limit(1).count() > 0
+    links = _linked(spark, d, classes, first, k, percent, twice)
     links = _with_shared_ids(spark, links, every, classes)
     # members linked to one leader get one label; only pairs across labels are still open
     known = kept(spark, _labels(links))
     shared = lists.join(known, "doc", "left").select("s", "doc", "n", "rare", "place", F.coalesce("label", "doc").alias("comp"))
-    second = shared.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_across(percent), "a long, b long").distinct()
+    second = shared.filter(~hot).withColumn("side", F.lit(0).cast("long")).unionByName(_blocks(members.filter(hot), known, whole, parts))
+    second = second.repartition("s").sortWithinPartitions("s", "doc").mapInArrow(_across(percent), "a long, b long").distinct()
     second = kept(spark, second.join(first, ["a", "b"], "left_anti"))
-    more = _linked(spark, d, classes, second, k, percent)
+    more = _linked(spark, d, classes, second, k, percent, twice)
     found = components(spark, links.unionByName(more))
 
-    reps = classes.select("n", "d1", "d2", F.col("doc")).join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("c"))
-    rows = every.select("doc_id", "n", "d1", "d2")
-    full = rows.filter("n > 0 and doc_id is not null").join(reps, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    named = reps.select(*keys, "doc").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select(*keys, F.coalesce("component", "doc").alias("c"))
+    rows = every.select("doc_id", *keys)
+    linked = rows.filter("n > 0 and doc_id is not null").join(named, keys).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     rest = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(rest)
+    return linked.unionByName(rest)
+
+
+def _blocks(members: DataFrame, known: DataFrame, whole: Column, parts: Column) -> DataFrame:
+    """Members of split lists with several labels, once for each pair of parts that has theirs; the key of a block replaces the list's."""
+    # a part of one member is on no list of two; so members come from the short parts themselves
+    rows = members.join(known, "doc", "left").select(whole.alias("l"), F.col("s").bitwiseAND(F.lit((1 << 20) - 1)).alias("side"), parts.alias("parts"), "doc", "n", "rare", "place", F.coalesce("label", "doc").alias("comp"))
+    several = rows.groupBy("l").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("l")
+    rows = rows.join(several, "l", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    block = F.xxhash64("l", F.least("side", "other"), F.greatest("side", "other"))
+    return rows.select(block.alias("s"), "doc", "n", "rare", "place", "comp", "side")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -364,17 +419,29 @@ def _with_shared_ids(spark: SparkSession, links: DataFrame, every: DataFrame, cl
     return links.unionByName(several.join(least, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b"))
 
 
-def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets share enough: first by the short parts, then by the sets of the rest."""
-    parts = classes.select("doc", "n", "rare", "part")
+def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, twice: bool, candidates: int = 1000) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets share enough: first by the short parts, then by the sets of the rest. ``twice``: rows are repeated."""
+    ids = lambda x: x.select(F.col("a").alias("doc")).unionAll(x.select(F.col("b").alias("doc")))
+    parts = by_ids(spark, classes, ids(pairs), "left_semi", "doc").select("doc", "n", "part")
     both = pairs.join(parts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("part").alias("y")), "b")
     both = both.join(parts.select(F.col("doc").alias("a"), "n", F.col("part").alias("x")), "a")
     pairs = kept(spark, both.select("a", "b", "n", "m", "x", "y").mapInArrow(_hopeful(percent), "a long, b long").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-    sets = kept(spark, by_ids(spark, d.filter("doc_id is not null"), ids, "left_semi").mapInArrow(_sets(k), "doc long, members array<long>"))
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("x")), "a")
-    links = kept(spark, both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long").distinct())
-    dropped(spark, pairs, sets)
+    texts = by_ids(spark, d.filter("doc_id is not null"), ids(pairs).withColumnRenamed("doc", "doc_id"), "left_semi")
+    if twice:
+        texts = texts.groupBy("doc_id", F.xxhash64("text")).agg(F.min("text").alias("text"))
+    sets = kept(spark, texts.select("doc_id", "text").mapInArrow(_sets(k), "doc long, members array<long>"))
+    # the document with more partners is the query
+    degree = ids(pairs).groupBy("doc").count()
+    of = lambda x, n: degree.select(F.col("doc").alias(x), F.col("count").alias(n))
+    asked = pairs.join(of("a", "na"), "a").join(of("b", "nb"), "b")
+    swap = F.col("nb") > F.col("na")
+    asked = asked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("query"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("doc"), F.greatest("na", "nb").alias("count"))
+    asked = kept(spark, asked.select("query", F.pmod(F.xxhash64("doc"), F.ceil(F.col("count") / candidates)).alias("part"), "doc"))
+    rows = asked.join(sets, "doc").select("query", "part", "doc", "members")
+    own = asked.select("query", "part").distinct().join(sets.withColumnRenamed("doc", "query"), "query").select("query", "part", F.col("query").alias("doc"), "members")
+    rows = rows.unionAll(own).repartition("query", "part").sortWithinPartitions("query", "part", F.col("doc") != F.col("query"))
+    links = kept(spark, rows.mapInArrow(_search(percent), "a long, b long").distinct())
+    dropped(spark, pairs, sets, asked)
     return links
 
 

@@ -68,8 +68,8 @@ def test_jaccard_equals_all_pairs(spark):
                 root[b] = a
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(spark, frame(spark, texts, clash=True)).collect()}
     assert got == {i: (len(s[i]), find(i)) for i in range(len(texts))}
-    # the order of shingles does not change the result
-    again = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(spark, frame(spark, texts), levelled=3).collect()}
+    # lists split into parts give the same
+    again = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(spark, frame(spark, texts), hot_bits=1).collect()}
     assert again == got
 
 
@@ -82,13 +82,15 @@ def test_jaccard_edges(spark):
     assert kept.columns == d.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([7, None, 3, 1, 7], key=str)
 
 
-def test_probe_and_bounds():
+def test_divide_skip_equals_counting():
     rng = np.random.default_rng(2)
     for _ in range(200):
-        x, y = (np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(2))
-        both = len(np.intersect1d(x, y))
-        for need in (1, both, both + 1):
-            assert jaccard.probe(x, y, need) == (both >= need)
+        query = np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64))
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(rng.integers(1, 20))]
+        need = rng.integers(1, 30, len(sets))
+        want = [i for i, x in enumerate(sets) if len(np.intersect1d(query, x)) >= need[i]]
+        for weight in (0.0, 0.1, 5.0):
+            assert jaccard.divide_skip(query, sets, need, weight) == want
 
 
 def test_components_of_chains(spark):
