@@ -419,7 +419,7 @@ def _with_shared_ids(spark: SparkSession, links: DataFrame, every: DataFrame, cl
     return links.unionByName(several.join(least, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b"))
 
 
-def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, twice: bool, candidates: int = 1000) -> DataFrame:
+def _linked(spark: SparkSession, d: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, twice: bool, candidates: int = 256) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets share enough: first by the short parts, then by the sets of the rest. ``twice``: rows are repeated."""
     ids = lambda x: x.select(F.col("a").alias("doc")).unionAll(x.select(F.col("b").alias("doc")))
     parts = by_ids(spark, classes, ids(pairs), "left_semi", "doc").select("doc", "n", "part")
