@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,21 +18,29 @@ _PREFIXES = {"Test": "test ", "Function": "func ", "Class": "class ", "Struct":
 def greedy(rows: DataFrame, budget: int, keys: list[str] | None = None, omission: int = OMISSION_TOKENS, key: str = "path", cost: str = "cost") -> DataFrame:
     """Rows with ``admitted`` and ``marked``: in order of ``key`` a row is admitted if it still fits, else marked as omitted if ``omission`` tokens still fit; later, smaller rows go on being tried.
 
-    The fold is sequential by nature: it runs over one sorted array of (key,
-    cost) for each of ``keys`` (a workspace), and nothing else is in the array.
+    The fold is sequential by nature: the keys and costs of each of ``keys`` (a
+    workspace) stream in order through one task, which holds one sum.
     """
-    group = [F.col(k) for k in keys or []]
-    item = F.struct(F.col(key).alias("k"), F.col(cost).cast("long").alias("c"))
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<k:string,admitted:boolean,marked:boolean>>").alias("out"))
-
-    def merge(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["c"] <= budget
-        marks = ~fits & (s["used"] + omission <= budget) if omission else F.lit(False)
-        used = s["used"] + F.when(fits, x["c"]).when(marks, F.lit(omission)).otherwise(F.lit(0))
-        return F.struct(used.cast("long").alias("used"), F.concat(s["out"], F.array(F.struct(x["k"].cast("string").alias("k"), fits.alias("admitted"), marks.alias("marked")))).alias("out"))
-
-    folded = rows.groupBy(*group).agg(F.aggregate(F.array_sort(F.collect_list(item)), state, merge, lambda s: s["out"]).alias("o"))
-    return folded.select(*group, F.explode("o").alias("x")).select(*group, F.col("x.k").alias(key), F.col("x.admitted").alias("admitted"), F.col("x.marked").alias("marked"))
+    group = keys or []
+    narrow = rows.select(*group, key, F.col(cost).cast("long").alias("_cost"))
+    dealt = (narrow.repartition(*group) if group else narrow.repartition(1)).sortWithinPartitions(*group, key, "_cost")
+    types = dict(narrow.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for b in batches:
+            admitted, marked = [], []
+            for *who, n in zip(*(b.column(c).to_pylist() for c in (*group, "_cost")), strict=True):
+                if who != now:
+                    now, used = who, 0
+                fits = n is not None and used + n <= budget
+                marks = not fits and omission > 0 and used + omission <= budget
+                used += n if fits else omission if marks else 0
+                admitted.append(fits)
+                marked.append(marks)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key)), pa.array(admitted, pa.bool_()), pa.array(marked, pa.bool_())], names=[*group, key, "admitted", "marked"])
+
+    return dealt.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in (*group, key)) + ", admitted boolean, marked boolean")
 
 
 def until_full(rows: DataFrame, budget: int, key: str = "path", cost: str = "cost") -> DataFrame:

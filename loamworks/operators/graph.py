@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Lineage ends here, in files that all executors share."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="loamworks-"))
     return df.checkpoint()
 
@@ -28,8 +30,8 @@ def reach(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst"
     e = e.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     frontier = seen.select("node")
-    for depth in range(1, max(1, min(max_depth, 64)) + 1):
-        new = _cut(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti"))
+    for depth in range(1, max(1, max_depth) + 1):
+        new = cut(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti"))
         if not new.limit(1).count():
             break
         seen = seen.unionByName(new.withColumn("depth", F.lit(depth)))

@@ -15,17 +15,29 @@ from ..model import SYMBOLS, TOKENS, names as columns
 from . import extract
 
 
+#: Rows of a batch that a parser gives back, but for those of one file.
+ROWS = 20_000
+
+
 def _rows(kind: str):
     make = extract.flattened if kind == "symbols" else extract.token_rows
     names = columns(SYMBOLS if kind == "symbols" else TOKENS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, *r) for p, lang, text in zip(b["path"], b["lang"], b["text"], strict=True) for r in make(text, lang)]
-            d = pd.DataFrame(out, columns=names)
-            if kind == "symbols":
-                d["parent_id"] = d["parent_id"].astype("Int32")
-            yield d
+            out = []
+            for p, lang, text in zip(b["path"], b["lang"], b["text"], strict=True):
+                out += [(p, *r) for r in make(text, lang)]
+                if len(out) >= ROWS:
+                    yield table(out)
+                    out = []
+            yield table(out)
+
+    def table(out: list[tuple]) -> pd.DataFrame:
+        d = pd.DataFrame(out, columns=names)
+        if kind == "symbols":
+            d["parent_id"] = d["parent_id"].astype("Int32")
+        return d
 
     return run
 

@@ -51,63 +51,43 @@ _LINES = (
 arrays AS (SELECT path, doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ls FROM raw),
 ls AS (SELECT path, doc_id, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line, unnest(ls) AS content FROM arrays)"""
 )
-_CUT = "CASE WHEN strlen({0}) <= 1000 THEN {0} ELSE left({0}, 1000) || '... [TRUNCATED]' END"
+#: A line of at most 1000 bytes, or the longest run of whole characters within them and the mark.
+_CUT = "CASE WHEN strlen({0}) <= 1000 THEN {0} ELSE left({0}, list_max(list_filter(range(250, 1001), lambda n: strlen(left({0}, n)) <= 1000))) || '... [TRUNCATED]' END"
 _HITS = _LINES + f", hits AS (SELECT path, line, content, instr(content, '{QUERY}') AS \"column\" FROM ls WHERE contains(content, '{QUERY}'))"
 
 
-@_query(f"WITH {_HITS} SELECT path, line, \"column\", content, CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS rank FROM (SELECT path, line, CAST(\"column\" AS BIGINT) AS \"column\", CASE WHEN strlen(content) <= 1000 THEN content ELSE NULL END AS content FROM hits)")
+@_query(f"WITH {_HITS} SELECT path, line, CAST(\"column\" AS BIGINT) AS \"column\", {_CUT.format('content')} AS content, CAST(row_number() OVER (ORDER BY path, line) AS BIGINT) AS rank FROM hits")
 def search_literal(spark, sf):
-    """Literal search with columns, in order (F-01, E-05, O-01); content of lines over 1000 bytes is compared in search_long_lines."""
+    """Literal search with columns, in order (F-01, E-03, E-05, O-01); long lines are cut."""
     m = lines.find(_docs(spark, sf), QUERY, context=0)
     # the rank of every match: ranges are sorted apart, so no single task orders all rows
-    return _ranked(m.select("path", "line", "column", F.when(~F.endswith("content", F.lit(X.TRUNCATED)), F.col("content")).alias("content")), "path", "line")
+    return _ranked(m.select("path", "line", "column", "content"), "path", "line")
 
 
 def _ranked(d: DataFrame, *order: str) -> DataFrame:
-    """Rows with their rank in an order: partitions by range, their sizes summed, and each ranks its own rows."""
-    parts = d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Rows with their rank in an order: partitions by range are written once, so that their sizes and their rows are of the same ones; the sizes are summed, and each ranks its own rows."""
+    parts = graph.cut(d.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b")
     r = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return parts.withColumn("_r", r).join(F.broadcast(sizes), "_p").withColumn("rank", (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_b", "_r")
 
 
-@_query(f"WITH {_LINES} SELECT path, line, CAST(length(content) - length(regexp_replace(content, '^.*?(tion|ment)[a-z]*\\.', '')) AS BIGINT) AS rest FROM ls WHERE regexp_matches(content, '(tion|ment)[a-z]*\\.')")
+@_query(f"WITH {_LINES} SELECT path, line, CAST(length(regexp_extract(content, '^(.*?)(tion|ment)[a-z]*\\.', 1)) + 1 AS BIGINT) AS \"column\", {_CUT.format('content')} AS content FROM ls WHERE regexp_matches(content, '(tion|ment)[a-z]*\\.')")
 def search_regex(spark, sf):
-    """Regular-expression search (F-02): lines with a match, and the length up to the first match's end."""
-    files = _docs(spark, sf)
-    m = lines.lines(files.select("path", "text")).filter(F.col("content").rlike(PATTERN))
-    return m.select("path", "line", (F.length("content") - F.length(F.regexp_replace("content", "^.*?" + PATTERN, ""))).cast("long").alias("rest"))
-
-
-@_query(
-    "WITH "
-    + _HITS
-    + """, near AS (SELECT h.path, h.line, coalesce(lag(h.line) OVER w, 0) AS prev, lead(h.line) OVER w AS next FROM hits h WINDOW w AS (PARTITION BY h.path ORDER BY h.line)),
- b AS (SELECT n.*, a.ls, greatest(n.line - 2, n.prev, 1) AS first, least(n.line + 2, coalesce(n.next - 1, len(a.ls)), len(a.ls)) AS last FROM near n JOIN arrays a USING (path))
-SELECT path, line, CAST(line - first AS BIGINT) AS n_before, CAST(greatest(last - line, 0) AS BIGINT) AS n_after, sha256(array_to_string(ls[first:line - 1], chr(10)) || chr(1) || array_to_string(ls[line + 1:last], chr(10))) AS context_sha256 FROM b WHERE list_max(list_transform(ls, lambda x: strlen(x))) <= 1000"""
-)
-def search_context(spark, sf):
-    """Context lines that stop at neighbouring matches (W-03, W-04), of files without lines over 1000 bytes."""
-    files = _docs(spark, sf).filter(F.coalesce(F.array_max(F.transform(X.lines_of(F.col("text")), F.octet_length)), F.lit(0)) <= 1000)
-    m = lines.find(files, QUERY, context=2)
-    both = F.concat(F.array_join("context_before", "\n"), F.lit("\x01"), F.array_join("context_after", "\n"))
-    return m.select("path", "line", F.size("context_before").cast("long").alias("n_before"), F.size("context_after").cast("long").alias("n_after"), F.sha2(both, 256).alias("context_sha256"))
-
-
-#: A line of at most 1000 bytes, or the longest run of whole characters within them and the mark.
-_WHOLE_CUT = "CASE WHEN strlen({0}) <= 1000 THEN {0} ELSE left({0}, list_max(list_filter(range(250, 1001), lambda n: strlen(left({0}, n)) <= 1000))) || '... [TRUNCATED]' END"
+    """Regular-expression search (F-02): lines with a match and where it begins."""
+    return lines.find(_docs(spark, sf), PATTERN, regex=True, context=0).select("path", "line", "column", "content")
 
 
 @_query(
     "WITH "
     + _HITS
     + f""", near AS (SELECT h.path, h.line, coalesce(lag(h.line) OVER w, 0) AS prev, lead(h.line) OVER w AS next FROM hits h WINDOW w AS (PARTITION BY h.path ORDER BY h.line)),
- cut AS (SELECT path, list_transform(ls, lambda x: {_WHOLE_CUT.format("x")}) AS ls FROM arrays SEMI JOIN hits USING (path)),
+ cut AS (SELECT path, list_transform(ls, lambda x: {_CUT.format("x")}) AS ls FROM arrays SEMI JOIN hits USING (path)),
  b AS (SELECT n.*, c.ls, greatest(n.line - 2, n.prev, 1) AS first, least(n.line + 2, coalesce(n.next - 1, len(c.ls)), len(c.ls)) AS last FROM near n JOIN cut c USING (path))
 SELECT path, line, ls[line] AS content, CAST(line - first AS BIGINT) AS n_before, CAST(greatest(last - line, 0) AS BIGINT) AS n_after, sha256(array_to_string(ls[first:line - 1], chr(10)) || chr(1) || array_to_string(ls[line + 1:last], chr(10))) AS context_sha256 FROM b"""
 )
-def search_long_lines(spark, sf):
-    """Content and context of every match in every file, lines over 1000 bytes cut (W-03, W-04)."""
+def search_context(spark, sf):
+    """Content and context of every match in every file; context stops at neighbouring matches, lines over 1000 bytes are cut (W-03, W-04, E-03)."""
     m = lines.find(_docs(spark, sf), QUERY, context=2)
     both = F.concat(F.array_join("context_before", "\n"), F.lit("\x01"), F.array_join("context_after", "\n"))
     return m.select("path", "line", "content", F.size("context_before").cast("long").alias("n_before"), F.size("context_after").cast("long").alias("n_after"), F.sha2(both, 256).alias("context_sha256"))
@@ -177,25 +157,36 @@ def version_hash(spark, sf):
     return _docs(spark, sf).select("doc_id", "version_hash", X.short_hash(F.col("version_hash")).alias("short_hash"))
 
 
-@_query("SELECT sha256(text) AS h, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY text")
+@_query("SELECT sha256(text) AS h, CAST(min(doc_id) AS BIGINT) AS doc_id FROM documents GROUP BY text")
 def first_by_hash(spark, sf):
-    """Distinct by content, the first stays (A-06, A-07): aggregated before the shuffle, so a group of copies is no hot key."""
-    return _t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Distinct by content, the first stays (A-05, A-06); each partition keeps its own first ones, so a group of copies is no hot key."""
+    return relate.first_by(_t(spark, sf, "documents").select(F.sha2("text", 256).alias("h"), "doc_id"), ["h"], "doc_id")
 
 
 @_query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def known_passage_hits(spark, sf):
-    """Documents that hold a benchmark passage as it is (J-06 with an exact test): an equi-join on a passage's first words bounds the pairs that are compared."""
-    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    n = 6
-    width = b.agg(F.min(F.size(F.split("passage", r"\s+")))).first()[0] or 1
-    n = min(n, max(1, width - 1))
-    start = F.array_join(F.slice(F.split("passage", r"\s+"), 2, n), " ")
-    d = _t(spark, sf, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " ")))).alias("g"))
-    key = b.select("item_id", "passage", start.alias("g"))
-    pairs = grams.join(F.broadcast(key) if key.count() <= 100_000 else key, "g").select("doc_id", "item_id", "passage").distinct()
-    return d.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    """Documents that hold a benchmark passage as it is (J-06 with an exact test): an equi-join on a passage's inner words, which stand whole in any text that holds it, bounds the pairs that are compared. Passages without inner words are looked for in every text, in blocks."""
+    words = F.split("passage", r"\s+")
+    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null").withColumn("n", F.size(words))
+    docs = _t(spark, sf, "documents").select("doc_id", "text").filter("text is not null")
+    long = b.filter("n > 2")
+    width = long.agg(F.min("n")).first()[0]
+    out = None
+    if width:
+        n = min(6, width - 2)
+        gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))
+        split = docs.select("doc_id", F.split("text", r"\s+").alias("w")).filter(F.size("w") >= n)
+        grams = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: gram(F.col("w"), i)))).alias("g"))
+        key = long.select("item_id", "passage", gram(words, F.lit(2)).alias("g"))
+        pairs = grams.join(F.broadcast(key) if key.count() <= 100_000 else key, "g").select("doc_id", "item_id", "passage")
+        out = docs.join(pairs, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    block = 1000
+    short = [(r["item_id"], r["passage"]) for r in b.filter("n <= 2").orderBy("item_id", "passage").toLocalIterator()]
+    for i in range(0, len(short), block):
+        some = F.array(*[F.struct(F.lit(k).cast("long").alias("item_id"), F.lit(p).alias("p")) for k, p in short[i : i + block]])
+        hits = docs.select("doc_id", F.explode(F.filter(some, lambda x: F.contains(F.col("text"), x["p"]))).alias("x")).select("doc_id", "x.item_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
 
 
 @_query("WITH " + _LINES + " SELECT doc_id, line, left(trim(content), 512) AS snippet FROM ls WHERE line BETWEEN 2 AND 4")
@@ -214,7 +205,9 @@ def file_metadata(spark, sf):
 @_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def changed_semi(spark, sf):
     """Files in a change set (J-03)."""
-    return _t(spark, sf, "documents").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    files = _docs(spark, sf)
+    listed = files.join(_t(spark, sf, "labels").select("doc_id").distinct(), "doc_id").select("path")
+    return trees.changed_files(files, listed).select("doc_id")
 
 
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -417,12 +410,13 @@ def definition_cascade(spark, sf):
 
 @_query(
     """SELECT event_id, CAST(least(pow(2, least(event_id % 12, 30)), 60) AS BIGINT) AS seconds, CASE WHEN event_type = 'error' THEN NULL ELSE event_id % 3 END AS found,
-CASE WHEN event_type = 'error' THEN 'Unknown: nothing could be checked. This is not zero.' WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 'None found by heuristics; not verified.' WHEN event_id % 3 = 0 THEN 'Verified: none.' END AS hint FROM events"""
+event_type <> 'error' AND event_id % 2 = 0 AND event_id % 5 > 0 AS verified, CASE WHEN event_type = 'error' THEN 'Unknown: nothing could be checked. This is not zero.' WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 'None found by heuristics; not verified.' WHEN event_id % 3 = 0 THEN 'Verified: none.' END AS hint FROM events"""
 )
 def unknown_not_zero(spark, sf):
     """Unknown stays apart from zero (G-06, Q-04), and restart backoff (E-19, R-07)."""
     e = _t(spark, sf, "events").select("event_id", X.backoff(F.pmod("event_id", F.lit(12))).alias("seconds"), F.when(F.col("event_type") != "error", F.pmod("event_id", F.lit(3))).alias("found"))
-    return e.withColumn("hint", quality.trace_hint(F.col("found"), F.pmod("event_id", F.lit(2)) == 0))
+    sure = F.pmod("event_id", F.lit(2)) == 0
+    return e.withColumns({"hint": quality.trace_hint(F.col("found"), sure), "verified": graph.verified(F.col("found"), ~sure, F.pmod("event_id", F.lit(5)) > 0)})
 
 
 @_query("SELECT user_id, CAST(least(count(*), 64) AS BIGINT) AS kept, CAST(greatest(count(*) - 64, 0) AS BIGINT) AS dropped FROM events GROUP BY user_id")
@@ -451,13 +445,6 @@ def semantic_paths(spark, sf):
     return d.select("event_id", "sp", P.semantic_file(F.col("sp")).alias("file"), P.semantic_chain(right).alias("chain"), F.size(P.semantic_segments(right)).cast("long").alias("n"))
 
 
-@_query("WITH " + _LINES + " SELECT path, line, regexp_extract(trim(content), '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS word FROM ls WHERE regexp_matches(trim(content), '^[A-Za-z_]') AND line = 1")
-def line_names(spark, sf):
-    """The identifier that a line begins with (E-08), of every first line without a definition keyword before it."""
-    d = lines.lines(_docs(spark, sf).select("path", "text")).filter((F.col("line") == 1) & F.trim("content").rlike("^[A-Za-z_]"))
-    return d.select("path", "line", F.regexp_extract(F.trim("content"), r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("word"))
-
-
 @_query(
     "WITH "
     + _LINES
@@ -466,7 +453,7 @@ SELECT path, line, CASE WHEN regexp_matches(low, '(fn|func|function|def) ') THEN
 CASE WHEN regexp_matches(t, '(^|[ \\t\\n\\x0B\\f\\r])(fn|function|def|struct|class|interface|type|enum|trait|const|static|var|let|mod|impl)[ \\t\\n\\x0B\\f\\r]+[A-Za-z_]') THEN regexp_extract(t, '(^|[ \\t\\n\\x0B\\f\\r])(fn|function|def|struct|class|interface|type|enum|trait|const|static|var|let|mod|impl)[ \\t\\n\\x0B\\f\\r]+([A-Za-z_][A-Za-z0-9_]*)', 3)
 WHEN regexp_matches(t, '^[A-Za-z_]') THEN regexp_extract(t, '^([A-Za-z_][A-Za-z0-9_]*)', 1) ELSE regexp_extract(t, '^([^ \\t\\n\\x0B\\f\\r]*)', 1) END AS name FROM t"""
 )
-def line_names_and_kinds(spark, sf):
+def line_names(spark, sf):
     """The kind and name that every line of every document seems to define (E-08)."""
     d = lines.lines(_docs(spark, sf).select("path", "text"))
     return d.select("path", "line", D.kind_of_line(F.col("content")).alias("kind"), D.name_of_line(F.col("content")).alias("name"))

@@ -37,6 +37,8 @@ class Corpus:
     files: DataFrame
     config: Config = field(default_factory=Config)
     authoritative: DataFrame | None = None
+    #: whether symbols are read from a saved index; otherwise calls on some files parse only these
+    indexed: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -52,6 +54,11 @@ class Corpus:
     def symbols(self) -> DataFrame:
         return index.symbols(self.allowed)
 
+    def symbols_in(self, paths: list[str]) -> DataFrame:
+        """Symbols of some files; a filter above the parser would not reach the files."""
+        some = F.col("path").isin(*dict.fromkeys(paths))
+        return self.symbols.filter(some) if self.indexed else index.symbols(self.allowed.filter(some))
+
     @cached_property
     def tokens(self) -> DataFrame:
         return index.tokens(self.allowed)
@@ -69,7 +76,7 @@ class Corpus:
 
     @classmethod
     def open_saved(cls, spark: SparkSession, folder: str, config: Config | None = None) -> Corpus:
-        c = cls(spark.read.parquet(f"{folder}/files"), config or Config())
+        c = cls(spark.read.parquet(f"{folder}/files"), config or Config(), indexed=True)
         for name in ("symbols", "tokens", "edges"):
             c.__dict__[name] = spark.read.parquet(f"{folder}/{name}")
         return c
@@ -99,7 +106,7 @@ class Corpus:
             raise InvalidSemanticPath(f"no symbol in {sp!r}")
         if not self.allowed.filter(F.col("path") == file).limit(1).count():
             raise FileNotFound(f"no such file: {file}")
-        own = self.symbols.filter(F.col("path") == file)
+        own = self.symbols_in([file])
         for label in dict.fromkeys((chain, chain.replace("::", "."))):
             found = own.filter(F.col("semantic_path") == label).take(1)
             if found:
@@ -233,7 +240,7 @@ class Corpus:
             rows = rows.withColumn("lines", F.lit(None).cast("array<string>"))
         if detail_level != "source_only":
             hi = end_line if end_line is not None else 2**31 - 1
-            s = self.symbols.filter((F.col("end_line") + 1 >= start_line) & (F.col("start_line") + 1 <= hi)).join(F.broadcast(want.select("path").distinct()), "path", "left_semi")
+            s = self.symbols_in([p.removeprefix("./") for p in asked]).filter((F.col("end_line") + 1 >= start_line) & (F.col("start_line") + 1 <= hi))
             if detail_level == "compact":
                 s = s.filter("depth <= 1")
             one = F.struct("symbol_id", "semantic_path", "kind", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"), "access_level")
@@ -252,7 +259,8 @@ class Corpus:
             raise InvalidParams(f"1 to {BATCH_LIMIT} semantic paths")
         found = [self._symbol(sp) for sp in asked]
         want = self.spark.createDataFrame([(i, r["path"], r["semantic_path"]) for i, r in enumerate(found)], "ordinal int, path string, semantic_path string")
-        b = index.bodies(self.allowed.join(F.broadcast(want.select("path").distinct()), "path", "left_semi"), self.symbols)
+        inside = [r["path"] for r in found]
+        b = index.bodies(self.allowed.filter(F.col("path").isin(*inside)), self.symbols_in(inside))
         rows = b.drop("ordinal").join(F.broadcast(want), ["path", "semantic_path"]).select("ordinal", "path", "semantic_path", "kind", "access_level", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"), "language", "content", "parent_kind", "parent_name")
         stats: dict = {"succeeded": len(found), "failed": 0}
         if include_dependencies:
@@ -281,7 +289,7 @@ class Corpus:
         if not locations or len(locations) > BATCH_LIMIT or any(n < 1 for _, n in locations):
             raise InvalidParams(f"1 to {BATCH_LIMIT} locations, lines from 1")
         at = self.spark.createDataFrame([(i, self._path(p), int(n)) for i, (p, n) in enumerate(locations)], "ordinal int, path string, line long")
-        rows = relate.enclosing(at, self.symbols.join(F.broadcast(at.select("path").distinct()), "path", "left_semi"))
+        rows = relate.enclosing(at, self.symbols_in([self._path(p) for p, _ in locations]))
         rows = rows.withColumn("semantic_path", F.when(F.col("enclosing_semantic_path").isNotNull(), F.concat("path", F.lit("::"), "enclosing_semantic_path")))
         return Answer(rows.orderBy("ordinal"), {"requested": len(locations)})
 
@@ -290,7 +298,7 @@ class Corpus:
         if chain is None:
             raise InvalidSemanticPath(f"no symbol in {sp!r}")
         label = chain.replace("::", ".")
-        exact = self.symbols.filter((F.col("path") == file) & (F.col("semantic_path") == label)).join(self.allowed.select("path", "text"), "path")
+        exact = self.symbols_in([file]).filter(F.col("semantic_path") == label).join(self.allowed.select("path", "text"), "path")
         row = exact.select("path", (F.col("start_line") + 1).cast("long").alias("line"), (F.col("name_column") + 1).cast("long").alias("column"), X.preview(F.trim(F.element_at(X.lines_of(F.col("text")), F.col("start_line") + 1))).alias("preview"), F.lit("symbol_index").alias("resolution_strategy"))
         if row.limit(1).count():
             return Answer(row, {"degraded_reason": None})
@@ -299,7 +307,7 @@ class Corpus:
         found = relate.definition_candidates(self.allowed.filter(P.is_source(F.col("path"))), self.symbols, name, file, segments[-2] if len(segments) > 1 else None).orderBy("path", "line").limit(1)
         rows = found.collect()
         if not rows:
-            near = [r["semantic_path"] for r in budget.did_you_mean(self.symbols.filter(F.col("path") == file), label).orderBy("rank").collect()]
+            near = [r["semantic_path"] for r in budget.did_you_mean(self.symbols_in([file]), label).orderBy("rank").collect()]
             raise SymbolNotFound(sp, near)
         reason = {"text_file": "grep_fallback_file_scoped", "text_impl": "grep_fallback_impl_scoped"}.get(rows[0]["resolution_strategy"], "grep_fallback_global")
         return Answer(found, {"degraded_reason": reason})
@@ -325,7 +333,7 @@ class Corpus:
 
     def _callers(self, s, depth: int, most: int) -> Answer:
         e = self.edges
-        parent = self.symbols.filter((F.col("path") == s["path"]) & (F.col("symbol_id") == s["parent_id"])).select("kind", "name").first() if s["parent_id"] is not None else None
+        parent = self.symbols_in([s["path"]]).filter(F.col("symbol_id") == s["parent_id"]).select("kind", "name").first() if s["parent_id"] is not None else None
         if parent and parent["kind"] == "Interface":  # an interface's method: its implementations are called in its place
             impl = self.symbols.filter((F.col("name") == s["name"]) & (F.col("semantic_path") != s["semantic_path"]) & F.col("kind").isin("Function", "Method"))
             same = impl.select(F.lit(s["path"]).alias("src_path"), F.lit(s["semantic_path"]).alias("src_symbol"), "path", "semantic_path")
@@ -350,8 +358,8 @@ class Corpus:
 
     # --- health
 
-    def health(self, language: str | None = None, action: str | None = None) -> Answer:
-        """The state of each language's index: ready where all its files have been indexed. ``restart`` drops the index so that it is built anew."""
+    def health(self, language: str | None = None, action: str | None = None, force_probe: bool = False) -> Answer:
+        """The state of each language's index: ready where all its files have been indexed. ``restart`` drops the index so that it is built anew; ``force_probe`` parses each language's probe file now and tells how many symbols it has."""
         if action not in (None, "restart"):
             raise InvalidParams("action is restart")
         if action == "restart":
@@ -368,5 +376,9 @@ class Corpus:
         d = d.filter(F.col("language") == language) if language else d
         if language and not d.limit(1).count():
             raise UnsupportedLanguage(f"no files of language {language}")
+        if force_probe:
+            probes = [r["probe_file"] for r in d.select("probe_file").distinct().collect() if r["probe_file"]]  # one for each language
+            seen = index.symbols(self.allowed.filter(F.col("path").isin(*probes))).groupBy(F.col("path").alias("probe_file")).agg(F.count("*").alias("probed_symbols"))
+            d = d.join(seen, "probe_file", "left").withColumn("probed_symbols", F.when(F.col("probe_file").isNotNull(), F.coalesce("probed_symbols", F.lit(0))))
         o = quality.overall_status(d.withColumn("_", F.lit(0)), "_").first()
         return Answer(d, {"overall_status": o["overall_status"] if o else "unavailable", "indexing_complete": o["indexing_complete"] if o else True})

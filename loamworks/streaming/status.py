@@ -32,11 +32,13 @@ def evictable(last_used: DataFrame, now, minutes: int = 15) -> DataFrame:
 
 
 def request_pairs(requests: DataFrame, responses: DataFrame, key: str = "id", seconds: int = 10, ts: str = "ts") -> DataFrame:
-    """Requests with the response of their id within the time bound; on streams both sides have watermarks, so state is dropped."""
+    """Every request with the response of its id within the time bound, and its ``outcome``: answered, cancelled (the response says so) or timed_out (there is none). On streams both sides have watermarks, so state is dropped and a request times out when the watermark passes its bound."""
     q, r = requests.withColumnRenamed(ts, "sent"), responses.withColumnRenamed(ts, "answered").withColumnRenamed(key, "_id")
     if requests.isStreaming:
         q, r = q.withWatermark("sent", f"{seconds} seconds"), r.withWatermark("answered", f"{seconds} seconds")
-    return q.join(r, (F.col(key) == F.col("_id")) & (F.col("answered") >= F.col("sent")) & (F.col("answered") <= F.col("sent") + F.expr(f"interval {seconds} seconds")), "inner").drop("_id")
+    both = q.join(r, (F.col(key) == F.col("_id")) & (F.col("answered") >= F.col("sent")) & (F.col("answered") <= F.col("sent") + F.expr(f"interval {seconds} seconds")), "left_outer")
+    gone = F.coalesce(F.col("cancelled"), F.lit(False)) if "cancelled" in responses.columns else F.lit(False)
+    return both.withColumn("outcome", F.when(F.col("_id").isNull(), "timed_out").when(gone, "cancelled").otherwise("answered")).drop("_id")
 
 
 def registrations(events: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
@@ -45,11 +47,10 @@ def registrations(events: DataFrame, key: str = "id", ts: str = "ts") -> DataFra
     return events.groupBy(key).agg(F.bool_or(F.col("static")).alias("static"), last.alias("last")).select(key, (F.col("static") | (F.col("last") == "register")).alias("active"))
 
 
-def lagged(events: DataFrame, key: str, capacity: int = 64, order: str = "event_id") -> DataFrame:
-    """What a bounded channel of each key keeps, the last ``capacity`` events, and how many it dropped."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    d = events.withColumn("_r", F.row_number().over(w))
-    return d.groupBy(key).agg(F.count_if(F.col("_r") <= capacity).alias("kept"), F.count_if(F.col("_r") > capacity).alias("dropped"))
+def lagged(events: DataFrame, key: str, capacity: int = 64) -> DataFrame:
+    """How many events of each key a bounded channel keeps, its last ``capacity``, and how many it dropped; counted, not sorted."""
+    d = events.groupBy(key).agg(F.count("*").alias("n"))
+    return d.select(key, F.least("n", F.lit(capacity)).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"))
 
 
 READINESS = "key string, percent int, complete boolean, by_timeout boolean"

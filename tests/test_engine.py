@@ -147,6 +147,32 @@ def test_greedy_equals_a_loop(spark):
     assert got == want
 
 
+def test_greedy_is_linear_and_counts_nothing_for_null_costs(spark):
+    n = 300_000
+    d = spark.range(n).select(F.format_string("%08d", "id").alias("path"), F.when(F.col("id") % 1000 == 7, None).otherwise(F.lit(3)).cast("long").alias("cost"))
+    got = budget.greedy(d, 30_000, omission=0).filter("admitted").agg(F.count("*"), F.max("path"), F.count_if(F.col("marked"))).first()
+    assert tuple(got) == (10_000, "00010009", 0)
+    assert budget.greedy(d.limit(0), 10).count() == 0
+
+
+def test_one_file_is_parsed_for_one_file(spark, corpus, monkeypatch):
+    asked, symbols = [], index.symbols
+    monkeypatch.setattr(index, "symbols", lambda f: asked.append(sorted(r["path"] for r in f.select("path").collect())) or symbols(f))
+    c = Corpus(corpus.files)
+    assert c.read("app/a.py").rows.first()["total_lines"] == 14
+    c.locate(locations=[("main.go", 7)])
+    assert asked and all(x in (["app/a.py"], ["main.go"]) for x in asked)
+
+
+def test_passages_are_found_glued_and_short(spark, tmp_path):
+    docs = ["x alpha beta gamma, y", "alpha beta gamma", "a solo, b", "absolom", "", None, "two words, more", "one two three four five six seven eight nine", "(one two three four five six seven eight nine)"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = ["alpha beta gamma", "solo", "two words", "one two three four five six seven eight nine", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["known_passage_hits"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i, d in enumerate(docs) for j, p in enumerate(items) if d and p and p in d} and len(got) == 7
+
+
 def test_budgets():
     assert budget.scaled_budget(16_000, 10) == 16_000 and budget.scaled_budget(16_000, 30) == 24_000 and budget.scaled_budget(16_000, 1000) == 48_000
     assert budget.scaled_budget(100, 1000) == 500 and budget.scaled_budget(10**6, 1) == 100_000 and budget.suggested_budget(4001) == 8000
@@ -334,7 +360,7 @@ def test_saved_index(spark, corpus, tmp_path):
 def test_registered_search_holds_files_with_long_lines(spark, tmp_path):
     text = "é" * 600 + "\nsee that\n" + "x" * 1001 + "\ny\nz\n" + "that " * 300
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["line"]: r for r in catalogue.QUERIES["search_long_lines"](spark, str(tmp_path)).collect()}
+    got = {r["line"]: r for r in catalogue.QUERIES["search_context"](spark, str(tmp_path)).collect()}
     digest = lambda before, after: hashlib.sha256(f"{before}\x01{after}".encode()).hexdigest()
     mark = "... [TRUNCATED]"
     assert got[2]["content"] == "see that" and got[2]["context_sha256"] == digest("é" * 500 + mark, "x" * 1000 + mark + "\ny")
@@ -344,5 +370,5 @@ def test_registered_search_holds_files_with_long_lines(spark, tmp_path):
 def test_registered_line_names_hold_every_line(spark, tmp_path):
     text = "  pub fn go(x)\nclass Box:\nplain words\n(1) first\n\nModule m\na let b"
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r["line"], r["kind"], r["name"]) for r in catalogue.QUERIES["line_names_and_kinds"](spark, str(tmp_path)).collect())
+    got = sorted((r["line"], r["kind"], r["name"]) for r in catalogue.QUERIES["line_names"](spark, str(tmp_path)).collect())
     assert got == [(1, "function", "go"), (2, "class", "Box"), (3, "unknown", "plain"), (4, "unknown", "(1)"), (5, "unknown", ""), (6, "module", "Module"), (7, "constant", "b")]

@@ -37,8 +37,9 @@ def test_batch_mechanisms(spark):
     e = spark.createDataFrame([("a", "end", t(5)), ("a", "end", t(3)), ("b", "report", t(1))], "k string, event_type string, ts timestamp")
     assert [tuple(r) for r in status.first_completion(e, "k").collect()] == [("a", t(3), 2)]
     q = spark.createDataFrame([(1, t(0)), (2, t(0)), (3, t(0))], "id int, ts timestamp")
-    r = spark.createDataFrame([(1, t(4)), (2, t(11))], "id int, ts timestamp")
-    assert [x["id"] for x in status.request_pairs(q, r).collect()] == [1]
+    r = spark.createDataFrame([(1, t(4), False), (2, t(11), False), (3, t(2), True)], "id int, ts timestamp, cancelled boolean")
+    assert {(x["id"], x["outcome"]) for x in status.request_pairs(q, r).collect()} == {(1, "answered"), (2, "timed_out"), (3, "cancelled")}
+    assert {(x["id"], x["outcome"]) for x in status.request_pairs(q, r.drop("cancelled")).collect()} == {(1, "answered"), (2, "timed_out"), (3, "answered")}
     g = spark.createDataFrame([("x", "register", False, t(0)), ("x", "unregister", False, t(1)), ("y", "unregister", True, t(1)), ("z", "register", False, t(2))], "id string, action string, static boolean, ts timestamp")
     assert {tuple(x) for x in status.registrations(g).collect()} == {("x", False), ("y", True), ("z", True)}
     lag = spark.createDataFrame([("a", i) for i in range(70)], "k string, event_id long")
