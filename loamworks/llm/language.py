@@ -281,7 +281,7 @@ def _predict(model: Model):
     return run
 
 
-def training_rows(known: DataFrame, per_language: int, longest: int, salts: int = 64) -> DataFrame:
+def training_rows(known: DataFrame, per_language: int, longest: int, salts: int = 16) -> DataFrame:
     """doc_id, lang and text of at most ``per_language`` different rows of each language.
 
     Each partition keeps the smallest hashes of each language and salt, then each
