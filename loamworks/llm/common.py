@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster, spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loamworks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loamworks-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ import zlib
 import numpy as np
 
 STREAMS = 256
-CONTEXT_BITS = 14  # of the tables of orders 1 and 2 in each block; small ones stay in a core's cache
+CONTEXT_BITS = 16  # of the tables of orders 1 and 2 in each block
 _CONTEXTS = (1 << CONTEXT_BITS) - 1
 DIRECT = 1 << 16  # ids below it can be in the order-0 table
 _BITS = 24

@@ -10,7 +10,7 @@ without any other. See ``rangecoder`` for the coding.
 
 Null text counts as empty and has the end id alone. Rows of a null doc_id come
 first. Repeated rows stay, each with its own ids; rows of one doc_id stand in
-order of their texts. An empty table makes files without blocks. Other columns
+order of the hash of their texts, then of the texts. An empty table makes files without blocks. Other columns
 are ignored.
 """
 
@@ -97,12 +97,16 @@ def _read(before: dict[int, int], together: int = 32):
     return run
 
 
-def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 32) -> DataFrame:
-    """The table of blocks, written to the shared folder."""
+def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 32, to: str | None = None) -> DataFrame:
+    """The table of blocks, written to the new folder ``to``, or to a scratch one in the shared folder; ``path`` is the tokenizer's."""
     d = only(docs, doc_id="long", text="string")
     parts = max(d.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = d.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return kept(spark, order.mapInArrow(_write(path, end_id, block_ids, together), SCHEMA))
+    order = d.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text"))
+    blocks = order.mapInArrow(_write(path, end_id, block_ids, together), SCHEMA)
+    if to is None:
+        return kept(spark, blocks)
+    blocks.write.parquet(to)
+    return spark.read.schema(blocks.schema).parquet(to)
 
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:

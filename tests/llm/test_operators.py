@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamworks.llm import components, decontamination, jaccard, language, packing, pseudolikelihood, quality, secrets, sharding, tokenfiles, topk
+from loamworks.llm import components, decontamination, jaccard, language, packing, pseudolikelihood, quality, rangecoder, secrets, sharding, tokenfiles, topk
 from loamworks.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,6 +165,34 @@ def test_token_files_round_trip(spark):
     assert tokenfiles.read_files(spark, tokenfiles.write_files(spark, d.limit(0), tokenizer("byte_bpe_50k.json"))).count() == 0
 
 
+def test_token_files_of_one_id_in_a_named_folder(spark, tmp_path):
+    """Rows of one doc_id stand in order of the hashes of their texts, over several files too; files stay where they were asked for."""
+    texts = [words(random.Random(i), 40) for i in range(30)] + ["tie", "tie"]
+    d = frame(spark, texts, ids=[7] * 32)
+    by_hash = [r["text"] for r in d.orderBy(F.xxhash64("text"), "text").collect()]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    tokenfiles.write_files(spark, d, tokenizer("byte_bpe_50k.json"), to=f"{tmp_path}/ids")
+    files = spark.read.parquet(f"{tmp_path}/ids")
+    got = sorted((r["start"], r["ids_crc32"]) for r in tokenfiles.read_files(spark, files).collect())
+    assert [c for _, c in got] == [zlib.crc32(np.array(t.encode(x).ids + [2], "<u4").tobytes()) for x in by_hash]
+
+
+def test_coded_ids_are_smaller_than_order_0(spark):
+    """Bits an id, of ids with order in them: below the entropy of single ids."""
+    rng = np.random.default_rng(8)
+    nxt = rng.integers(0, 2000, (2000, 3))
+    x = np.zeros(80_000, np.uint32)
+    for i in range(1, len(x)):
+        x[i] = nxt[x[i - 1], rng.integers(0, 3)]
+    count = np.bincount(x)
+    p = count[count > 0] / len(x)
+    (data,) = rangecoder.encode([x])
+    assert (rangecoder.decode([data])[0] == x).all()
+    assert 8 * len(data) / len(x) < 0.8 * -(p * np.log2(p)).sum()
+
+
 def test_differencing_is_balanced():
     rng = random.Random(2)
     for shards in (2, 5, 16):
