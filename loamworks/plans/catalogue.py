@@ -18,6 +18,7 @@ from ..functions import text as X
 from ..operators import budget, graph, index, lines, quality, relate
 from ..sources import trees
 from ..streaming import status
+from .tools import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -492,3 +493,95 @@ def search_in_strings(spark, sf):
     f = _sources(spark, sf)
     m = relate.node_types(lines.find(f, QUERY, context=0), index.tokens(f))
     return relate.enclosing(relate.filtered_by_mode(m, "comments_only"), index.symbols(f)).select("path", "line", "node_type", F.col("enclosing_semantic_path").alias("enclosing"))
+
+
+def _page_file(i: str) -> str:
+    return f"'src/p' || {i} || '.py'"
+
+
+# the seven calls, over the files made of pages
+
+
+@_query(f"WITH n AS (SELECT {_page_file('page_id')} AS path FROM pages) SELECT path, CAST(9 AS BIGINT) AS line, rank FROM (SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS rank FROM n) WHERE rank BETWEEN 21 AND 60")
+def call_search(spark, sf):
+    """Corpus.search (T2): matches in strings and comments, the page from 20 on (F-06, J-01, J-08, O-01, W-05)."""
+    return Corpus(_sources(spark, sf)).search(QUERY, filter_mode="comments_only", max_results=40, offset=20, group_by_file=False).rows.select("path", "line", "rank")
+
+
+@_query(
+    f"""WITH s AS (SELECT {_page_file('page_id')} AS path, 'open_' || page_id AS name FROM pages),
+r AS (SELECT path, name, CASE WHEN name = 'open_1' THEN 3 ELSE 2 END AS relevance FROM s WHERE starts_with(name, 'open_1'))
+SELECT path || '::' || name AS semantic_path, 'function' AS kind, CAST(7 AS BIGINT) AS line, CAST(relevance AS BIGINT) AS relevance FROM r ORDER BY relevance DESC, path LIMIT 50"""
+)
+def call_find_symbol(spark, sf):
+    """Corpus.search by symbol (T2s): the best fifty by relevance and path (F-10, O-03, O-05, E-28)."""
+    rows = Corpus(_sources(spark, sf)).search("open_1", mode="symbol", kind="function").rows
+    return rows.select("semantic_path", "kind", F.col("line").cast("long").alias("line"), F.col("relevance").cast("long").alias("relevance"))
+
+
+@_query(f"SELECT page_id AS ordinal, {_page_file('page_id')} AS path, CAST(9 AS BIGINT) AS total_lines, 'class Page' || page_id || ':' AS line_3, 'Page' || page_id || ',Page' || page_id || '.render,open_' || page_id AS symbols FROM pages WHERE page_id < 10")
+def call_read(spark, sf):
+    """Corpus.read (T3): ten files with their symbols (A-09, F-13, X-17, F-17)."""
+    rows = Corpus(_sources(spark, sf)).read(paths=[f"src/p{i}.py" for i in range(10)], start_line=3, end_line=9).rows
+    return rows.select(F.col("ordinal").cast("long").alias("ordinal"), "path", F.col("total_lines").cast("long").alias("total_lines"), F.element_at("lines", 1).alias("line_3"), F.array_join(F.transform("symbols", lambda x: x["semantic_path"]), ",").alias("symbols"))
+
+
+@_query(f"SELECT CAST(page_id - 2 AS BIGINT) AS ordinal, {_page_file('page_id')} AS path, 'Page' || page_id || '.render' AS semantic_path, 'Page' || page_id AS parent_name, 'open_' || (page_id + 1) AS calls, 'import os' AS imports FROM pages WHERE page_id BETWEEN 2 AND 6")
+def call_inspect(spark, sf):
+    """Corpus.inspect (T4): methods, what they call, and their files' imports (G-07, F-18, W-07, X-15)."""
+    c = Corpus(_sources(spark, sf))
+    rows = c.inspect(semantic_paths=[f"src/p{i}.py::Page{i}.render" for i in range(2, 7)], include_dependencies=True, include_imports=True).rows
+    return rows.select(F.col("ordinal").cast("long").alias("ordinal"), "path", "semantic_path", "parent_name", F.array_join(F.transform("dependencies", lambda x: x["dst_symbol"]), ",").alias("calls"), F.array_join("imports", ",").alias("imports"))
+
+
+@_query(f"WITH places AS (SELECT page_id, unnest([1, 3, 5, 9]) AS line FROM pages WHERE page_id IN (3, 8)) SELECT {_page_file('page_id')} AS path, CAST(line AS BIGINT) AS line, {_page_file('page_id')} || '::' || CASE line WHEN 3 THEN 'Page' || page_id WHEN 5 THEN 'Page' || page_id || '.render' WHEN 9 THEN 'open_' || page_id END AS semantic_path FROM places")
+def call_locate(spark, sf):
+    """Corpus.locate (T5): the symbols around positions (J-02, A-14)."""
+    at = [(f"src/p{i}.py", n) for i in (3, 8) for n in (1, 3, 5, 9)]
+    return Corpus(_sources(spark, sf)).locate(locations=at).rows.select("path", "line", "semantic_path")
+
+
+@_query("SELECT 'src/p6.py::Page6.render' AS semantic_path, 'incoming' AS direction, CAST(1 AS BIGINT) AS depth FROM pages WHERE page_id = 6")
+def call_trace(spark, sf):
+    """Corpus.trace (T6): who calls a function (G-01, G-05, O-07, Q-02)."""
+    return Corpus(_sources(spark, sf)).trace("src/p7.py::open_7").rows.select("semantic_path", "direction", F.col("depth").cast("long").alias("depth"))
+
+
+@_query("SELECT 'python' AS language, 'ready' AS status, CAST(count(*) AS BIGINT) AS files FROM pages HAVING count(*) > 0")
+def call_health(spark, sf):
+    """Corpus.health (T7): the state of each language's index (U-03, A-13)."""
+    return Corpus(_sources(spark, sf)).health().rows.select("language", "status", "files")
+
+
+@_query(
+    f"""WITH RECURSIVE items AS (SELECT {_page_file('page_id')} AS path FROM pages), costs AS (SELECT path, CAST(ceil((length(path) + 1) / 4) AS BIGINT) AS cost, row_number() OVER (ORDER BY path) AS k FROM items),
+most AS (SELECT greatest(500, least(100000, CASE WHEN count(*) > 20 THEN greatest(16000, least(48000, count(*) * 800)) ELSE 16000 END)) AS m FROM items),
+fold AS (SELECT k, path, cost <= m AS admitted, CASE WHEN cost <= m THEN cost ELSE 0 END AS used FROM costs, most WHERE k = 1
+UNION ALL SELECT c.k, c.path, f.used + c.cost <= m, f.used + CASE WHEN f.used + c.cost <= m THEN c.cost ELSE 0 END FROM fold f JOIN costs c ON c.k = f.k + 1, most)
+SELECT path, admitted FROM fold"""
+)
+def call_explore(spark, sf):
+    """Corpus.explore of file names (T1): which the budget of tokens admits (O-09, O-11, A-08)."""
+    return Corpus(_sources(spark, sf)).explore(detail="files").rows.select("path", "admitted")
+
+
+#: A small file of each language, @ standing for the page's number, and its symbols: semantic path, kind, line.
+SAMPLES = {
+    "rs": ("pub struct S@ { a: i32 }\n\nimpl S@ {\n    pub fn go(&self) -> i32 { 1 }\n}\n\nfn help_@() {}\n", [("S@", "Struct", 1), ("S@.go", "Method", 4), ("help_@", "Function", 7)]),
+    "go": ("package main\n\ntype T@ struct {\n\tA int\n}\n\nfunc Help@() {}\n", [("T@", "Struct", 3), ("Help@", "Function", 7)]),
+    "java": ("public class C@ {\n  public int go() { return 1; }\n  void stop() {}\n}\n", [("C@", "Class", 1), ("C@.go", "Function", 2), ("C@.stop", "Function", 3)]),
+    "ts": ("export class K@ {\n  go() { return 1 }\n}\nexport const f@ = () => 1\n", [("K@", "Class", 1), ("K@.go", "Method", 2), ("f@", "Function", 4)]),
+    "js": ("function j@() { return 1 }\nclass J@ {\n  run() {}\n}\n", [("j@", "Function", 1), ("J@", "Class", 2), ("J@.run", "Method", 3)]),
+    "vue": ("<script>\nfunction v@() {}\n</script>\n", [("v@", "Function", 2)]),
+}
+_SAMPLE_ROWS = ", ".join(f"({i}, '{ext}', '{path}', '{kind}', {line})" for i, (ext, (_, rows)) in enumerate(SAMPLES.items()) for path, kind, line in rows)
+
+
+@_query(f"SELECT 'src/m' || page_id || '.' || ext AS path, replace(sp, '@', CAST(page_id AS VARCHAR)) AS semantic_path, kind, CAST(line AS BIGINT) AS line FROM pages JOIN (VALUES {_SAMPLE_ROWS}) AS v(k, ext, sp, kind, line) ON page_id % {len(SAMPLES)} = k")
+def symbols_languages(spark, sf):
+    """Symbols of sources in Rust, Go, Java, TypeScript, JavaScript and Vue (X-01 to X-05, J-09, W-02), one file for each page."""
+    i = F.col("page_id").cast("string")
+    kinds = F.create_map(*[x for k, (ext, (code, _)) in enumerate(SAMPLES.items()) for x in (F.lit(k).cast("long"), F.struct(F.lit(ext).alias("ext"), F.lit(code).alias("code")))])
+    d = _t(spark, sf, "pages").select("page_id", F.element_at(kinds, F.pmod("page_id", F.lit(len(SAMPLES)))).alias("s"))
+    files = d.select(F.concat(F.lit("src/m"), i, F.lit("."), "s.ext").alias("path"), F.replace("s.code", F.lit("@"), i).alias("text"))
+    return index.symbols(files).select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
