@@ -36,6 +36,8 @@ DIRECT = 1 << 16  # ids below it can be in the order-0 table
 _BITS = 24
 _WHOLE = 1 << _BITS
 _TOP, _BOTTOM, _MASK = np.uint64(1 << 32), np.uint64(1 << 28), np.uint64((1 << 48) - 1)
+_MIX = np.uint32(2654435761)
+_PAIR = np.uint32(pow(2654435761, -1, 1 << 32) * 40503 % (1 << 32))  # makes an id's mixed value 40503 times the id
 _U16, _U24, _U32 = np.uint64(16), np.uint64(_BITS), np.uint64(32)
 _HEADER = "<4sIIIHH"  # magic, ids, crc of the ids, crc of what follows, streams, words of an id
 _HEAD = struct.calcsize(_HEADER)
@@ -51,64 +53,74 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 class _Model:
-    """The models of several blocks with as many streams each, in order of falling steps."""
+    """The models of several blocks with as many streams each, in order of falling steps.
+
+    Ids and the tables of orders 1 and 2 are 32 bits wide and their products
+    wrap; what is added up or indexes a table is 64 bits wide.
+    """
 
     def __init__(self, blocks: int, streams: int, decode: bool):
+        lanes = blocks * streams
         self.blocks, self.streams, self.decode = blocks, streams, decode
-        self.block = np.repeat(np.arange(blocks), streams)
-        self.base = self.block << 16
-        self.context_base = self.block << CONTEXT_BITS
+        block = np.repeat(np.arange(blocks), streams)
+        self.base = block << 16
+        self.context_base = block << CONTEXT_BITS
+        self.ctx_base = block << 5
         n = blocks << 16
-        self.last1, self.last2 = np.zeros(blocks << CONTEXT_BITS, np.uint32), np.zeros(blocks << CONTEXT_BITS, np.uint32)  # id * 4 + confidence
+        self.last1, self.last2 = np.zeros(blocks << CONTEXT_BITS, np.uint32), np.zeros(blocks << CONTEXT_BITS, np.uint32)  # id * 4 + confidence; 0 where nothing was seen
         self.count = np.zeros((blocks, DIRECT), np.int32)
         self.range0 = np.zeros(n, np.uint32)  # order 0: where an id's part begins * 2^16 + its size; 0 for new ids
-        self.escape = np.zeros(blocks, np.int64)  # where the escape begins; it goes to 2^16
+        self.escape = np.zeros(lanes, np.int64)  # where the escape of a lane's block begins; it goes to 2^16
         self.slot = np.full(n, -1, np.int32) if decode else None
         self.hits = np.tile(np.array([2.0, 1.0, 4.0]), (blocks * 32, 1))
-        self.prev1 = np.zeros(blocks * streams, np.int64)
-        self.prev2 = np.zeros(blocks * streams, np.int64)
+        self.mixed1, self.mixed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # of the last id and of that before it
         self.fresh: list[np.ndarray] = []
         self.steps = 0
         self._weights()
 
     def _weights(self) -> None:
+        """The parts of the range that orders 2 and 1 have, by context: confidence of order 2, of order 1, and whether both say the same."""
         share = self.hits / self.hits.sum(axis=1, keepdims=True)
-        self.w2 = np.clip(share[:, 0] * _WHOLE, 4096, _WHOLE * 62 // 64).astype(np.int64)
-        self.w1 = np.minimum(np.maximum(share[:, 1] * _WHOLE, 4096), _WHOLE - _WHOLE // 128 - self.w2).astype(np.int64)
+        w2 = np.clip(share[:, 0] * _WHOLE, 4096, _WHOLE * 62 // 64).astype(np.int64)
+        w1 = np.minimum(np.maximum(share[:, 1] * _WHOLE, 4096), _WHOLE - _WHOLE // 128 - w2).astype(np.int64)
+        w2, w1 = w2.reshape(-1, 4, 4, 2), w1.reshape(-1, 4, 4, 2)
+        w2[:, 0] = 0
+        w1[:, :, 0] = w1[:, 1:, :, 1] = 0
+        w1[:, 0, :, 1] = w1[:, 0, :, 0]  # without a prediction by order 2 there is no "same"
+        self.w2, self.w1 = w2.ravel(), w1.ravel()
 
     def predict(self, n: int):
-        """For the first n lanes: places in the tables, predicted ids, and the parts of the range that they have."""
-        p1, p2, base = self.prev1[:n], self.prev2[:n], self.context_base[:n]
-        mixed = p1 * 2654435761
-        at1 = base + ((mixed >> 9) & _CONTEXTS)
-        at2 = base + (((mixed + p2 * 40503) >> 8) & _CONTEXTS)
-        e1, e2 = self.last1[at1].astype(np.int64), self.last2[at2].astype(np.int64)
-        c1, c2, x1, x2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
-        same = (x1 == x2) & (c2 > 0)
-        ctx = (self.block[:n] << 5) + (c2 << 3) + (c1 << 1) + same
-        w2 = np.where(c2 > 0, self.w2[ctx], 0)
-        w1 = np.where((c1 > 0) & ~same, self.w1[ctx], 0)
-        return at1, at2, e1, e2, x1, x2, ctx, w2, w1
-
-    def learn(self, n: int, x: np.ndarray, seen) -> None:
+        """For the first n lanes: places in the tables, their entries, predicted ids, the context, and the parts of the range that they have."""
+        base = self.context_base[:n]
+        at1 = base + ((self.mixed1[:n] >> 9) & _CONTEXTS)
+        at2 = base + (((self.mixed1[:n] + self.mixed2[:n]) >> 8) & _CONTEXTS)
+        e1, e2 = self.last1.take(at1), self.last2.take(at2)
+        ctx = self.ctx_base[:n] + (((e2 & 3) << 3) | ((e1 & 3) << 1) | ((e1 ^ e2) < 4))
+        return at1, at2, e1, e2, e1 >> 2, e2 >> 2, ctx, self.w2.take(ctx), self.w1.take(ctx)
+
+    def learn(self, n: int, x: np.ndarray, seen, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit2``, ``hit1``: the lanes where order 2 was right, or else order 1."""
         at1, at2, e1, e2, x1, x2, ctx, _, _ = seen
-        c1, c2 = e1 & 3, e2 & 3
-        right1, right2 = (x1 == x) & (c1 > 0), (x2 == x) & (c2 > 0)
-        outcome = 2 - 2 * right2 - (right1 & ~right2)  # order 2 was right, or else order 1, or none
-        k = np.bincount(ctx * 3 + outcome, minlength=self.hits.size).reshape(-1, 3)
-        self.hits += k
+        size = len(self.hits)
+        every, k2, k1 = (np.bincount(c, minlength=size) for c in (ctx, ctx[hit2], ctx[hit1]))
+        k = np.stack([k2, k1, every - k2 - k1], axis=1).reshape(-1, 4, 4, 2, 3)
+        k[:, 0, :, 0] += k[:, 0, :, 1]
+        k[:, 0, :, 1] = 0
+        self.hits += k.reshape(-1, 3)
         over = self.hits.sum(axis=1) > 4000
         if over.any():
             self.hits[over] *= 0.5
         self.steps += 1
         if self.steps < 16 or not self.steps % 4:
             self._weights()
-        fresh = x * 4 + 1
-        for at, c, e, right, last in ((at1, c1, e1, right1, self.last1), (at2, c2, e2, right2, self.last2)):
+        fresh = (x << 2) + np.uint32(1)
+        one = np.uint32(1)
+        sure = fresh + one
+        for at, e, predicted, last in ((at1, e1, x1, self.last1), (at2, e2, x2, self.last2)):
             # right: one surer, up to 3; wrong: one less sure, or at 1 the new id with 1
-            last[at] = np.where(right, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = x
+            last[at] = np.where(predicted == x, np.minimum(e, sure) + one, np.where((e & 3) > 1, e - one, fresh))
+        self.mixed2[:n] = self.mixed1[:n] * _PAIR
+        np.multiply(x, _MIX, out=self.mixed1[:n])
         self.fresh.append(x)
 
     def renew(self) -> None:
@@ -130,10 +142,11 @@ class _Model:
             lo = b << 16
             self.range0[lo : lo + DIRECT] = 0
             self.range0[lo + ids] = (end - f) << 16 | f
-            self.escape[b] = int(end[-1]) if len(ids) else 0
+            escape = int(end[-1]) if len(ids) else 0
+            self.escape[b * self.streams : (b + 1) * self.streams] = escape
             if self.decode:
-                self.slot[lo : lo + self.escape[b]] = np.repeat(ids, f)
-                self.slot[lo + self.escape[b] : lo + DIRECT] = -1
+                self.slot[lo : lo + escape] = np.repeat(ids.astype(np.int32), f)
+                self.slot[lo + escape : lo + DIRECT] = -1
         self.fresh = []
 
 
@@ -145,32 +158,34 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     """Blocks with equal numbers of streams, in order of falling steps."""
     steps = [-(-len(x) // streams) for x in blocks]
     lanes = len(blocks) * streams
-    grid = np.zeros((max(steps, default=0), lanes), np.int64)
+    grid = np.zeros((max(steps, default=0), lanes), np.uint32)
     for b, (x, t) in enumerate(zip(blocks, steps, strict=True)):
-        grid[:t, b * streams : (b + 1) * streams] = np.pad(x.astype(np.int64), (0, t * streams - len(x))).reshape(streams, t).T
+        grid[:t, b * streams : (b + 1) * streams] = np.pad(x.astype(np.uint32), (0, t * streams - len(x))).reshape(streams, t).T
     wide = [int(x.max(initial=0)) >= DIRECT for x in blocks]
     wide_lane = np.repeat(wide, streams)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-    out, at = np.zeros((lanes, 6 * (max(steps, default=0) + 1)), np.uint16), np.zeros(lanes, np.int64)
+    room = 6 * (max(steps, default=0) + 1)
+    out, begin = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    at = begin.copy()
 
     def code(rows, lo: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         r = span[rows] >> bits
-        new_low = low[rows] + r * lo.astype(np.uint64)
-        new_span = r * size.astype(np.uint64)
-        low[rows], span[rows] = new_low, new_span
-        a, s = new_low, new_span
+        a = low[rows] + r * lo.view(np.uint64)
+        s = r * size.view(np.uint64)
+        low[rows], span[rows] = a, s
         todo = None  # all of rows
         while True:
             settled = (a ^ (a + s)) < _TOP
-            small = ~settled & (s < _BOTTOM)
-            go = np.flatnonzero(settled | small)
+            go = np.flatnonzero(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a[go], s[go], small[go]
+            a, s, small = a[go], s[go], np.flatnonzero(~settled[go])
             todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
-            s = np.where(small, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)), s)
-            out[todo, at[todo]] = (a >> _U32).astype(np.uint16)
-            at[todo] += 1
+            if len(small):
+                s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
+            i = at[todo]
+            out[i] = a >> _U32
+            at[todo] = i + 1
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
@@ -180,25 +195,32 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
         x = grid[t, :n]
         seen = model.predict(n)
         _, _, _, _, x1, x2, _, w2, w1 = seen
-        hit2 = (w2 > 0) & (x == x2)
-        hit1 = ~hit2 & (w1 > 0) & (x == x1)
-        rest = _WHOLE - w2 - w1
-        place = model.base[:n] + np.minimum(x, DIRECT - 1)
-        e = model.range0[place].astype(np.int64)
-        new = (e == 0) | (x >= DIRECT)
-        first = np.where(new, model.escape[model.block[:n]], e >> 16)
-        last = np.where(new, 65536, first + (e & 0xFFFF))
+        hit2, hit1 = np.flatnonzero(x == x2), np.flatnonzero(x == x1)
+        hit2, hit1 = hit2[w2[hit2] > 0], hit1[w1[hit1] > 0]  # order 1 has no part where it says the same
+        known = w2 + w1
+        rest = _WHOLE - known
+        if any(wide):
+            e = np.where(x < DIRECT, model.range0.take(model.base[:n] + np.minimum(x, DIRECT - 1)), np.uint32(0))
+        else:
+            e = model.range0.take(model.base[:n] + x)
+        new = e == 0
+        new[hit2] = new[hit1] = False
+        raw = np.flatnonzero(new)
+        first = (e >> 16).astype(np.int64)
+        last = first + (e & 0xFFFF)
+        first[raw], last[raw] = model.escape[raw], 65536
         first, last = first * rest >> 16, last * rest >> 16
-        lo = np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + first))
-        size = np.where(hit2, w2, np.where(hit1, w1, last - first))
+        lo, size = known + first, last - first
+        lo[hit1], size[hit1] = w2[hit1], w1[hit1]
+        lo[hit2], size[hit2] = 0, w2[hit2]
         code(slice(0, n), lo, size, _U24)
-        raw = np.flatnonzero(new & ~hit2 & ~hit1)
         if len(raw):
-            if wide_lane[raw].any():
-                some = raw[wide_lane[raw]]
-                code(some, x[some] >> 16, np.ones(len(some), np.int64), _U16)
-            code(raw, x[raw] & 0xFFFF, np.ones(len(raw), np.int64), _U16)
-        model.learn(n, x, seen)
+            y = x[raw].astype(np.int64)
+            if any(wide):
+                some = wide_lane[raw]
+                code(raw[some], y[some] >> 16, np.ones(int(some.sum()), np.int64), _U16)
+            code(raw, y & 0xFFFF, np.ones(len(raw), np.int64), _U16)
+        model.learn(n, x, seen, hit2, hit1)
         if t + 1 in renewals:
             model.renew()
     # the shortest number within the range: one word, or two
@@ -206,14 +228,13 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     short = one < low + span
     two = ((low + np.uint64(0xFFFF)) >> _U16) << _U16
     end = np.where(short, one, two)
-    every = np.arange(lanes)
-    out[every, at] = (end >> _U32).astype(np.uint16)
-    out[every, at + 1] = ((end >> _U16) & np.uint64(0xFFFF)).astype(np.uint16)
-    at += np.where(short, 1, 2)
+    out[at] = end >> _U32
+    out[at + 1] = (end >> _U16) & np.uint64(0xFFFF)
+    words = at + np.where(short, 1, 2) - begin
     done = []
     for b, x in enumerate(blocks):
         rows = range(b * streams, (b + 1) * streams)
-        body = at[rows.start : rows.stop].astype("<u4").tobytes() + b"".join(out[r, : at[r]].astype("<u2").tobytes() for r in rows)
+        body = words[rows.start : rows.stop].astype("<u4").tobytes() + b"".join(out[r * room : r * room + words[r]].astype("<u2").tobytes() for r in rows)
         done.append(struct.pack(_HEADER, _MAGIC, len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body), streams, 2 if wide[b] else 1) + body)
     return done
 
@@ -237,75 +258,82 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         at[rows] = i + 1
         return np.where(i < end[rows], stream[np.minimum(i, len(stream) - 1)], np.uint64(0))
 
-    every = np.arange(lanes)
-    value = np.zeros(lanes, np.uint64)
+    above = np.zeros(lanes, np.uint64)  # the coded number less the low end
     for _ in range(3):
-        value = (value << _U16) | read(every)
+        above = (above << _U16) | read(np.arange(lanes))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
     wide_lane = np.repeat([w > 1 for _, _, w in blocks], streams)
 
-    def target(rows, bits: np.uint64) -> np.ndarray:
+    def target(rows, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the range and how many of them lie below the coded number."""
         # doubles give the whole part exactly: 48 bits by at most 32, and a fraction differs from a whole number by 2^-32 or more
-        return ((value[rows] - low[rows]).astype(np.float64) / (span[rows] >> bits).astype(np.float64)).astype(np.int64)
-
-    def take(rows, lo: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         r = span[rows] >> bits
-        new_low = low[rows] + r * lo.astype(np.uint64)
-        new_span = r * size.astype(np.uint64)
-        low[rows], span[rows] = new_low, new_span
-        a, s = new_low, new_span
+        return r, (above[rows].astype(np.float64) / r.astype(np.float64)).astype(np.int64)
+
+    def take(rows, r: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
+        step = r * lo.view(np.uint64)
+        a = low[rows] + step
+        s = r * size.view(np.uint64)
+        low[rows], span[rows] = a, s
+        above[rows] -= step
         todo = None  # all of rows
         while True:
             settled = (a ^ (a + s)) < _TOP
-            small = ~settled & (s < _BOTTOM)
-            go = np.flatnonzero(settled | small)
+            go = np.flatnonzero(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a[go], s[go], small[go]
+            a, s, small = a[go], s[go], np.flatnonzero(~settled[go])
             todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
-            s = np.where(small, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)), s)
-            value[todo] = ((value[todo] << _U16) & _MASK) | read(todo)
+            if len(small):
+                s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
+            above[todo] = ((above[todo] << _U16) & _MASK) | read(todo)
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
-    grid = np.zeros((max(steps, default=0), lanes), np.int64)
+    grid = np.zeros((max(steps, default=0), lanes), np.uint32)
     model, renewals = _Model(len(blocks), streams, True), _renewals(len(grid))
     for t in range(len(grid)):
         n = sum(s > t for s in steps) * streams
         rows = slice(0, n)
         seen = model.predict(n)
         _, _, _, _, x1, x2, _, w2, w1 = seen
-        rest = _WHOLE - w2 - w1
-        v = target(rows, _U24)
-        hit2 = v < w2
-        hit1 = ~hit2 & (v < w2 + w1)
-        c = (np.maximum(((v - w2 - w1 + 1) << 16) - 1, 0) / rest).astype(np.int64)  # 40 bits by 24: exact as above
-        x = model.slot[model.base[:n] + np.minimum(c, DIRECT - 1)].astype(np.int64)
-        new = x < 0
-        place = model.base[:n] + np.maximum(x, 0)
-        e = model.range0[place].astype(np.int64)
-        first = np.where(new, model.escape[model.block[:n]], e >> 16)
-        last = np.where(new, 65536, first + (e & 0xFFFF))
+        known = w2 + w1
+        rest = _WHOLE - known
+        r, v = target(rows, _U24)
+        hit = np.flatnonzero(v < known)
+        by2 = v[hit] < w2[hit]
+        hit2, hit1 = hit[by2], hit[~by2]
+        c = (np.maximum(((v - known + 1) << 16) - 1, 0) / rest).astype(np.int64)  # 40 bits by 24: exact as above
+        found = model.slot.take(model.base[:n] + np.minimum(c, DIRECT - 1))
+        new = found < 0
+        x = found.view(np.uint32)
+        x[new] = 0
+        new[hit] = False
+        raw = np.flatnonzero(new)
+        e = model.range0.take(model.base[:n] + x)
+        first = (e >> 16).astype(np.int64)
+        last = first + (e & 0xFFFF)
+        first[raw], last[raw] = model.escape[raw], 65536
         first, last = first * rest >> 16, last * rest >> 16
-        take(rows, np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + first)), np.where(hit2, w2, np.where(hit1, w1, last - first)), _U24)
-        x = np.where(hit2, x2, np.where(hit1, x1, x))
-        raw = np.flatnonzero(new & ~hit2 & ~hit1)
+        lo, size = known + first, last - first
+        lo[hit1], size[hit1], x[hit1] = w2[hit1], w1[hit1], x1[hit1]
+        lo[hit2], size[hit2], x[hit2] = 0, w2[hit2], x2[hit2]
+        take(rows, r, lo, size)
         if len(raw):
-            x[raw] = 0
-            one = np.ones(len(raw), np.int64)
-            if wide_lane[raw].any():
-                some = raw[wide_lane[raw]]
-                v = target(some, _U16)
-                take(some, v, one[: len(some)], _U16)
+            wide = wide_lane[raw]
+            if wide.any():
+                some = raw[wide]
+                r, v = target(some, _U16)
+                take(some, r, v, np.ones(len(some), np.int64))
                 x[some] = v << 16
-            v = target(raw, _U16)
-            take(raw, v, one, _U16)
-            x[raw] |= v
+            r, v = target(raw, _U16)
+            take(raw, r, v, np.ones(len(raw), np.int64))
+            x[raw] |= v.astype(np.uint32)
         grid[t, :n] = x
-        model.learn(n, x, seen)
+        model.learn(n, x, seen, hit2, hit1)
         if t + 1 in renewals:
             model.renew()
-    return [grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n].astype(np.uint32) for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
+    return [grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n] for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:

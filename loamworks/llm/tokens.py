@@ -13,6 +13,7 @@ in the table become Python strings.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from itertools import chain
@@ -23,6 +24,7 @@ import pyarrow as pa
 from .words import U, Words, mix
 
 _BLANK, _LINE, _FIRST = 0, 1, 2  # what stands before a word
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")  # where versions of Unicode differ on what is a letter
 
 
 def _lasting() -> dict:
@@ -104,7 +106,7 @@ class Encoder:
 
     def __init__(self, path: str, words: bool, bits: int = 20, lasting: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         memory = _lasting() if lasting else {}
         if (path, bits) not in memory:
@@ -114,8 +116,13 @@ class Encoder:
             mark = (lambda x: x.endswith("</w>")) if words else (lambda x: x.startswith("\u0120"))
             edge = np.zeros(tokenizer.get_vocab_size(), bool)
             edge[[i for x, i in tokenizer.get_vocab().items() if mark(x)]] = True
-            memory[path, bits] = (tokenizer, [_Table(bits), _Table(bits)], edge)
-        self.tokenizer, self.tables, self.edge = memory[path, bits]
+            letters = tokenizer
+            if not words and type(tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel:  # words of letters part at blanks only: no patterns needed
+                letters = Tokenizer.from_file(path)
+                letters.encode_special_tokens = True
+                letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            memory[path, bits] = (tokenizer, letters, [_Table(bits), _Table(bits)], edge)
+        self.tokenizer, self.letters, self.tables, self.edge = memory[path, bits]
         self.words, self.bits = words, bits
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -124,13 +131,14 @@ class Encoder:
             out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of words of letters, each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
+    def _encode_words(self, words: list[str], letters: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words (``letters``: of letters alone), each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
         parts, sizes = [], []
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
             text = " ".join(some) if self.words else " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            by = self.letters if letters and not _BEYOND_LATIN.search(text) else self.tokenizer
+            ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             edge = np.flatnonzero(self.edge[ids])
             if len(edge) != len(some) or (edge[-1] + 1 != len(ids) if self.words else edge[0]):
                 return None
@@ -138,12 +146,17 @@ class Encoder:
             sizes.append(np.diff(edge, prepend=-1) if self.words else np.diff(edge, append=len(ids)))
         return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings, end to end, and how many each has."""
+        encoded = [e.ids for i in range(0, len(words), 2000) for e in self.tokenizer.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(encoded), np.uint32), np.fromiter(map(len, encoded), np.int64, len(encoded))
+
     def _learn(self, words: list[str], before: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words with what stands before them, end to end, and how many each has.
 
         Words of letters after a blank go side by side, also those that a full
-        stop or comma ends, whose ids are those of the word and of the sign;
-        others are encoded one by one.
+        stop or comma ends, whose ids are those of the word and of the sign,
+        and other words that keep their blank; the rest are encoded one by one.
         """
         stem = [x if x.isalpha() else x[:-1] if x[-1:] in (".", ",") and x[:-1].isalpha() else "" for x in words]
         if not self.words:
@@ -152,17 +165,21 @@ class Encoder:
         found = self._encode_words(list(number))
         if found is None:
             stem, number, found = [""] * len(words), {}, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        rest = [x if self.words or b == _FIRST else ("\n" if b == _LINE else " ") + x for x, b, y in zip(words, before, stem, strict=True) if not y]
-        others = [".", ",", *rest]
-        encoded = [e.ids for i in range(0, len(others), 2000) for e in self.tokenizer.encode_batch_fast(others[i : i + 2000], add_special_tokens=False)]
-        pool = np.concatenate([found[0], np.fromiter(chain.from_iterable(encoded), np.uint32)])
-        n = np.concatenate([found[1], np.fromiter(map(len, encoded), np.int64, len(encoded))])
+        left = [i for i, y in enumerate(stem) if not y]
+        beside = [] if self.words else [i for i in left if before[i] == _BLANK]
+        together = self._encode_words([words[i] for i in beside], letters=False)
+        if together is None:
+            beside, together = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        apart = sorted(set(left) - set(beside)) if beside else left
+        prefix = {_BLANK: " ", _LINE: "\n", _FIRST: ""}
+        each = self._encode_each([".", ",", *((words[i] if self.words else prefix[before[i]] + words[i]) for i in apart)])
+        pool, n = (np.concatenate(x) for x in zip(found, each, together, strict=True))
         at = np.cumsum(n) - n
         # of each word two parts of the pool: its stem or itself, and its sign or nothing
         signs = len(number)
-        first = np.fromiter((number.get(y, -1) for y in stem), np.int64, len(words))
-        first[first < 0] = signs + 2 + np.arange(len(rest))
-        marked = np.fromiter((0 if not y or len(y) == len(x) else 1 if x[-1] == "." else 2 for x, y in zip(words, stem, strict=True)), np.int64, len(words))
+        first = np.array([number.get(y, -1) for y in stem], np.int64)
+        first[apart + beside] = signs + 2 + np.arange(len(left))
+        marked = np.array([0 if not y or len(y) == len(x) else 1 if x[-1] == "." else 2 for x, y in zip(words, stem, strict=True)], np.int64)
         start = np.stack([at[first], at[signs + np.maximum(marked - 1, 0)]], axis=1).ravel()
         size = np.stack([n[first], np.where(marked > 0, n[signs + np.maximum(marked - 1, 0)], 0)], axis=1)
         flat = size.ravel()
