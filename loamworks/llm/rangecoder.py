@@ -52,6 +52,10 @@ def _shape(n: int) -> tuple[int, int]:
     return s, -(-n // s)
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    return mask.nonzero()[0]
+
+
 class _Model:
     """The models of several blocks with as many streams each, in order of falling steps.
 
@@ -74,7 +78,6 @@ class _Model:
         self.slot = np.full(n, -1, np.int32) if decode else None
         self.hits = np.tile(np.array([2.0, 1.0, 4.0]), (blocks * 32, 1))
         self.mixed1, self.mixed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # of the last id and of that before it
-        self.fresh: list[np.ndarray] = []
         self.steps = 0
         self._weights()
 
@@ -102,7 +105,7 @@ class _Model:
         """``hit2``, ``hit1``: the lanes where order 2 was right, or else order 1."""
         at1, at2, e1, e2, x1, x2, ctx, _, _ = seen
         size = len(self.hits)
-        every, k2, k1 = (np.bincount(c, minlength=size) for c in (ctx, ctx[hit2], ctx[hit1]))
+        every, k2, k1 = (np.bincount(c, minlength=size) for c in (ctx, ctx.take(hit2), ctx.take(hit1)))
         k = np.stack([k2, k1, every - k2 - k1], axis=1).reshape(-1, 4, 4, 2, 3)
         k[:, 0, :, 0] += k[:, 0, :, 1]
         k[:, 0, :, 1] = 0
@@ -113,31 +116,37 @@ class _Model:
         self.steps += 1
         if self.steps < 16 or not self.steps % 4:
             self._weights()
-        fresh = (x << 2) + np.uint32(1)
         one = np.uint32(1)
-        sure = fresh + one
-        for at, e, predicted, last in ((at1, e1, x1, self.last1), (at2, e2, x2, self.last2)):
+        fresh = (x << 2) + one
+        for at, e, right, last in ((at1, e1, _places(x1 == x), self.last1), (at2, e2, hit2, self.last2)):
             # right: one surer, up to 3; wrong: one less sure, or at 1 the new id with 1
-            last[at] = np.where(predicted == x, np.minimum(e, sure) + one, np.where((e & 3) > 1, e - one, fresh))
+            new = fresh.copy()
+            firm = _places((e & 2) != 0)
+            new[firm] = e.take(firm) - one
+            new[right] = np.minimum(e.take(right), fresh.take(right) + one) + one
+            last[at] = new
         self.mixed2[:n] = self.mixed1[:n] * _PAIR
         np.multiply(x, _MIX, out=self.mixed1[:n])
-        self.fresh.append(x)
 
-    def renew(self) -> None:
-        """The order-0 tables of the blocks that still go on."""
-        live = len(self.fresh[-1]) // self.streams
-        for b in range(live):
-            new = np.concatenate([x[b * self.streams : (b + 1) * self.streams] for x in self.fresh])
+    def renew(self, n: int, rows: np.ndarray, wide: bool) -> None:
+        """The order-0 tables of the blocks of the first n lanes, after the steps of ``rows``; ``wide``: ids may be beyond the table."""
+        for b in range(n // self.streams):
+            new = rows[:, b * self.streams : (b + 1) * self.streams].ravel()
+            if wide:
+                new = new[new < DIRECT]
             count = self.count[b]
-            count += np.bincount(new[new < DIRECT], minlength=DIRECT).astype(np.int32)
-            ids = np.flatnonzero(count > 0)
+            if len(new) < DIRECT // 8:
+                np.add.at(count, new, np.int32(1))
+            else:
+                count += np.bincount(new, minlength=DIRECT).astype(np.int32)
+            ids = _places(count > 0)
             if len(ids) > 12_000:  # the most frequent; the others are escaped
                 ids = np.sort(ids[np.argsort(-count[ids], kind="stable")[:12_000]])
-            c = count[ids]
+            c = count.take(ids).astype(np.int64)
             total = int(c.sum())
             rest = min(max(int((c == 1).sum()) * 65536 // (total + 1), 256), 32768)
             room = 65536 - rest - 2 * len(ids)
-            f = 2 + c.astype(np.int64) * room // max(total, 1)
+            f = 2 + c * room // max(total, 1)
             end = np.cumsum(f)
             lo = b << 16
             self.range0[lo : lo + DIRECT] = 0
@@ -147,7 +156,6 @@ class _Model:
             if self.decode:
                 self.slot[lo : lo + escape] = np.repeat(ids.astype(np.int32), f)
                 self.slot[lo + escape : lo + DIRECT] = -1
-        self.fresh = []
 
 
 def _renewals(steps: int) -> set[int]:
@@ -176,27 +184,28 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
         todo = None  # all of rows
         while True:
             settled = (a ^ (a + s)) < _TOP
-            go = np.flatnonzero(settled | (s < _BOTTOM))
+            go = _places(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a[go], s[go], np.flatnonzero(~settled[go])
-            todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
+            a, s, small = a.take(go), s.take(go), _places(~settled.take(go))
+            todo = go if todo is None and isinstance(rows, slice) else rows.take(go) if todo is None else todo.take(go)
             if len(small):
                 s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
-            i = at[todo]
+            i = at.take(todo)
             out[i] = a >> _U32
             at[todo] = i + 1
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
     model, renewals = _Model(len(blocks), streams, False), _renewals(len(grid))
+    since = 0
     for t in range(len(grid)):
         n = sum(s > t for s in steps) * streams
         x = grid[t, :n]
         seen = model.predict(n)
         _, _, _, _, x1, x2, _, w2, w1 = seen
-        hit2, hit1 = np.flatnonzero(x == x2), np.flatnonzero(x == x1)
-        hit2, hit1 = hit2[w2[hit2] > 0], hit1[w1[hit1] > 0]  # order 1 has no part where it says the same
+        hit2, hit1 = _places(x == x2), _places(x == x1)
+        hit2, hit1 = hit2[w2.take(hit2) > 0], hit1[w1.take(hit1) > 0]  # order 1 has no part where it says the same
         known = w2 + w1
         rest = _WHOLE - known
         if any(wide):
@@ -205,14 +214,14 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
             e = model.range0.take(model.base[:n] + x)
         new = e == 0
         new[hit2] = new[hit1] = False
-        raw = np.flatnonzero(new)
+        raw = _places(new)
         first = (e >> 16).astype(np.int64)
         last = first + (e & 0xFFFF)
-        first[raw], last[raw] = model.escape[raw], 65536
+        first[raw], last[raw] = model.escape.take(raw), 65536
         first, last = first * rest >> 16, last * rest >> 16
         lo, size = known + first, last - first
-        lo[hit1], size[hit1] = w2[hit1], w1[hit1]
-        lo[hit2], size[hit2] = 0, w2[hit2]
+        lo[hit1], size[hit1] = w2.take(hit1), w1.take(hit1)
+        lo[hit2], size[hit2] = 0, w2.take(hit2)
         code(slice(0, n), lo, size, _U24)
         if len(raw):
             y = x[raw].astype(np.int64)
@@ -222,7 +231,8 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
             code(raw, y & 0xFFFF, np.ones(len(raw), np.int64), _U16)
         model.learn(n, x, seen, hit2, hit1)
         if t + 1 in renewals:
-            model.renew()
+            model.renew(n, grid[since : t + 1], any(wide))
+            since = t + 1
     # the shortest number within the range: one word, or two
     one = ((low + _TOP - np.uint64(1)) >> _U32) << _U32
     short = one < low + span
@@ -249,26 +259,27 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         sizes.append(size)
         words.append(np.frombuffer(body, "<u2", offset=4 * streams))
     size = np.concatenate(sizes)
-    stream = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
+    stream = np.concatenate([*words, np.zeros(4, np.uint16)])
     at = np.cumsum(size) - size
     end = at + size
 
     def read(rows: np.ndarray) -> np.ndarray:
-        i = at[rows]
+        i = at.take(rows)
         at[rows] = i + 1
-        return np.where(i < end[rows], stream[np.minimum(i, len(stream) - 1)], np.uint64(0))
+        return (stream.take(i, mode="clip") * (i < end.take(rows))).astype(np.uint64)
 
     above = np.zeros(lanes, np.uint64)  # the coded number less the low end
     for _ in range(3):
         above = (above << _U16) | read(np.arange(lanes))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-    wide_lane = np.repeat([w > 1 for _, _, w in blocks], streams)
+    wide = [w > 1 for _, _, w in blocks]
+    wide_lane = np.repeat(wide, streams)
 
     def target(rows, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """Units of the range and how many of them lie below the coded number."""
         # doubles give the whole part exactly: 48 bits by at most 32, and a fraction differs from a whole number by 2^-32 or more
         r = span[rows] >> bits
-        return r, (above[rows].astype(np.float64) / r.astype(np.float64)).astype(np.int64)
+        return r, (above[rows].view(np.int64) / r.view(np.int64)).astype(np.int64)
 
     def take(rows, r: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
         step = r * lo.view(np.uint64)
@@ -279,19 +290,20 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         todo = None  # all of rows
         while True:
             settled = (a ^ (a + s)) < _TOP
-            go = np.flatnonzero(settled | (s < _BOTTOM))
+            go = _places(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a[go], s[go], np.flatnonzero(~settled[go])
-            todo = go if todo is None and isinstance(rows, slice) else rows[go] if todo is None else todo[go]
+            a, s, small = a.take(go), s.take(go), _places(~settled.take(go))
+            todo = go if todo is None and isinstance(rows, slice) else rows.take(go) if todo is None else todo.take(go)
             if len(small):
                 s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
-            above[todo] = ((above[todo] << _U16) & _MASK) | read(todo)
+            above[todo] = ((above.take(todo) << _U16) & _MASK) | read(todo)
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
     grid = np.zeros((max(steps, default=0), lanes), np.uint32)
     model, renewals = _Model(len(blocks), streams, True), _renewals(len(grid))
+    since = 0
     for t in range(len(grid)):
         n = sum(s > t for s in steps) * streams
         rows = slice(0, n)
@@ -300,8 +312,8 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         known = w2 + w1
         rest = _WHOLE - known
         r, v = target(rows, _U24)
-        hit = np.flatnonzero(v < known)
-        by2 = v[hit] < w2[hit]
+        hit = _places(v < known)
+        by2 = v.take(hit) < w2.take(hit)
         hit2, hit1 = hit[by2], hit[~by2]
         c = (np.maximum(((v - known + 1) << 16) - 1, 0) / rest).astype(np.int64)  # 40 bits by 24: exact as above
         found = model.slot.take(model.base[:n] + np.minimum(c, DIRECT - 1))
@@ -309,20 +321,19 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         x = found.view(np.uint32)
         x[new] = 0
         new[hit] = False
-        raw = np.flatnonzero(new)
+        raw = _places(new)
         e = model.range0.take(model.base[:n] + x)
         first = (e >> 16).astype(np.int64)
         last = first + (e & 0xFFFF)
-        first[raw], last[raw] = model.escape[raw], 65536
+        first[raw], last[raw] = model.escape.take(raw), 65536
         first, last = first * rest >> 16, last * rest >> 16
         lo, size = known + first, last - first
-        lo[hit1], size[hit1], x[hit1] = w2[hit1], w1[hit1], x1[hit1]
-        lo[hit2], size[hit2], x[hit2] = 0, w2[hit2], x2[hit2]
+        lo[hit1], size[hit1], x[hit1] = w2.take(hit1), w1.take(hit1), x1.take(hit1)
+        lo[hit2], size[hit2], x[hit2] = 0, w2.take(hit2), x2.take(hit2)
         take(rows, r, lo, size)
         if len(raw):
-            wide = wide_lane[raw]
-            if wide.any():
-                some = raw[wide]
+            if any(wide):
+                some = raw[wide_lane[raw]]
                 r, v = target(some, _U16)
                 take(some, r, v, np.ones(len(some), np.int64))
                 x[some] = v << 16
@@ -332,7 +343,8 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         grid[t, :n] = x
         model.learn(n, x, seen, hit2, hit1)
         if t + 1 in renewals:
-            model.renew()
+            model.renew(n, grid[since : t + 1], any(wide))
+            since = t + 1
     return [grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n] for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
 
 

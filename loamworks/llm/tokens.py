@@ -134,8 +134,8 @@ class Encoder:
     def _encode_words(self, words: list[str], letters: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of words (``letters``: of letters alone), each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
         parts, sizes = [], []
-        for i in range(0, len(words), 200):
-            some = words[i : i + 200]
+        for i in range(0, len(words), 100):
+            some = words[i : i + 100]
             text = " ".join(some) if self.words else " " + " ".join(some)
             by = self.letters if letters and not _BEYOND_LATIN.search(text) else self.tokenizer
             ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
