@@ -157,9 +157,9 @@ def matches_none(path: Column, globs: str | list[str] | None) -> Column:
     return ~path.rlike("|".join(glob_regex(g) for g in some)) if some else F.lit(True)
 
 
-def ignore_regex(rules: list[str]) -> list[tuple[str, bool]]:
-    """(regular expression, whether it ignores) of lines in the ignore-file dialect; the last that matches decides."""
-    out = []
+def ignore_regex(rules: list[str], folder: str = "") -> list[tuple[str, bool]]:
+    """(regular expression, whether it ignores) of lines in the ignore-file dialect that hold below a folder; the last that matches decides."""
+    out, top = [], "^" + re.escape(folder + "/") if folder else "^"
     for raw in rules:
         rule = raw.rstrip()
         if not rule or rule.startswith("#"):
@@ -181,14 +181,14 @@ def ignore_regex(rules: list[str]) -> list[tuple[str, bool]]:
                 body, i = body + "[^/]", i + 1
             else:
                 body, i = body + re.escape(rule[i]), i + 1
-        out.append((("^" if rooted else "(?:^|.*/)") + body + ("/" if only_dir else "(?:/|$)"), not keep))
+        out.append((top + ("" if rooted else "(?:.*/)?") + body + ("/" if only_dir else "(?:/|$)"), not keep))
     return out
 
 
-def ignored_by(path: Column, rules: list[str]) -> Column:
-    """Whether the ignore rules hide a path."""
+def ignored_by(path: Column, rules: list[str], nested: list[tuple[str, list[str]]] | None = None) -> Column:
+    """Whether the ignore rules hide a path. ``nested``: folders and the rules of their ignore files, from the top down; a deeper folder's rules go before those above it, and ``rules`` before all."""
     out = F.lit(False)
-    for pattern, ignores in ignore_regex(rules):
+    for pattern, ignores in [x for folder, some in nested or [] for x in ignore_regex(some, folder)] + ignore_regex(rules):
         out = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(out)
     return out
 

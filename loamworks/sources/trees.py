@@ -21,8 +21,12 @@ from ..functions.text import strip_jsonc
 from ..model import BinaryFile, Config, FileNotFound, InvalidParams
 
 
+IGNORE_FILES = (".gitignore", ".ignore")  # the later of one folder goes first
+RULES_LIMIT = 1_000_000
+
+
 class TreeSource(DataSource):
-    """Files under a folder that all executors see, with names that Spark's own scan skips (``.x``, ``_x``); excluded folders are not walked into."""
+    """Files under a folder that all executors see, with names that Spark's own scan skips (``.x``, ``_x``); excluded folders are not walked into. Option ``names``: only files with these names."""
 
     @classmethod
     def name(cls) -> str:
@@ -32,12 +36,13 @@ class TreeSource(DataSource):
         return "path string, length long, modificationTime timestamp, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"], self.options.get("contents", "true") == "true", set(self.options.get("excluded", "").split("|")))
+        names = self.options.get("names", "")
+        return _TreeReader(self.options["path"], self.options.get("contents", "true") == "true", set(self.options.get("excluded", "").split("|")), set(names.split("|")) if names else None)
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, contents: bool, excluded: set[str], bytes_per_part: int = 32_000_000):
-        self.root, self.contents, self.excluded, self.bytes_per_part = root, contents, excluded, bytes_per_part
+    def __init__(self, root: str, contents: bool, excluded: set[str], names: set[str] | None = None, bytes_per_part: int = 32_000_000):
+        self.root, self.contents, self.excluded, self.names, self.bytes_per_part = root, contents, excluded, names, bytes_per_part
 
     def partitions(self) -> list[InputPartition]:
         parts, now, size = [], [], 0
@@ -45,7 +50,7 @@ class _TreeReader(DataSourceReader):
             dirs[:] = sorted(d for d in dirs if d not in self.excluded)
             for f in sorted(files):
                 path = os.path.join(folder, f)
-                if not os.path.isfile(path):
+                if (self.names is not None and f not in self.names) or not os.path.isfile(path):
                     continue
                 now.append(os.path.relpath(path, self.root))
                 size += os.path.getsize(path) + 4096
@@ -64,29 +69,51 @@ class _TreeReader(DataSourceReader):
             yield path, os.path.getsize(full), datetime.fromtimestamp(os.path.getmtime(full), UTC), content
 
 
-def _scan(spark: SparkSession, root: str, contents: bool) -> DataFrame:
-    """path (relative), length, modificationTime, content. Remote folders go through Spark's scan of binary files, which skips names with a leading dot or underscore."""
+def _scan(spark: SparkSession, root: str, contents: bool, names: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative), length, modificationTime, content; of files with these names, if any are given. Remote folders go through Spark's scan of binary files, which skips names with a leading dot or underscore."""
     base = root.rstrip("/")
     if base.startswith("file:") or "://" not in base:
         spark.dataSource.register(TreeSource)
         local = "/" + base.split(":", 1)[-1].lstrip("/") if base.startswith("file:") else os.path.abspath(base)
-        return spark.read.format("file_tree").option("contents", str(contents).lower()).option("excluded", "|".join(P.EXCLUDED_DIRS)).load(local)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+        return spark.read.format("file_tree").option("contents", str(contents).lower()).option("excluded", "|".join(P.EXCLUDED_DIRS)).option("names", "|".join(names)).load(local)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (raw.option("pathGlobFilter", "{" + ",".join(names) + "}") if names else raw).load(base)
     top = F.regexp_replace(F.lit(base), "^([a-z0-9]+):/+", "$1:/")
     return raw.withColumn("path", F.substr(F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"), F.length(top) + 2))
 
 
-def read_tree(spark: SparkSession, root: str, *, hidden: bool = True, ignore: list[str] | None = None, contents: bool = True, config: Config | None = None) -> DataFrame:
-    """The files under a folder as FILES, with ``ignored`` (by ignore rules) besides; always-excluded folders and denied paths are left out, binaries have no text.
+def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, list[str]]]:
+    """(folder, lines) of the ignore files in a tree, from the top down, and in one folder in the order of ``names``.
+
+    They become conditions of a plan, so they come to the driver; a tree with
+    more than ``RULES_LIMIT`` bytes of them is an error. Remote folders: those
+    whose names have no leading dot or underscore.
+    """
+    found = _scan(spark, root, True, names).select("path", "length", F.col("content").cast("string").alias("text")).persist() if names else None
+    if found is None:
+        return []
+    try:
+        size = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if size > RULES_LIMIT:
+            raise InvalidParams(f"{size} bytes of ignore files, at most {RULES_LIMIT} are read")
+        rows = [(r["path"].rpartition("/"), r["text"]) for r in found.collect()]
+    finally:
+        found.unpersist()
+    rows.sort(key=lambda x: (x[0][0].count("/") + bool(x[0][0]), x[0][0], names.index(x[0][2])))
+    return [(path[0], text.splitlines()) for path, text in rows]
+
+
+def read_tree(spark: SparkSession, root: str, *, hidden: bool = True, ignore: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES, contents: bool = True, config: Config | None = None) -> DataFrame:
+    """The files under a folder as FILES, with ``ignored`` besides: by the tree's own ``ignore_files``, each below its folder, and by the rules of ``ignore``, which go first. Always-excluded folders and denied paths are left out, binaries have no text.
 
-    ``contents`` False reads names, sizes and times only and opens no file.
+    ``contents`` False reads names, sizes and times only and opens no file but ignore files.
     """
     settings = config or Config()
     d = _scan(spark, root, contents)
     d = d.filter(~P.in_excluded_dir(F.col("path")) & P.denied_tier(F.col("path"), settings.additional_deny, settings.allow_override, settings.ignore).isNull())
     if not hidden:
         d = d.filter(~F.col("path").rlike(r"(^|/)\."))
-    d = d.withColumn("ignored", P.ignored_by(F.col("path"), ignore or []))
+    d = d.withColumn("ignored", P.ignored_by(F.col("path"), ignore or [], ignore_rules(spark, root, ignore_files)))
     named = d.select("path", P.extension(F.col("path")).alias("ext"), P.language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "ignored", *(["content"] if contents else []))
     if not contents:
         return named
@@ -175,7 +202,7 @@ def count_source_files(files: DataFrame) -> int:
 
 # --- manifests and languages
 
-# Fixed table: markers of languages.
+# Fixed tables: markers of languages, and the files and extensions to try.
 MARKERS = {"rust": ["Cargo.toml"], "go": ["go.mod"], "typescript": ["tsconfig.json", "package.json"], "python": ["pyproject.toml", "setup.py", "requirements.txt"], "java": ["pom.xml", "build.gradle", "build.gradle.kts"]}
 PROBES = {
     "rust": ["src/main.rs", "src/lib.rs"],

@@ -53,14 +53,17 @@ def lagged(events: DataFrame, key: str, capacity: int = 64) -> DataFrame:
     return d.select(key, F.least("n", F.lit(capacity)).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"))
 
 
+# Seconds of silence after which a language counts as ready.
+TIMEOUTS = {"java": 120, "rust": 60, "typescript": 45, "javascript": 45, "go": 30, "python": 30}
 READINESS = "key string, percent int, complete boolean, by_timeout boolean"
 _STATE = "percent int, complete boolean, by_timeout boolean"
 
 
-def readiness(events: DataFrame, seconds: int = 30):
-    """A stream of (key, kind, percent, ts) as states: report sets the percent, end completes once, and silence of ``seconds`` (event time) completes by timeout; an end after that changes nothing."""
+def readiness(events: DataFrame, seconds: int = 30, timeouts: dict[str, int] = TIMEOUTS):
+    """A stream of (key, kind, percent, ts) as states: report sets the percent, end completes once, and silence of the key's ``timeouts``, else of ``seconds`` (event time), completes by timeout; an end after that changes nothing."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        wait = timeouts.get(key[0], seconds) * 1000
         now = state.get if state.exists else (0, False, False)
         if state.hasTimedOut:
             now = (now[0], True, True) if not now[1] else now
@@ -76,7 +79,7 @@ def readiness(events: DataFrame, seconds: int = 30):
                         now = (100, True, False)
             state.update(now)
             if not now[1]:
-                state.setTimeoutTimestamp(max(latest + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *now)], columns=["key", "percent", "complete", "by_timeout"])
 
     return events.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, READINESS, _STATE, "update", "EventTimeTimeout")

@@ -211,13 +211,25 @@ def test_manifests(spark):
     assert roots["rust"] == (2, "") and roots["typescript"] == (1, "")
 
 
-def test_tree_scan_config_and_git(spark, tmp_path):
+def test_tree_scan_config_and_git(spark, tmp_path, monkeypatch):
     for p, c in {"src/a.py": "x = 1\n", "node_modules/m.js": "1", "b.png": "p", "k.pem": "s", ".hidden/h.py": "1", "src/__init__.py": ""}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(c)
     got = {r["path"]: r["text"] for r in trees.read_tree(spark, str(tmp_path)).collect()}
     assert got == {"src/a.py": "x = 1\n", "b.png": None, ".hidden/h.py": "1", "src/__init__.py": ""}
     assert {r["path"] for r in trees.read_tree(spark, str(tmp_path), hidden=False, contents=False).collect()} == {"src/a.py", "b.png", "src/__init__.py"}
+    for p, c in {".gitignore": "*.log\n/top.txt\n# note\n", "src/.gitignore": "gen/\n!keep.log\n/only.py\n", "src/.ignore": "x.txt\n"}.items():
+        (tmp_path / p).write_text(c)
+    for p in ("a.log", "top.txt", "src/top.txt", "src/keep.log", "src/gen/b.py", "gen/b.py", "src/only.py", "src/d/only.py", "x.txt", "src/d/x.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("")
+    hidden = lambda **k: {r["path"] for r in trees.read_tree(spark, str(tmp_path), contents=False, **k).filter("ignored").collect()}
+    assert hidden() == {"a.log", "top.txt", "src/gen/b.py", "src/only.py", "src/d/x.txt"}
+    assert hidden(ignore=["!a.log", "gen/"]) == {"top.txt", "src/gen/b.py", "gen/b.py", "src/only.py", "src/d/x.txt"}
+    assert hidden(ignore_files=()) == set()
+    monkeypatch.setattr(trees, "RULES_LIMIT", 10)
+    with pytest.raises(InvalidParams):
+        hidden()
     assert trees.read_config(str(tmp_path / "none.json")).max_results == 50
     (tmp_path / "c.json").write_text('{"max_results": 0}')
     with pytest.raises(InvalidParams):

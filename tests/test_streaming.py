@@ -32,6 +32,18 @@ def test_readiness(spark, tmp_path):
     assert got == {"a": (100, True), "b": (40, False)}
 
 
+def test_readiness_times_out_by_language(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "key string, kind string, percent int, ts timestamp"
+    for i, rows in enumerate(([("java", "report", 10, t(0)), ("go", "report", 20, t(0)), ("zig", "report", 30, t(0))], [("clock", "report", 0, t(50))], [("clock", "report", 0, t(51))])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = status.readiness(stream, seconds=40).writeStream.foreachBatch(lambda d, _, i=i: d.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "at")).outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
+    timed = {(r["key"], r["percent"]) for r in spark.read.parquet(str(tmp_path / "out")).filter("by_timeout").collect()}
+    assert timed == {("go", 20), ("zig", 30)}
+
+
 def test_batch_mechanisms(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     e = spark.createDataFrame([("a", "end", t(5)), ("a", "end", t(3)), ("b", "report", t(1))], "k string, event_type string, ts timestamp")
