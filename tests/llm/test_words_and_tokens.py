@@ -62,6 +62,11 @@ def test_blocks_round_trip(n, kinds):
     assert np.array_equal(rangecoder.decode(rangecoder.encode([x]))[0], x)
 
 
+def test_range_coder_largest_ids_repeated():
+    x = np.tile(np.array([(1 << 30) - 1, 0, (1 << 30) - 1, (1 << 16) - 1, 1 << 16], np.uint32), 4000)
+    assert np.array_equal(rangecoder.decode(rangecoder.encode([x]))[0], x)
+
+
 def test_blocks_are_independent_of_their_company():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 300, n).astype(np.uint32) for n in (70_000, 65_536, 10, 0, 400, 9000)]
