@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, packing, pseudolikelihood, quality, secrets, sharding, tokenfiles, topk
+from . import conversations, decontamination, jaccard, language, packing, pseudolikelihood, quality, secrets, sharding, tokenfiles, topk
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolikelihood.score_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digests(spark, rows, conversations.damaged(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +76,6 @@ QUERIES = {
         op8_decontamination,
         op9_exact_top_k,
         op10_pseudo_likelihood,
+        op11_conversation_repair,
     )
 }

@@ -36,4 +36,59 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op3_jaccard_join": OP3, "op9_exact_top_k": OP9}
+OP11 = r"""
+WITH RECURSIVE raw AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+dealt AS (
+  SELECT *, xor(list_reduce(range(0, 8 * len(k)), lambda c, i: CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END) % 2 = 1
+      THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END) // 2, 3988292384)
+      ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END) // 2 END, 4294967295), 4294967295) % 20 AS f
+  FROM raw),
+hurt AS (
+  SELECT conv, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE f <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) AS rn,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM hurt),
+turns AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY rn) AS p
+  FROM placed),
+facts AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv),
+gap(a, b, cost, audit, body) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'),
+    (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+edit(a, b, cost, audit, c) AS (
+  SELECT s, s, 2, 'D', CAST(NULL AS VARCHAR) FROM range(0, 4) x(s)
+  UNION ALL VALUES (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a'),
+    (0, 2, 1, 'R', 'user'), (1, 2, 1, 'R', 'user'), (3, 2, 1, 'R', 'user'), (2, 3, 1, 'R', 'assistant')),
+way AS (
+  SELECT conv, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS cost, CAST('' AS VARCHAR) AS audit, CAST('' AS VARCHAR) AS body FROM facts
+  UNION ALL
+  SELECT conv, rn, s, cost, audit, body FROM (
+    SELECT way.conv, t.rn, CAST(e.b AS BIGINT) AS s, way.cost + g.cost + e.cost + CASE WHEN t.fault = 'truncated' AND e.audit <> 'D' THEN 5 ELSE 0 END AS cost,
+      way.audit || g.audit || e.audit AS audit,
+      way.body || g.body || CASE e.audit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || t.role || ':' || t.text ELSE chr(10) || e.c || ':' || t.text END AS body
+    FROM way JOIN turns t ON t.conv = way.conv AND t.rn = way.rn + 1 JOIN gap g ON g.a = way.s JOIN edit e ON e.a = g.b
+    WHERE e.audit = 'D' OR (t.fault IN ('', 'truncated') AND (e.audit = 'R' OR e.c = t.c))
+    QUALIFY row_number() OVER (PARTITION BY way.conv, e.b ORDER BY way.cost + g.cost + e.cost + CASE WHEN t.fault = 'truncated' AND e.audit <> 'D' THEN 5 ELSE 0 END, way.audit || g.audit || e.audit) = 1)),
+best AS (
+  SELECT way.conv, way.cost + g.cost AS cost, way.audit || g.audit AS audit, way.body || g.body AS body
+  FROM way JOIN facts f ON f.conv = way.conv AND f.n = way.rn JOIN gap g ON g.a = way.s AND g.b IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY way.conv ORDER BY way.cost + g.cost, way.audit || g.audit) = 1)
+SELECT DISTINCT raw.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(substr(body, 2), '')) AS repaired_sha256
+FROM raw LEFT JOIN facts USING (conv) LEFT JOIN best USING (conv)
+"""
+
+ORACLE_SQL = {"op3_jaccard_join": OP3, "op9_exact_top_k": OP9, "op11_conversation_repair": OP11}
