@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, jaccard, language, packing, pseudolikelihood, quality, secrets, sharding, tokenfiles, topk
+from . import alignment, conversations, decontamination, jaccard, language, packing, pseudolikelihood, quality, secrets, sharding, tokenfiles, topk, urls
 from .common import table
 
 
@@ -63,6 +63,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(spark, rows, conversations.damaged(rows))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.Alignment(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")).scores()
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(spark, pages, urls.outcomes_of(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +86,7 @@ QUERIES = {
         op9_exact_top_k,
         op10_pseudo_likelihood,
         op11_conversation_repair,
+        op12_tokenizer_alignment,
+        op13_url_filter,
     )
 }

@@ -91,4 +91,43 @@ SELECT DISTINCT raw.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coa
 FROM raw LEFT JOIN facts USING (conv) LEFT JOIN best USING (conv)
 """
 
-ORACLE_SQL = {"op3_jaccard_join": OP3, "op9_exact_top_k": OP9, "op11_conversation_repair": OP11}
+OP13 = r"""
+WITH parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+  FROM (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)),
+hosts AS (
+  SELECT host, CASE WHEN two IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'org.uk') THEN regexp_extract(host, '(?:[^.]*\.){0,2}[^.]*$') ELSE two END AS domain,
+    CASE WHEN two IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'org.uk') THEN two ELSE regexp_extract(host, '[^.]*$') END AS suffix
+  FROM (SELECT DISTINCT host, regexp_extract(host, '(?:[^.]*\.)?[^.]*$') AS two FROM parts)),
+marks AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) <> 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h AS (
+  SELECT host, domain, suffix, count(*) AS n, sum(bad) AS k
+  FROM parts JOIN marks ON TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.html|/)?$', 1) AS BIGINT) = doc_id JOIN hosts USING (host) WHERE url IS NOT NULL GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+s1 AS (SELECT suffix, n, k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) AS prior FROM s),
+s2 AS (SELECT *, (SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0
+    THEN least(greatest(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / sum(n * (n - 1) * prior * (1 - prior)), 0.001), 0.999) ELSE 0.5 END FROM s1) AS alike FROM s1),
+s3 AS (SELECT suffix, (prior * (1 / alike - 1) + k) / (1 / alike - 1 + n) AS mean, 1 / alike - 1 + n AS weight FROM s2),
+d1 AS (SELECT domain, n, k, mean AS prior FROM d JOIN s3 USING (suffix)),
+d2 AS (SELECT *, (SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0
+    THEN least(greatest(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / sum(n * (n - 1) * prior * (1 - prior)), 0.001), 0.999) ELSE 0.5 END FROM d1) AS alike FROM d1),
+d3 AS (SELECT domain, (prior * (1 / alike - 1) + k) / (1 / alike - 1 + n) AS mean, 1 / alike - 1 + n AS weight FROM d2),
+h1 AS (SELECT host, n, k, mean AS prior FROM h JOIN d3 USING (domain)),
+h2 AS (SELECT *, (SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0
+    THEN least(greatest(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / sum(n * (n - 1) * prior * (1 - prior)), 0.001), 0.999) ELSE 0.5 END FROM h1) AS alike FROM h1),
+h3 AS (SELECT host, (prior * (1 / alike - 1) + k) / (1 / alike - 1 + n) AS mean, 1 / alike - 1 + n AS weight FROM h2),
+blocked AS (
+  SELECT host FROM hosts LEFT JOIN h3 USING (host) LEFT JOIN d3 USING (domain) LEFT JOIN s3 USING (suffix)
+  WHERE coalesce(h3.mean - 1.645 * sqrt(h3.mean * (1 - h3.mean) / (h3.weight + 1)) > 0.5, d3.mean - 1.645 * sqrt(d3.mean * (1 - d3.mean) / (d3.weight + 1)) > 0.5,
+    s3.mean - 1.645 * sqrt(s3.mean * (1 - s3.mean) / (s3.weight + 1)) > 0.5, false)),
+rules(said, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
+SELECT page_id, host, path,
+  (SELECT arg_max(rhost || rpath, len(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
+  coalesce((SELECT arg_max(said, len(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+    CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts
+"""
+
+ORACLE_SQL = {"op3_jaccard_join": OP3, "op9_exact_top_k": OP9, "op11_conversation_repair": OP11, "op13_url_filter": OP13}

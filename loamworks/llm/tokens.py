@@ -101,10 +101,11 @@ class Encoder:
 
     Two tables of about 2^(bits - 1) words are kept; when the newer is full
     it becomes the older, and words met again move to the newer. ``lasting``:
-    they stay in the worker for its later tasks, at about 150 MB.
+    they stay in the worker for its later tasks, at about 150 MB. ``led``: a
+    blank is put before each text that is not empty.
     """
 
-    def __init__(self, path: str, words: bool, bits: int = 20, lasting: bool = False):
+    def __init__(self, path: str, words: bool, bits: int = 20, lasting: bool = False, led: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -123,10 +124,12 @@ class Encoder:
                 letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             memory[path, bits] = (tokenizer, letters, [_Table(bits), _Table(bits)], edge)
         self.tokenizer, self.letters, self.tables, self.edge = memory[path, bits]
-        self.words, self.bits = words, bits
+        self.words, self.bits, self.led = words, bits, led
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
+        if self.led:
+            texts = [x and " " + x for x in texts]
         for i in range(0, len(texts), 2000):
             out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
         return out
@@ -220,7 +223,7 @@ class Encoder:
         some = w.first[:-1] < w.first[1:]
         doc_start[w.first[:-1][some]] = True
         prev = buf[np.maximum(w.start - 1, 0)]
-        before = np.where(doc_start, _FIRST, np.where(prev == 10, _LINE, _BLANK))
+        before = np.where(doc_start, _BLANK if self.led else _FIRST, np.where(prev == 10, _LINE, _BLANK))
         gap = np.diff(w.start, prepend=0)
         gap[1:] = w.start[1:] - w.end[:-1]
         bad = np.zeros(n, bool)
@@ -267,3 +270,25 @@ class Encoder:
                 slot[miss] = new.find(h[miss])
         slot[skip] = -1
         return slot
+
+
+class PieceEncoder(Encoder):
+    """Ids of texts by a sentencepiece model whose pieces hold blanks only at their beginning and no line end; it puts a blank before each text itself."""
+
+    def __init__(self, path: str, bits: int = 20, lasting: bool = False):
+        import sentencepiece
+
+        memory = _lasting() if lasting else {}
+        if (path, bits) not in memory:
+            memory[path, bits] = (sentencepiece.SentencePieceProcessor(model_file=path), [_Table(bits), _Table(bits)])
+        self.tokenizer, self.tables = memory[path, bits]
+        self.words, self.bits, self.led = False, bits, True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.tokenizer.encode(texts, num_threads=1)]
+
+    def _learn(self, words: list[str], before: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """As for Encoder; after a line end the blank that the model puts in front is a piece by itself, and is left out."""
+        ids = self.tokenizer.encode(["\n" + x if b == _LINE else x for x, b in zip(words, before, strict=True)], num_threads=1)
+        ids = [x[1:] if b == _LINE else x for x, b in zip(ids, before, strict=True)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
