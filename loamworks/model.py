@@ -13,6 +13,7 @@ SYMBOLS = (
     "path string, symbol_id int, parent_id int, depth int, ordinal int, name string, semantic_path string, kind string, access_level string, is_test boolean, start_byte int, end_byte int, start_line int, end_line int, name_column int"
 )
 TOKENS = "path string, start_line int, start_col int, end_line int, end_col int, node_type string"
+FAULTS = "path string, line int, column int, fault string"
 EDGES = "src_path string, src_symbol string, dst_path string, dst_symbol string, call_sites array<int>, confidence string"
 ZONES = "path string, zone string, start_byte int, end_byte int, start_line int, end_line int"
 IMPACT = "semantic_path string, path string, line int, snippet string, direction string, depth int, confidence string"

@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions import paths as P
 from ..functions import patterns as D
-from ..model import SYMBOLS, TOKENS, names as columns
+from ..model import FAULTS, SYMBOLS, TOKENS, names as columns
 from . import extract
 
 
@@ -20,8 +20,8 @@ ROWS = 20_000
 
 
 def _rows(kind: str):
-    make = extract.flattened if kind == "symbols" else extract.token_rows
-    names = columns(SYMBOLS if kind == "symbols" else TOKENS)
+    make, schema = {"symbols": (extract.flattened, SYMBOLS), "tokens": (extract.token_rows, TOKENS), "faults": (extract.fault_rows, FAULTS)}[kind]
+    names = columns(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -57,6 +57,11 @@ def tokens(files: DataFrame) -> DataFrame:
     return _parsable(files).mapInPandas(_rows("tokens"), TOKENS)
 
 
+def faults(files: DataFrame) -> DataFrame:
+    """FAULTS: what the parser could not place, a row for each bracket, string or comment left open and each error of syntax. Files without rows were read as a whole."""
+    return _parsable(files).mapInPandas(_rows("faults"), FAULTS)
+
+
 class ExtractSymbols:
     """For SQL: SELECT s.* FROM files, LATERAL extract_symbols(language, text) s"""
 

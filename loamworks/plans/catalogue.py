@@ -477,6 +477,73 @@ def symbols_python(spark, sf):
     return index.symbols(_sources(spark, sf)).select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
 
 
+#: Three lines that declare NAME, in three shapes for each language: plain; after a comment and a string that hold braces and false declarations; and as a test or within what nests.
+SHAPES = {
+    "rs": (
+        ("fn NAME() {\n    if a { b(1); }\n}\n", "Function"),
+        ("/* a /* } */ fn no() { */ pub fn NAME() {\n    let s = \"} fn no() {\"; let c = '{';\n}\n", "Function"),
+        ("#[test]\nfn NAME<'a>(x: &'a str) { let r = r#\"} \" fn no() {\"#;\n}\n", "Test"),
+    ),
+    "go": (
+        ("func NAME(a interface{}) struct{} {\n\treturn struct{}{}\n}\n", "Function"),
+        ("/* } func no() { */ func NAME() {\n\ts := `} func no() {`; c := '{'\n}\n", "Function"),
+        ("type NAME struct {\n\ta map[string]struct{} // }\n}\n", "Struct"),
+    ),
+    "java": (
+        ("class NAME {\n  /* } */ int a = b(1);\n}\n", "Class"),
+        ("@Note(x = \"{\") public interface NAME {\n  // } class No {\n}\n", "Interface"),
+        ("enum NAME {\n  A(1), B('{');\n}\n", "Enum"),
+    ),
+    "ts": (
+        ("function NAME(a = {}): { b: string } {\n  return a\n}\n", "Function"),
+        ("export const NAME = async (x: number): Promise<void> => {\n  f(`} ${ `{ ${x} function no() {` } {`)\n}\n", "Function"),
+        ("export class NAME<T> extends B<{ x: 1 }> { // }\n  re = /[}\"'`]/\n}\n", "Class"),
+    ),
+    "js": (
+        ("function* NAME() {\n  const a = /}/.test(b) /* { */\n}\n", "Function"),
+        ("const NAME = x => {\n  return x / 2 / `${{}}`\n}\n", "Function"),
+        ("class NAME {\n  // }\n}\n", "Class"),
+    ),
+}
+_SHAPE_ROWS = ", ".join(f"({i}, '{ext}', {k}, '{kind}', {int(code.startswith('#'))})" for i, (ext, some) in enumerate(SHAPES.items()) for k, (code, kind) in enumerate(some))
+
+
+def _link_sources(spark, sf):
+    """A source file for each page, of one language, with a declaration for each link of the page's html."""
+    i = F.col("page_id").cast("string")
+    lang = F.pmod("page_id", F.lit(len(SHAPES))).cast("int")
+    shapes = F.array(*[F.array(*[F.lit(code) for code, _ in some]) for some in SHAPES.values()])
+    ext = F.array(*[F.lit(x) for x in SHAPES])
+    words = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))
+    code = F.transform(words, lambda w, k: F.replace(F.element_at(F.element_at(shapes, lang + 1), (k % 3 + 1).cast("int")), F.lit("NAME"), F.concat(F.lit("w_"), w)))
+    d = _t(spark, sf, "pages").filter("html is not null and page_id is not null")
+    return d.select(F.concat(F.lit("link/p"), i, F.lit("."), F.element_at(ext, lang + 1)).alias("path"), F.array_join(code, "").alias("text"))
+
+
+@_query(
+    f"""WITH w AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS word, unnest(range(0, len(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)))) AS i FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, word ORDER BY i) AS nth FROM w)
+SELECT 'link/p' || page_id || '.' || ext AS path, 'w_' || word || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS semantic_path, kind, CAST(3 * i + 1 + below AS BIGINT) AS line
+FROM n JOIN (VALUES {_SHAPE_ROWS}) AS v(lang, ext, shape, kind, below) ON page_id % {len(SHAPES)} = lang AND i % 3 = shape"""
+)
+def symbols_of_links(spark, sf):
+    """Symbols of sources with a declaration for each link of each page's html, in five languages and fifteen shapes, among nested comments, template literals, raw strings and unbalanced braces in text; repeated names numbered (X-01 to X-05, X-11, W-02)."""
+    return index.symbols(_link_sources(spark, sf)).select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
+
+
+@_query(
+    """WITH w AS (SELECT page_id, len(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS n FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL AND page_id % 5 <> 1)
+SELECT 'link/p' || page_id || '.' || (['rs', 'go', 'java', 'ts', 'js'])[page_id % 5 + 1] AS path, CAST(line AS BIGINT) AS line, fault
+FROM w, (VALUES (0, 'unclosed {'), (1, 'unclosed comment')) AS v(k, fault), LATERAL (SELECT CASE k WHEN 0 THEN 3 * n + 1 ELSE 3 * n + 4 END AS line)"""
+)
+def parse_faults(spark, sf):
+    """What is left open in sources that end within a declaration and a comment, each file read to its end (X-01)."""
+    opened = F.when(F.col("path").rlike("java$"), "class Open {\n").when(F.col("path").rlike("rs$"), "fn open() {\n").otherwise("function open() {\n")
+    f = _link_sources(spark, sf).filter("not endswith(path, '.go')")
+    f = f.withColumn("text", F.concat("text", opened, F.lit("\n\n/* to the end }\n")))
+    return index.faults(f).select("path", F.col("line").cast("long").alias("line"), "fault")
+
+
 @_query(
     """WITH n AS (SELECT page_id FROM pages)
 SELECT 'src/p' || a.page_id || '.py' AS src_path, 'Page' || a.page_id || '.render' AS src_symbol, 'src/p' || b.page_id || '.py' AS dst_path, 'open_' || b.page_id AS dst_symbol FROM n a JOIN n b ON b.page_id = a.page_id + 1"""

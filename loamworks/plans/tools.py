@@ -63,6 +63,11 @@ class Corpus:
     def tokens(self) -> DataFrame:
         return index.tokens(self.allowed)
 
+    @cached_property
+    def faults(self) -> DataFrame:
+        """What the parser could not place in files; see index.faults."""
+        return index.faults(self.allowed)
+
     @cached_property
     def edges(self) -> DataFrame:
         own = index.edges(self.allowed, self.symbols)
@@ -216,7 +221,7 @@ class Corpus:
     # --- read
 
     def read(self, filepath: str | None = None, paths: list[str] | None = None, detail_level: str = "compact", start_line: int = 1, end_line: int | None = None, max_lines_per_file: int = 500) -> Answer:
-        """Lines and symbols of one file or of up to ten; a batch has a row for each, with its error if it has one."""
+        """Lines and symbols of one file or of up to ten; a batch has a row for each, with its error if it has one. ``faults``: how many places the parser could not make out."""
         if (filepath is None) == (paths is None) or detail_level not in READ_DETAILS:
             raise InvalidParams(f"one of filepath and paths; detail_level is one of {READ_DETAILS}")
         if start_line < 1 or (end_line is not None and end_line < start_line):
@@ -245,6 +250,8 @@ class Corpus:
                 s = s.filter("depth <= 1")
             one = F.struct("symbol_id", "semantic_path", "kind", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"), "access_level")
             rows = rows.join(s.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("symbols")), "path", "left")
+            faults = index.faults(self.allowed.filter(F.col("path").isin(*[p.removeprefix("./") for p in asked]))).groupBy("path").agg(F.count("*").alias("faults"))
+            rows = rows.join(faults, "path", "left").withColumn("faults", F.when(known & F.col("error").isNull(), F.coalesce("faults", F.lit(0))))
         n = rows.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
         return Answer(rows.orderBy("ordinal"), {"succeeded": n["ok"], "failed": n["bad"]})
 

@@ -75,6 +75,45 @@ def test_extraction_survives_anything():
             list(extract.token_rows(cut, lang))
 
 
+def test_what_nests_hides_no_code_and_shows_none():
+    assert [p for p, _, _ in names("/* a /* b */ fn hidden() {} */ fn seen() {}", "rust")] == ["seen"]
+    text = "let a = `x ${ `y ${ {z: `}`} }` + '}' } w`; f('q'); // `\nfunction g() {}"
+    assert extract.token_spans(text, "typescript") == [(8, text.index("; f"), "string"), (text.index("'q'"), text.index("'q'") + 3, "string"), (text.index("//"), text.index("\nf"), "comment")]
+    assert [p for p, _, _ in names(text, "javascript")][-1] == "g"
+    assert extract.token_spans('let r = r##"a "# b"##; let l: &\'a str = b\'x\';', "rust") == [(8, 21, "string"), (40, 44, "string")]
+    assert [p for p, _, _ in names('class A { String s = """\n } void no() {}\n """; void yes() {} }', "java")] == ["A", "A.yes"]
+
+
+def test_twenty_thousand_functions_and_deep_nesting():
+    one = {"rust": "fn f%d() { a(1); }\n", "go": "func f%d() { a(1) }\n", "java": "class f%d { int a = b(1); }\n", "typescript": "function f%d() { a(`${1}`) }\n", "python": "def f%d(): pass\n"}
+    for lang, code in one.items():
+        assert sum(1 for _ in extract.flattened("".join(code % i for i in range(20_000)), lang)) == 20_000, lang
+    line = "".join(f"function f{i}(){{}};" for i in range(20_000))
+    assert len(names(line, "javascript")) == 20_000  # all in one line
+    deep = "mod m { " * 3000 + "fn f() {}" + " }" * 3000
+    assert names(deep, "rust")[-1][0] == "m." * 3000 + "f"
+    assert len(names("é" * 9 + "\nfn a() {}\n" * 2000, "rust")) == 2000
+
+
+def test_faults_are_told_and_the_rest_is_read(spark):
+    got = names("fn a() {\n  if x {\n}\nfn b() {}\nimpl S {\n  fn c(&self) {}\n}\n", "rust")
+    assert [p for p, _, _ in got] == ["a", "b", "S", "S.c"]
+    files = trees.texts_as_files(spark, {"a.rs": "fn a() {\n  if x {\n}\nfn b() {}\n", "b.py": "def f(:\n  pass\n", "c.go": "package c\nfunc f() {}\n", "d.ts": "f(]\nlet s = 'x\n/* end", "e.java": "class A { } }"})
+    rows = {(r["path"], r["line"], r["column"], r["fault"]) for r in index.faults(files).collect()}
+    assert rows == {("a.rs", 1, 8, "unclosed {"), ("b.py", 1, 7, "invalid syntax"), ("d.ts", 1, 2, "unclosed ("), ("d.ts", 1, 3, "unexpected ]"), ("d.ts", 2, 9, "unclosed string"), ("d.ts", 3, 1, "unclosed comment"), ("e.java", 1, 13, "unexpected }")}
+
+
+def test_declarations_of_many_forms():
+    rust = "pub(crate) const fn k() {}\nunion U { a: u8 }\nfn union(union: u8) {}\nmacro_rules! m { () => { fn no() {} } }\nstatic mut G: X = Y { a: 1 };\ntype Al = Vec<u8>;\ntrait T { fn r(&self); type A; }\nimpl<T: Fn() -> u8> Tr for Q where T: X { fn w() {} }\nextern \"C\" fn e() {}\n"
+    assert [(p, k) for p, k, _ in names(rust, "rust")] == [("k", "Function"), ("U", "Struct"), ("union", "Function"), ("G", "Constant"), ("Al", "Class"), ("T", "Interface"), ("T.r", "Method"), ("Q", "Impl"), ("Q.w", "Method"), ("e", "Function")]
+    go = "package p\ntype (\n A struct { x int }\n B interface {\n M()\n }\n)\ntype L[T any] struct { a T }\nfunc (a *A) Do(x struct{}) struct{} { type In struct{}\n return x }\nconst (\n X = iota\n Y\n)\nvar q, r = 1 +\n 2\nfunc TestA(t *T) {}\n"
+    assert [(p, k) for p, k, _ in names(go, "go")] == [("A", "Struct"), ("B", "Interface"), ("L", "Struct"), ("Do", "Method"), ("Do.In", "Struct"), ("X", "Constant"), ("q", "Constant"), ("TestA", "Test")]
+    java = "@A(x=1) public abstract class K<T> {\n  Map<String, List<Integer>> m = new HashMap<>(3);\n  K(int x) { super(x); }\n  abstract <U> U gen(U u);\n  enum E { X(1) { void z() {} }; E(int i) {} }\n  @interface N { int value() default 3; }\n  int last() { return x < y ? f(1) : 2; }\n}"
+    assert [p for p, _, _ in names(java, "java")] == ["K", "K.K", "K.gen", "K.E", "K.E.E", "K.N", "K.N.value", "K.last"]
+    ts = "export default class K<T> extends B<{x: 1}> {\n  #p() {}\n  static async *gen(): G<{a: 1}> { }\n  x = foo(1)\n  m<T>(a: T): { b: string } { if (a) { c() } }\n  abs(): void;\n}\nlet f = x => x\ntype U = { a: string } | {\n b: number }\nnamespace N.M { export function q() {} }\nconst enum CE { A }\nconst re = /[\"'`{]/g, o = a / b / c\nfoo.class = 1; it('x', () => { function nested() {} })\nfunction last(a = {}): x is string {}"
+    assert [(p, k) for p, k, _ in names(ts, "typescript")] == [("K", "Class"), ("K.#p", "Method"), ("K.gen", "Method"), ("K.m", "Method"), ("f", "Function"), ("U", "Class"), ("N", "Module"), ("N.q", "Function"), ("CE", "Enum"), ("re", "Constant"), ("last", "Function")]
+
+
 def test_overlapping_context(spark):
     f = trees.texts_as_files(spark, {"a.txt": "l1\nl2\nhit\nl4\nhit\nl6\nl7\nhit\n"})
     got = [(r["line"], r["context_before"], r["context_after"]) for r in lines.find(f, "hit").orderBy("line").collect()]
