@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,17 +19,38 @@ from ..functions import text as X
 def enclosing(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """``rows`` (path, line from 1, ...) with the innermost symbol around the line: enclosing_semantic_path, enclosing_kind, enclosing_start; null where there is none.
 
-    Symbols are spread over the lines they cover, which makes an equi-join of
-    the range join; of a line's symbols the shortest one stays, of equals the
-    one visited last. Both happen before the join, so rows meet one symbol each.
+    Of a line's symbols the shortest is the innermost, of equals the one
+    visited last. Symbols of files with asked lines and the distinct asked
+    lines are sorted together, by path and line; one sweep over a file's rows
+    holds the symbols that are open, so rows read are symbols and lines asked
+    for, and no line is spread.
     """
-    spread = symbols.select("path", "semantic_path", "kind", "start_line", "end_line", "symbol_id", F.explode(F.sequence("start_line", "end_line")).alias("row"))
-    order = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("symbol_id")).alias("late"))
-    best = spread.groupBy("path", "row").agg(F.min_by(F.struct("semantic_path", "kind", "start_line"), order).alias("s"))
-    best = best.select("path", (F.col("row") + 1).cast("long").alias("line"), F.col("s.semantic_path").alias("enclosing_semantic_path"), F.col("s.kind").alias("enclosing_kind"), F.col("s.start_line").alias("enclosing_start"))
+    asked = rows.select("path", F.col("line").cast("long").alias("line")).filter("path is not null and line is not null").distinct()
+    s = symbols.join(asked.select("path").distinct(), "path", "left_semi")
+    opens = s.select("path", (F.col("start_line") + 1).cast("long").alias("line"), (F.col("end_line") + 1).cast("long").alias("last"), "symbol_id", "semantic_path", "kind", F.col("start_line").cast("int").alias("start_line"))
+    events = opens.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    best = events.repartition("path").sortWithinPartitions("path", "line", F.asc_nulls_first("asked")).mapInArrow(_swept, "path string, line long, enclosing_semantic_path string, enclosing_kind string, enclosing_start int")
     return rows.join(best, ["path", "line"], "left")
 
 
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The innermost open symbol of each asked line; of the heap's symbols, shortest first, those that have ended never come back."""
+    path, heap = None, []
+    for b in batches:
+        out = []
+        for p, line, last, number, name, kind, start, asked in zip(*(b.column(c).to_pylist() for c in ("path", "line", "last", "symbol_id", "semantic_path", "kind", "start_line", "asked")), strict=True):
+            if p != path:
+                path, heap = p, []
+            if not asked:
+                heapq.heappush(heap, (last - line, -number, last, name, kind, start))
+                continue
+            while heap and heap[0][2] < line:
+                heapq.heappop(heap)
+            out.append((p, line, *(heap[0][3:] if heap else (None, None, None))))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["path", "line", "enclosing_semantic_path", "enclosing_kind", "enclosing_start"])
+
+
 def with_definition_flag(rows: DataFrame) -> DataFrame:
     """is_definition: whether the row is the first line of its enclosing symbol; null without one."""
     return rows.withColumn("is_definition", F.when(F.col("enclosing_start").isNotNull(), F.col("enclosing_start") == F.col("line") - 1))
@@ -38,23 +62,34 @@ def semantic_path_or(rows: DataFrame, name: Column) -> DataFrame:
 
 
 def node_types(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``rows`` (path, line, column) with node_type: comment, string or code; null where the language is unknown."""
-    t = tokens.select("path", F.explode(F.sequence(F.col("start_line").cast("long"), F.col("end_line").cast("long"))).alias("line"), "start_line", "start_col", "end_line", "end_col", "node_type")
-    after = (F.col("line") > F.col("start_line")) | (F.col("column") >= F.col("start_col"))
-    before = (F.col("line") < F.col("end_line")) | (F.col("column") < F.col("end_col"))
-    key = F.xxhash64("path", "line", "column").alias("_k")
-    r = rows.withColumn("_k", key)
-    hit = r.select("path", "line", "column", "_k").distinct().join(t, ["path", "line"]).filter(after & before).groupBy("_k").agg(F.min("node_type").alias("_t"))
+    """``rows`` (path, line, column) with node_type: comment, string or code; null where the language is unknown.
+
+    Spans do not overlap, so only the last one that begins at or before a
+    place can hold it: spans and places are sorted together and the last span
+    is carried along.
+    """
+    places = rows.select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column")).filter("path is not null and line is not null and column is not null").distinct()
+    t = tokens.join(places.select("path").distinct(), "path", "left_semi")
+    begins = t.select("path", F.col("start_line").cast("long").alias("line"), F.col("start_col").cast("long").alias("column"), F.struct("end_line", "end_col", "node_type").alias("span"))
+    events = begins.unionByName(places.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("path").orderBy("line", "column", F.asc_nulls_first("asked")).rowsBetween(Window.unboundedPreceding, 0)
+    held = events.withColumn("span", F.last("span", ignorenulls=True).over(order)).filter("asked")
+    inside = (F.col("line") < F.col("span.end_line")) | ((F.col("line") == F.col("span.end_line")) & (F.col("column") < F.col("span.end_col")))
+    hit = held.filter(inside).select("path", "line", "column", F.col("span.node_type").alias("_t"))
     known = P.symbol_language_of(F.col("path")).isNotNull()
-    return r.join(hit, "_k", "left").withColumn("node_type", F.when(known, F.coalesce("_t", F.lit("code")))).drop("_k", "_t")
+    return rows.join(hit, ["path", "line", "column"], "left").withColumn("node_type", F.when(known, F.coalesce("_t", F.lit("code")))).drop("_t")
 
 
-def filtered_by_mode(rows: DataFrame, mode: str) -> DataFrame:
-    """Rows with node_type that a filter mode lets through; rows of an unknown language pass."""
+def passes_mode(mode: str) -> Column:
+    """Whether a row with node_type passes a filter mode; rows of an unknown language do."""
     if mode == "all":
-        return rows
-    some = ["code"] if mode == "code_only" else ["comment", "string"]
-    return rows.filter(F.col("node_type").isNull() | F.col("node_type").isin(*some))
+        return F.lit(True)
+    return F.col("node_type").isNull() | F.col("node_type").isin(*(["code"] if mode == "code_only" else ["comment", "string"]))
+
+
+def filtered_by_mode(rows: DataFrame, mode: str) -> DataFrame:
+    """Rows with node_type that a filter mode lets through."""
+    return rows.filter(passes_mode(mode))
 
 
 def first_by(rows: DataFrame, keys: list[str], *order) -> DataFrame:

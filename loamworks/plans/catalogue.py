@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import paths as P
 from ..functions import patterns as D
 from ..functions import text as X
-from ..operators import budget, graph, index, lines, quality, relate
+from ..operators import budget, graph, index, lines, occurrences, quality, relate
 from ..sources import trees
 from ..streaming import status
 from .tools import Corpus
@@ -166,28 +166,24 @@ def first_by_hash(spark, sf):
 
 @_query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def known_passage_hits(spark, sf):
-    """Documents that hold a benchmark passage as it is (J-06 with an exact test): an equi-join on a passage's inner words, which stand whole in any text that holds it, bounds the pairs that are compared. Passages without inner words are looked for in every text, in blocks."""
-    words = F.split("passage", r"\s+")
-    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage is not null").withColumn("n", F.size(words))
-    docs = _t(spark, sf, "documents").select("doc_id", "text").filter("text is not null")
-    long = b.filter("n > 2")
-    width = long.agg(F.min("n")).first()[0]
-    out = None
-    if width:
-        n = min(6, width - 2)
-        gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))
-        split = docs.select("doc_id", F.split("text", r"\s+").alias("w")).filter(F.size("w") >= n)
-        grams = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: gram(F.col("w"), i)))).alias("g"))
-        key = long.select("item_id", "passage", gram(words, F.lit(2)).alias("g"))
-        pairs = grams.join(F.broadcast(key) if key.count() <= 100_000 else key, "g").select("doc_id", "item_id", "passage")
-        out = docs.join(pairs, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
-    block = 1000
-    short = [(r["item_id"], r["passage"]) for r in b.filter("n <= 2").orderBy("item_id", "passage").toLocalIterator()]
-    for i in range(0, len(short), block):
-        some = F.array(*[F.struct(F.lit(k).cast("long").alias("item_id"), F.lit(p).alias("p")) for k, p in short[i : i + block]])
-        hits = docs.select("doc_id", F.explode(F.filter(some, lambda x: F.contains(F.col("text"), x["p"]))).alias("x")).select("doc_id", "x.item_id")
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
+    """Documents that hold a benchmark passage as it is (J-06, U-01): one pass over each text for all passages. A document's row has a row for each item that it holds."""
+    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    held = occurrences.occurrences(_t(spark, sf, "documents"), b, ["doc_id"])
+    empty = b.filter("pattern = ''").select("item_id")  # which every text holds
+    return held.join(b, "pattern").select("doc_id", "item_id").unionAll(_t(spark, sf, "documents").filter("text is not null").select("doc_id", F.lit(1).alias("_")).join(empty.withColumn("_", F.lit(1)), "_").select("doc_id", "item_id"))
+
+
+@_query(
+    r"""WITH s AS (SELECT DISTINCT lower(word) AS name FROM (SELECT unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS word FROM pages)),
+hits AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM (SELECT doc_id, regexp_replace(text, '[^ -~\s]', '_', 'g') AS text FROM documents))
+SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS files FROM hits JOIN s ON name = w GROUP BY name"""
+)
+def references_of_names(spark, sf):
+    """Mentions, as whole words, of every name that pages link to, in all documents, in one pass for all names (G-03, F-16)."""
+    names = _t(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))).alias("w")).select(F.lower("w").alias("pattern"))
+    docs = _t(spark, sf, "documents")
+    hits = occurrences.occurrences(docs.withColumn("text", F.regexp_replace("text", r"[^ -~\s]", "_")), names, ["doc_id"], places=True, whole_words=True)
+    return hits.groupBy(F.col("pattern").alias("name")).agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("files"))
 
 
 @_query("WITH " + _LINES + " SELECT doc_id, line, left(trim(content), 512) AS snippet FROM ls WHERE line BETWEEN 2 AND 4")
@@ -632,6 +628,31 @@ def call_explore(spark, sf):
     return Corpus(_sources(spark, sf)).explore(detail="files").rows.select("path", "admitted")
 
 
+@_query(
+    "WITH "
+    + _LINES
+    + f""", hits AS (SELECT path, line, row_number() OVER (ORDER BY path, line) AS rank FROM ls WHERE regexp_matches(content, '{PATTERN}')),
+t AS (SELECT count(*) AS n FROM hits)
+SELECT path, count(*) AS total_matches, min(line) AS first_line, min(rank) AS first_rank, CAST(any_value(n) AS BIGINT) AS all_matches, CAST(any_value(CASE WHEN n > 80 THEN 80 END) AS BIGINT) AS next_offset
+FROM hits, t WHERE rank BETWEEN 41 AND 80 GROUP BY path"""
+)
+def call_search_regex(spark, sf):
+    """Corpus.search by a regular expression over the documents, grouped by file, with its counts (T2, F-02, A-01, A-02, O-01)."""
+    a = Corpus(_docs(spark, sf)).search(PATTERN, mode="regex", filter_mode="all", max_results=40, offset=40)
+    first = F.array_min(F.transform("matches", lambda m: m["line"]))
+    return a.rows.select("path", "total_matches", first.alias("first_line"), "first_rank", F.lit(a.stats["total_matches"]).cast("long").alias("all_matches"), F.lit(a.stats["next_offset"]).cast("long").alias("next_offset"))
+
+
+@_query(
+    f"""WITH n AS (SELECT page_id, {_page_file('page_id')} AS path FROM pages), hits AS (SELECT path, CAST(5 AS BIGINT) AS line, path || '::Page' || page_id || '.render' AS full_path FROM n WHERE page_id = 6)
+SELECT path, line, full_path, (SELECT count(*) FROM hits) AS total FROM hits"""
+)
+def call_references(spark, sf):
+    """Corpus.trace of references, with their number (T6, G-03, J-08, F-16)."""
+    a = Corpus(_sources(spark, sf)).trace("src/p7.py::open_7", scope="references")
+    return a.rows.select("path", "line", "full_path", F.lit(a.stats["total"]).cast("long").alias("total"))
+
+
 #: A small file of each language, @ standing for the page's number, and its symbols: semantic path, kind, line.
 SAMPLES = {
     "rs": ("pub struct S@ { a: i32 }\n\nimpl S@ {\n    pub fn go(&self) -> i32 { 1 }\n}\n\nfn help_@() {}\n", [("S@", "Struct", 1), ("S@.go", "Method", 4), ("help_@", "Function", 7)]),

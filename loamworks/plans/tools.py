@@ -73,6 +73,12 @@ class Corpus:
         own = index.edges(self.allowed, self.symbols)
         return own if self.authoritative is None else self.authoritative.unionByName(own.join(self.authoritative.select("src_path", "src_symbol").distinct(), ["src_path", "src_symbol"], "left_anti"))
 
+    def resolved_edges(self) -> DataFrame:
+        """The edges, written once, for calls that go over them many times."""
+        if not self.indexed and "_edges" not in self.__dict__:
+            self.__dict__["_edges"] = graph.cut(self.edges)
+        return self.__dict__.get("_edges", self.edges)
+
     def save(self, folder: str) -> None:
         """Writes the index, for open_saved; parsing then happens once."""
         for name in ("symbols", "tokens", "edges"):
@@ -183,15 +189,17 @@ class Corpus:
         f = trees.source_filter(self.allowed, path_glob, exclude_glob)
         f = f.filter(~F.col("ignored")) if "ignored" in f.columns else f
         m = lines.find(f, query, regex=mode == "regex", context=context_lines)
-        total = m.count()
-        typed = relate.filtered_by_mode(relate.node_types(m, self.tokens), filter_mode) if filter_mode != "all" else m
-        kept = typed.count() if filter_mode != "all" else total
-        rows = lines.page(typed, offset, limit)
-        rows = relate.with_definition_flag(relate.enclosing(rows, self.symbols))
+        if filter_mode != "all":  # only files with matches are parsed
+            m = relate.node_types(m, index.tokens(f.join(m.select("path").distinct(), "path", "left_semi")) if not self.indexed else self.tokens)
+        unsupported = P.symbol_language_of(F.col("path")).isNull() & F.lit(filter_mode != "all")
+        n = m.agg(F.count("*").alias("total"), F.count_if(relate.passes_mode(filter_mode)).alias("kept"), F.count_if(unsupported).alias("unknown")).first()
+        total, kept, unknown = n["total"], n["kept"], n["unknown"] > 0
+        rows = graph.cut(lines.page(m.filter(relate.passes_mode(filter_mode)), offset, limit))
+        shown = [r["path"] for r in rows.select("path").distinct().collect()]  # a page has few files
+        rows = relate.with_definition_flag(relate.enclosing(rows, self.symbols_in(shown)))
         rows = lines.with_known(rows, self.spark.createDataFrame([(p,) for p in known_files or []], "path string"))
         scan = lines.counters(self.files, path_glob, exclude_glob).first().asDict()
         returned = max(0, min(limit, kept - offset))
-        unknown = m.filter(P.symbol_language_of(F.col("path")).isNull()).limit(1).count() > 0 and filter_mode != "all"
         hint = self.spark.range(1).select(quality.search_hint(F.lit(returned if offset < kept or not kept else 1), F.lit(total), F.lit(scan["coverage_percent"]), filter_mode)).first()[0]
         stats = scan | {"total_matches": total, "filtered_matches": kept, "returned": returned, "truncated": offset + returned < kept, "next_offset": offset + returned if offset + returned < kept else None, "hint": hint, "degraded_reason": "unsupported_language_filter_bypassed" if unknown else None}
         return Answer(lines.grouped(rows).orderBy("first_rank") if group_by_file else rows.orderBy("rank"), stats)
@@ -339,7 +347,7 @@ class Corpus:
         return Answer(rows, calls.stats | {"references": refs.stats["total"]}, text)
 
     def _callers(self, s, depth: int, most: int) -> Answer:
-        e = self.edges
+        e = self.resolved_edges()
         parent = self.symbols_in([s["path"]]).filter(F.col("symbol_id") == s["parent_id"]).select("kind", "name").first() if s["parent_id"] is not None else None
         if parent and parent["kind"] == "Interface":  # an interface's method: its implementations are called in its place
             impl = self.symbols.filter((F.col("name") == s["name"]) & (F.col("semantic_path") != s["semantic_path"]) & F.col("kind").isin("Function", "Method"))
@@ -349,11 +357,13 @@ class Corpus:
             e = e.unionByName(via)
         incoming, outgoing, truncated = graph.callers_and_callees(e, s["path"], s["semantic_path"], depth, most)
         sure = self.authoritative is not None
-        n = incoming.count(), outgoing.count()
+        rows = graph.cut(incoming.unionByName(outgoing))  # at most ``most`` rows
+        told = {r["direction"]: r["n"] for r in rows.groupBy("direction").agg(F.count("*").alias("n")).collect()}
+        n = told.get("incoming", 0), told.get("outgoing", 0)
         stats = {"incoming": n[0], "outgoing": n[1], "truncated": truncated, "incoming_verified": sure, "outgoing_verified": sure, "degraded_reason": None if sure else "no_lsp_grep_fallback", "resolution_strategy": "call_edges" if sure else "text_edges"}
         stats["hint"] = self.spark.range(1).select(quality.trace_hint(F.lit(n[0]), F.lit(sure))).first()[0]
-        stats["files_referenced"] = incoming.unionByName(outgoing).agg(F.count_distinct("path")).first()[0]
-        return Answer(incoming.unionByName(outgoing), stats)
+        stats["files_referenced"] = rows.agg(F.count_distinct("path")).first()[0]
+        return Answer(rows, stats)
 
     def _references(self, s, most: int, offset: int) -> Answer:
         refs = relate.references(self.allowed, s["name"], s["path"], s["start_line"] + 1)
@@ -370,7 +380,7 @@ class Corpus:
         if action not in (None, "restart"):
             raise InvalidParams("action is restart")
         if action == "restart":
-            for name in ("symbols", "tokens", "edges"):
+            for name in ("symbols", "tokens", "edges", "_edges"):
                 self.__dict__.pop(name, None)
         lang = P.symbol_language_of(F.col("path"))
         per = self.allowed.filter(lang.isNotNull()).groupBy(lang.alias("language")).agg(F.count("*").alias("files"), F.count_if(F.col("text").isNotNull()).alias("readable"))
