@@ -17,8 +17,8 @@ Training maximises the conditional likelihood by stochastic gradient on chains
 that are spliced from stretches of several training texts, so that transitions
 see switches; the expected transitions are the exact probabilities of pairs of
 neighbouring labels. At most ``per_language`` texts of each language are used, of
-``longest`` bytes at most, those of smallest hash of their id; they are what the
-driver gets. There is a set of weights for each language.
+``longest`` bytes at most, those of smallest hash of their id, and the
+``languages`` languages with most texts; they are what the driver gets. There is a set of weights for each language.
 
 Null text and text without a letter gives ``und`` with score 0. Without any
 training text all is ``und``. Rows of a null doc_id are predicted, not learned
@@ -281,28 +281,32 @@ def _predict(model: Model):
     return run
 
 
-def training_rows(known: DataFrame, per_language: int, longest: int, salts: int = 16) -> DataFrame:
-    """doc_id, lang and text of at most ``per_language`` different rows of each language.
+def training_rows(known: DataFrame, per_language: int, longest: int, languages: int = 256, salts: int = 16) -> DataFrame:
+    """doc_id, lang and text of at most ``per_language`` different rows of each of the ``languages`` with most rows.
 
-    Each partition keeps the smallest hashes of each language and salt, then each
-    salt, then each language; so no task sees all rows of one language.
+    Equal rows are made one before any is ranked. Each partition keeps the
+    smallest hashes of each language and salt, then each salt, then each
+    language; so no task sees all rows of one language or of one id.
     """
     fit = known.filter(F.octet_length("text") <= longest)
-    rows = fit.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("o"))
+    rows = fit.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("o")).distinct()
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    rows = rows.join(F.broadcast(most.select("lang")), "lang", "left_semi")  # ``languages`` names
     order = ("o", "doc_id", "h")
-    first = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts))).orderBy(*order)
-    some = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r").distinct()
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts))).orderBy(*order)
+    some = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r")
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= per_language).select("doc_id", "lang", "h")
+    # at most languages * per_language rows of three values
     found = fit.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), ["doc_id", "lang", "h"], "left_semi")
     return found.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text")).drop("h")
 
 
-def identify(spark: SparkSession, docs: DataFrame, per_language: int = 400, longest: int = 100_000, folds: int = 4, held_out: int = 2) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, per_language: int = 400, longest: int = 100_000, languages: int = 256, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score and switches (changes of language between words) of every row; learned from the rows that are not held out."""
     d = only(docs, doc_id="long", text="string", lang="string")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     known = d.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != held_out))
-    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in training_rows(known, per_language, longest).collect())
+    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in training_rows(known, per_language, longest, languages).collect())
     model = train([text for _, _, text in sample], [lang for _, lang, _ in sample])
     if len(set(model.labels)) == 1:
         model.emit = np.zeros((BUCKETS, 1), np.float32)

@@ -14,16 +14,16 @@ Symbols are the first four characters as they are and after that classes
 but draws the rest at random; for ordinary strings all are classes. A class's probability is spread evenly over its
 characters, so the likelihoods of all automata are about characters and can be
 compared. One automaton is inferred from labelled strings that are no
-credentials. A candidate is a run of 16 or more characters of tokens, or what
-follows a ``=``, ``/``, ``.`` or ``-`` of it (if it is at most twice as long as the
-longest labelled credential); full stops at its end are left out. It is
-reported when some format's likelihood exceeds that of ordinary strings by
-``margin`` nats for each character and by ``least`` nats as a whole; of several
-in one run, the one that with ordinary characters before it explains the run
-best.
+credentials. A candidate is a run of 16 or more characters of tokens, or any
+part of it of that length between signs (``=``, ``/``, ``.``, ``-``) or its ends;
+full stops at its end are left out. It is reported when some format's
+likelihood exceeds that of ordinary strings by ``margin`` nats for each
+character and by ``least`` nats as a whole; of parts that overlap, the one that
+exceeds the margin most.
 
-The labelled strings are drawn by a seeded generator from public formats; no
-document is needed to learn them, and learning does not depend on the input.
+The labelled strings are the caller's (``labelled``: strings by format) or drawn by
+a seeded generator from public formats; no document is needed to learn them,
+and learning does not depend on the input.
 
 Besides, three base patterns are always reported. Null text is empty. Spans
 are in code points, end exclusive. Repeated rows stay, other columns are
@@ -32,6 +32,7 @@ ignored, a null doc_id stays null, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -39,6 +40,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +54,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 KINDS = ("assign", "access", "hex", "format")
-LEAST_LENGTH = 16
+LEAST_LENGTH, _SIGNS = 16, frozenset("=/.-")
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -257,11 +259,9 @@ class Automaton:
 class FormatScorer:
     """Automata of all formats and of ordinary strings."""
 
-    def __init__(self, margin: float = 0.35, least: float = 12.0):
+    def __init__(self, margin: float = 0.35, least: float = 12.0, labelled: dict[str, list[str]] | None = None):
         self.margin, self.least = margin, least
-        labelled = labelled_credentials()
-        self.formats = {k: Automaton(v, 1e-4) for k, v in labelled.items()}  # a format is rigid
-        self.longest = 2 * max(len(x) for v in labelled.values() for x in v)
+        self.formats = {k: Automaton(v, 1e-4) for k, v in (labelled or labelled_credentials()).items()}  # a format is rigid
         self.ordinary = Automaton(labelled_ordinary(), 0.03, head=0)
 
     def best(self, text: str) -> tuple[str, float]:
@@ -274,24 +274,72 @@ class FormatScorer:
         name, gain = self.best(text)
         return (name, gain) if gain >= self.least and gain >= self.margin * len(text) else None
 
-    def within(self, run: str) -> tuple[int, int, str, float] | None:
-        """(start, end, format, gain) of what the run, or a part of it after a sign, is likeliest to be."""
+    def within(self, run: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, format, gain) of the parts of a run that formats explain, none over another, the best ones first taken.
+
+        A part begins at the run or after a sign, and ends at the run's end or
+        before a sign. Its gain is the format's log-likelihood above that of
+        the same characters in an ordinary run. All parts go along the run
+        together: of those of a format that are in one state, the one that has
+        most so far stays the best whatever follows, so a run costs its length
+        times the states of the automata.
+        """
         end = len(run.rstrip("."))
-        starts = [0] + [i + 1 for i in range(max(end - self.longest - 1, 0), end - LEAST_LENGTH) if run[i] in "=/.-"]
-        hits = [(s, *h) for s in starts if end - s >= LEAST_LENGTH and (h := self.accepts(run[s:end]))]
-        if not hits:
-            return None
-        # each explains the whole run: ordinary characters, then the format's
-        start, name, gain = max(hits, key=lambda h: (self.ordinary.score(run[: h[0]]) if h[0] else 0.0) + h[2] + self.ordinary.score(run[h[0] : end]))
-        return start, end, name, gain
+        before, ends_here, at = [0.0], [], 0
+        for i, c in enumerate(run[:end]):
+            ends_here.append(self.ordinary.table[at][2])
+            if i and run[i - 1] in _SIGNS:  # an ordinary word may begin here, whatever went before
+                at = 0
+            row, unknown, _ = self.ordinary.table[at]
+            step = row.get(_CLASS[c])
+            before.append(before[-1] + _SPREAD.get(_CLASS[c], 0.0) + (step[0] if step else unknown))
+            at = step[1] if step else at
+        ends_here.append(self.ordinary.table[at][2])
+        hits = [x for name, a in self.formats.items() for x in self._parts(run, end, name, a, before, ends_here)]
+        out: list[tuple[int, int, str, float]] = []
+        for _, s, e, name, gain in sorted(hits, key=lambda h: (-h[0], h[1], -h[2], h[3])):
+            i = bisect.bisect(out, (s,))
+            if (not i or out[i - 1][1] <= s) and (i == len(out) or out[i][0] >= e):
+                out.insert(i, (s, e, name, gain))
+        return out
+
+    def _parts(self, run: str, end: int, name: str, a: Automaton, before: list[float], ends_here: list[float]) -> Iterator[tuple[float, int, int, str, float]]:
+        """(gain less the margin, start, end, format, gain) of the best part for each end and state that passes."""
+        held: dict[tuple[int, int], tuple[float, int]] = {}  # by age, up to the least length, and state
+        for i in range(end):
+            if not i or run[i - 1] in _SIGNS:
+                held[0, 0] = (0.0, i)
+            c = run[i]
+            kind = _CLASS[c]
+            less = before[i + 1] - before[i] + self.margin
+            spread = _SPREAD.get(kind, 0.0) - less
+            now: dict[tuple[int, int], tuple[float, int]] = {}
+            for (age, state), (value, start) in held.items():
+                row, unknown, _ = a.table[state]
+                step = row.get(c) if age < a.head else row.get(kind)
+                value += (step[0] if step else unknown) + (-less if age < a.head else spread)
+                key = (min(age + 1, LEAST_LENGTH), step[1] if step else state)
+                if key not in now or (value, -start) > (now[key][0], -now[key][1]):
+                    now[key] = (value, start)
+            held = now
+            if i + 1 == end or run[i + 1] in _SIGNS:
+                for (age, state), (value, start) in held.items():
+                    over = value + a.table[state][2] - ends_here[i + 1]
+                    gain = over + self.margin * (i + 1 - start)
+                    if age == LEAST_LENGTH and over >= 0 and gain >= self.least:
+                        yield over, start, i + 1, name, gain
 
 
 @cache
-def _scorer(margin: float, least: float) -> FormatScorer:
-    """Inferred once, on the driver; tasks get the automata."""
+def _own_scorer(margin: float, least: float) -> FormatScorer:
     return FormatScorer(margin, least)
 
 
+def _scorer(margin: float, least: float, labelled: dict[str, list[str]] | None = None) -> FormatScorer:
+    """Inferred once, on the driver; tasks get the automata."""
+    return FormatScorer(margin, least, labelled) if labelled else _own_scorer(margin, least)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -301,22 +349,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def scan(text: str, scorer: FormatScorer, known: dict[str, tuple[int, int, str, float] | None]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
-    """Base spans, and (start, end, format, gain) of the candidates that a format explains and no base span touches."""
+def scan(text: str, scorer: FormatScorer, known: dict[str, list[tuple[int, int, str, float]]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, float]]]:
+    """Base spans, and (start, end, format, gain) of the parts of candidates that a format explains and no base span touches."""
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far the base spans up to each go
     found = []
     for m in CANDIDATE.finditer(text):
         x = m.group()
-        if x in known:
-            hit = known[x]
-        else:
-            hit = scorer.within(x)
+        hits = known.get(x)
+        if hits is None:
+            hits = scorer.within(x)
             if len(known) < 100_000 and len(x) < 1000:
-                known[x] = hit
-        if hit:
-            start, end = m.start() + hit[0], m.start() + hit[1]
-            if not any(s < end and start < e for s, _, e in base):
-                found.append((start, end, *hit[2:]))
+                known[x] = hits
+        for s, e, name, gain in hits:
+            start, end = m.start() + s, m.start() + e
+            i = bisect.bisect_left(starts, end)
+            if not i or reach[i - 1] <= start:
+                found.append((start, end, name, gain))
     return base, found
 
 
@@ -325,7 +375,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_acces
 
 def _scan(scorer: FormatScorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, str, float] | None] = {}
+        known: dict[str, list[tuple[int, int, str, float]]] = {}
         for b in in_pieces(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -338,10 +388,10 @@ def _scan(scorer: FormatScorer):
     return run
 
 
-def find_secrets(docs: DataFrame, margin: float = 0.35, least: float = 12.0) -> DataFrame:
+def find_secrets(docs: DataFrame, margin: float = 0.35, least: float = 12.0, labelled: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, counts by kind, base_spans, spans (kind:start:end, joined by commas) and the formats of added spans, for every row."""
     d = only(docs, doc_id="long", text="string")
-    return d.mapInArrow(_scan(_scorer(margin, least)), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_spans string, spans string, formats string")
+    return d.mapInArrow(_scan(_scorer(margin, least, labelled)), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_spans string, spans string, formats string")
 
 
 def base_digest(spans: str) -> str:
@@ -350,7 +400,7 @@ def base_digest(spans: str) -> str:
 
 def _mask(scorer: FormatScorer, mark: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, str, float] | None] = {}
+        known: dict[str, list[tuple[int, int, str, float]]] = {}
         for b in in_pieces(batches):
             out = []
             for text in b.column("text").to_pylist():
@@ -368,8 +418,8 @@ def _mask(scorer: FormatScorer, mark: str, names: list[str]):
     return run
 
 
-def mask_secrets(docs: DataFrame, mark: str = "[SECRET]", margin: float = 0.35, least: float = 12.0) -> DataFrame:
+def mask_secrets(docs: DataFrame, mark: str = "[SECRET]", margin: float = 0.35, least: float = 12.0, labelled: dict[str, list[str]] | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with every span of ``text`` replaced by ``mark``, overlapping spans by one; a column n_chars counts the characters anew."""
     d = bounded(docs).withColumn("text", docs["text"].cast("string"))
-    out = d.mapInArrow(_mask(_scorer(margin, least), mark, d.columns), d.schema)
+    out = d.mapInArrow(_mask(_scorer(margin, least, labelled), mark, d.columns), d.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(d.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in d.columns else out

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -247,11 +248,58 @@ def test_automata_generalise():
     ordinary = [x for x in secrets.labelled_ordinary(seed=322, n=1500) if len(x) >= 16]
     assert sum(bool(scorer.accepts(x)) for x in ordinary) <= len(ordinary) // 200
     assert len(scorer.formats["code_host"].table) < 40 < 400 * 36
-    for name, strings in secrets.labelled_credentials(seed=323, each=40).items():  # glued to something, with a full stop after it
+    for name, strings in secrets.labelled_credentials(seed=323, each=40).items():  # glued to something on both sides
         if name in ("code_host", "chat", "payment", "map", "web_token"):
-            for before in ("x=", "id=", "a.b.c=", "t.txt/"):
-                got = [scorer.within(before + x + ".") for x in strings]
-                assert sum(g is not None and g[:3] == (len(before), len(before + x), name) for g, x in zip(got, strings, strict=True)) >= 36, (name, before)
+            for before in ("", "x=", "id=", "a.b.c=", "t.txt/", "//host.example.com/some/path/"):
+                for after in ("", ".", "/rest/of/the/path/index.html", "=and=more"):
+                    got = [scorer.within(before + x + after) for x in strings]
+                    assert sum((len(before), len(before + x), name) in [h[:3] for h in g] for g, x in zip(got, strings, strict=True)) >= 39, (name, before, after)
+    own = secrets.FormatScorer(labelled={"mine": [f"key-{i:09d}x{i * 7919 % 10**9:09d}" for i in range(300)]})
+    assert [h[2] for h in own.within("a/key-123456789x987654321/b")] == ["mine"]
+
+
+def test_parts_of_runs_equal_all_parts_scored_alone():
+    scorer, rng = secrets.FormatScorer(), random.Random(31)
+    some = [x for strings in secrets.labelled_credentials(seed=5, each=6).values() for x in strings]
+    for _ in range(25):
+        run = "".join(rng.choice([rng.choice(some), "words", "Path", rng.choice("=/.-_"), rng.choice("=/.-"), "12"]) for _ in range(rng.randint(2, 6)))
+        end = len(run.rstrip("."))
+        ordinary, at = [0.0], 0
+        stops = []
+        for i, c in enumerate(run[:end]):
+            stops.append(scorer.ordinary.table[at][2])
+            at = 0 if i and run[i - 1] in "=/.-" else at
+            row, unknown, _ = scorer.ordinary.table[at]
+            step = row.get(secrets._CLASS[c])
+            ordinary.append(ordinary[-1] + secrets._SPREAD.get(secrets._CLASS[c], 0.0) + (step[0] if step else unknown))
+            at = step[1] if step else at
+        stops.append(scorer.ordinary.table[at][2])
+        hits = []
+        for s in [i for i in range(end) if not i or run[i - 1] in "=/.-"]:
+            for e in [i for i in range(s + 16, end + 1) if i == end or run[i] in "=/.-"]:
+                for name, a in scorer.formats.items():
+                    gain = a.score(run[s:e]) - (ordinary[e] - ordinary[s] + stops[e])
+                    if gain >= scorer.least and gain >= scorer.margin * (e - s):
+                        hits.append((gain - scorer.margin * (e - s), s, e, name))
+        want = []
+        for _, s, e, name in sorted(hits, key=lambda h: (-round(h[0], 6), h[1], -h[2])):
+            if all(e <= x or y <= s for x, y, _ in want):
+                want.append((s, e, name))
+        assert [h[:3] for h in scorer.within(run)] == sorted(want), run
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    scorer, rng = secrets.FormatScorer(), random.Random(6)
+    texts = [" ".join("password=abcdef1 ghp_" + "".join(rng.choice("abcXYZ019") for _ in range(36)) for _ in range(n)) for n in (300, 3000)]
+    known = {}
+    took = []
+    for text in texts:
+        began = time.process_time()
+        base, found = secrets.scan(text, scorer, known)
+        took.append(time.process_time() - began)
+        assert len(base) == len(found) == text.count("ghp_")
+    assert took[1] < 40 * took[0] + 1
+    assert secrets.scan("token=abcdef" + "9" * 30 + "/x", scorer, {})[1] == []  # a base span stands over what is within it
 
 
 def test_only_compatible_states_merge(monkeypatch):
@@ -342,6 +390,18 @@ def test_training_rows_are_bounded(spark):
     assert all(len(r["text"]) <= 100 for r in got)
 
 
+def test_repeated_rows_count_once_in_learning(spark):
+    texts = [f"text {i}" for i in range(400)]
+    once = frame(spark, texts, langs=["aa"] * 400)
+    many = frame(spark, texts * 50, ids=[*range(400)] * 50, langs=["aa"] * 20_000)
+    rows = lambda d: sorted(tuple(r) for r in language.training_rows(d, 100, 1000).collect())
+    assert len(rows(once)) == 100 and rows(once) == rows(many)
+    one_id = frame(spark, texts, ids=[7] * 400, langs=["aa"] * 400)
+    assert len(rows(one_id)) == 100
+    two = frame(spark, texts, langs=["aa"] * 300 + ["bb"] * 80 + ["cc"] * 20)
+    assert {r["lang"] for r in language.training_rows(two, 10, 1000, languages=2).collect()} == {"aa", "bb"}
+
+
 def test_language_edges(spark):
     rng = random.Random(18)
     langs = ["aa", "bb"] * 60
