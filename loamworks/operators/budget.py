@@ -3,44 +3,153 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import graph
 
 OMISSION_TOKENS = 50
 _PREFIXES = {"Test": "test ", "Function": "func ", "Class": "class ", "Struct": "struct ", "Method": "method ", "Impl": "impl ", "Constant": "const ", "Interface": "interface ", "Enum": "enum ", "Module": "mod ", "Zone": "zone ", "Component": "component ", "HtmlElement": "element ", "CssSelector": "selector ", "CssAtRule": "at-rule "}
 
 
-def greedy(rows: DataFrame, budget: int, keys: list[str] | None = None, omission: int = OMISSION_TOKENS, key: str = "path", cost: str = "cost") -> DataFrame:
-    """Rows with ``admitted`` and ``marked``: in order of ``key`` a row is admitted if it still fits, else marked as omitted if ``omission`` tokens still fit; later, smaller rows go on being tried.
+#: Rows of a block, blocks that one task folds at a time, and rows from which a workspace is folded by blocks.
+BLOCK_ROWS, OPEN_BLOCKS, LARGE = 1 << 16, 16, 1 << 20
 
-    The fold is sequential by nature: the keys and costs of each of ``keys`` (a
-    workspace) stream in order through one task, which holds one sum.
+
+class _Fold:
+    """The remainder of a budget as rows go by: a row that fits is admitted, another is marked if its omission fits."""
+
+    def __init__(self, left: int, omission: int):
+        self.left, self.omission = left, omission
+
+    def row(self, cost: int | None) -> tuple[bool, bool]:
+        fits = cost is not None and cost <= self.left
+        marks = not fits and 0 < self.omission <= self.left
+        self.left -= cost if fits else self.omission if marks else 0
+        return fits, marks
+
+    def block(self, n: int, least: int | None, total: int | None, holes: int) -> bool:
+        """Goes over a block by its summary alone, if that tells enough: all of it fits, or none of it."""
+        if not holes and (total or 0) <= self.left:
+            self.left -= total or 0
+            return True
+        if least is None or least > self.left:
+            self.left -= self.omission * min(n, self.left // self.omission) if self.omission > 0 else 0
+            return True
+        return False
+
+
+def greedy(rows: DataFrame, budget: int, keys: list[str] | None = None, omission: int = OMISSION_TOKENS, key: str = "path", cost: str = "cost", block_rows: int = BLOCK_ROWS, large: int = LARGE) -> DataFrame:
+    """Rows with ``admitted`` and ``marked``: in order of ``key`` a row is admitted if it still fits, else marked as omitted if ``omission`` tokens still fit; later, smaller rows go on being tried. Costs are not negative; null ones never fit.
+
+    The fold is sequential by nature, but only a block's first remainder ties
+    it to the rest. The rows, sorted over many tasks, are cut into blocks; the
+    driver goes over their summaries (rows, least cost, sum) and skips a block
+    that fits as a whole or not at all. Others are folded in order, a few at a
+    time; as the remainder only falls, and each of them makes it fall, they
+    are at most as many as omissions and single tokens fit into the budget,
+    however many rows there are. Then all blocks are folded side by side. A
+    workspace of ``keys`` with fewer than ``large`` rows streams through a task.
     """
     group = keys or []
     narrow = rows.select(*group, key, F.col(cost).cast("long").alias("_cost"))
-    dealt = (narrow.repartition(*group) if group else narrow.repartition(1)).sortWithinPartitions(*group, key, "_cost")
+    if not group:
+        return _by_blocks(narrow, budget, omission, key, block_rows)
+    big = [tuple(r)[:-1] for r in narrow.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= large).collect()]
+    same = [reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(group, who, strict=True)]) for who in big]
+    out = _streamed(narrow.filter(~reduce(lambda x, y: x | y, same)) if same else narrow, budget, omission, group, key)
+    types = dict(narrow.dtypes)
+    for who, mine in zip(big, same, strict=True):
+        part = _by_blocks(narrow.filter(mine).select(key, "_cost"), budget, omission, key, block_rows)
+        out = out.unionByName(part.select(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(group, who, strict=True)], key, "admitted", "marked"))
+    return out
+
+
+def _streamed(narrow: DataFrame, budget: int, omission: int, group: list[str], key: str) -> DataFrame:
+    """The fold of each workspace in one task, which holds one sum."""
     types = dict(narrow.dtypes)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used = None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = None, _Fold(0, 0)
         for b in batches:
-            admitted, marked = [], []
+            said = []
             for *who, n in zip(*(b.column(c).to_pylist() for c in (*group, "_cost")), strict=True):
                 if who != now:
-                    now, used = who, 0
-                fits = n is not None and used + n <= budget
-                marks = not fits and omission > 0 and used + omission <= budget
-                used += n if fits else omission if marks else 0
-                admitted.append(fits)
-                marked.append(marks)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key)), pa.array(admitted, pa.bool_()), pa.array(marked, pa.bool_())], names=[*group, key, "admitted", "marked"])
-
-    return dealt.mapInArrow(fold, ", ".join(f"`{c}` {types[c]}" for c in (*group, key)) + ", admitted boolean, marked boolean")
+                    now, fold = who, _Fold(budget, omission)
+                said.append(fold.row(n))
+            yield _told(b, [*group, key], said)
+
+    order = narrow.repartition(*group).sortWithinPartitions(*group, key, "_cost")
+    return order.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (*group, key)) + ", admitted boolean, marked boolean")
+
+
+def _told(b: pa.RecordBatch, columns: list[str], said: list[tuple[bool, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array([x[i] for x in said], pa.bool_()) for i in (0, 1))], names=[*columns, "admitted", "marked"])
+
+
+def _by_blocks(narrow: DataFrame, budget: int, omission: int, key: str, block_rows: int) -> DataFrame:
+    spark, kind = narrow.sparkSession, dict(narrow.dtypes)[key]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            place = np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("_cost"), pa.array(part + place // block_rows), pa.array(place)], names=[key, "_cost", "_block", "_at"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_first(key), F.asc_nulls_first("_cost")]
+    table = graph.cut(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(numbered, f"`{key}` {kind}, _cost long, _block long, _at long"))
+    summary = table.groupBy("_block").agg(F.count("*").alias("n"), F.min("_cost").alias("least"), F.sum("_cost").alias("total"), F.count_if(F.col("_cost").isNull()).alias("holes"))
+    blocks = sorted(tuple(r) for r in summary.collect())  # five numbers for each block
+
+    def folded(left: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fold, now = _Fold(left, omission), None
+            for b in batches:
+                out = []
+                for block, cost in zip(b.column("_block").to_pylist(), b.column("_cost").to_pylist(), strict=True):
+                    if block != now:
+                        now = block
+                        out.append((block, fold.left))
+                    fold.row(cost)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["_block", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([fold.left], pa.int64())], names=["_block", "left"])
+
+        return run
+
+    fold, first, i = _Fold(budget, omission), {}, 0
+    while i < len(blocks):
+        first[blocks[i][0]] = fold.left
+        if fold.block(*blocks[i][1:]):
+            i += 1
+            continue
+        some = [x[0] for x in blocks[i : i + OPEN_BLOCKS]]
+        rows = table.filter(F.col("_block").isin(some)).select("_block", "_at", "_cost").coalesce(1).sortWithinPartitions("_block", "_at")
+        found = {r["_block"]: r["left"] for r in rows.mapInArrow(folded(fold.left), "_block long, left long").collect()}
+        fold.left = found.pop(-1)
+        first |= found
+        i += len(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold = None, _Fold(0, 0)
+        for b in batches:
+            said = []
+            for block, cost in zip(b.column("_block").to_pylist(), b.column("_cost").to_pylist(), strict=True):
+                if block != now:
+                    now, fold = block, _Fold(first[block], omission)
+                said.append(fold.row(cost))
+            yield _told(b, [key], said)
+
+    return table.repartition("_block").sortWithinPartitions("_block", "_at").mapInArrow(run, f"`{key}` {kind}, admitted boolean, marked boolean")
 
 
 def until_full(rows: DataFrame, budget: int, key: str = "path", cost: str = "cost") -> DataFrame:

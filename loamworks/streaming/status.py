@@ -83,3 +83,61 @@ def readiness(events: DataFrame, seconds: int = 30, timeouts: dict[str, int] = T
         yield pd.DataFrame([(key[0], *now)], columns=["key", "percent", "complete", "by_timeout"])
 
     return events.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, READINESS, _STATE, "update", "EventTimeTimeout")
+
+
+CHANNEL = "key string, kept int, dropped long, held array<string>"
+
+
+def channel(events: DataFrame, capacity: int = 64) -> DataFrame:
+    """A stream of (key, value, ts) as the state of each key's bounded channel: its last ``capacity`` values in order of arrival, how many it keeps and how many it dropped. The state is the ring itself, of bounded size."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ring, dropped = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        for b in batches:
+            new = b.sort_values(["ts", "value"], kind="stable")["value"].tolist()
+            dropped += max(0, len(ring) + len(new) - capacity)
+            ring = [*ring, *new][-capacity:]
+        state.update((ring, dropped))
+        yield pd.DataFrame([(key[0], len(ring), dropped, ring)], columns=["key", "kept", "dropped", "held"])
+
+    return events.groupBy("key").applyInPandasWithState(step, CHANNEL, "ring array<string>, dropped long", "update", "NoTimeout")
+
+
+def registered(events: DataFrame) -> DataFrame:
+    """A stream of (id, action, static, ts) as whether each registration holds, by the last action in event time; a late event does not undo a newer one, and what was given from the start never ends."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        given, at, action = state.get if state.exists else (False, -1, "")
+        for b in batches:
+            for what, static, ts in zip(b["action"], b["static"], b["ts"], strict=True):
+                given = given or bool(static)
+                at, action = max((at, action), (pd.Timestamp(ts).value // 1000, what or ""))
+        state.update((given, at, action))
+        yield pd.DataFrame([(key[0], given or action == "register")], columns=["id", "active"])
+
+    return events.groupBy("id").applyInPandasWithState(step, "id string, active boolean", "given boolean, at long, action string", "update", "NoTimeout")
+
+
+def probes(events: DataFrame, seconds: int = 300) -> DataFrame:
+    """A stream of probe results (key, ok, ts) as a cache whose entries end ``seconds`` after their last probe: key, ok, valid. When the watermark passes an entry's end its state goes, and a row tells that it is no longer valid."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            ok, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], ok, False)], columns=["key", "ok", "valid"])
+            return
+        ok, at = state.get if state.exists else (False, -1)
+        for b in batches:
+            for value, ts in zip(b["ok"], b["ts"], strict=True):
+                at, ok = max((at, ok), (pd.Timestamp(ts).value // 1_000_000, bool(value)))
+        if at + seconds * 1000 <= state.getCurrentWatermarkMs():  # all of it came too late to be valid
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], ok, False)], columns=["key", "ok", "valid"])
+            return
+        state.update((ok, at))
+        state.setTimeoutTimestamp(at + seconds * 1000)
+        yield pd.DataFrame([(key[0], ok, True)], columns=["key", "ok", "valid"])
+
+    return events.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, "key string, ok boolean, valid boolean", "ok boolean, at long", "update", "EventTimeTimeout")

@@ -186,6 +186,42 @@ def test_greedy_equals_a_loop(spark):
     assert got == want
 
 
+def _looped(rows, budget, omission):
+    out, left = [], budget
+    for p, c in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        fits = c is not None and c <= left
+        marks = not fits and 0 < omission <= left
+        left -= c if fits else omission if marks else 0
+        out.append((p, fits, marks))
+    return sorted(out)
+
+
+def test_greedy_by_blocks_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(budget, "OPEN_BLOCKS", 2)
+    rng = random.Random(4)
+    for costs, most, omission in (((1, 60), 900, 50), ((1, 60), 900, 0), ((30, 40), 400, 7), ((0, 3), 10_000, 50), ((1, 2000), 3000, 100), ((5, 5), 203, 3)):
+        rows = [(f"p{rng.randrange(400):03}", None if rng.random() < 0.02 else rng.randint(*costs)) for _ in range(700)]
+        d = spark.createDataFrame(rows, "path string, cost int")
+        got = sorted(tuple(r) for r in budget.greedy(d, most, omission=omission, block_rows=16).collect())
+        assert got == _looped(rows, most, omission), (costs, most, omission)
+    keyed = [(w, *r) for w in ("a", None, "c") for r in rows[: 500 if w is None else 60]]
+    got = budget.greedy(spark.createDataFrame(keyed, "w string, path string, cost int"), 203, ["w"], omission=3, block_rows=16, large=400).collect()
+    for w in ("a", None, "c"):
+        assert sorted((r["path"], r["admitted"], r["marked"]) for r in got if r["w"] == w) == _looped([r[1:] for r in keyed if r[0] == w], 203, 3)
+
+
+def test_greedy_opens_few_blocks(spark, monkeypatch):
+    opened = []
+    cut = budget._Fold.block
+    monkeypatch.setattr(budget._Fold, "block", lambda self, *a: opened.append(cut(self, *a)) or opened[-1])
+    n = 200_000
+    d = spark.range(n).select(F.format_string("%08d", "id").alias("path"), (F.col("id") % 7 + 10).alias("cost"))
+    got = budget.greedy(d, 50_000, omission=50, block_rows=500).agg(F.count_if("admitted"), F.count_if("marked")).first()
+    want = _looped([(f"{i:08}", i % 7 + 10) for i in range(n)], 50_000, 50)
+    assert tuple(got) == (sum(x[1] for x in want), sum(x[2] for x in want))
+    assert opened.count(False) <= 3 and len(opened) > 350
+
+
 def test_greedy_is_linear_and_counts_nothing_for_null_costs(spark):
     n = 300_000
     d = spark.range(n).select(F.format_string("%08d", "id").alias("path"), F.when(F.col("id") % 1000 == 7, None).otherwise(F.lit(3)).cast("long").alias("cost"))

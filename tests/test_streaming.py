@@ -59,3 +59,50 @@ def test_batch_mechanisms(spark):
     u = spark.createDataFrame([("a", t(0), 0), ("b", t(0), 1), ("c", t(3000), 0)], "k string, last_used timestamp, in_flight int")
     assert [x["k"] for x in status.evictable(u, t(3600)).collect()] == ["a"]
     assert [x[0] for x in spark.createDataFrame([(-3,), (50,), (400,)], "p int").select(status.percent(F.col("p"))).collect()] == [0, 50, 100]
+
+
+def _replayed(spark, tmp_path, name, parts, schema, query):
+    """The last row of each key after the parts came one by one, the query being started anew from its checkpoint each time; and all rows."""
+    rows = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        out = query(stream).writeStream.foreachBatch(lambda d, n, i=i: rows.extend(((i, n), tuple(r)) for r in d.collect()))
+        out.option("checkpointLocation", str(tmp_path / f"{name}-at")).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for _, r in sorted(rows, key=lambda x: x[0]):
+        last[r[0]] = r
+    return last, [r for _, r in rows]
+
+
+def test_channel_stream_equals_the_table_after_restarts(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    events = [(k, f"{k}{i:03}", t(i)) for i in range(150) for k in "ab" if k == "a" or i % 3 == 0]
+    parts = [events[:60], events[60:61], events[61:]]
+    last, _ = _replayed(spark, tmp_path, "c", parts, "key string, value string, ts timestamp", lambda s: status.channel(s, 20))
+    for k in "ab":
+        mine = [v for x, v, _ in events if x == k]
+        assert last[k] == (k, 20, len(mine) - 20, mine[-20:])
+    lag = {tuple(r) for r in status.lagged(spark.createDataFrame(events, "key string, value string, ts timestamp"), "key", 20).collect()}
+    assert lag == {(k, n, d) for k, n, d, _ in last.values()}
+
+
+def test_registrations_stream_equals_the_table_after_restarts(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    parts = [
+        [("x", "register", False, t(0)), ("y", "unregister", True, t(1)), ("z", "register", False, t(9))],
+        [("x", "unregister", False, t(5)), ("z", "unregister", False, t(3)), ("w", "unregister", False, t(4))],
+        [("x", "register", False, t(2)), ("w", "register", False, t(8))],
+    ]
+    schema = "id string, action string, static boolean, ts timestamp"
+    last, _ = _replayed(spark, tmp_path, "r", parts, schema, status.registered)
+    want = {tuple(r) for r in status.registrations(spark.createDataFrame(sum(parts, []), schema)).collect()}
+    assert set(last.values()) == want == {("x", False), ("y", True), ("z", True), ("w", True)}
+
+
+def test_probe_cache_ends_by_the_clock_of_events(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    parts = [[("go", True, t(0)), ("rust", False, t(0))], [("go", True, t(200))], [("zig", True, t(350))], [("zig", True, t(360)), ("go", False, t(20))], [("rust", True, t(361))]]
+    last, every = _replayed(spark, tmp_path, "p", parts, "key string, ok boolean, ts timestamp", status.probes)
+    assert ("rust", False, False) in every  # 300 seconds after its probe
+    assert last == {"go": ("go", True, True), "rust": ("rust", True, True), "zig": ("zig", True, True)}  # a late probe changes nothing
