@@ -19,6 +19,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..functions.text import strip_jsonc
 from ..model import BinaryFile, Config, FileNotFound, InvalidParams
+from . import walk
 
 
 IGNORE_FILES = (".gitignore", ".ignore")  # the later of one folder goes first
@@ -103,17 +104,25 @@ def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORE
     return [(path[0], text.splitlines()) for path, text in rows]
 
 
-def read_tree(spark: SparkSession, root: str, *, hidden: bool = True, ignore: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES, contents: bool = True, config: Config | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, *, hidden: bool = True, ignore: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES, contents: bool = True, config: Config | None = None, in_tasks: bool = False) -> DataFrame:
     """The files under a folder as FILES, with ``ignored`` besides: by the tree's own ``ignore_files``, each below its folder, and by the rules of ``ignore``, which go first. Always-excluded folders and denied paths are left out, binaries have no text.
 
-    ``contents`` False reads names, sizes and times only and opens no file but ignore files.
+    ``contents`` False reads names, sizes and times only and opens no file but
+    ignore files. ``in_tasks``: folders are listed by tasks, level by level, and
+    those that the rules hide are not gone into, so files below them are no
+    rows; else the driver walks, and such files are rows with ``ignored``.
     """
     settings = config or Config()
-    d = _scan(spark, root, contents)
+    if in_tasks:
+        d = walk.files_of(walk.walked(spark, root, ignore, ignore_files))
+        d = walk.with_contents(d, root) if contents else d
+    else:
+        d = _scan(spark, root, contents)
     d = d.filter(~P.in_excluded_dir(F.col("path")) & P.denied_tier(F.col("path"), settings.additional_deny, settings.allow_override, settings.ignore).isNull())
     if not hidden:
         d = d.filter(~F.col("path").rlike(r"(^|/)\."))
-    d = d.withColumn("ignored", P.ignored_by(F.col("path"), ignore or [], ignore_rules(spark, root, ignore_files)))
+    if not in_tasks:
+        d = d.withColumn("ignored", P.ignored_by(F.col("path"), ignore or [], ignore_rules(spark, root, ignore_files)))
     named = d.select("path", P.extension(F.col("path")).alias("ext"), P.language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "ignored", *(["content"] if contents else []))
     if not contents:
         return named
