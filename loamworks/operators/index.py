@@ -62,6 +62,16 @@ def faults(files: DataFrame) -> DataFrame:
     return _parsable(files).mapInPandas(_rows("faults"), FAULTS)
 
 
+def zones(files: DataFrame) -> DataFrame:
+    """path, zone, start and end (in characters, from 0, the end exclusive) of the first script, template and style of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *z) for p, text in zip(b["path"], b["text"], strict=True) for z in extract.zones(text)], columns=["path", "zone", "start", "end"])
+
+    return files.filter("text is not null").select("path", "text").mapInPandas(run, "path string, zone string, start long, end long")
+
+
 class ExtractSymbols:
     """For SQL: SELECT s.* FROM files, LATERAL extract_symbols(language, text) s"""
 

@@ -16,7 +16,7 @@ from ..functions import paths as P
 from ..functions import patterns as D
 from ..functions import text as X
 from ..operators import budget, graph, index, lines, occurrences, quality, relate
-from ..sources import trees
+from ..sources import snapshots, trees
 from ..streaming import status
 from .tools import Corpus
 
@@ -189,8 +189,9 @@ def references_of_names(spark, sf):
 @_query("WITH " + _LINES + " SELECT doc_id, line, left(trim(content), 512) AS snippet FROM ls WHERE line BETWEEN 2 AND 4")
 def read_slice(spark, sf):
     """Lines 2 to 4 of every file, as snippets (F-13, E-27)."""
-    part = F.slice(X.lines_of(F.col("text")), 2, 3)
-    return _docs(spark, sf).select("doc_id", F.posexplode(part).alias("i", "c")).select("doc_id", (F.col("i") + 2).cast("long").alias("line"), F.substring(F.trim("c"), 1, 512).alias("snippet"))
+    d = _docs(spark, sf).select("doc_id", X.lines_of(F.col("text")).alias("ls"))
+    rows = d.select("doc_id", "ls", F.explode(F.array(*[F.lit(i).cast("long") for i in (2, 3, 4)])).alias("line")).filter(F.col("line") <= F.size("ls"))
+    return rows.select("doc_id", "line", X.snippet(F.col("ls"), F.col("line")).alias("snippet"))
 
 
 @_query(f"WITH {_LINES} SELECT f.path, f.lang AS language, CAST(strlen(f.text) AS BIGINT) AS size, CAST(len(a.ls) AS BIGINT) AS n_lines, CAST(ceil(length(f.text) / 4) AS BIGINT) AS tokens FROM files f JOIN arrays a USING (path)")
@@ -540,6 +541,125 @@ def parse_faults(spark, sf):
     return index.faults(f).select("path", F.col("line").cast("long").alias("line"), "fault")
 
 
+_LINK_WORDS = """w AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)) AS word, unnest(range(0, len(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1)))) AS i FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, word ORDER BY i) AS nth FROM w),
+named AS (SELECT *, (['rs', 'go', 'java', 'ts', 'js'])[page_id % 5 + 1] AS ext, 'w_' || word AS name, 'w_' || word || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS sp FROM n)"""
+
+
+@_query(
+    "WITH "
+    + _LINK_WORDS
+    + f""",
+lines AS (SELECT page_id, ext, i, CASE kind WHEN 'Function' THEN 'func ' WHEN 'Test' THEN 'test ' ELSE lower(kind) || ' ' END || name || ' // ' || sp AS line
+  FROM named JOIN (VALUES {_SHAPE_ROWS}) AS v(lang, vext, shape, kind, below) ON page_id % {len(SHAPES)} = lang AND i % 3 = shape),
+texts AS (SELECT 'link/p' || page_id || '.' || ext AS path, string_agg(line, chr(10) ORDER BY i) AS full_text FROM lines GROUP BY page_id, ext),
+cut AS (SELECT path, ceil(length(full_text) / 4) > 60 AS truncated, CASE WHEN ceil(length(full_text) / 4) > 60 THEN '// [TRUNCATED DUE TO SIZE]' || chr(10) || full_text ELSE full_text END AS skeleton FROM texts)
+SELECT path, truncated, skeleton, CAST(ceil(length(skeleton) / 4) AS BIGINT) AS tokens FROM cut"""
+)
+def skeletons_of_links(spark, sf):
+    """Skeletons of sources, those over a cap of tokens by their top symbols (O-10, X-13, A-10)."""
+    return budget.skeletons(index.symbols(_link_sources(spark, sf)), 60).select("path", "truncated", "skeleton", "tokens")
+
+
+#: An import of a word in each language.
+IMPORTS = {"rs": "use NAME::all;\nfn a() {}\n", "go": 'import (\n\t"NAME"\n)\nfunc a() {}\n', "java": "import a.NAME;\nint b;\n", "ts": "import { NAME } from 'x'\nf(NAME)\n", "js": "const NAME = require('NAME')\nf(NAME)\n"}
+
+
+@_query(
+    "WITH "
+    + _LINK_WORDS
+    + """,
+every AS (
+  SELECT page_id, ext, i, CAST(i * CASE ext WHEN 'go' THEN 4 ELSE 2 END + 1 AS BIGINT) AS line, CASE ext WHEN 'rs' THEN 'use ' || word || '::all;' WHEN 'go' THEN 'import (' WHEN 'java' THEN 'import a.' || word || ';'
+    WHEN 'ts' THEN 'import { ' || word || ' } from ' || chr(39) || 'x' || chr(39) ELSE 'const ' || word || ' = require(' || chr(39) || word || chr(39) || ')' END AS content FROM named
+  UNION ALL SELECT page_id, ext, i, CAST(i * 4 + k AS BIGINT), CASE k WHEN 2 THEN chr(9) || '"' || word || '"' ELSE ')' END FROM named, (VALUES (2), (3)) AS v(k) WHERE ext = 'go')
+SELECT 'link/p' || page_id || '.' || ext AS path, line, content FROM every"""
+)
+def imports_of_links(spark, sf):
+    """Import lines by language, Go's blocks too (F-18, W-07)."""
+    lang = F.pmod("page_id", F.lit(len(IMPORTS))).cast("int") + 1
+    words = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))
+    form, ext = F.element_at(F.array(*[F.lit(x) for x in IMPORTS.values()]), lang), F.element_at(F.array(*[F.lit(x) for x in IMPORTS]), lang)
+    d = _t(spark, sf, "pages").filter("html is not null and page_id is not null")
+    files = d.select(F.concat(F.lit("link/p"), F.col("page_id").cast("string"), F.lit("."), ext).alias("path"), F.array_join(F.transform(words, lambda w: F.replace(form, F.lit("NAME"), w)), "").alias("text"))
+    return lines.imports(files, most=2**31 - 1)
+
+
+@_query(
+    r"""WITH tags AS (SELECT page_id, html, zone, regexp_extract(html, '<' || zone || '([\s/][^>]*)?>') AS tag FROM pages, (VALUES ('script'), ('style')) AS v(zone) WHERE html IS NOT NULL AND page_id IS NOT NULL),
+spans AS (SELECT page_id, html, zone, position(tag IN html) + length(tag) AS s FROM tags WHERE tag <> '' AND NOT ends_with(tag, '/>')),
+ends AS (SELECT *, position('</' || zone IN substr(html, s)) AS e FROM spans)
+SELECT page_id, zone, sha256(CASE WHEN e > 0 THEN substr(html, s, e - 1) ELSE substr(html, s) END) AS content_sha256 FROM ends"""
+)
+def zones_of_pages(spark, sf):
+    """The first script and style of every page, by the zones of single-file components (X-08, X-12)."""
+    f = _t(spark, sf, "pages").filter("html is not null and page_id is not null").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    z = index.zones(f).filter("zone <> 'template'")
+    part = F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return z.join(f, "path").select(F.col("path").cast("long").alias("page_id"), "zone", F.sha2(part, 256).alias("content_sha256"))
+
+
+@_query(
+    "WITH "
+    + _LINK_WORDS
+    + r""",
+marked AS (SELECT page_id, i, word, CASE i % 3 WHEN 0 THEN 'My-' || word WHEN 1 THEN 'C' || word ELSE 'p' END AS tag FROM named),
+elements AS (SELECT page_id, i AS o, tag, i % 3 < 2 AS component FROM marked UNION ALL SELECT page_id, i + 0.4, 'b', false FROM marked WHERE i % 3 = 2 UNION ALL SELECT page_id, i + 0.5, 'br', false FROM marked WHERE i % 3 = 2),
+e AS (SELECT page_id, 'template.' || tag || CASE WHEN k > 1 THEN '[' || k || ']' ELSE '' END AS semantic_path, CASE WHEN component THEN 'Component' ELSE 'HtmlElement' END AS kind, CAST(floor(o) + 2 AS BIGINT) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, tag ORDER BY o) AS k FROM elements)),
+rules AS (SELECT page_id, i AS o, word AS name, i % 2 = 1 AS media FROM named),
+r AS (SELECT page_id, o, CASE WHEN media THEN '@media' ELSE '.' || name END AS label, media FROM rules UNION ALL SELECT page_id, o + 0.5, '#' || name, false FROM rules WHERE media),
+c AS (SELECT page_id, 'style.' || CASE WHEN label[1] = '.' THEN '\' ELSE '' END || label || CASE WHEN k > 1 THEN '[' || k || ']' ELSE '' END AS semantic_path, CASE WHEN media THEN 'CssAtRule' ELSE 'CssSelector' END AS kind,
+    CAST((SELECT count(*) FROM named m WHERE m.page_id = q.page_id) + 4 + floor(o) AS BIGINT) AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, label ORDER BY o) AS k FROM r) q)
+SELECT 'vue/p' || page_id || '.vue' AS path, semantic_path, kind, line FROM (SELECT * FROM e UNION ALL SELECT * FROM c)"""
+)
+def components_of_links(spark, sf):
+    """Elements of templates and selectors of styles, repeated ones numbered, of a component for each page (X-09, X-10, X-16)."""
+    words = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))
+    tag = F.transform(words, lambda w, i: F.when(i % 3 == 0, F.concat(F.lit("<My-"), w, F.lit(" a='<p>'/>"))).when(i % 3 == 1, F.concat(F.lit("<C"), w, F.lit(">x<!-- <p> --></C"), w, F.lit(">"))).otherwise(F.concat(F.lit("<p><b>"), w, F.lit("</b><br></p>"))))
+    rule = F.transform(words, lambda w, i: F.when(i % 2 == 0, F.concat(F.lit("."), w, F.lit(" { a: '}' /* { */ }"))).otherwise(F.concat(F.lit("@media x { #"), w, F.lit(" { b: 1 } }"))))
+    text = F.concat(F.lit("<template>\n"), F.array_join(tag, "\n"), F.lit("\n</template>\n<style>\n"), F.array_join(rule, "\n"), F.lit("\n</style>\n"))
+    d = _t(spark, sf, "pages").filter(F.col("page_id").isNotNull() & (F.size(words) > 0))
+    files = d.select(F.concat(F.lit("vue/p"), F.col("page_id").cast("string"), F.lit(".vue")).alias("path"), text.alias("text"))
+    return index.symbols(files).filter("depth > 0").select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
+
+
+def _versions(spark, sf):
+    """The documents as files, and a later version: a word written otherwise in all texts, empty ones gone."""
+    old = _docs(spark, sf).filter("text is not null")
+    new = old.filter("length(text) > 0").withColumn("text", F.replace("text", F.lit(QUERY), F.lit(QUERY.upper())))
+    return old, new.withColumn("version_hash", X.version_hash(F.col("text")))
+
+
+@_query(
+    "WITH "
+    + _FILES
+    + f""" SELECT path, CASE WHEN length(text) > 0 THEN 'modified' ELSE 'removed' END AS change FROM files WHERE path IS NOT NULL AND text IS NOT NULL AND (contains(text, '{QUERY}') OR text = '')"""
+)
+def snapshot_difference(spark, sf):
+    """What changed between two versions of all documents, by Merkle trees of their folders (SC-09, J-03)."""
+    old, new = (snapshots.snapshot(v) for v in _versions(spark, sf))
+    return snapshots.difference(old, new)[0]
+
+
+@_query(
+    """WITH n AS (SELECT page_id FROM pages), old AS (SELECT a.page_id AS a, b.page_id AS b FROM n a JOIN n b ON b.page_id = a.page_id + 1),
+gone AS (SELECT page_id FROM pages WHERE contains(url, 'spam') OR contains(url, '#'))
+SELECT 'src/p' || a || '.py' AS src_path, 'Page' || a || '.render' AS src_symbol, 'src/p' || b || '.py' AS dst_path, 'open_' || b AS dst_symbol, (SELECT count(*) FROM n WHERE page_id NOT IN (FROM gone) AND page_id + 1 IN (FROM gone)) AS made_anew
+FROM old WHERE a NOT IN (FROM gone) AND b NOT IN (FROM gone)"""
+)
+def edges_refreshed(spark, sf):
+    """Edges of a tree in which some files were emptied, made from those before: only calls whose file or target changed are resolved anew (X-14, G-04)."""
+    old = _sources(spark, sf)
+    gone = _t(spark, sf, "pages").filter(F.contains("url", F.lit("spam")) | F.contains("url", F.lit("#"))).select(F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), F.lit(True).alias("gone"))
+    new = old.join(gone, "path", "left").withColumn("text", F.when(F.col("gone"), "pass\n").otherwise(F.col("text"))).drop("gone").withColumn("version_hash", X.version_hash(F.col("text")))
+    s0, s1 = graph.cut(index.symbols(old)), graph.cut(index.symbols(new))
+    calls = graph.cut(index.calls(old, s0))
+    _, edges, again = index.refreshed_edges(new, s1, old, s0, calls, index.resolved(calls, s0))
+    return edges.select("src_path", "src_symbol", "dst_path", "dst_symbol", F.lit(again.count()).cast("long").alias("made_anew"))
+
+
 @_query(
     """WITH n AS (SELECT page_id FROM pages)
 SELECT 'src/p' || a.page_id || '.py' AS src_path, 'Page' || a.page_id || '.render' AS src_symbol, 'src/p' || b.page_id || '.py' AS dst_path, 'open_' || b.page_id AS dst_symbol FROM n a JOIN n b ON b.page_id = a.page_id + 1"""
