@@ -184,6 +184,36 @@ def did_you_mean(names: DataFrame, target: str, k: int = 3, column: str = "seman
     return best.filter((F.col("_first") >= 0) | (F.col("distance") == -1)).withColumn("rank", F.row_number().over(first).cast("long")).drop("_first")
 
 
+def name_grams(names: DataFrame, column: str = "semantic_path", order: str = "symbol_id") -> DataFrame:
+    """The index that near_names reads: a row for each three characters that follow one another in a name, once a name; kept sorted by gram, it is read by gram."""
+    c = F.col(column)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+    return names.filter(F.length(c) > 2).select(F.explode(grams).alias("gram"), column, order)
+
+
+def near_names(grams: DataFrame, names: DataFrame, target: str, k: int = 3, column: str = "semantic_path", order: str = "symbol_id") -> tuple[DataFrame, int]:
+    """did_you_mean by an index of grams, and the number of names that were compared.
+
+    A name within d edits of the target has at least as many of its n distinct
+    grams as n less 3 d, and one that holds the target has all. So the names
+    with so many hold all names up to the distance d; if the k best of them are
+    as near, they are the answer. d grows while n is larger than 3 d; after
+    that, and for targets of few characters, every name is compared.
+    """
+    own = sorted({target[i : i + 3] for i in range(len(target) - 2)})
+    if own:
+        shared = graph.cut(grams.filter(F.col("gram").isin(own)).groupBy(column, order).agg(F.count("*").alias("_shared")))
+        d = 1
+        while 3 * d < len(own):
+            some = shared.filter(F.col("_shared") >= len(own) - 3 * d).drop("_shared")
+            best = graph.cut(did_you_mean(some, target, k, column, order))
+            n, far = best.agg(F.count("*"), F.max("distance")).first()
+            if far is not None and (far == -1 or (n == k and far <= d)):
+                return best, some.count()
+            d += 1
+    return did_you_mean(names, target, k, column, order), names.count()
+
+
 def paged_union(lists: list[DataFrame], offset: int, limit: int, *order) -> DataFrame:
     """A page over lists one after another: list_rank, rank."""
     out = None

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import patterns as D
 from ..functions import text as X
-from ..model import BATCH_LIMIT, DETAILS, FILTER_MODES, READ_DETAILS, SCOPES, AccessDenied, Config, FileNotFound, InvalidParams, InvalidSemanticPath, PathTraversal, SymbolNotFound, UnsupportedLanguage
+from ..model import BATCH_LIMIT, DETAILS, EDGES, FILTER_MODES, READ_DETAILS, SCOPES, AccessDenied, Config, FileNotFound, InvalidParams, InvalidSemanticPath, PathTraversal, SymbolNotFound, UnsupportedLanguage
+from ..model import names as columns
 from ..operators import budget, graph, index, lines, quality, relate
-from ..sources import trees
+from ..sources import trees, versions
 
 
 @dataclass
@@ -79,19 +80,33 @@ class Corpus:
             self.__dict__["_edges"] = graph.cut(self.edges)
         return self.__dict__.get("_edges", self.edges)
 
-    def save(self, folder: str) -> None:
-        """Writes the index, for open_saved; parsing then happens once."""
-        for name in ("symbols", "tokens", "edges"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-        self.files.write.mode("overwrite").parquet(f"{folder}/files")
+    def save(self, folder: str) -> int:
+        """Writes the index as the next version in a folder, for open_saved; parsing then happens once. The version's number."""
+        calls = self.__dict__.get("calls") or index.calls(self.allowed, self.symbols)
+        written = {"files": self.files, "symbols": self.symbols, "tokens": self.tokens, "calls": calls}
+        return versions.write(self.spark, folder, written | {"resolved": index.resolved(calls, self.symbols), "edges": self.edges})
 
     @classmethod
-    def open_saved(cls, spark: SparkSession, folder: str, config: Config | None = None) -> Corpus:
-        c = cls(spark.read.parquet(f"{folder}/files"), config or Config(), indexed=True)
-        for name in ("symbols", "tokens", "edges"):
-            c.__dict__[name] = spark.read.parquet(f"{folder}/{name}")
+    def open_saved(cls, spark: SparkSession, folder: str, config: Config | None = None, version: int | None = None) -> Corpus:
+        tables = versions.read(spark, folder, ("files", "symbols", "tokens", "calls", "resolved", "edges"), version)
+        c = cls(tables.pop("files"), config or Config(), indexed=True)
+        c.__dict__.update(tables)
         return c
 
+    @classmethod
+    def refresh(cls, spark: SparkSession, folder: str, files: DataFrame, config: Config | None = None) -> tuple[Corpus, dict]:
+        """The saved index brought to the state of ``files`` and written as the next version: only files whose hash changed are parsed, and only calls whose file or target changed are resolved. The corpus, and how much was made anew."""
+        old = cls.open_saved(spark, folder, config)
+        new = cls(files, config or Config())
+        was, now = old.allowed, new.allowed
+        fresh = now.join(was.select("path", "version_hash"), ["path", "version_hash"], "left_anti")
+        symbols = graph.cut(index.refreshed(now, was, old.symbols))
+        tokens = index.refreshed(now, was, old.tokens, index.tokens)
+        calls, edges, again = index.refreshed_edges(now, symbols, was, old.symbols, old.calls, old.resolved)
+        calls, edges = graph.cut(calls), graph.cut(edges)
+        versions.write(spark, folder, {"files": files, "symbols": symbols, "tokens": tokens, "calls": calls, "resolved": edges, "edges": edges.select(*columns(EDGES))})
+        return cls.open_saved(spark, folder, config), {"files_parsed": fresh.count(), "calls_resolved": again.count(), "calls": calls.count()}
+
     # --- argument checks
 
     def _path(self, path: str) -> str:
