@@ -240,22 +240,23 @@ def _without(seeds: Seeds):
     return run
 
 
-def _slices(benchmark: DataFrame, k: int, threshold: float, slice_words: int) -> Iterator[Seeds]:
-    """The benchmark in parts of bounded size: items by a hash, in as many parts as its size needs."""
+def _slices(benchmark: DataFrame, k: int, threshold: float, slice_words: int) -> Iterator[tuple[Seeds, bool]]:
+    """The benchmark in parts of bounded size: items by a hash, in as many parts as its size needs; and whether there are several."""
     items = only(benchmark, item_id="long", text="string").filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]  # no text of letters and blanks has more words
     parts = max(1, -(-int(total) // slice_words))
     for p in range(parts):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else items
-        yield Seeds([(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()], k, threshold)
+        yield Seeds([(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()], k, threshold), parts > 1
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 4, threshold: float = 0.6, slice_words: int = 4_000_000) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles and tiles (place in the document : place in the item : words) for each document that holds an item."""
+    """doc_id, item_id, coverage, n_tiles and tiles (place in the document : place in the item : words) for each document that holds an item. What a slice of several found is written before the next one is read, so the driver holds one slice at a time."""
     d = only(docs, doc_id="long", text="string")
     out = None
-    for seeds in _slices(benchmark, k, threshold, slice_words):
+    for seeds, several in _slices(benchmark, k, threshold, slice_words):
         found = d.mapInArrow(_find(seeds), "doc_id long, item_id long, coverage double, n_tiles long, tiles string")
+        found = kept(spark, found) if several else found
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -263,7 +264,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = 4, threshold: float = 0.6, slice_words: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item. Between slices the rows that are left are written, so one slice is held at a time."""
     out, first = bounded(docs).withColumn("text", docs["text"].cast("string")), True
-    for seeds in _slices(benchmark, k, threshold, slice_words):
+    for seeds, _ in _slices(benchmark, k, threshold, slice_words):
         out = (out if first else kept(spark, out)).mapInArrow(_without(seeds), out.schema)
         first = False
     return out

@@ -244,20 +244,22 @@ def beyond(score: int) -> bytes:
 
 
 def _meet(k: int, shift: int):
-    """The k best rows of a block for each query of another; rows are of both blocks."""
+    """The k best rows of a block for each query of the blocks of queries that follow it; one block of rows and one of queries are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, SlicedIndex, np.ndarray] | None = None
+        held: tuple[int, SlicedIndex, np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            for r in batch.to_pylist():
-                width = r["width"]
-                ids = np.frombuffer(r["ids"], "<i8")
-                if held is None or held[0] != r["block"]:
-                    held = (r["block"], SlicedIndex(_values(r["vectors"], r["kind"], width), shift), np.argsort(ids, kind="stable"))
-                _, index, order = held
-                sorted_ids = ids[order]
-                query_ids = np.frombuffer(r["query_ids"], "<i8")
-                queries = _values(r["queries"], r["query_kind"], width)
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                width, these = r["width"], np.frombuffer(r["ids"], "<i8")
+                if r["side"] == 0:
+                    held = (r["block"], SlicedIndex(_values(r["vectors"], r["kind"], width), shift), these, np.argsort(these, kind="stable"))
+                    continue
+                block, index, ids, order = held
+                if block != r["block"]:
+                    raise ValueError("a block of queries without its block of rows")
+                sorted_ids, query_ids = ids[order], these
+                queries = _values(r["vectors"], r["kind"], width)
                 out = []
                 for q, v in zip(query_ids.tolist(), queries, strict=True):
                     allowed = index.every
@@ -293,14 +295,14 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     rows = kept(spark, fit.mapInArrow(_pack(block_rows, float(scale)), schema))
     queries = kept(spark, fit.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_pack(query_rows, float(scale)), schema))
     # every block of queries meets every block of rows of its width: a stated query set against all rows, in blocks;
+    # a block of rows is carried once, the much smaller queries go to each of them;
     # the pairs of numbers are dealt by the row block, as most blocks have one width
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of_rows = rows.select(F.col("block").alias("row_block"), "width", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
     of_queries = queries.select(F.col("block").alias("query_block"), "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    names = of_rows.join(of_queries, ["width", "salt"]).select("row_block", "query_block", "width")
-    met = names.join(queries.select(F.col("block").alias("query_block"), F.col("kind").alias("query_kind"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "query_block")
-    met = met.join(rows.select(F.col("block").alias("row_block"), "kind", "ids", "vectors"), "row_block")
-    met = met.select(F.col("row_block").alias("block"), "width", "kind", "ids", "vectors", "query_kind", "query_ids", "queries").sortWithinPartitions("block")
+    names = of_rows.join(of_queries, ["width", "salt"]).select("row_block", "query_block")
+    asked = names.join(queries.withColumnRenamed("block", "query_block"), "query_block").drop("query_block").withColumnRenamed("row_block", "block")
+    met = rows.withColumn("side", F.lit(0)).unionByName(asked.withColumn("side", F.lit(1))).repartition("block").sortWithinPartitions("block", "side")
     best = met.mapInArrow(_meet(k, step_bits), "query_id long, vec_id long, score long, more binary")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("more"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

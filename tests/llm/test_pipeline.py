@@ -53,4 +53,38 @@ def test_near_copies_by_five_words(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
+
+
+def _write(spark, folder, docs, schema="doc_id long, text string, lang string, source string, n_chars long, shard string, block string"):
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, "a passage that no document of this small table holds at all"), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_edges_run_through_all_stages(spark, tmp_path):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    texts = [words(40).capitalize() + "." if i % 2 else " | ".join(words(20).split()) for i in range(40)]
+    rows = [(i, t, "en", "s", len(t), "x", "y") for i, t in enumerate(texts)]
+    rows += [(100, None, None, None, None, None, None), (101, "", "en", "s", 0, "x", "y"), (None, texts[1], "en", "s", 1, "x", "y"), rows[3], rows[3], (102, words(200_000), "en", "s", 1, "x", "y")]
+    _write(spark, tmp_path, rows)
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path)).cache()
+        assert out.columns == at.columns, name
+        assert {tuple(r) for r in out.select("doc_id", "shard", "block").collect()} <= {(r[0], r[5], r[6]) for r in rows}
+        at = out
+    kept = [r["doc_id"] for r in at.collect()]
+    assert kept.count(3) in (0, 3)  # rows of one doc_id stay or go together
+    assert any(i in kept for i in range(1, 40, 2))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    for doc in set(kept):
+        pieces = sorted(r["piece"] for r in packed if r["doc_id"] == doc)
+        assert sorted(set(pieces)) == list(range(max(pieces) + 1))
+
+
+def test_an_empty_table_runs_through(spark, tmp_path):
+    _write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
