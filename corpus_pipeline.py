@@ -1,7 +1,11 @@
 """A training-data pipeline of the operators: each stage takes the documents that its predecessor kept.
 
-All stages but the last return rows of documents with all their columns; the
-last returns the packed pieces.
+All stages but the last return rows of documents with all their columns, clashing
+names included; the last returns the packed pieces. A null or empty text has no
+words: it is drawn or not by the empty model's weight, is no copy of another,
+holds no item and no secret, and packs as the end id alone. Rows of one doc_id
+stay or go together in the join, those of a null doc_id stay. Texts are read
+whole, whatever their length. An empty table gives an empty one.
 """
 
 from __future__ import annotations
