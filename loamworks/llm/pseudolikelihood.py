@@ -1,14 +1,15 @@
 """Documents scored by masked pseudo-likelihood: a network predicts every word from both sides.
 
 The words are counted over all documents. The network knows the most frequent
-ones by themselves and the others by classes of endings. It adds up an
-embedding of each of two words to the left and two to the right (one table for
-each place), squashes the sum and predicts the masked word in two steps: its
-group, then the word or class within the group. Within a class the word is
-predicted from the corpus counts of all its words, which are smoothed by a
-spelling model, a chain of bytes, in the manner of Witten and Bell; so every
-word, seen or not, has a probability of its own. A document's score is the sum
-of the log probabilities of its words.
+ones by themselves and the others by classes of endings, and each class by
+parts, of words that begin alike. It adds up an embedding of each of two words
+to the left and two to the right (one table for each place), squashes the sum
+and predicts the masked word in steps, each from both sides: its group, then
+the word or class within the group, then the part of the class. Within a part
+the word is predicted from the corpus counts of all its words, which are
+smoothed by a spelling model, a chain of bytes, in the manner of Witten and
+Bell; so every word, seen or not, has a probability of its own. A document's
+score is the sum of the log probabilities of its words.
 
 Training is by data-parallel stochastic gradient (Adagrad) in numpy. The
 documents are dealt to rounds by a hash of their id and text, a small part to
@@ -41,16 +42,16 @@ from .words import _SPACE, U, Words, mix
 
 GROUPS = 32
 SIZE = GROUPS * GROUPS
-ENDINGS = 64
+ENDINGS, PARTS = 64, 32
 BLANK = SIZE
 PLACES = (-2, -1, 1, 2)
-_SHAPES = {"embed": (len(PLACES), SIZE + 1, -1), "bias": (-1,), "group": (GROUPS, -1), "group_bias": (GROUPS,), "word": (GROUPS, GROUPS, -1), "word_bias": (GROUPS, GROUPS)}
+_SHAPES = {"embed": (len(PLACES), SIZE + 1, -1), "bias": (-1,), "group": (GROUPS, -1), "group_bias": (GROUPS,), "word": (GROUPS, GROUPS, -1), "word_bias": (GROUPS, GROUPS), "part": (ENDINGS, PARTS, -1), "part_bias": (ENDINGS, PARTS)}
 
 
 def blank_weights(width: int, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     shape = lambda s: tuple(width if x < 0 else x for x in s)
-    return {k: (rng.normal(0, 0.1, shape(s)) if k in ("embed", "group", "word") else np.zeros(shape(s))).astype(np.float32) for k, s in _SHAPES.items()}
+    return {k: (rng.normal(0, 0.1, shape(s)) if k in ("embed", "group", "word", "part") else np.zeros(shape(s))).astype(np.float32) for k, s in _SHAPES.items()}
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -90,6 +91,11 @@ def endings(w: Words) -> np.ndarray:
     return _class(np.where(w.end - w.start > 1, w.buf[np.maximum(w.end - 2, 0)], 0), w.buf[w.end - 1])
 
 
+def parts(w: Words) -> np.ndarray:
+    """The part of its class that each word is in, by its first byte."""
+    return (mix(w.buf[w.start].astype(np.uint64) + U(1)) % U(PARTS)).astype(np.int64)
+
+
 def word_ids(w: Words, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids of words: their rank if frequent, else a class by the last two bytes."""
     known, rank = vocabulary
@@ -155,8 +161,24 @@ def _in_groups(w: dict[str, np.ndarray], h: np.ndarray, place: np.ndarray, cap:
     return dealt, x
 
 
-def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray, deal: np.ndarray, block: int = 8192) -> np.ndarray:
-    """The log probability of each word given both its sides; ``deal`` has each one's place in the groups."""
+def _by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of rows by class, and (class, start, end) in that order."""
+    order = np.argsort(c.astype(np.int8), kind="stable")
+    ends = np.cumsum(np.bincount(c, minlength=ENDINGS)).tolist()
+    return order, [(k, s, e) for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > s]
+
+
+def _of_parts(w: dict[str, np.ndarray], h: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of hidden rows in order of their classes: the probabilities of the parts, not yet divided by their sums, and these."""
+    x = np.empty((len(h), PARTS), h.dtype)
+    for k, s, e in runs:
+        np.matmul(h[s:e], w["part"][k].T, out=x[s:e])
+        x[s:e] += w["part_bias"][k]
+    return _exp(x)
+
+
+def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray, deal: np.ndarray, part: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The log probability of each word, or of its class and part, given both its sides; ``deal`` has each one's place in the groups."""
     out = np.empty(len(ids), np.float32)
     for i in range(0, len(ids), block):
         y = deal[ids[i : i + block]]
@@ -169,6 +191,11 @@ def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray
         _, x = _in_groups(w, h, place, cap)
         e, total = _exp(x)
         lp *= e.reshape(GROUPS * cap, -1)[place, rest] / total.ravel()[place]
+        rare = np.flatnonzero(ids[i : i + block] >= SIZE - ENDINGS)
+        order, runs = _by_class(ids[i : i + block][rare] - (SIZE - ENDINGS))
+        rare = rare[order]
+        e, total = _of_parts(w, h[rare], runs)
+        lp[rare] *= e[np.arange(len(rare)), part[i : i + block][rare]] / total
         out[i : i + block] = np.log(np.maximum(lp, 1e-30))
     return out
 
@@ -183,12 +210,12 @@ class Trainer:
         self.rate = rate
         self.seen = 0
 
-    def step(self, y: np.ndarray, ctx: np.ndarray) -> float:
+    def step(self, ids: np.ndarray, ctx: np.ndarray, part: np.ndarray) -> float:
         """One update; returns the mean loss before it."""
-        w, n = self.w, len(y)
+        w, n = self.w, len(ids)
         every = np.arange(n)
         h, scale = _hidden(w, ctx)
-        y = self.deal[y]
+        y = self.deal[ids]
         g, rest = y % GROUPS, y // GROUPS
         d, total = _exp(h @ w["group"].T + w["group_bias"])
         d /= total[:, None]
@@ -207,6 +234,22 @@ class Trainer:
         flat_e[place, rest] -= 1
         grad["word"], grad["word_bias"] = e.transpose(0, 2, 1) @ dealt, e.sum(axis=1)
         dh += (e @ w["word"]).reshape(GROUPS * cap, -1)[place]
+        rare = np.flatnonzero(ids >= SIZE - ENDINGS)
+        order, runs = _by_class(ids[rare] - (SIZE - ENDINGS))
+        rare = rare[order]
+        some = h[rare]
+        d, total = _of_parts(w, some, runs)
+        d /= total[:, None]
+        at = np.arange(len(rare))
+        loss[rare] += np.log(d[at, part[rare]])
+        d[at, part[rare]] -= 1
+        grad["part"], grad["part_bias"] = np.zeros_like(w["part"]), np.zeros_like(w["part_bias"])
+        back = np.empty_like(some)
+        for k, s, e in runs:
+            np.matmul(d[s:e].T, some[s:e], out=grad["part"][k])
+            grad["part_bias"][k] = d[s:e].sum(axis=0)
+            np.matmul(d[s:e], w["part"][k], out=back[s:e])
+        dh[rare] += back
         dz = dh * scale
         dz *= scale
         grad["bias"] = dz.sum(axis=0)
@@ -226,7 +269,7 @@ class Trainer:
 
 
 def spelling(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the next byte in a word, 32 being its start and end, and the log share of words in each class.
+    """Log probabilities of the next byte in a word, 32 being its start and end, and the log share of words in each part of each class.
 
     ``pairs``: how often a byte follows a byte, of shape (256, 256).
     """
@@ -236,12 +279,16 @@ def spelling(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     go = p.copy()
     go[32], go[:, 32] = 0, 0
     start, end = p[32], p[:, 32]
-    visits = np.linalg.solve(np.eye(256) - go.T, start)  # of each byte in a word, on average
     byte = np.arange(256)
-    share = np.bincount(_class(byte[:, None], byte[None]).ravel(), weights=(visits[:, None] * go * end).ravel(), minlength=ENDINGS)
-    share += np.bincount(_class(np.zeros(256, np.int64), byte), weights=start * end, minlength=ENDINGS)
+    of_part = (mix(byte.astype(np.uint64) + U(1)) % U(PARTS)).astype(np.int64)
+    begins = np.where(of_part[:, None] == np.arange(PARTS), start[:, None], 0)
+    visits = np.linalg.solve(np.eye(256) - go.T, begins)  # of each byte in a word, on average, by the part it begins in
+    share = np.empty((ENDINGS, PARTS))
+    for k in range(PARTS):
+        share[:, k] = np.bincount(_class(byte[:, None], byte[None]).ravel(), weights=(visits[:, k, None] * go * end).ravel(), minlength=ENDINGS)
+        share[:, k] += np.bincount(_class(np.zeros(256, np.int64), byte), weights=begins[:, k] * end, minlength=ENDINGS)
     with np.errstate(divide="ignore"):
-        return np.log(p).ravel(), np.log(share)
+        return np.log(p).ravel(), np.log(share).ravel()
 
 
 def spelled(w: Words, follow: np.ndarray) -> np.ndarray:
@@ -267,7 +314,7 @@ def _byte_pairs(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their class and count; with class -1, pairs of bytes in the distinct words of each piece."""
+    """Words with their class and part (class * PARTS + part) and count; with class -1, pairs of bytes in the distinct words of each piece."""
     known, kind, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.zeros(65_536, np.int64)
 
@@ -279,7 +326,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, at, n = np.unique(w.hash, return_index=True, return_counts=True)
         pairs += _byte_pairs(w, at)
         known, first, inverse = np.unique(np.concatenate([known, h]), return_index=True, return_inverse=True)
-        kind = np.concatenate([kind, endings(w)[at]])[first]
+        kind = np.concatenate([kind, (endings(w) * PARTS + parts(w))[at]])[first]
         total = np.bincount(inverse, weights=np.concatenate([total, n]), minlength=len(known)).astype(np.int64)
         if len(known) > 500_000:  # bounded memory; the sums go on after the shuffle
             yield counted(known, kind, total)
@@ -304,22 +351,23 @@ def _learn(net: Network, batch: int, rate: float, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(shaped(net.weights, net.width), net.deal, rate)
         rng = np.random.Generator(np.random.PCG64(17))
-        held_y, held_c, have = [], [], 0
+        held_y, held_c, held_p, have = [], [], [], 0
         for b in in_pieces(batches, chars=1_000_000):
             w = Words(b.column("text"))
             ids = word_ids(w, net.vocabulary)
             order = rng.permutation(len(ids))
             held_y.append(ids[order])
             held_c.append(contexts(ids, w.first, w.doc)[:, order])
+            held_p.append(parts(w)[order])
             have += len(ids)
             if have >= batch:
-                y, c = np.concatenate(held_y), np.concatenate(held_c, axis=1)
+                y, c, p = np.concatenate(held_y), np.concatenate(held_c, axis=1), np.concatenate(held_p)
                 whole = have // batch * batch
                 for i in range(0, whole, batch):
-                    trainer.step(y[i : i + batch], c[:, i : i + batch])
-                held_y, held_c, have = [y[whole:]], [c[:, whole:]], have - whole
+                    trainer.step(y[i : i + batch], c[:, i : i + batch], p[i : i + batch])
+                held_y, held_c, held_p, have = [y[whole:]], [c[:, whole:]], [p[whole:]], have - whole
         if have:
-            trainer.step(np.concatenate(held_y), np.concatenate(held_c, axis=1))
+            trainer.step(np.concatenate(held_y), np.concatenate(held_c, axis=1), np.concatenate(held_p))
         if trainer.seen:
             x = flat(trainer.w)
             at = range(0, len(x), chunk)
@@ -360,18 +408,18 @@ def averaged(spark: SparkSession, learned: DataFrame, weights: np.ndarray, chunk
 
 
 class Lexicon(NamedTuple):
-    """What predicts a word within its class: words of known count, sizes of classes, spelling."""
+    """What predicts a word within its part of a class: words of known count, sizes of parts, spelling."""
 
     word: np.ndarray
     n: np.ndarray
-    escape: np.ndarray  # by class: the log weight of the spelling model, which counts as that many words
-    total: np.ndarray  # by class: the log of all counts and that weight
+    escape: np.ndarray  # by class and part: the log weight of the spelling model, which counts as that many words
+    total: np.ndarray  # by class and part: the log of all counts and that weight
     follow: np.ndarray
 
 
 def within(w: Words, rare: np.ndarray, x: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words ``rare``: their log probabilities within their classes, less those of no known count, which are told; and the log weights of their spellings."""
-    c = endings(w)[rare]
+    """Of the words ``rare``: their log probabilities within their parts of classes, less those of no known count, which are told; and the log weights of their spellings."""
+    c = (endings(w) * PARTS + parts(w))[rare]
     spell = spelled(w, x.follow)[rare] + x.escape[c]
     n = np.zeros(len(rare))
     if len(x.word):
@@ -389,7 +437,7 @@ def _score(net: Network, lexicon: Lexicon):
         for b in in_pieces(batches, chars=1_000_000):
             words = Words(b.column("text"))
             ids = word_ids(words, net.vocabulary)
-            lp = log_probabilities(w, ids, contexts(ids, words.first, words.doc), net.deal).astype(np.float64)
+            lp = log_probabilities(w, ids, contexts(ids, words.first, words.doc), net.deal, parts(words)).astype(np.float64)
             rare = np.flatnonzero(ids >= SIZE - ENDINGS)
             more, open_, spell = within(words, rare, lexicon)
             lp[rare] += more
@@ -403,10 +451,10 @@ def _score(net: Network, lexicon: Lexicon):
 
 
 def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon, and how often each class occurs. ``frequent``: class and count of each word that the network knows; its class goes without it."""
+    """The lexicon, and how often each class occurs. ``frequent``: class with part and count of each word that the network knows; its class goes without it."""
     words = counts.filter("ending >= 0")
     sums = words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
-    n, k = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    n, k = np.zeros(ENDINGS * PARTS), np.zeros(ENDINGS * PARTS)
     for r in sums:
         n[r["ending"]], k[r["ending"]] = r["n"], r["k"]
     for ending, m in frequent.values():
@@ -427,10 +475,10 @@ def _lexicon(counts: DataFrame, frequent: dict[int, tuple[int, int]], held: int)
     word, m = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
     order = np.argsort(word)
     k = np.maximum(k, 1)
-    return Lexicon(word[order], m[order], np.log(k) - share, np.log(n + k), follow), n
+    return Lexicon(word[order], m[order], np.log(k) - share, np.log(n + k), follow), n.reshape(ENDINGS, PARTS).sum(axis=1)
 
 
-def fit(spark: SparkSession, d: DataFrame, width: int = 24, rounds: tuple[int, ...] = (1, 7), batch: int = 4096, rate: float = 0.2, held: int = 250_000, chunk: int = 8192) -> tuple[Network, Lexicon, DataFrame]:
+def fit(spark: SparkSession, d: DataFrame, width: int = 24, rounds: tuple[int, ...] = (1, 7), batch: int = 4096, rate: float = 0.2, held: int = 250_000, chunk: int = 2048) -> tuple[Network, Lexicon, DataFrame]:
     """The network, the lexicon and the counts of all words.
 
     ``rounds``: the shares of the documents that each round learns from.

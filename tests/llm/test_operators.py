@@ -633,21 +633,22 @@ def test_non_adjacent_form():
 def test_network_gradients_and_learning():
     rng = np.random.default_rng(4)
     w = pseudolikelihood.blank_weights(5)
-    y, ctx = rng.integers(0, 1024, 40), rng.integers(0, 1025, (4, 40))
-    deal = pseudolikelihood.dealt_evenly(rng.random(1024))
-    assert sorted(deal) == list(range(1024))
+    size = pseudolikelihood.SIZE
+    y, ctx, part = rng.integers(size - 64 * 4, size, 40), rng.integers(0, size + 1, (4, 40)), rng.integers(0, pseudolikelihood.PARTS, 40)
+    deal = pseudolikelihood.dealt_evenly(rng.random(size))
+    assert sorted(deal) == list(range(size))
     t = pseudolikelihood.Trainer({k: v.astype(np.float64) for k, v in w.items()}, deal)
     before = {k: v.copy() for k, v in t.w.items()}
     t.g = {k: np.zeros_like(v) for k, v in t.w.items()}
     t.rate = 1e-9
-    loss = t.step(y, ctx)
-    assert abs(loss + float(pseudolikelihood.log_probabilities(before, y, ctx, deal).mean())) < 1e-4
-    for name in ("embed", "group", "word", "bias", "word_bias"):
+    loss = t.step(y, ctx, part)
+    assert abs(loss + float(pseudolikelihood.log_probabilities(before, y, ctx, deal, part).mean())) < 1e-4
+    for name in ("embed", "group", "word", "part", "bias", "word_bias", "part_bias"):
         g = np.sqrt(t.g[name]).ravel()
         at = int(g.argmax())
         moved = {k: v.copy() for k, v in before.items()}
         moved[name].ravel()[at] += 1e-5
-        slope = -(pseudolikelihood.log_probabilities(moved, y, ctx, deal).astype(np.float64).mean() - pseudolikelihood.log_probabilities(before, y, ctx, deal).astype(np.float64).mean()) / 1e-5
+        slope = -(pseudolikelihood.log_probabilities(moved, y, ctx, deal, part).astype(np.float64).mean() - pseudolikelihood.log_probabilities(before, y, ctx, deal, part).astype(np.float64).mean()) / 1e-5
         assert abs(abs(slope) - g[at]) < 0.05 * g[at] + 2e-2
 
 
@@ -665,7 +666,7 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
 
 
 def test_every_word_has_a_probability_of_its_own(spark):
-    common = [f"w{i}" for i in range(1000)]
+    common = [f"w{i}" for i in range(1600)]
     line = " ".join(common[:4]) + " {} " + " ".join(common[4:8])
     rare = ["zoaing", "xuaing", "qqaing"]
     d = frame(spark, [" ".join(common)] * 5 + [line.format(x) for x in (*rare, "zoaing")])
@@ -683,14 +684,14 @@ def test_every_position_is_learned_from_once(spark, monkeypatch):
     net, _, _ = pseudolikelihood.fit(spark, frame(spark, texts).select("doc_id", "text").repartition(3), chunk=50_000)
     assert len(seen) == 2 and all(seen)
     assert sum(n for rows in seen for k, n, _ in rows if k == 0) == 40 * 50
-    by_hand = [sum(np.frombuffer(x, np.float32).astype(float) for k, _, x in seen[1] if k == c) / sum(n for k, n, _ in seen[1] if k == c) for c in range(3)]
+    by_hand = [sum(np.frombuffer(x, np.float32).astype(float) for k, _, x in seen[1] if k == c) / sum(n for k, n, _ in seen[1] if k == c) for c in range(-(-len(net.weights) // 50_000))]
     assert np.allclose(np.concatenate(by_hand), net.weights, atol=1e-6)
 
 
 def test_score_of_a_document_by_hand(spark):
     """The sum over its words of the log of both softmaxes and of the share within the class, by plain loops."""
     rng = random.Random(21)
-    texts = [words(rng, 60, 1500) for _ in range(40)]
+    texts = [words(rng, 120, 2500) for _ in range(40)]
     d = frame(spark, [*texts, "unseen w1 w2 \u00e9t\u00e9 w3"], clash=True)
     net, lexicon, counts = pseudolikelihood.fit(spark, d.select("doc_id", "text"), width=6)
     got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudolikelihood.score_documents(spark, d, width=6).collect()}
@@ -699,6 +700,7 @@ def test_score_of_a_document_by_hand(spark):
     for i in (0, 7, 40):
         x = pseudolikelihood.Words(pa.array([[*texts, "unseen w1 w2 \u00e9t\u00e9 w3"][i]]))
         ids, ends, spell = pseudolikelihood.word_ids(x, net.vocabulary), pseudolikelihood.endings(x), pseudolikelihood.spelled(x, lexicon.follow)
+        part = pseudolikelihood.parts(x)
         total = 0.0
         for j, y in enumerate(ids.tolist()):
             z = w["bias"].copy()
@@ -709,7 +711,9 @@ def test_score_of_a_document_by_hand(spark):
             a, b = w["group"] @ h + w["group_bias"], w["word"][g] @ h + w["word_bias"][g]
             total += a[g] - np.log(np.exp(a).sum()) + b[rest] - np.log(np.exp(b).sum())
             if y >= pseudolikelihood.SIZE - pseudolikelihood.ENDINGS:
-                c = ends[j]
+                a = w["part"][ends[j]] @ h + w["part_bias"][ends[j]]
+                total += a[part[j]] - np.log(np.exp(a).sum())
+                c = ends[j] * pseudolikelihood.PARTS + part[j]
                 total += np.log(n_of.get(int(x.hash[j : j + 1].view(np.int64)[0]), 0) + np.exp(spell[j] + lexicon.escape[c])) - lexicon.total[c]
         assert got[i] == pytest.approx(total, abs=0.05, rel=1e-3)
 
@@ -723,6 +727,6 @@ def test_spelling_shares_add_up():
     assert np.exp(share).sum() == pytest.approx(1)
     words = ["".join(x) for n in range(1, 13) for x in itertools.product("ab", repeat=n)]
     w = pseudolikelihood.Words(pa.array([" ".join(words)]))
-    lp, c = pseudolikelihood.spelled(w, follow), pseudolikelihood.endings(w)
-    of = np.bincount(c, weights=np.exp(lp), minlength=64)
+    lp, c = pseudolikelihood.spelled(w, follow), pseudolikelihood.endings(w) * pseudolikelihood.PARTS + pseudolikelihood.parts(w)
+    of = np.bincount(c, weights=np.exp(lp), minlength=64 * pseudolikelihood.PARTS)
     assert (of <= np.exp(share) + 1e-9).all() and of.sum() > 0.9
