@@ -33,7 +33,7 @@ def checked_regex(pattern: str) -> str:
     if re.search(r"\(\?(?:[=!]|<[=!])", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
         raise InvalidParams("look-around and back-references are not supported")
     try:
-        re.compile(re.sub(r"\\[pP]\{[^}]*\}|\\[zZAG]", "x", pattern))
+        re.compile(re.sub(r"(?<!\\)((?:\\\\)*)(?:\\[pP]\{[^}]*\}|\\[zZAG])", r"\1x", pattern))
     except re.error as e:
         raise InvalidParams(f"invalid regular expression: {e}") from e
     return pattern
@@ -51,6 +51,13 @@ def matches(line: Column, query: str, regex: bool) -> Column:
     return line.rlike(java_regex(checked_regex(query))) if regex else F.contains(line, F.lit(query))
 
 
+def may_match(text: Column, query: str, regex: bool) -> Column:
+    """Whether a whole text can hold a line that matches; true for each that does. A match within a line stands in the text as well, and ^ and $ hold at the ends of its lines; only patterns that name the ends of the input cannot be told in advance."""
+    if regex and re.search(r"(?<!\\)(?:\\\\)*\\[AzZG]|\(\?-?[a-z]*m", query):
+        return F.lit(True)
+    return text.rlike("(?Um)" + checked_regex(query)) if regex else F.contains(text, F.lit(query))
+
+
 def match_column(line: Column, query: str, regex: bool) -> Column:
     """Where the first match begins, in code points from 1."""
     if not regex:

@@ -26,7 +26,7 @@ def find(files: DataFrame, query: str, *, regex: bool = False, context: int = 2)
     """
     if not query:
         raise InvalidParams("the query is empty")
-    pre = X.matches(F.col("text"), query, regex) if not regex else F.lit(True)
+    pre = X.may_match(F.col("text"), query, regex)
     f = files.filter(F.col("text").isNotNull() & pre).select("path", "version_hash", X.lines_of(F.col("text")).alias("ls"))
     hit = lambda x: X.matches(x, query, regex)
     f = f.withColumn("hits", F.filter(F.transform("ls", lambda x, i: F.when(hit(x), i + 1)), lambda i: i.isNotNull())).filter(F.size("hits") > 0)

@@ -128,6 +128,17 @@ def test_find_edge_cases(spark):
         lines.find(f, "")
 
 
+def test_regular_expressions_find_the_same_lines_with_the_whole_text_tested_first(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = {f"f{i:03}": rng.choice(["\n", "\r\n"]).join("".join(rng.choice("ab. \t\u2028\u0085é") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 5))) for i in range(150)}
+    f = trees.texts_as_files(spark, texts).cache()
+    patterns = ["^a", "b$", "^$", r"\bab\b", "a.b", "[^a]b", r"\Aa", r"b\z", "(a|^b)\\s*$", "(?i)A$", "^.*é", r"\\A|a"]
+    rows = lambda q: [(r["path"], r["line"], r["column"]) for r in lines.find(f, q, regex=True).orderBy("path", "line").collect()]
+    with_test = [rows(q) for q in patterns]
+    monkeypatch.setattr(lines.X, "may_match", lambda *_: F.lit(True))
+    assert with_test == [rows(q) for q in patterns] and all(with_test)
+
+
 def test_pages_are_disjoint_and_whole(spark):
     f = trees.texts_as_files(spark, {f"{c}.rs": "needle\n" for c in "abcdefghij"})
     m = lines.find(f, "needle")
