@@ -588,6 +588,82 @@ def elements_of_links(spark, sf):
     return index.symbols(files).select("path", "semantic_path", "kind", (F.col("start_line") + 1).cast("long").alias("line"))
 
 
+@_query("WITH " + _LINK_WORDS + f" SELECT 'link/p' || page_id || '.' || named.ext AS path, sp AS semantic_path FROM named JOIN (VALUES {_ACCESS_ROWS}) AS v(ext, shape, access) ON named.ext = v.ext AND i % 3 = shape WHERE access = 'Public' OR (named.ext = 'rs' AND (i % 3 = 2 OR ends_with(name, '_test')))")
+def visible_of_links(spark, sf):
+    """Public symbols and tests of sources made of links (F-08)."""
+    return relate.visible(index.symbols(_link_sources(spark, sf)), "public", include_tests=True).select("path", "semantic_path")
+
+
+@_query("WITH " + _LINK_WORDS + f" SELECT 'link/p' || page_id || '.' || named.ext AS path, CAST(3 * i + 1 + below AS BIGINT) AS line, true AS is_definition, sp AS enclosing FROM named JOIN (VALUES {_SHAPE_ROWS}) AS v(lang, vext, shape, kind, below) ON page_id % {len(SHAPES)} = lang AND i % 3 = shape")
+def definition_lines_of_links(spark, sf):
+    """Lines that name a symbol, with the symbol around them and whether they are its first (J-02, J-14)."""
+    f = _link_sources(spark, sf)
+    m = lines.lines(f).filter(F.contains("content", F.lit("w_"))).select("path", "line")
+    return relate.with_definition_flag(relate.enclosing(m, index.symbols(f))).select("path", "line", "is_definition", F.col("enclosing_semantic_path").alias("enclosing"))
+
+
+@_query(
+    """WITH RECURSIVE l AS (SELECT DISTINCT 'page/' || page_id AS page, lower(unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)', 1))) AS word FROM pages WHERE page_id IS NOT NULL),
+e AS (SELECT page AS src, word AS dst FROM l WHERE length(word) > 3 UNION ALL SELECT word, page FROM l WHERE length(word) > 3),
+r AS (SELECT 'page/' || min(page_id) AS node, 0 AS depth FROM pages UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node HAVING min(depth) > 0"""
+)
+def html_link_bfs(spark, sf):
+    """Pages and linked words that the first page reaches in four steps over the links in the html of all pages, by words of more than three letters (G-01, G-02, J-10)."""
+    p = _t(spark, sf, "pages").filter("page_id is not null")
+    e = p.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)'), F.lit(1))).alias("dst")).withColumn("dst", F.lower("dst")).distinct()
+    both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    word = F.when(F.startswith("src", F.lit("page/")), F.col("dst")).otherwise(F.col("src"))
+    start = p.agg(F.concat(F.lit("page/"), F.min("page_id").cast("string")).alias("node"))
+    return graph.reach(both, start, max_depth=4, keep=F.length(word) > 3)
+
+
+@_query("WITH " + _LINES + " SELECT doc_id, sha256(string_agg(lpad(CAST(line AS VARCHAR), 6, ' ') || ' | ' || content, chr(10) ORDER BY line)) AS sha256 FROM ls GROUP BY doc_id")
+def numbered_lines(spark, sf):
+    """Every file with its lines numbered (E-13)."""
+    return _docs(spark, sf).filter("text is not null").select("doc_id", F.sha2(F.array_join(X.numbered(X.lines_of(F.col("text"))), "\n"), 256).alias("sha256"))
+
+
+@_query("SELECT doc_id, CASE WHEN strlen(text) <= 100 OR length(text) <= 100 THEN text ELSE left(text, 100) || '...' END AS preview FROM documents")
+def previews(spark, sf):
+    """Previews of texts (E-04)."""
+    return _t(spark, sf, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@_query(
+    f"""WITH d AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN 'lsp_warmup_empty_unverified' END AS w, CASE lang WHEN 'de' THEN 'no_lsp' WHEN 'fr' THEN 'lsp_warmup_grep_fallback' END AS i, CASE WHEN contains(text, '{QUERY}') THEN 'lsp_error' WHEN contains(text, 'la ') THEN 'lsp_warmup_references' END AS r FROM documents)
+SELECT doc_id, CASE WHEN w IS NOT NULL THEN w WHEN starts_with(i, 'lsp_warmup') THEN i WHEN starts_with(r, 'lsp_warmup') THEN r ELSE coalesce(i, r) END AS reason FROM d"""
+)
+def merged_reasons(spark, sf):
+    """The reason told of a combined answer (A-13), of reasons by the documents' size, language and text."""
+    w = F.when(F.col("n_chars") < 300, "lsp_warmup_empty_unverified")
+    i = F.when(F.col("lang") == "de", "no_lsp").when(F.col("lang") == "fr", "lsp_warmup_grep_fallback")
+    r = F.when(F.contains("text", F.lit(QUERY)), "lsp_error").when(F.contains("text", F.lit("la ")), "lsp_warmup_references")
+    return _t(spark, sf, "documents").select("doc_id", quality.merged_reason(w, i, r).alias("reason"))
+
+
+@_query(
+    """WITH q AS (SELECT user_id AS id, ts FROM events WHERE event_type = 'view'), r AS (SELECT user_id AS id, ts, value < 10 AS cancelled FROM events WHERE event_type = 'click')
+SELECT q.id, q.ts AS sent, r.ts AS answered, CASE WHEN r.id IS NULL THEN 'timed_out' WHEN r.cancelled THEN 'cancelled' ELSE 'answered' END AS outcome FROM q LEFT JOIN r ON q.id = r.id AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 3600 SECOND"""
+)
+def request_outcomes(spark, sf):
+    """Views as requests, with the clicks of their user within the hour as responses (R-06)."""
+    e = _t(spark, sf, "events")
+    kind = lambda k: e.filter(F.col("event_type") == k)
+    q, r = kind("view").select(F.col("user_id").alias("id"), "ts"), kind("click").select(F.col("user_id").alias("id"), "ts", (F.col("value") < 10).alias("cancelled"))
+    return status.request_pairs(q, r, seconds=3600).select("id", "sent", "answered", "outcome")
+
+
+@_query(
+    """WITH e AS (SELECT user_id AS id, ts, CASE WHEN event_type = 'error' THEN 'unregister' ELSE 'register' END AS action, value > 95 AS static FROM events WHERE event_type IN ('signup', 'error'))
+SELECT id, bool_or(static) OR arg_max(action, ts) = 'register' AS active FROM e GROUP BY id"""
+)
+def registrations_held(spark, sf):
+    """Which users' registrations hold: signups register, errors unregister, high values were given from the start (R-05)."""
+    e = _t(spark, sf, "events").filter(F.col("event_type").isin("signup", "error"))
+    return status.registrations(e.select(F.col("user_id").alias("id"), "ts", F.when(F.col("event_type") == "error", "unregister").otherwise("register").alias("action"), (F.col("value") > 95).alias("static")))
+
+
 #: An import of a word in each language.
 IMPORTS = {"rs": "use NAME::all;\nfn a() {}\n", "go": 'import (\n\t"NAME"\n)\nfunc a() {}\n', "java": "import a.NAME;\nint b;\n", "ts": "import { NAME } from 'x'\nf(NAME)\n", "js": "const NAME = require('NAME')\nf(NAME)\n"}
 
