@@ -76,6 +76,7 @@ FORMS = {
     "java": (Form("class interface enum"), Form("record", after=r"\s*[<(]"), Form("", before=_JAVA_HEAD, after=r"\s*\(", callable=True)),
 }
 _LANGUAGE_OF = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "vue": "vue", "py": "python", "go": "go", "java": "java"}
+# The words before a name that make a definition of it in a file of any other kind.
 _ANY_CALLABLE = Form("fn def function class struct type interface")
 
 
@@ -109,12 +110,15 @@ def call_names(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))
 
 
+# Kinds of lines and the words that tell them, in the order in which they are tried.
+LINE_KINDS = (("function", "fn func function def"), ("struct", "struct"), ("class", "class type"), ("enum", "enum"), ("interface", "trait interface"), ("constant", "const static var let"), ("module", "mod module"), ("impl", "impl"))
+
+
 def kind_of_line(line: Column) -> Column:
     """A guess at what a line defines, by its keywords."""
     low = F.lower(line)
-    groups = (("function", "fn func function def"), ("struct", "struct"), ("class", "class type"), ("enum", "enum"), ("interface", "trait interface"), ("constant", "const static var let"), ("module", "mod module"), ("impl", "impl"))
     out = None
-    for kind, words in groups:
+    for kind, words in LINE_KINDS:
         hit = low.rlike("(?:" + "|".join(words.split()) + ") ")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("unknown")
