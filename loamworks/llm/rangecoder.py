@@ -102,7 +102,7 @@ class _Model:
         return at1, at2, e1, e2, e1 >> 2, e2 >> 2, ctx, self.w2.take(ctx), self.w1.take(ctx)
 
     def learn(self, n: int, x: np.ndarray, seen, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit2``, ``hit1``: the lanes where order 2 was right, or else order 1."""
+        """``hit2``, ``hit1``: the lanes where order 2 was right, or else order 1. Factors 0 and 1 choose, as half of the lanes are right as a rule."""
         at1, at2, e1, e2, x1, x2, ctx, _, _ = seen
         size = len(self.hits)
         every, k2, k1 = (np.bincount(c, minlength=size) for c in (ctx, ctx.take(hit2), ctx.take(hit1)))
@@ -118,13 +118,13 @@ class _Model:
             self._weights()
         one = np.uint32(1)
         fresh = (x << 2) + one
-        for at, e, right, last in ((at1, e1, _places(x1 == x), self.last1), (at2, e2, hit2, self.last2)):
+        top = fresh + one
+        right2 = np.zeros(n, np.uint32)
+        right2[hit2] = 1
+        for at, e, right, last in ((at1, e1, (x1 == x).astype(np.uint32), self.last1), (at2, e2, right2, self.last2)):
             # right: one surer, up to 3; wrong: one less sure, or at 1 the new id with 1
-            new = fresh.copy()
-            firm = _places((e & 2) != 0)
-            new[firm] = e.take(firm) - one
-            new[right] = np.minimum(e.take(right), fresh.take(right) + one) + one
-            last[at] = new
+            new = fresh + ((e >> 1) & one) * (e - top)
+            last[at] = new + right * (np.minimum(e, top) + one - new)
         self.mixed2[:n] = self.mixed1[:n] * _PAIR
         np.multiply(x, _MIX, out=self.mixed1[:n])
 
@@ -173,8 +173,8 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     wide_lane = np.repeat(wide, streams)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
     room = 6 * (max(steps, default=0) + 1)
-    out, begin = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-    at = begin.copy()
+    # the k-th words of all lanes lie side by side, as lanes are about equally far
+    out, at = np.zeros(lanes * room, np.uint16), np.arange(lanes)
 
     def code(rows, lo: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
         r = span[rows] >> bits
@@ -193,7 +193,7 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
                 s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
             i = at.take(todo)
             out[i] = a >> _U32
-            at[todo] = i + 1
+            at[todo] = i + lanes
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
@@ -239,12 +239,13 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     two = ((low + np.uint64(0xFFFF)) >> _U16) << _U16
     end = np.where(short, one, two)
     out[at] = end >> _U32
-    out[at + 1] = (end >> _U16) & np.uint64(0xFFFF)
-    words = at + np.where(short, 1, 2) - begin
+    out[at + lanes] = (end >> _U16) & np.uint64(0xFFFF)
+    words = at // max(lanes, 1) + np.where(short, 1, 2)
+    out = out[: int(words.max(initial=0)) * lanes].reshape(-1, lanes).T.astype("<u2")  # a row for each lane
     done = []
     for b, x in enumerate(blocks):
         rows = range(b * streams, (b + 1) * streams)
-        body = words[rows.start : rows.stop].astype("<u4").tobytes() + b"".join(out[r * room : r * room + words[r]].astype("<u2").tobytes() for r in rows)
+        body = words[rows.start : rows.stop].astype("<u4").tobytes() + b"".join(out[r, : words[r]].tobytes() for r in rows)
         done.append(struct.pack(_HEADER, _MAGIC, len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(body), streams, 2 if wide[b] else 1) + body)
     return done
 

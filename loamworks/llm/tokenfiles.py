@@ -37,7 +37,7 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
         from pyspark import TaskContext
 
         file = TaskContext.get().partitionId()
-        encoder, end = Encoder(path, words=False, bits=21, lasting=True), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder(path, words=False, bits=22, lasting=True), np.array([end_id], "<u4").tobytes()
         docs: list[int | None] = []
         ids: list[bytes] = []
         size = block = start = 0
@@ -78,13 +78,14 @@ def _write(path: str, end_id: int, block_ids: int, together: int):
     return run
 
 
-def _read(before: dict[int, int], together: int = 32):
-    """Documents of decoded blocks; ``before``: ids in the files before each file."""
+def _read(before: dict[int, int], together: int = 64):
+    """Documents of decoded blocks, ``together`` at most at once; ``before``: ids in the files before each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, together):
-                part = b.slice(i, together).to_pydict()
+            each = -(-b.num_rows // -(-b.num_rows // together)) if b.num_rows else 1  # like parts, as few blocks cost more each
+            for i in range(0, b.num_rows, each):
+                part = b.slice(i, each).to_pydict()
                 for k, ids in enumerate(rangecoder.decode(part["payload"])):
                     n = np.frombuffer(part["lengths"][k], "<u4").astype(np.int64)
                     at = np.cumsum(n) - n
@@ -97,7 +98,7 @@ def _read(before: dict[int, int], together: int = 32):
     return run
 
 
-def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 32, to: str | None = None) -> DataFrame:
+def write_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2, block_ids: int = 1 << 16, together: int = 64, to: str | None = None) -> DataFrame:
     """The table of blocks, written to the new folder ``to``, or to a scratch one in the shared folder; ``path`` is the tokenizer's."""
     d = only(docs, doc_id="long", text="string")
     parts = max(d.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))

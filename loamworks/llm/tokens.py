@@ -24,6 +24,13 @@ import pyarrow as pa
 from .words import U, Words, mix
 
 _BLANK, _LINE, _FIRST = 0, 1, 2  # what stands before a word
+#: At byte level printable bytes are their own signs, the others have the signs from U+0100 on.
+_UNSEEN = re.compile("[\x00-\x20\x7f-\xa0\xad]")
+_BYTE_SIGNS = {chr(b): chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, np.int64)  # a full stop or comma
+_SIGN[[44, 46]] = 1
 _BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")  # where versions of Unicode differ on what is a letter
 
 
@@ -121,7 +128,7 @@ class Encoder:
             if not words and type(tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel:  # words of letters part at blanks only: no patterns needed
                 letters = Tokenizer.from_file(path)
                 letters.encode_special_tokens = True
-                letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                letters.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")  # of text in the signs of its bytes
             memory[path, bits] = (tokenizer, letters, [_Table(bits), _Table(bits)], edge)
         self.tokenizer, self.letters, self.tables, self.edge = memory[path, bits]
         self.words, self.bits, self.led = words, bits, led
@@ -141,6 +148,8 @@ class Encoder:
             some = words[i : i + 100]
             text = " ".join(some) if self.words else " " + " ".join(some)
             by = self.letters if letters and not _BEYOND_LATIN.search(text) else self.tokenizer
+            if by is not self.tokenizer:
+                text = _UNSEEN.sub(lambda m: _BYTE_SIGNS[m.group()], text.encode().decode("latin-1").replace(" ", "\u0120"))
             ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             edge = np.flatnonzero(self.edge[ids])
             if len(edge) != len(some) or (edge[-1] + 1 != len(ids) if self.words else edge[0]):
@@ -189,6 +198,43 @@ class Encoder:
         ids = pool[np.repeat(start - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))]
         return ids, size.sum(axis=1)
 
+    def _plain(self, w: Words, at: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """Which of the words ``at`` are A-Z and a-z after a blank, perhaps with a full stop or comma at the end."""
+        if self.letters is self.tokenizer or before is None or not len(at):
+            return np.zeros(len(at), bool)
+        n = w.end[at] - w.start[at] - _SIGN[w.buf[w.end[at] - 1]]
+        first = np.cumsum(n) - n
+        other = np.concatenate([[0], np.cumsum(~_LETTER[w.buf[np.repeat(w.start[at] - first, n) + np.arange(int(n.sum()))]])])
+        return (n > 0) & (before == _BLANK) & (other[first + n] == other[first])
+
+    def _learn_plain(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _learn, for words that _plain told: their bytes go to the library side by side, those of one stem once."""
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sign = w.buf[w.end[at] - 1]
+        n = w.end[at] - w.start[at] - _SIGN[sign]
+        _, first, stem = np.unique(w.stems(at, n), return_index=True, return_inverse=True)
+        size, begin = n[first] + 2, w.start[at[first]]
+        end = np.cumsum(size)
+        text = np.empty(int(end[-1]), np.uint8)
+        text[end - size], text[end - size + 1] = 0xC4, 0xA0  # the sign of a blank
+        step = np.arange(int((size - 2).sum())) - np.repeat(np.cumsum(size - 2) - (size - 2), size - 2)
+        text[np.repeat(end - size + 2, size - 2) + step] = w.buf[np.repeat(begin, size - 2) + step]
+        cuts = [0, *end[99:-1:100].tolist(), int(end[-1])]
+        parts = [text[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        signs = self._encode_each([".", ","])
+        ids = np.fromiter(chain(signs[0].tolist(), chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(parts, add_special_tokens=False))), np.uint32)
+        here = np.flatnonzero(self.edge[ids])
+        if len(here) != len(first):
+            return self._learn(w.texts(at), [_BLANK] * len(at))
+        length = np.diff(here, append=len(ids))
+        marked = _SIGN[sign]
+        sign_at, sign_n = np.where(sign == 44, signs[1][0], 0), np.where(sign == 44, signs[1][1], signs[1][0]) * marked
+        start = np.stack([here[stem], sign_at], axis=1).ravel()
+        each = np.stack([length[stem], sign_n], axis=1)
+        flat = each.ravel()
+        return ids[np.repeat(start - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))], each.sum(axis=1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and where each text's begin (and their number); null is empty."""
         w = Words(texts, lower=self.words)  # A-Z, which that tokenizer lowers itself; for the other case matters
@@ -263,7 +309,12 @@ class Encoder:
                 new.add(keys[have], *old.gather(there[have]))
             at, keys = at[~have], keys[~have]
             if len(keys):
-                new.add(keys, *self._learn(w.texts(at), [_BLANK] * len(at) if before is None else before[at].tolist()))
+                plain = self._plain(w, at, None if before is None else before[at])
+                if plain.any():
+                    new.add(keys[plain], *self._learn_plain(w, at[plain]))
+                    at, keys = at[~plain], keys[~plain]
+                if len(keys):
+                    new.add(keys, *self._learn(w.texts(at), [_BLANK] * len(at) if before is None else before[at].tolist()))
             if len(new.key) != size:
                 slot = new.find(h)
             else:
@@ -282,6 +333,7 @@ class PieceEncoder(Encoder):
         if (path, bits) not in memory:
             memory[path, bits] = (sentencepiece.SentencePieceProcessor(model_file=path), [_Table(bits), _Table(bits)])
         self.tokenizer, self.tables = memory[path, bits]
+        self.letters = self.tokenizer
         self.words, self.bits, self.led = False, bits, True
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:

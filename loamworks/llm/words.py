@@ -103,6 +103,15 @@ class Words:
             at = to
         self.hash = mix(out)
 
+    def stems(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``n`` bytes of each of several words."""
+        up, _ = _powers(max(int(n.max(initial=1)), 1))
+        end = np.cumsum(n)
+        step = np.arange(int(n.sum())) - np.repeat(end - n, n)
+        total = np.zeros(len(step) + 1, np.uint64)
+        np.cumsum(_STATE.setdefault("values", _byte_values())[self.buf[np.repeat(self.start[at], n) + step]] * up[step], out=total[1:])
+        return mix(total[end] - total[end - n] + n.astype(np.uint64))
+
     def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``k`` words within a text, and the text of each."""
         n = len(self.hash) - k + 1

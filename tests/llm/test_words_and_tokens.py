@@ -93,3 +93,22 @@ def test_repetition_is_cheap_and_damage_is_seen():
             rangecoder.decode([broken])
     with pytest.raises(ValueError):
         rangecoder.encode([np.array([1 << 30], np.uint32)])
+
+
+def test_plain_words_learned_side_by_side_have_the_librarys_ids():
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from loamworks.llm.tokens import Encoder
+    from loamworks.llm.words import Words
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), Encoder(path, words=False)
+    texts = ["Word word, word. wörter Straße, É. Ġa . , a. it's 3 x," + "".join(f" {'ab' * i}{'.,'[i % 2]} z{'q' * i}" for i in range(150)), "once\nword. more", None, ""]
+    w = Words(pa.array(texts), lower=False)
+    plain = encoder._plain(w, np.arange(len(w.start)), encoder._before(w)[0])
+    assert {"word,", "word.", "a.", "x,", "more"} <= set(w.texts(np.flatnonzero(plain))) and not {"Word", "Straße,", "it's", ".", ","} & set(w.texts(np.flatnonzero(plain)))
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
