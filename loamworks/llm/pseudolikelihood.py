@@ -253,13 +253,11 @@ class Trainer:
         dz = dh * scale
         dz *= scale
         grad["bias"] = dz.sum(axis=0)
-        keys = (ctx + (np.arange(len(PLACES)) * (SIZE + 1))[:, None]).ravel().astype(np.int16)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.diff(keys, prepend=-1))
-        embed = np.zeros((len(PLACES) * (SIZE + 1), h.shape[1]), dz.dtype)
-        embed[keys[at]] = np.add.reduceat(np.take(dz, order % n, axis=0), at, axis=0)
-        grad["embed"] = embed.reshape(w["embed"].shape)
+        column = np.ascontiguousarray(dz.T, np.float64)
+        grad["embed"] = np.empty_like(w["embed"])
+        for k in range(len(PLACES)):
+            for j, x in enumerate(column):
+                grad["embed"][k, :, j] = np.bincount(ctx[k], x, SIZE + 1)
         for k, x in grad.items():
             x /= n
             self.g[k] += x * x

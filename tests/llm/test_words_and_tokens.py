@@ -112,3 +112,17 @@ def test_plain_words_learned_side_by_side_have_the_librarys_ids():
     assert {"word,", "word.", "a.", "x,", "more"} <= set(w.texts(np.flatnonzero(plain))) and not {"Word", "Straße,", "it's", ".", ","} & set(w.texts(np.flatnonzero(plain)))
     ids, at = encoder.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_a_step_sums_the_gradients_of_words_that_recur():
+    import numpy as np
+
+    from loamworks.llm import pseudolikelihood as P
+
+    t = P.Trainer(P.blank_weights(3), np.arange(P.SIZE), 0.1)
+    rng = np.random.default_rng(1)
+    ctx, before = rng.integers(0, 3, (4, 50)), t.w["embed"].copy()
+    t.step(rng.integers(0, 900, 50), ctx, np.zeros(50, np.int64))
+    g = t.g["embed"] - 1e-3
+    assert (g[:, 3:] == 0).all() and (g[:, :3] > 0).all()  # only words that occur move
+    assert (t.w["embed"][:, 3:] == before[:, 3:]).all() and np.isfinite(t.w["embed"]).all()
