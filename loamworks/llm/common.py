@@ -90,6 +90,16 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", chars: in
     _give_back()
 
 
+def hold_memory() -> None:
+    """A worker keeps up to 64 MB of what it frees until _give_back(): arrays of a MB or so that are made again and again cost page faults otherwise."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def _give_back() -> None:
     """Freed memory of a worker that waits for its next task goes back to the system."""
     pa.default_memory_pool().release_unused()

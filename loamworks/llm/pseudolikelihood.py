@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_pieces, kept, only
-from .words import _SPACE, U, Words, mix
+from .common import hold_memory, in_pieces, kept, only
+from .words import _SPACE, U, Words, mix, runs
 
 GROUPS = 32
 SIZE = GROUPS * GROUPS
@@ -96,12 +96,26 @@ def parts(w: Words) -> np.ndarray:
     return (mix(w.buf[w.start].astype(np.uint64) + U(1)) % U(PARTS)).astype(np.int64)
 
 
+def places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """np.searchsorted(known, h) for hashes: they lie evenly, so the leading bits of one lead to the neighbourhood of its place."""
+    bits = max(len(known).bit_length(), 1)
+    slot = np.zeros((1 << bits) + 1, np.int64)
+    np.cumsum(np.bincount((known >> U(64 - bits)).astype(np.int64), minlength=1 << bits), out=slot[1:])
+    at = slot[(h >> U(64 - bits)).astype(np.int64)]
+    known = np.append(known, U((1 << 64) - 1))  # nothing is greater
+    low = np.flatnonzero(known[at] < h)
+    while len(low):
+        at[low] += 1
+        low = low[known[at[low]] < h[low]]
+    return at
+
+
 def word_ids(w: Words, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids of words: their rank if frequent, else a class by the last two bytes."""
     known, rank = vocabulary
     ids = endings(w) + (SIZE - ENDINGS)
     if len(known):
-        at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
+        at = np.minimum(places(known, w.hash), len(known) - 1)
         ids = np.where(known[at] == w.hash, rank[at], ids)
     return ids
 
@@ -123,6 +137,7 @@ def contexts(ids: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _hidden(w: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden rows, with a one behind each that meets the biases in _ahead(), and the roots of their slopes."""
     z = np.take(w["embed"][0], ctx[0], axis=0)
     for k in range(1, len(PLACES)):
         z += np.take(w["embed"][k], ctx[k], axis=0)
@@ -130,7 +145,21 @@ def _hidden(w: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.n
     scale = np.abs(z)
     scale += 1
     np.reciprocal(scale, out=scale)
-    return z * scale, scale
+    h = np.empty((len(z), z.shape[1] + 1), z.dtype)
+    np.multiply(z, scale, out=h[:, :-1])
+    h[:, -1] = 1
+    return h, scale
+
+
+def _ahead(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights that score groups, words and parts, turned, with their biases as a last row."""
+    out = {}
+    for k in ("group", "word", "part"):
+        *lead, members, width = w[k].shape
+        out[k] = np.empty((*lead, width + 1, members), w[k].dtype)
+        out[k][..., :-1, :] = w[k].swapaxes(-1, -2)
+        out[k][..., -1, :] = w[f"{k}_bias"]
+    return out
 
 
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,50 +180,48 @@ def _dealt(group: np.ndarray) -> tuple[np.ndarray, int]:
     return place, cap
 
 
-def _in_groups(w: dict[str, np.ndarray], h: np.ndarray, place: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def _in_groups(ahead: np.ndarray, h: np.ndarray, place: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """The hidden rows at their places, and their scores of the members of their groups."""
     dealt = np.zeros((GROUPS * cap, h.shape[1]), h.dtype)
     dealt[place] = h
     dealt = dealt.reshape(GROUPS, cap, -1)
-    x = dealt @ w["word"].transpose(0, 2, 1)
-    x += w["word_bias"][:, None, :]
-    return dealt, x
+    return dealt, dealt @ ahead
 
 
-def _by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of rows by class, and (class, start, end) in that order."""
-    order = np.argsort(c.astype(np.int8), kind="stable")
+def _runs(c: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, start, end) of rows in order of their classes."""
     ends = np.cumsum(np.bincount(c, minlength=ENDINGS)).tolist()
-    return order, [(k, s, e) for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > s]
+    return [(k, s, e) for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > s]
 
 
-def _of_parts(w: dict[str, np.ndarray], h: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _of_parts(ahead: np.ndarray, h: np.ndarray, classes: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Of hidden rows in order of their classes: the probabilities of the parts, not yet divided by their sums, and these."""
     x = np.empty((len(h), PARTS), h.dtype)
-    for k, s, e in runs:
-        np.matmul(h[s:e], w["part"][k].T, out=x[s:e])
-        x[s:e] += w["part_bias"][k]
+    for k, s, e in classes:
+        np.matmul(h[s:e], ahead[k], out=x[s:e])
     return _exp(x)
 
 
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, ctx: np.ndarray, deal: np.ndarray, part: np.ndarray, block: int = 8192) -> np.ndarray:
     """The log probability of each word, or of its class and part, given both its sides; ``deal`` has each one's place in the groups."""
     out = np.empty(len(ids), np.float32)
+    ahead = _ahead(w)
     for i in range(0, len(ids), block):
         y = deal[ids[i : i + block]]
         g, rest = y % GROUPS, y // GROUPS
         every = np.arange(len(g))
         h, _ = _hidden(w, ctx[:, i : i + block])
-        e, total = _exp(h @ w["group"].T + w["group_bias"])
+        e, total = _exp(h @ ahead["group"])
         lp = e[every, g] / total
         place, cap = _dealt(g)
-        _, x = _in_groups(w, h, place, cap)
+        _, x = _in_groups(ahead["word"], h, place, cap)
         e, total = _exp(x)
         lp *= e.reshape(GROUPS * cap, -1)[place, rest] / total.ravel()[place]
         rare = np.flatnonzero(ids[i : i + block] >= SIZE - ENDINGS)
-        order, runs = _by_class(ids[i : i + block][rare] - (SIZE - ENDINGS))
+        c = ids[i : i + block][rare] - (SIZE - ENDINGS)
+        order = np.argsort(c.astype(np.int8), kind="stable")
         rare = rare[order]
-        e, total = _of_parts(w, h[rare], runs)
+        e, total = _of_parts(ahead["part"], np.take(h, rare, axis=0), _runs(c[order]))
         lp[rare] *= e[np.arange(len(rare)), part[i : i + block][rare]] / total
         out[i : i + block] = np.log(np.maximum(lp, 1e-30))
     return out
@@ -210,60 +237,74 @@ class Trainer:
         self.rate = rate
         self.seen = 0
 
+    def _move(self, w: np.ndarray, g: np.ndarray, slope: np.ndarray) -> None:
+        move = slope * slope
+        g += move
+        np.add(g, 1e-12, out=move)
+        np.sqrt(move, out=move)
+        np.divide(slope, move, out=move)
+        move *= self.rate
+        w -= move
+
     def step(self, ids: np.ndarray, ctx: np.ndarray, part: np.ndarray) -> float:
         """One update; returns the mean loss before it."""
         w, n = self.w, len(ids)
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # brings the rows of a class together, the classes last
+        ids, ctx, part = ids[order], np.take(ctx, order, axis=1), part[order]
         every = np.arange(n)
+        ahead = _ahead(w)
         h, scale = _hidden(w, ctx)
         y = self.deal[ids]
         g, rest = y % GROUPS, y // GROUPS
-        d, total = _exp(h @ w["group"].T + w["group_bias"])
+        # every d is a slope of the mean loss, so the gradients need no further division by n
+        d, total = _exp(h @ ahead["group"])
+        lp = d[every, g] / total
+        total *= n
         d /= total[:, None]
-        loss = np.log(d[every, g])
-        d[every, g] -= 1
-        grad = {"group": d.T @ h, "group_bias": d.sum(axis=0)}
+        d[every, g] -= 1 / n
+        up = d.T @ h
+        grad = {"group": up[:, :-1], "group_bias": up[:, -1]}
         dh = d @ w["group"]
         place, cap = _dealt(g)
-        dealt, x = _in_groups(w, h, place, cap)
+        dealt, x = _in_groups(ahead["word"], h, place, cap)
         e, total = _exp(x)
+        flat_e, total = e.reshape(GROUPS * cap, -1), total.ravel()[place]
+        lp *= flat_e[place, rest] / total
         weight = np.zeros(GROUPS * cap, total.dtype)  # places without a row count for nothing
-        weight[place] = 1 / total.ravel()[place]
-        e *= weight.reshape(GROUPS, cap, 1)
-        flat_e = e.reshape(GROUPS * cap, -1)
-        loss += np.log(flat_e[place, rest])
-        flat_e[place, rest] -= 1
-        grad["word"], grad["word_bias"] = e.transpose(0, 2, 1) @ dealt, e.sum(axis=1)
-        dh += (e @ w["word"]).reshape(GROUPS * cap, -1)[place]
-        rare = np.flatnonzero(ids >= SIZE - ENDINGS)
-        order, runs = _by_class(ids[rare] - (SIZE - ENDINGS))
-        rare = rare[order]
-        some = h[rare]
-        d, total = _of_parts(w, some, runs)
+        weight[place] = 1 / (total * n)
+        flat_e *= weight[:, None]
+        flat_e[place, rest] -= 1 / n
+        up = e.transpose(0, 2, 1) @ dealt
+        grad["word"], grad["word_bias"] = up[..., :-1], up[..., -1]
+        dh += np.take((e @ w["word"]).reshape(GROUPS * cap, -1), place, axis=0)
+        rare = slice(int(np.searchsorted(ids, SIZE - ENDINGS)), n)
+        some, at, of = h[rare], every[: n - rare.start], part[rare]
+        d, total = _of_parts(ahead["part"], some, classes := _runs(ids[rare] - (SIZE - ENDINGS)))
+        lp[rare] *= d[at, of] / total
+        total *= n
         d /= total[:, None]
-        at = np.arange(len(rare))
-        loss[rare] += np.log(d[at, part[rare]])
-        d[at, part[rare]] -= 1
-        grad["part"], grad["part_bias"] = np.zeros_like(w["part"]), np.zeros_like(w["part_bias"])
-        back = np.empty_like(some)
-        for k, s, e in runs:
-            np.matmul(d[s:e].T, some[s:e], out=grad["part"][k])
-            grad["part_bias"][k] = d[s:e].sum(axis=0)
-            np.matmul(d[s:e], w["part"][k], out=back[s:e])
+        d[at, of] -= 1 / n
+        up = np.zeros((ENDINGS, PARTS, h.shape[1]), h.dtype)
+        back = np.empty((len(some), h.shape[1] - 1), h.dtype)
+        for k, s, e in classes:
+            x = d[s:e]
+            np.matmul(x.T, some[s:e], out=up[k])
+            np.matmul(x, w["part"][k], out=back[s:e])
+        grad["part"], grad["part_bias"] = up[..., :-1], up[..., -1]
         dh[rare] += back
-        dz = dh * scale
-        dz *= scale
-        grad["bias"] = dz.sum(axis=0)
-        column = np.ascontiguousarray(dz.T, np.float64)
-        grad["embed"] = np.empty_like(w["embed"])
+        dh *= scale
+        dh *= scale
+        grad["bias"] = np.ones(n, dh.dtype) @ dh
+        column = np.ascontiguousarray(dh.T, np.float64)
         for k in range(len(PLACES)):
+            up = np.empty(w["embed"].shape[1:], dh.dtype)
             for j, x in enumerate(column):
-                grad["embed"][k, :, j] = np.bincount(ctx[k], x, SIZE + 1)
+                up[:, j] = np.bincount(ctx[k], x, SIZE + 1)
+            self._move(w["embed"][k], self.g["embed"][k], up)
         for k, x in grad.items():
-            x /= n
-            self.g[k] += x * x
-            w[k] -= self.rate * x / np.sqrt(self.g[k] + 1e-12)
+            self._move(w[k], self.g[k], x)
         self.seen += n
-        return -float(loss.mean())
+        return -float(np.log(np.maximum(lp, 1e-30)).mean())
 
 
 def spelling(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,23 +354,33 @@ def _byte_pairs(w: Words, at: np.ndarray) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their class and part (class * PARTS + part) and count; with class -1, pairs of bytes in the distinct words of each piece."""
-    known, kind, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, have = [], 0
     pairs = np.zeros(65_536, np.int64)
 
     def counted(word: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], names=["word", "ending", "n"])
 
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word, kind, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(word)
+        at, _ = runs(word[order])
+        return word[order[at]], kind[order[at]], np.add.reduceat(n[order], at) if len(at) else n
+
     for b in in_pieces(batches, chars=3_000_000):
         w = Words(b.column("text"))
-        h, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+        order = np.argsort(w.hash)
+        at, n = runs(w.hash[order])
+        at = order[at]
         pairs += _byte_pairs(w, at)
-        known, first, inverse = np.unique(np.concatenate([known, h]), return_index=True, return_inverse=True)
-        kind = np.concatenate([kind, (endings(w) * PARTS + parts(w))[at]])[first]
-        total = np.bincount(inverse, weights=np.concatenate([total, n]), minlength=len(known)).astype(np.int64)
-        if len(known) > 500_000:  # bounded memory; the sums go on after the shuffle
-            yield counted(known, kind, total)
-            known, kind, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    yield counted(known, kind, total)
+        held.append((w.hash[at], (endings(w) * PARTS + parts(w))[at], n))
+        have += len(at)
+        if have > 1_000_000:  # bounded memory; the sums go on after the shuffle
+            held = [together()]
+            if len(held[0][0]) > 500_000:
+                yield counted(*held.pop())
+            have = sum(len(x[0]) for x in held)
+    if held:
+        yield counted(*together())
     at = np.flatnonzero(pairs)
     yield counted(at, np.full(len(at), -1), pairs[at])
 
@@ -347,6 +398,7 @@ def _learn(net: Network, batch: int, rate: float, chunk: int):
     """The weights that a task's documents lead to, in chunks: sums over the positions learned from, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory()
         trainer = Trainer(shaped(net.weights, net.width), net.deal, rate)
         rng = np.random.Generator(np.random.PCG64(17))
         held_y, held_c, held_p, have = [], [], [], 0
@@ -422,7 +474,7 @@ def within(w: Words, rare: np.ndarray, x: Lexicon) -> tuple[np.ndarray, np.ndarr
     n = np.zeros(len(rare))
     if len(x.word):
         h = w.hash[rare]
-        at = np.minimum(np.searchsorted(x.word, h), len(x.word) - 1)
+        at = np.minimum(places(x.word, h), len(x.word) - 1)
         n = np.where(x.word[at] == h, x.n[at], 0)
     with np.errstate(divide="ignore"):
         lp = np.where(n > 0, np.logaddexp(np.log(n), spell), 0) - x.total[c]
@@ -431,6 +483,7 @@ def within(w: Words, rare: np.ndarray, x: Lexicon) -> tuple[np.ndarray, np.ndarr
 
 def _score(net: Network, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory()
         w = shaped(net.weights, net.width)
         for b in in_pieces(batches, chars=1_000_000):
             words = Words(b.column("text"))

@@ -126,3 +126,81 @@ def test_a_step_sums_the_gradients_of_words_that_recur():
     g = t.g["embed"] - 1e-3
     assert (g[:, 3:] == 0).all() and (g[:, :3] > 0).all()  # only words that occur move
     assert (t.w["embed"][:, 3:] == before[:, 3:]).all() and np.isfinite(t.w["embed"]).all()
+
+
+def test_places_of_hashes_are_those_of_a_binary_search():
+    from loamworks.llm import pseudolikelihood as P
+
+    rng = np.random.default_rng(2)
+    top = (1 << 64) - 1
+    for n in (1, 2, 7, 960, 20_000):
+        known = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        for ends in (known, np.unique(np.concatenate([known, np.array([0, 1, top - 1, top], np.uint64)])), np.arange(n, dtype=np.uint64)):
+            h = np.concatenate([ends[::3], rng.integers(0, top, 500, dtype=np.uint64, endpoint=True), np.array([0, n, top], np.uint64)])
+            assert (P.places(ends, h) == np.searchsorted(ends, h)).all()
+
+
+def test_words_are_counted_over_pieces():
+    """Many pieces in one task, more different words than are held at once."""
+    import collections
+
+    from loamworks.llm import pseudolikelihood as P
+
+    texts = [" ".join(f"k{(i * 7919 + j) % 900_000} the" for j in range(150_000)) for i in range(0, 900_000, 90_000)] + [None, " "]
+    expected = collections.Counter(" ".join(x or "" for x in texts).split())
+    out = pa.Table.from_batches(P._count_words(iter(pa.record_batch([pa.array([x], pa.string())], names=["text"]) for x in texts)))
+    words, kind, n = (out[c].to_numpy() for c in ("word", "ending", "n"))
+    w = Words(pa.array([" ".join(expected)]))
+    got, kinds = collections.Counter(), {}
+    for h, k, m in zip(words[kind >= 0].tolist(), kind[kind >= 0].tolist(), n[kind >= 0].tolist(), strict=True):
+        got[h] += m
+        assert kinds.setdefault(h, k) == k
+    assert len(words) > len(got)  # what was held went out before the end
+    assert got == dict(zip(w.hash.view(np.int64).tolist(), expected.values(), strict=True))
+    assert [kinds[h] for h in w.hash[:1000].view(np.int64).tolist()] == (P.endings(w) * P.PARTS + P.parts(w))[:1000].tolist()
+
+
+def test_a_step_does_not_depend_on_the_order_of_its_rows():
+    """Also where no row is of a class, every row is, or there is one."""
+    from loamworks.llm import pseudolikelihood as P
+
+    rng, first = np.random.default_rng(6), P.SIZE - P.ENDINGS
+    for low, high, n in ((0, P.SIZE, 300), (0, first, 300), (first, P.SIZE, 300), (first + 3, first + 4, 1), (7, 8, 1)):
+        ids, ctx, part = rng.integers(low, high, n), rng.integers(0, P.SIZE + 1, (4, n)), rng.integers(0, P.PARTS, n)
+        order, made = rng.permutation(n), []
+        for at in (np.arange(n), order):
+            t = P.Trainer(P.blank_weights(5), np.arange(P.SIZE), 0.1)
+            loss = t.step(ids[at], ctx[:, at], part[at])
+            assert loss == pytest.approx(-float(P.log_probabilities(P.blank_weights(5), ids, ctx, np.arange(P.SIZE), part).mean()), abs=1e-4)
+            made.append(P.flat(t.w))
+        assert np.allclose(*made, atol=1e-5) and np.isfinite(made[0]).all()
+
+
+_SCORING = """
+import resource
+import numpy as np, pyarrow as pa
+from loamworks.llm import pseudolikelihood as P
+rng = np.random.default_rng(5)
+pieces = [pa.record_batch([pa.array([1]), pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5000, 180_000))])], names=["doc_id", "text"]) for _ in range(8)]
+net = P.Network((np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.arange(P.SIZE), P.flat(P.blank_weights(24)), 24)
+lexicon = P.Lexicon(np.zeros(0, np.uint64), np.zeros(0), np.zeros(P.ENDINGS * P.PARTS), np.zeros(P.ENDINGS * P.PARTS), np.zeros(65_536))
+faults = []
+for b in P._score(net, lexicon)(iter(pieces)):
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(len(faults), (faults[-1] - faults[2]) // (len(faults) - 3))
+"""
+
+
+def test_scoring_does_not_fault_its_memory_in_anew():
+    """The arrays of a piece are made in memory that the worker kept of the pieces before (in a process of its own, as a worker is)."""
+    import os
+    import pathlib
+    import platform
+    import subprocess
+    import sys
+
+    if platform.libc_ver()[0] != "glibc":
+        pytest.skip("for glibc")
+    run = subprocess.run([sys.executable, "-c", _SCORING], capture_output=True, text=True, check=True, cwd=pathlib.Path(__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1"})
+    pieces, faults = run.stdout.split()
+    assert int(pieces) == 8 and int(faults) < 2000
