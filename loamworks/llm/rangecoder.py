@@ -56,11 +56,21 @@ def _places(mask: np.ndarray) -> np.ndarray:
     return mask.nonzero()[0]
 
 
+def _at(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``x[places]``; places are within x, so the faster way of numpy's that does not look is taken."""
+    return x.take(places, mode="clip")
+
+
 class _Model:
     """The models of several blocks with as many streams each, in order of falling steps.
 
     Ids and the tables of orders 1 and 2 are 32 bits wide and their products
     wrap; what is added up or indexes a table is 64 bits wide.
+
+    Inside, ids below DIRECT go by numbers, in order of meeting them, so that
+    the entries in use lie together in each block's tables and fit a processor's
+    cache: a block has some thousand different ids, up to 65,535. So do the places
+    of the table of order 1. Other ids are their own numbers. What is coded does not depend on the numbers.
     """
 
     def __init__(self, blocks: int, streams: int, decode: bool):
@@ -75,44 +85,83 @@ class _Model:
         self.count = np.zeros((blocks, DIRECT), np.int32)
         self.range0 = np.zeros(n, np.uint32)  # order 0: where an id's part begins * 2^16 + its size; 0 for new ids
         self.escape = np.zeros(lanes, np.int64)  # where the escape of a lane's block begins; it goes to 2^16
-        self.slot = np.full(n, -1, np.int32) if decode else None
-        self.hits = np.tile(np.array([2.0, 1.0, 4.0]), (blocks * 32, 1))
+        self.slot = np.zeros(n, np.uint16) if decode else None
+        self.number, self.id, self.met = np.full(DIRECT, -1, np.int32), np.zeros(DIRECT, np.uint32), 0
+        self.mixed = np.zeros(DIRECT, np.uint32)  # by number, as is the next
+        self.place1 = np.zeros(DIRECT, np.int32)
+        self.place_of, self.places = np.full(1 << CONTEXT_BITS, -1, np.int32), 0
+        self.at1 = self.context_base + self._place(np.zeros(1, np.uint32))[0]
+        self.numbers(np.zeros(1, np.uint32), False)  # 0 is 0 in any case, as empty entries of the tables read 0
+        self.hits = np.repeat(np.array([[2.0], [1.0], [4.0]]), blocks * 32, axis=1)  # right by order 2, else by order 1, by neither
         self.mixed1, self.mixed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # of the last id and of that before it
         self.steps = 0
         self._weights()
 
     def _weights(self) -> None:
         """The parts of the range that orders 2 and 1 have, by context: confidence of order 2, of order 1, and whether both say the same."""
-        share = self.hits / self.hits.sum(axis=1, keepdims=True)
-        w2 = np.clip(share[:, 0] * _WHOLE, 4096, _WHOLE * 62 // 64).astype(np.int64)
-        w1 = np.minimum(np.maximum(share[:, 1] * _WHOLE, 4096), _WHOLE - _WHOLE // 128 - w2).astype(np.int64)
+        share = self.hits[:2] / self.hits.sum(axis=0)
+        w2 = np.minimum(np.maximum(share[0] * _WHOLE, 4096), _WHOLE * 62 // 64).astype(np.int64)
+        w1 = np.minimum(np.maximum(share[1] * _WHOLE, 4096), _WHOLE - _WHOLE // 128 - w2).astype(np.int64)
         w2, w1 = w2.reshape(-1, 4, 4, 2), w1.reshape(-1, 4, 4, 2)
         w2[:, 0] = 0
         w1[:, :, 0] = w1[:, 1:, :, 1] = 0
         w1[:, 0, :, 1] = w1[:, 0, :, 0]  # without a prediction by order 2 there is no "same"
         self.w2, self.w1 = w2.ravel(), w1.ravel()
 
+    def _place(self, mixed: np.ndarray) -> np.ndarray:
+        """The places of mixed ids in the tables of order 1."""
+        at = (mixed >> np.uint32(9)) & np.uint32(_CONTEXTS)
+        fresh = np.unique(at[self.place_of[at] < 0])
+        self.place_of[fresh] = self.places + np.arange(len(fresh))
+        self.places += len(fresh)
+        return self.place_of[at]
+
+    def numbers(self, ids: np.ndarray, wide: bool) -> np.ndarray:
+        """The numbers of ids; those met for the first time get the next ones."""
+        small = ids[ids < DIRECT] if wide else ids
+        new = small[self.number[small] < 0]
+        if len(new):
+            new = np.unique(new)
+            at = slice(self.met, self.met + len(new))
+            self.number[new] = np.arange(at.start, at.stop)
+            self.id[at], self.mixed[at] = new, new * _MIX
+            self.place1[at] = self._place(self.mixed[at])
+            self.met = at.stop
+        return self._renamed(ids, self.number.view(np.uint32), wide)
+
+    def ids(self, numbers: np.ndarray, wide: bool) -> np.ndarray:
+        return self._renamed(numbers, self.id, wide)
+
+    @staticmethod
+    def _renamed(x: np.ndarray, table: np.ndarray, wide: bool) -> np.ndarray:
+        got = table.take(x, mode="clip")
+        return np.where(x < DIRECT, got, x) if wide else got
+
     def predict(self, n: int):
         """For the first n lanes: places in the tables, their entries, predicted ids, the context, and the parts of the range that they have."""
-        base = self.context_base[:n]
-        at1 = base + ((self.mixed1[:n] >> 9) & _CONTEXTS)
-        at2 = base + (((self.mixed1[:n] + self.mixed2[:n]) >> 8) & _CONTEXTS)
-        e1, e2 = self.last1.take(at1), self.last2.take(at2)
+        at1 = self.at1[:n]
+        at2 = self.context_base[:n] + (((self.mixed1[:n] + self.mixed2[:n]) >> 8) & _CONTEXTS)
+        e1, e2 = _at(self.last1, at1), _at(self.last2, at2)
         ctx = self.ctx_base[:n] + (((e2 & 3) << 3) | ((e1 & 3) << 1) | ((e1 ^ e2) < 4))
-        return at1, at2, e1, e2, e1 >> 2, e2 >> 2, ctx, self.w2.take(ctx), self.w1.take(ctx)
+        return at1, at2, e1, e2, e1 >> 2, e2 >> 2, ctx, _at(self.w2, ctx), _at(self.w1, ctx)
 
-    def learn(self, n: int, x: np.ndarray, seen, hit2: np.ndarray, hit1: np.ndarray) -> None:
+    def learn(self, n: int, x: np.ndarray, seen, hit2: np.ndarray, hit1: np.ndarray, wide: bool) -> None:
         """``hit2``, ``hit1``: the lanes where order 2 was right, or else order 1. Factors 0 and 1 choose, as half of the lanes are right as a rule."""
         at1, at2, e1, e2, x1, x2, ctx, _, _ = seen
-        size = len(self.hits)
-        every, k2, k1 = (np.bincount(c, minlength=size) for c in (ctx, ctx.take(hit2), ctx.take(hit1)))
-        k = np.stack([k2, k1, every - k2 - k1], axis=1).reshape(-1, 4, 4, 2, 3)
-        k[:, 0, :, 0] += k[:, 0, :, 1]
-        k[:, 0, :, 1] = 0
-        self.hits += k.reshape(-1, 3)
-        over = self.hits.sum(axis=1) > 4000
-        if over.any():
-            self.hits[over] *= 0.5
+        size = self.hits.shape[1]
+        for row, c in enumerate((_at(ctx, hit2), _at(ctx, hit1), ctx)):
+            k = np.bincount(c, minlength=size)
+            if row == 2:
+                k -= both
+            else:
+                both = both + k if row else k.copy()
+            k = k.reshape(-1, 4, 4, 2)
+            k[:, 0, :, 0] += k[:, 0, :, 1]
+            k[:, 0, :, 1] = 0
+            self.hits[row] += k.ravel()
+        over = _places(self.hits.sum(axis=0) > 4000)
+        if len(over):
+            self.hits[:, over] *= 0.5
         self.steps += 1
         if self.steps < 16 or not self.steps % 4:
             self._weights()
@@ -126,36 +175,44 @@ class _Model:
             new = fresh + ((e >> 1) & one) * (e - top)
             last[at] = new + right * (np.minimum(e, top) + one - new)
         self.mixed2[:n] = self.mixed1[:n] * _PAIR
-        np.multiply(x, _MIX, out=self.mixed1[:n])
+        at = x.astype(np.int64)
+        self.mixed1[:n] = _at(self.mixed, at)
+        self.at1 = self.context_base[:n] + _at(self.place1, at)
+        if wide:
+            other = _places(x >= DIRECT)
+            self.mixed1[other] = x[other] * _MIX
+            self.at1[other] = self.context_base[other] + self._place(self.mixed1[other])
 
     def renew(self, n: int, rows: np.ndarray, wide: bool) -> None:
         """The order-0 tables of the blocks of the first n lanes, after the steps of ``rows``; ``wide``: ids may be beyond the table."""
+        met = self.met
+        by_id = np.argsort(self.id[:met])
         for b in range(n // self.streams):
             new = rows[:, b * self.streams : (b + 1) * self.streams].ravel()
             if wide:
                 new = new[new < DIRECT]
-            count = self.count[b]
-            if len(new) < DIRECT // 8:
+            count = self.count[b, :met]
+            if len(new) < met // 8:
                 np.add.at(count, new, np.int32(1))
             else:
-                count += np.bincount(new, minlength=DIRECT).astype(np.int32)
-            ids = _places(count > 0)
-            if len(ids) > 12_000:  # the most frequent; the others are escaped
-                ids = np.sort(ids[np.argsort(-count[ids], kind="stable")[:12_000]])
-            c = count.take(ids).astype(np.int64)
+                count += np.bincount(new, minlength=met).astype(np.int32)
+            c = count.take(by_id)
+            some = _places(c > 0)
+            if len(some) > 12_000:  # the most frequent; the others are escaped
+                some = np.sort(some[np.argsort(-c[some], kind="stable")[:12_000]])
+            ids, c = by_id.take(some), c.take(some).astype(np.int64)
             total = int(c.sum())
             rest = min(max(int((c == 1).sum()) * 65536 // (total + 1), 256), 32768)
             room = 65536 - rest - 2 * len(ids)
             f = 2 + c * room // max(total, 1)
             end = np.cumsum(f)
             lo = b << 16
-            self.range0[lo : lo + DIRECT] = 0
+            self.range0[lo : lo + met] = 0
             self.range0[lo + ids] = (end - f) << 16 | f
             escape = int(end[-1]) if len(ids) else 0
             self.escape[b * self.streams : (b + 1) * self.streams] = escape
             if self.decode:
-                self.slot[lo : lo + escape] = np.repeat(ids.astype(np.int32), f)
-                self.slot[lo + escape : lo + DIRECT] = -1
+                self.slot[lo : lo + escape] = np.repeat(ids.astype(np.uint16), f)
 
 
 def _renewals(steps: int) -> set[int]:
@@ -170,6 +227,7 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
     for b, (x, t) in enumerate(zip(blocks, steps, strict=True)):
         grid[:t, b * streams : (b + 1) * streams] = np.pad(x.astype(np.uint32), (0, t * streams - len(x))).reshape(streams, t).T
     wide = [int(x.max(initial=0)) >= DIRECT for x in blocks]
+    far = any(wide)
     wide_lane = np.repeat(wide, streams)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
     room = 6 * (max(steps, default=0) + 1)
@@ -187,11 +245,11 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
             go = _places(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a.take(go), s.take(go), _places(~settled.take(go))
-            todo = go if todo is None and isinstance(rows, slice) else rows.take(go) if todo is None else todo.take(go)
+            a, s, small = _at(a, go), _at(s, go), _places(~_at(settled, go))
+            todo = go if todo is None and isinstance(rows, slice) else _at(rows if todo is None else todo, go)
             if len(small):
                 s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
-            i = at.take(todo)
+            i = _at(at, todo)
             out[i] = a >> _U32
             at[todo] = i + lanes
             a, s = (a << _U16) & _MASK, s << _U16
@@ -199,6 +257,8 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
 
     model, renewals = _Model(len(blocks), streams, False), _renewals(len(grid))
     since = 0
+    for row in grid:
+        row[:] = model.numbers(row, far)
     for t in range(len(grid)):
         n = sum(s > t for s in steps) * streams
         x = grid[t, :n]
@@ -208,10 +268,10 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
         hit2, hit1 = hit2[w2.take(hit2) > 0], hit1[w1.take(hit1) > 0]  # order 1 has no part where it says the same
         known = w2 + w1
         rest = _WHOLE - known
-        if any(wide):
+        if far:
             e = np.where(x < DIRECT, model.range0.take(model.base[:n] + np.minimum(x, DIRECT - 1)), np.uint32(0))
         else:
-            e = model.range0.take(model.base[:n] + x)
+            e = _at(model.range0, model.base[:n] + x)
         new = e == 0
         new[hit2] = new[hit1] = False
         raw = _places(new)
@@ -224,14 +284,14 @@ def _encode_alike(blocks: list[np.ndarray], streams: int) -> list[bytes]:
         lo[hit2], size[hit2] = 0, w2.take(hit2)
         code(slice(0, n), lo, size, _U24)
         if len(raw):
-            y = x[raw].astype(np.int64)
-            if any(wide):
+            y = model.ids(x[raw], far).astype(np.int64)
+            if far:
                 some = wide_lane[raw]
                 code(raw[some], y[some] >> 16, np.ones(int(some.sum()), np.int64), _U16)
             code(raw, y & 0xFFFF, np.ones(len(raw), np.int64), _U16)
-        model.learn(n, x, seen, hit2, hit1)
+        model.learn(n, x, seen, hit2, hit1, far)
         if t + 1 in renewals:
-            model.renew(n, grid[since : t + 1], any(wide))
+            model.renew(n, grid[since : t + 1], far)
             since = t + 1
     # the shortest number within the range: one word, or two
     one = ((low + _TOP - np.uint64(1)) >> _U32) << _U32
@@ -265,22 +325,22 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
     end = at + size
 
     def read(rows: np.ndarray) -> np.ndarray:
-        i = at.take(rows)
+        i = _at(at, rows)
         at[rows] = i + 1
-        return (stream.take(i, mode="clip") * (i < end.take(rows))).astype(np.uint64)
+        return (stream.take(i, mode="clip") * (i < _at(end, rows))).astype(np.uint64)
 
     above = np.zeros(lanes, np.uint64)  # the coded number less the low end
     for _ in range(3):
         above = (above << _U16) | read(np.arange(lanes))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
     wide = [w > 1 for _, _, w in blocks]
+    far = any(wide)
     wide_lane = np.repeat(wide, streams)
 
     def target(rows, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """Units of the range and how many of them lie below the coded number."""
-        # doubles give the whole part exactly: 48 bits by at most 32, and a fraction differs from a whole number by 2^-32 or more
         r = span[rows] >> bits
-        return r, (above[rows].view(np.int64) / r.view(np.int64)).astype(np.int64)
+        return r, (above[rows] // r).view(np.int64)
 
     def take(rows, r: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
         step = r * lo.view(np.uint64)
@@ -294,11 +354,11 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
             go = _places(settled | (s < _BOTTOM))
             if not len(go):
                 break
-            a, s, small = a.take(go), s.take(go), _places(~settled.take(go))
-            todo = go if todo is None and isinstance(rows, slice) else rows.take(go) if todo is None else todo.take(go)
+            a, s, small = _at(a, go), _at(s, go), _places(~_at(settled, go))
+            todo = go if todo is None and isinstance(rows, slice) else _at(rows if todo is None else todo, go)
             if len(small):
                 s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
-            above[todo] = ((above.take(todo) << _U16) & _MASK) | read(todo)
+            above[todo] = ((_at(above, todo) << _U16) & _MASK) | read(todo)
             a, s = (a << _U16) & _MASK, s << _U16
             low[todo], span[todo] = a, s
 
@@ -314,16 +374,15 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         rest = _WHOLE - known
         r, v = target(rows, _U24)
         hit = _places(v < known)
-        by2 = v.take(hit) < w2.take(hit)
+        by2 = _at(v, hit) < _at(w2, hit)
         hit2, hit1 = hit[by2], hit[~by2]
-        c = (np.maximum(((v - known + 1) << 16) - 1, 0) / rest).astype(np.int64)  # 40 bits by 24: exact as above
-        found = model.slot.take(model.base[:n] + np.minimum(c, DIRECT - 1))
-        new = found < 0
-        x = found.view(np.uint32)
-        x[new] = 0
+        c = (np.maximum(((v - known + 1) << 16) - 1, 0).view(np.uint64) // rest.view(np.uint64)).view(np.int64)
+        np.minimum(c, DIRECT - 1, out=c)
+        x = _at(model.slot, model.base[:n] + c).astype(np.uint32)
+        new = c >= model.escape[:n]
         new[hit] = False
         raw = _places(new)
-        e = model.range0.take(model.base[:n] + x)
+        e = _at(model.range0, model.base[:n] + x)
         first = (e >> 16).astype(np.int64)
         last = first + (e & 0xFFFF)
         first[raw], last[raw] = model.escape.take(raw), 65536
@@ -333,20 +392,21 @@ def _decode_alike(blocks: list[tuple[int, bytes, int]], streams: int) -> list[np
         lo[hit2], size[hit2], x[hit2] = 0, w2.take(hit2), x2.take(hit2)
         take(rows, r, lo, size)
         if len(raw):
-            if any(wide):
+            y = np.zeros(n, np.uint32)
+            if far:
                 some = raw[wide_lane[raw]]
                 r, v = target(some, _U16)
                 take(some, r, v, np.ones(len(some), np.int64))
-                x[some] = v << 16
+                y[some] = v << 16
             r, v = target(raw, _U16)
             take(raw, r, v, np.ones(len(raw), np.int64))
-            x[raw] |= v.astype(np.uint32)
+            x[raw] = model.numbers(y.take(raw) | v.astype(np.uint32), far)
         grid[t, :n] = x
-        model.learn(n, x, seen, hit2, hit1)
+        model.learn(n, x, seen, hit2, hit1, far)
         if t + 1 in renewals:
-            model.renew(n, grid[since : t + 1], any(wide))
+            model.renew(n, grid[since : t + 1], far)
             since = t + 1
-    return [grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n] for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
+    return [model.ids(grid[:t, b * streams : (b + 1) * streams].T.ravel()[:n], far) for b, ((n, _, _), t) in enumerate(zip(blocks, steps, strict=True))]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:

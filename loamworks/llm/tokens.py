@@ -13,7 +13,6 @@ in the table become Python strings.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from itertools import chain
@@ -25,13 +24,17 @@ from .words import U, Words, mix
 
 _BLANK, _LINE, _FIRST = 0, 1, 2  # what stands before a word
 #: At byte level printable bytes are their own signs, the others have the signs from U+0100 on.
-_UNSEEN = re.compile("[\x00-\x20\x7f-\xa0\xad]")
-_BYTE_SIGNS = {chr(b): chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_SIGN_BYTES = np.array([[*chr(_BYTE_SIGNS.get(b, b)).encode(), 0][:2] for b in range(256)], np.uint8)  # in UTF-8: two bytes, or one and 0
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN = np.zeros(256, np.int64)  # a full stop or comma
 _SIGN[[44, 46]] = 1
-_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")  # where versions of Unicode differ on what is a letter
+#: Bytes of letters up to U+023F, of ASCII signs, and others. U+00D7 and U+00F7 are no letters, which _stems looks at.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = 0
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+_BESIDE = 200  # words that go to the library as one string
 
 
 def _lasting() -> dict:
@@ -103,6 +106,14 @@ class _Table:
         return self.pool[np.repeat(self.at[slot] - (end - n), n) + np.arange(total)], n
 
 
+def _apart(vocab: dict[str, int]) -> bool:
+    """Whether words of letters that each follow a blank or a line end, in signs of bytes, are told apart by their ids though nothing parts them before: no token of several signs has such a beginning elsewhere, and a line end is a token by itself."""
+    begin, inside = "\u0120\u010a", {chr(_BYTE_SIGNS.get(b, b)) for b in np.flatnonzero(_KIND == 0).tolist()}
+    if not set(begin) <= set(vocab):
+        return False
+    return not any((x[0] == begin[1] or begin[0] in x[1:] or begin[1] in x[1:]) and any(y in inside for y in x) and set(x) <= inside | set(begin) for x in vocab if len(x) > 1)
+
+
 class Encoder:
     """Ids of texts. ``words``: the tokenizer drops white space (else it is kept with the word after it).
 
@@ -122,15 +133,16 @@ class Encoder:
             tokenizer.encode_special_tokens = True
             # ids that end a word, or that begin one with its blank: they part the ids of words encoded side by side
             mark = (lambda x: x.endswith("</w>")) if words else (lambda x: x.startswith("\u0120"))
+            vocab = tokenizer.get_vocab()
             edge = np.zeros(tokenizer.get_vocab_size(), bool)
-            edge[[i for x, i in tokenizer.get_vocab().items() if mark(x)]] = True
+            edge[[i for x, i in vocab.items() if mark(x)]] = True
             letters = tokenizer
-            if not words and type(tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel:  # words of letters part at blanks only: no patterns needed
+            if not words and type(tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel and _apart(vocab):
                 letters = Tokenizer.from_file(path)
                 letters.encode_special_tokens = True
-                letters.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")  # of text in the signs of its bytes
-            memory[path, bits] = (tokenizer, letters, [_Table(bits), _Table(bits)], edge)
-        self.tokenizer, self.letters, self.tables, self.edge = memory[path, bits]
+                letters.pre_tokenizer = None  # text is in the signs of its bytes, and no token goes from one word into the next
+            memory[path, bits] = (tokenizer, letters, [_Table(bits), _Table(bits)], edge, vocab.get("\u010a", -1))
+        self.tokenizer, self.letters, self.tables, self.edge, self.line = memory[path, bits]
         self.words, self.bits, self.led = words, bits, led
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -141,16 +153,13 @@ class Encoder:
             out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str], letters: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of words (``letters``: of letters alone), each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words, each with its blank if it keeps one, encoded side by side, and how many each has; None if they can't be parted."""
         parts, sizes = [], []
         for i in range(0, len(words), 100):
             some = words[i : i + 100]
             text = " ".join(some) if self.words else " " + " ".join(some)
-            by = self.letters if letters and not _BEYOND_LATIN.search(text) else self.tokenizer
-            if by is not self.tokenizer:
-                text = _UNSEEN.sub(lambda m: _BYTE_SIGNS[m.group()], text.encode().decode("latin-1").replace(" ", "\u0120"))
-            ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             edge = np.flatnonzero(self.edge[ids])
             if len(edge) != len(some) or (edge[-1] + 1 != len(ids) if self.words else edge[0]):
                 return None
@@ -179,7 +188,7 @@ class Encoder:
             stem, number, found = [""] * len(words), {}, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         left = [i for i, y in enumerate(stem) if not y]
         beside = [] if self.words else [i for i in left if before[i] == _BLANK]
-        together = self._encode_words([words[i] for i in beside], letters=False)
+        together = self._encode_words([words[i] for i in beside])
         if together is None:
             beside, together = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         apart = sorted(set(left) - set(beside)) if beside else left
@@ -199,7 +208,7 @@ class Encoder:
         return ids, size.sum(axis=1)
 
     def _plain(self, w: Words, at: np.ndarray, before: np.ndarray | None) -> np.ndarray:
-        """Which of the words ``at`` are A-Z and a-z after a blank, perhaps with a full stop or comma at the end."""
+        """Which of the words ``at`` are A-Z and a-z after a blank, perhaps with a full stop or comma at the end: the simplest of those that _stems tells."""
         if self.letters is self.tokenizer or before is None or not len(at):
             return np.zeros(len(at), bool)
         n = w.end[at] - w.start[at] - _SIGN[w.buf[w.end[at] - 1]]
@@ -207,31 +216,51 @@ class Encoder:
         other = np.concatenate([[0], np.cumsum(~_LETTER[w.buf[np.repeat(w.start[at] - first, n) + np.arange(int(n.sum()))]])])
         return (n > 0) & (before == _BLANK) & (other[first + n] == other[first])
 
-    def _learn_plain(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As _learn, for words that _plain told: their bytes go to the library side by side, those of one stem once."""
+    def _stems(self, w: Words, at: np.ndarray) -> np.ndarray:
+        """Of each of the words ``at`` the bytes of the letters up to U+023F that it begins with, if nothing but ASCII signs follows; else 0."""
+        n = w.end[at] - w.start[at]
+        end = np.cumsum(n)
+        byte = w.buf[np.repeat(w.start[at] - (end - n), n) + np.arange(int(n.sum()))]
+        kind = _KIND[byte]
+        bad = kind == 2
+        bad[1:] |= (kind[1:] < kind[:-1]) | ((byte[:-1] == 0xC3) & ((byte[1:] == 0x97) | (byte[1:] == 0xB7)))
+        bad[end - n] = kind[end - n] != 0  # what is before a word is not its own
+        some = np.concatenate([[0], np.cumsum(bad)])
+        letters = np.concatenate([[0], np.cumsum(kind == 0)])
+        return np.where(some[end] == some[end - n], letters[end] - letters[end - n], 0)
+
+    def _learn_plain(self, w: Words, at: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _learn, for words that _stems told (``n``: bytes of the stem): bytes of letters go to the library side by side, those of one stem once.
+
+        A word at the beginning of a text is encoded as after a line end, whose id is left out.
+        """
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        sign = w.buf[w.end[at] - 1]
-        n = w.end[at] - w.start[at] - _SIGN[sign]
-        _, first, stem = np.unique(w.stems(at, n), return_index=True, return_inverse=True)
-        size, begin = n[first] + 2, w.start[at[first]]
+        blank = before == _BLANK
+        _, first, stem = np.unique(w.spans(w.start[at], n) + blank, return_index=True, return_inverse=True)
+        size = n[first] + 1
         end = np.cumsum(size)
-        text = np.empty(int(end[-1]), np.uint8)
-        text[end - size], text[end - size + 1] = 0xC4, 0xA0  # the sign of a blank
-        step = np.arange(int((size - 2).sum())) - np.repeat(np.cumsum(size - 2) - (size - 2), size - 2)
-        text[np.repeat(end - size + 2, size - 2) + step] = w.buf[np.repeat(begin, size - 2) + step]
-        cuts = [0, *end[99:-1:100].tolist(), int(end[-1])]
+        byte = w.buf[np.maximum(np.repeat(w.start[at[first]] - 1 - (end - size), size) + np.arange(int(end[-1])), 0)]  # the first of each is put in now
+        byte[end - size] = np.where(blank[first], 32, 10)
+        two = _SIGN_BYTES[byte]
+        text = two[two > 0]
+        cuts = np.concatenate([[0], np.cumsum(1 + (two[:, 1] > 0))])[np.concatenate([[0], end[_BESIDE - 1 : -1 : _BESIDE], end[-1:]])].tolist()
         parts = [text[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)]
-        signs = self._encode_each([".", ","])
-        ids = np.fromiter(chain(signs[0].tolist(), chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(parts, add_special_tokens=False))), np.uint32)
-        here = np.flatnonzero(self.edge[ids])
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(parts, add_special_tokens=False)), np.uint32)
+        here = np.flatnonzero(self.edge[ids] | (ids == self.line))
         if len(here) != len(first):
-            return self._learn(w.texts(at), [_BLANK] * len(at))
+            return self._learn(w.texts(at), before.tolist())
         length = np.diff(here, append=len(ids))
-        marked = _SIGN[sign]
-        sign_at, sign_n = np.where(sign == 44, signs[1][0], 0), np.where(sign == 44, signs[1][1], signs[1][0]) * marked
-        start = np.stack([here[stem], sign_at], axis=1).ravel()
-        each = np.stack([length[stem], sign_n], axis=1)
+        # the signs after the stems: few kinds
+        more = w.end[at] - w.start[at] - n
+        _, one, kind = np.unique(w.spans(w.start[at] + n, more), return_index=True, return_inverse=True)
+        signs = [w.buf[a:b].tobytes().decode() for a, b in zip((w.start[at] + n)[one].tolist(), w.end[at[one]].tolist(), strict=True)]
+        sign_ids, sign_n = self._encode_each(signs)
+        sign_at = len(ids) + np.cumsum(sign_n) - sign_n
+        ids = np.concatenate([ids, sign_ids])
+        skip = before == _FIRST
+        start = np.stack([here[stem] + skip, sign_at[kind]], axis=1).ravel()
+        each = np.stack([length[stem] - skip, sign_n[kind]], axis=1)
         flat = each.ravel()
         return ids[np.repeat(start - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))], each.sum(axis=1)
 
@@ -309,12 +338,14 @@ class Encoder:
                 new.add(keys[have], *old.gather(there[have]))
             at, keys = at[~have], keys[~have]
             if len(keys):
-                plain = self._plain(w, at, None if before is None else before[at])
-                if plain.any():
-                    new.add(keys[plain], *self._learn_plain(w, at[plain]))
-                    at, keys = at[~plain], keys[~plain]
+                what = np.full(len(at), _BLANK) if before is None else before[at]
+                if self.letters is not self.tokenizer:
+                    stem = self._stems(w, at)
+                    plain = stem > 0
+                    new.add(keys[plain], *self._learn_plain(w, at[plain], what[plain], stem[plain]))
+                    at, keys, what = at[~plain], keys[~plain], what[~plain]
                 if len(keys):
-                    new.add(keys, *self._learn(w.texts(at), [_BLANK] * len(at) if before is None else before[at].tolist()))
+                    new.add(keys, *self._learn(w.texts(at), what.tolist()))
             if len(new.key) != size:
                 slot = new.find(h)
             else:

@@ -76,7 +76,7 @@ class Words:
         if lower:
             buf = _LOWER[buf]
         self.buf = buf
-        blank = _SPACE[buf] if not letters_only else _APART[buf]
+        blank = (buf == 32) | (buf - np.uint8(9) < 5) if not letters_only else _APART[buf]
         edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.text_at)
@@ -103,14 +103,15 @@ class Words:
             at = to
         self.hash = mix(out)
 
-    def stems(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Hashes of the first ``n`` bytes of each of several words."""
+    def spans(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of runs of ``n`` bytes from ``start`` on."""
         up, _ = _powers(max(int(n.max(initial=1)), 1))
         end = np.cumsum(n)
-        step = np.arange(int(n.sum())) - np.repeat(end - n, n)
+        first = end - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
         total = np.zeros(len(step) + 1, np.uint64)
-        np.cumsum(_STATE.setdefault("values", _byte_values())[self.buf[np.repeat(self.start[at], n) + step]] * up[step], out=total[1:])
-        return mix(total[end] - total[end - n] + n.astype(np.uint64))
+        np.cumsum(_STATE.setdefault("values", _byte_values())[self.buf[np.repeat(start, n) + step]] * up[step], out=total[1:])
+        return mix(total[end] - total[first] + n.astype(np.uint64))
 
     def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``k`` words within a text, and the text of each."""

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,40 @@ def test_plain_words_learned_side_by_side_have_the_librarys_ids():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_words_of_latin_letters_with_signs_are_learned_side_by_side_wherever_they_stand(monkeypatch):
+    """op5's cost of new words: after blanks, line ends and at a text's beginning, those of one stem once."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), Encoder(path, words=False)
+    seen, one_by_one = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words, before: seen.extend(words) or one_by_one(words, before))
+    easy = ["Straße.%%%", "ǅungla", "cióndo###", "naïve!?", "word'", "\u023f", "ÀÖØöøÿ,"]
+    hard = ["a×b", "÷", "it's", "x1", "Σς", "ªb", "ɐ", "a-b", "…", "é\u0301", "ﬁ", "\u2c7e"]
+    r = random.Random(6)
+    texts = ["".join(r.choice(easy + hard) + r.choice(" \n") for _ in range(9)) + r.choice(easy + hard) for _ in range(400)] + [*easy, *hard, "", None]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert set(hard) <= set(seen) and not set(easy) & set(seen)
+    many = ["".join(r.choice("abcdeéß") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts = [a + b + c for a, b in zip(many, many[1:], strict=False) for c in (" ", "\n")]
+    got, _ = encoder.encode(pa.array(["".join(texts) + "end"]))
+    assert got.tolist() == library.encode("".join(texts) + "end", add_special_tokens=False).ids
+
+
+def test_tables_of_a_block_hold_its_ids_side_by_side():
+    """Ids far apart have numbers next to each other, the same bytes as in files written before, and tables no wider than they need."""
+    rng = np.random.default_rng(3)
+    x = rng.choice(np.arange(7, 50_000, 97), 70_000).astype(np.uint32)
+    y = np.where(rng.random(70_000) < 0.01, x + (1 << 20), x).astype(np.uint32)
+    data = rangecoder.encode([x, y, x[:500]])
+    assert [zlib.crc32(d) for d in data] == [3050676390, 553175202, 637481446]
+    assert all(np.array_equal(a, b) for a, b in zip(rangecoder.decode(data), (x, y, x[:500]), strict=True))
+    model = rangecoder._Model(1, 256, True)
+    numbers = model.numbers(x[:256], False)
+    assert numbers.max() <= len(np.unique(x[:256])) and np.array_equal(model.ids(numbers, False), x[:256])
+
+
 def test_a_step_sums_the_gradients_of_words_that_recur():
     import numpy as np
 
